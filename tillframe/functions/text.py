@@ -17,21 +17,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+def substrings(text: Column, size: int) -> Column:
+    """All substrings of ``size`` characters, in order."""
+    return F.when(
+        F.length(text) >= size,
+        F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size))),
+    ).otherwise(F.array().cast("array<string>"))
+
+
 def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     """All n-grams inside each lower-case word padded with one blank on both sides."""
 
     def of_word(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        per_size = [
-            F.when(
-                F.length(padded) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n))
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in range(low, high + 1)
-        ]
-        return F.concat(*per_size)
+        return F.concat(*[substrings(padded, n) for n in range(low, high + 1)])
 
     return F.flatten(F.transform(words(F.lower(text)), of_word))
 
@@ -95,10 +94,8 @@ def _by_word_list(texts: DataFrame, keywords: list[str]) -> DataFrame:
 def _by_trigrams(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """Join on the first trigram of each keyword, then check the whole keyword."""
     lowered = texts.select(F.col("id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
-    grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length("_text") - 2), lambda i: F.substring("_text", i, F.lit(3)))
-    )
-    parts = lowered.where(F.length("_text") >= 3).select("id", F.explode(grams).alias("_gram"))
+    grams = F.array_distinct(substrings(F.col("_text"), 3))
+    parts = lowered.select("id", F.explode(grams).alias("_gram"))
     anchors = keywords.select("keyword", F.substring("keyword", 1, 3).alias("_gram"))
     pairs = parts.join(anchors, "_gram").select("id", "keyword")
     return pairs.join(lowered, "id").where(F.contains("_text", "keyword")).select("id", "keyword")

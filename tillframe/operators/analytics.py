@@ -69,9 +69,8 @@ def monthly_trend(sales: DataFrame) -> DataFrame:
     months = sales.groupBy(day.alias("month_end")).agg(F.sum("revenue").alias("r"))
     span = months.agg(F.min("month_end").alias("a"), F.max("month_end").alias("b"))
     first = F.trunc("a", "month")
-    calendar = span.where(F.col("a").isNotNull()).select(
-        F.last_day(F.explode(F.sequence(first, F.trunc("b", "month"), F.expr("interval 1 month")))).alias("month_end")
-    )
+    starts = F.explode(F.sequence(first, F.trunc("b", "month"), F.expr("interval 1 month"))).alias("start")
+    calendar = span.where(F.col("a").isNotNull()).select(starts).select(F.last_day("start").alias("month_end"))
     return (
         calendar.join(months, "month_end", "left")
         .select(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tillframe.functions.ordering import with_position, with_scalars
 from tillframe.functions.skew import join_keyed
-from tillframe.functions.text import char_ngrams, sorted_tokens, word_terms
+from tillframe.functions.text import char_ngrams, sorted_tokens, substrings, word_terms
 from tillframe.functions.vectors import BLOCK_ROWS, nearest
 from tillframe.operators.cleaning import normalize_code
 from tillframe.sources.storage import materialize
@@ -61,11 +61,15 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
-def _edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _edit_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([200.0 * _lcs(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b)])
 
 
+def edit_ratio(a: str, b: str) -> Column:
+    """Similarity from 0 to 100: twice the common subsequence over both lengths."""
+    return F.pandas_udf(_edit_ratios, "double")(a, b)
+
+
 def _numbered(tokens: Column) -> Column:
     """Tokens with their repeat number, so that repeats count as separate tokens."""
     return F.transform(
@@ -74,13 +78,6 @@ def _numbered(tokens: Column) -> Column:
     )
 
 
-def _substrings(text: Column, size: int) -> Column:
-    return F.when(
-        F.length(text) >= size,
-        F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size))),
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def _edit_candidates(keys: DataFrame, threshold: float) -> DataFrame:
     """Pairs (rep, other) that can reach ``threshold``; misses none.
 
@@ -96,7 +93,7 @@ def _edit_candidates(keys: DataFrame, threshold: float) -> DataFrame:
         return F.greatest(F.ceil(pieces - _EPS), F.lit(1))
 
     measured = keys.withColumn("len", F.length("key"))
-    tokens = measured.select("rep", "single", "len", F.explode(_numbered(_substrings(F.col("key"), size))).alias("tok"))
+    tokens = measured.select("rep", "single", "len", F.explode(_numbered(substrings(F.col("key"), size))).alias("tok"))
     common = tokens.groupBy("tok").agg(F.count("*").alias("df"))
     ordered = Window.partitionBy("rep").orderBy("df", "tok")
     # The shortest partner a string of this length can have sets its largest prefix.
@@ -122,7 +119,7 @@ def _edit_candidates(keys: DataFrame, threshold: float) -> DataFrame:
     # Very short pairs need not share a two-letter piece: they share a letter.
     short = math.floor(1 / (3 * share - 1) + _EPS)
     letters = measured.where(F.col("len") <= short).select(
-        "rep", "single", "len", F.explode(F.array_distinct(_substrings(F.col("key"), 1))).alias("tok")
+        "rep", "single", "len", F.explode(F.array_distinct(substrings(F.col("key"), 1))).alias("tok")
     )
     c = letters.where("single").select("tok", "rep", F.col("len").alias("la"))
     d = letters.select("tok", F.col("rep").alias("other"), F.col("len").alias("lb"))
@@ -147,7 +144,7 @@ def fuzzy_match(products: DataFrame, threshold: float = FUZZY_THRESHOLD) -> Data
         _edit_candidates(keys, threshold)
         .join(left, "rep")
         .join(right, "other")
-        .withColumn("ratio", _edit_ratio("a", "b"))
+        .withColumn("ratio", edit_ratio("a", "b"))
         .where(F.col("ratio") >= threshold - _EPS)
     )
     best = scored.groupBy("rep").agg(F.max(F.struct(F.round("ratio", 9).alias("ratio"), (-F.col("other")).alias("neg"))).alias("m"))
