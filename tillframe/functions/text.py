@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillframe.sources.storage import spread
+
 KEYWORD_LIST_ROWS = 20_000
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -108,6 +110,7 @@ def match_keywords(texts: DataFrame, keywords: DataFrame, list_rows: int = KEYWO
     ``list_rows`` distinct keywords travel to the tasks as a list; beyond that,
     keywords of three or more characters are found by a join on trigrams.
     """
+    texts = spread(texts.select("id", "text"))
     distinct = keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
     head = [r.keyword for r in distinct.limit(list_rows + 1).collect()]
     if len(head) <= list_rows:

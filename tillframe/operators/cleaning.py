@@ -29,14 +29,15 @@ def rename_sales(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(SALES_COLUMNS)
 
 
-def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows picked by a seeded hash of the whole row; everything when ``n`` is 0.
+def sample_n(df: DataFrame, n: int, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """Exactly ``n`` rows picked by a seeded hash of ``key`` (default: all columns); all rows when ``n`` is 0.
 
     The pick depends on the rows alone, not on how they are partitioned.
     """
     if not n:
         return df
-    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns).limit(n)
+    hashed = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key or df.columns]
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *hashed)), *df.columns).limit(n)
 
 
 def invoice_timestamp(df: DataFrame, column: str = "invoice_ts") -> Column:

@@ -19,7 +19,7 @@ from tillframe.functions.skew import join_keyed
 from tillframe.functions.text import char_ngrams, sorted_tokens, substrings, word_terms
 from tillframe.functions.vectors import BLOCK_ROWS, nearest
 from tillframe.operators.cleaning import normalize_code
-from tillframe.sources.storage import materialize
+from tillframe.sources.storage import materialize, spread
 
 # Default thresholds and the number of review codes.
 FUZZY_THRESHOLD = 80.0
@@ -429,7 +429,7 @@ def attach_reviews_tfidf(
     """
     names = mapping.select((F.col("mapping_id") - 1).alias("idx"), F.col("golden_name").alias("name"))
     distinct = materialize(names.groupBy("name").agg(F.min("idx").alias("doc"), F.count("*").alias("members")), "names")
-    review_docs = reviews.select(F.col("review_key").alias("doc"), "review_text")
+    review_docs = spread(reviews.select(F.col("review_key").alias("doc"), "review_text"))
     name_rows = _term_rows(distinct, "name").join(distinct.select("doc", "members"), "doc")
     review_rows = _term_rows(review_docs, "review_text").withColumn("members", F.lit(1).cast("long"))
     # Counting before the shuffle keeps it as small as the vocabulary.

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillframe.functions.text import words
-from tillframe.functions.vectors import BLOCK_ROWS, dot, nearest, top_k
+from tillframe.functions.vectors import dot, top_k
+from tillframe.sources.storage import materialize, spread
 
 # Cells of the approximate index, results shown, length of a snippet.
 CELLS, K, SNIPPET = 50, 5, 200
+TRAIN_ROWS = 200_000
 
 
 def centroids(vectors: DataFrame, label: str, vec: str) -> DataFrame:
@@ -69,10 +71,15 @@ def review_snippets(hits: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def ann_search(vectors: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS, probes: int = 8, seed: int = 42) -> DataFrame:
-    """Approximate search: rows fall into k-means cells, queries look into the closest ones."""
+    """Approximate search: rows fall into k-means cells, queries look into the closest ones.
+
+    The cell centres are learnt from a sample of bounded size; every row is placed.
+    """
     dense = vectors.withColumn("features", _unit(F.col("vec")))
-    count = min(cells, dense.count())
-    model = KMeans(k=count, seed=seed, featuresCol="features", predictionCol="cell", maxIter=10).fit(dense)
+    rows = dense.count()
+    learning = dense if rows <= TRAIN_ROWS else dense.sample(TRAIN_ROWS / rows, seed)
+    kmeans = KMeans(k=min(cells, rows), seed=seed, featuresCol="features", predictionCol="cell", maxIter=10)
+    model = kmeans.fit(materialize(learning.select("features"), "cell-training"))
     placed = model.transform(dense).select("id", "vec", F.col("cell").cast("long").alias("cell"))
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]  # at most ``cells``
     table = vectors.sparkSession.createDataFrame(centres, "id long, vec array<double>")
@@ -98,7 +105,7 @@ def search_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
 
 def hashed_vectors(texts: DataFrame, dims: int = 64) -> DataFrame:
     """A stand-in encoder: word counts hashed into ``dims`` places, length one."""
-    tokens = texts.select("id", words(F.lower(F.coalesce("text", F.lit("")))).alias("tokens"))
+    tokens = spread(texts).select("id", words(F.lower(F.coalesce("text", F.lit("")))).alias("tokens"))
     counted = HashingTF(inputCol="tokens", outputCol="v", numFeatures=dims).transform(tokens)
     dense = counted.select("id", vector_to_array("v").alias("v"))
     norm = F.sqrt(dot(F.col("v"), F.col("v")))
@@ -125,18 +132,3 @@ def embedding_upsert(vectors: DataFrame, reviews: DataFrame, texts: DataFrame, e
     known = vectors.select("id", F.col("vec").cast("array<float>").alias("vec"), F.lit("existing").alias("origin"))
     return upsert(known, fresh, "id")
 
-
-__all__ = [
-    "BLOCK_ROWS",
-    "ann_search",
-    "centroids",
-    "embedding_upsert",
-    "hashed_vectors",
-    "nearest",
-    "review_snippets",
-    "search_recall",
-    "top_k",
-    "unindexed_reviews",
-    "upsert",
-    "vector_search",
-]

@@ -343,6 +343,31 @@ CTES: dict[str, str] = {
     "distinct_names": "SELECT rep, name, 1 AS members FROM prod_names",
     **cosine_ctes("distinct_names", "distinct_names", 2, "lone_"),
     "lone_best": best_cosine("lone_", 0.25, skip_self=True),
+    "sorted_names": """SELECT idx, coalesce(array_to_string(list_sort(list_filter(
+        string_split_regex(product_name, '\\s+'), lambda x: x <> '')), ' '), '') AS key FROM products""",
+    "keys": "SELECT key, min(idx) AS rep, count(*) AS members FROM sorted_names GROUP BY key",
+    "ratios": """SELECT a.rep AS a, b.rep AS b, a.members, 200.0::DOUBLE * list_reduce(
+          list_transform(range(1, length(b.key) + 1), lambda i: [i]),
+          lambda old, i: list_reduce(list_transform(range(1, length(a.key) + 1), lambda j: [j]),
+            lambda row, j: list_append(row, CASE WHEN a.key[j[1]] = b.key[i[1]] THEN old[j[1]] + 1
+                                                 ELSE greatest(row[len(row)], old[j[1] + 1]) END),
+            [0::BIGINT]),
+          list_resize([0::BIGINT], length(a.key) + 1, 0::BIGINT))[length(a.key) + 1]
+          / (length(a.key) + length(b.key)) AS ratio
+        FROM keys a, keys b WHERE a.rep <> b.rep""",
+    "fuzzy": """SELECT s.idx, k.rep AS match_idx, CAST(1 AS DOUBLE) AS score
+        FROM sorted_names s JOIN keys k USING (key) WHERE s.idx <> k.rep
+        UNION ALL
+        SELECT a, b, round(ratio / 100, 4) FROM (SELECT * FROM ratios WHERE members = 1
+          QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(ratio, 9) DESC, b) = 1)
+        WHERE ratio >= 80 - 1e-9 AND b < a""",
+    "fuzzy_mapping": """SELECT p.idx + 1 AS mapping_id, product_id, product_name,
+        printf('REV_%04d', coalesce(h.match_idx, f.match_idx, t.match_idx, p.idx) % 1000 + 1) AS review_code, category,
+        product_name AS golden_name, coalesce(h.score, f.score, t.score, CAST(0 AS DOUBLE)) AS match_score,
+        CASE WHEN h.idx IS NOT NULL THEN 'hard' WHEN f.idx IS NOT NULL THEN 'fuzzy'
+             WHEN t.idx IS NOT NULL THEN 'tfidf' ELSE 'rank' END AS match_strategy
+        FROM products p LEFT JOIN hard h ON h.idx = p.idx LEFT JOIN fuzzy f ON f.idx = p.idx
+        LEFT JOIN tfidf t ON t.idx = p.idx""",
     "placeholders": "SELECT idx AS rep, 'Product ' || (idx + 1) AS name, 1 AS members FROM products",
     **cosine_ctes("prod_names", "placeholders", 1, "slot_"),
     "slot_best": best_cosine("slot_", 0.10),
@@ -440,6 +465,9 @@ WRITTEN = r"""coalesce(
 MAIN: dict[str, str] = {
     "clean_sales": """SELECT invoice_no, product_id, description, quantity, CAST(unit_cents AS DOUBLE) / 100 AS unit_price,
         CAST(revenue AS DOUBLE) AS revenue, CAST(margin AS DOUBLE) AS margin, invoice_ts, customer_id, country FROM sales""",
+    "sample_n": """SELECT line_key, invoice_no, product_id, quantity, CAST(unit_cents AS DOUBLE) / 100 AS unit_price
+        FROM raw_sales ORDER BY md5('42|' || line_key || '|' || invoice_no || '|' || product_id || '|' || quantity),
+        line_key, invoice_no, product_id, quantity, unit_cents LIMIT 500""",
     "clean_reviews": """SELECT review_key, review_text, review_excerpt, sentiment, CAST(rating AS DOUBLE) AS rating,
         review_ts FROM clean_reviews""",
     "table_profile": " UNION ALL ".join(
@@ -626,6 +654,11 @@ MAIN: dict[str, str] = {
         ]
     ),
     "hard_match": "SELECT idx, match_idx, score FROM hard",
+    "fuzzy_match": "SELECT idx, match_idx, score FROM fuzzy",
+    "fuzzy_match_distinct": """SELECT a AS idx, b AS match_idx, round(ratio / 100, 4) AS score FROM (
+        SELECT * FROM ratios QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(ratio, 9) DESC, b) = 1)
+        WHERE ratio >= 80 - 1e-9 AND b < a""",
+    "golden_records_fuzzy": "SELECT * FROM fuzzy_mapping",
     "tfidf_match": "SELECT idx, match_idx, score FROM tfidf",
     "tfidf_match_other": "SELECT a AS idx, b AS match_idx, round(c, 4) AS score FROM lone_best",
     "tfidf_match_placeholder": """SELECT p.idx, b AS match_idx, round(c, 4) AS score FROM products p

@@ -45,7 +45,9 @@ def clean_sales(w: Warehouse) -> DataFrame:
 
 @query
 def sample_n(w: Warehouse) -> DataFrame:
-    return _doubles(cleaning.sample_n(w.raw_sales, SAMPLE_ROWS), "unit_price")
+    lines = w.raw_sales.select("line_key", "invoice_no", "product_id", "quantity", "unit_price")
+    picked = cleaning.sample_n(lines, SAMPLE_ROWS, key=["line_key", "invoice_no", "product_id", "quantity"])
+    return _doubles(picked, "unit_price").withColumn("quantity", F.col("quantity").cast("long"))
 
 
 @query
@@ -387,6 +389,11 @@ def fuzzy_match(w: Warehouse) -> DataFrame:
     return matching.fuzzy_match(w.products)
 
 
+@query
+def fuzzy_match_distinct(w: Warehouse) -> DataFrame:
+    return matching.fuzzy_match(_distinct_names(w).withColumnRenamed("name", "product_name"))
+
+
 @query
 def tfidf_match(w: Warehouse) -> DataFrame:
     return matching.tfidf_match(_names(w))
