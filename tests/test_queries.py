@@ -1,0 +1,40 @@
+"""Every registered query against its SQL on the smallest data, and the driver contract."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+from check_oracle import compare, connect
+
+FOLDER = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(FOLDER)
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_query_equals_sql(spark, con, name):
+    assert compare(spark, con, FOLDER, name) is None
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+def test_query_without_sql_runs(spark, name):
+    df = entry.queries()[name](spark, FOLDER)
+    assert df.columns and df.count() >= 0
+
+
+@needs_data
+def test_entry(spark):
+    assert "status" in entry.entry(spark).columns
+
+
+def test_every_sql_belongs_to_a_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())

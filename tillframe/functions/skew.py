@@ -41,10 +41,11 @@ def join_keyed(
         return facts.join(F.broadcast(keyed), key, how)
     hot = F.broadcast(hot_keys(facts, key).withColumn("_hot", F.lit(True)))
     # The salt is a function of the row, so a recomputed task sends rows to the same place.
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*facts.columns), F.lit(salts))).otherwise(F.lit(0))
-    left = facts.join(hot, key, "left").withColumn("_salt", spread.cast("long")).drop("_hot")
+    # Rows without a key find no partner, so they may go anywhere.
+    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts).cast("long"))
+    loose = F.col("_hot") | F.col(key).isNull()
+    left = facts.join(hot, key, "left").withColumn("_salt", F.when(loose, salt).otherwise(F.lit(0).cast("long")))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = (
-        keyed.join(hot, key, "left").withColumn("_salt", F.explode(copies).cast("long")).drop("_hot")
-    )
+    right = keyed.join(hot, key, "left").withColumn("_salt", F.explode(copies.cast("array<long>")))
+    left, right = left.drop("_hot"), right.drop("_hot")
     return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -45,13 +45,19 @@ def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _pearson(a: str, b: str) -> Column:
+    """Correlation over rows with both values; null when a column does not vary."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, from one aggregate."""
     if len(columns) < 2:
         raise ValueError("a correlation needs at least two numeric columns")
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = doubles.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    row = doubles.agg(*[_pearson(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = [(a, b, f"{a}|{b}") for a, b in pairs] + [(b, a, f"{a}|{b}") for a, b in pairs if a != b]
     entries = F.array(
         *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{c}`").alias("v")) for a, b, c in cells]
@@ -59,7 +65,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(entries).alias("e")).select(
         F.col("e.a").alias("column_a"),
         F.col("e.b").alias("column_b"),
-        F.when(~F.isnan("e.v"), F.round("e.v", 3)).alias("correlation"),
+        F.round("e.v", 3).alias("correlation"),
     )
 
 

@@ -153,13 +153,14 @@ def _smooth(y: np.ndarray, trend: bool, season: str | None, horizon: int):
     alpha, beta, gamma = grid.T
     size = len(grid)
     if season:
-        first = y[:SEASON]
-        level = np.full(size, first.mean())
-        later = y[SEASON : 2 * SEASON]
-        slope = (later - first[: len(later)]).mean() / SEASON if trend and len(later) else 0.0
         if season == "mul" and (y <= 0).any():
             return None
-        base = first / first.mean() if season == "mul" else first - first.mean()
+        first, later = y[:SEASON], y[SEASON : 2 * SEASON]
+        slope = (later - first[: len(later)]).mean() / SEASON if trend and len(later) else 0.0
+        # The line through the first year; what is left of it is the first season.
+        line = first.mean() + slope * (np.arange(SEASON) - (SEASON - 1) / 2)
+        level = np.full(size, line[0] - slope)
+        base = first / line if season == "mul" else first - line
         cycle = [np.full(size, v) for v in base]
     else:
         level = np.full(size, y[0])
@@ -170,7 +171,7 @@ def _smooth(y: np.ndarray, trend: bool, season: str | None, horizon: int):
     for t, value in enumerate(y):
         if not season and t == 0:
             continue
-        effect = cycle[t % SEASON] if season else (1.0 if season == "mul" else 0.0)
+        effect = cycle[t % SEASON] if season else 0.0
         plain = level + growth
         expected = plain * effect if season == "mul" else plain + effect
         sse += (value - expected) ** 2

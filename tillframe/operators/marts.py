@@ -248,7 +248,7 @@ def clear_orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str
     """Child rows with the key set to null where it has no parent."""
     known = parent.select(F.col(parent_key).alias(key)).distinct().withColumn("_known", F.lit(True))
     joined = child.join(known, key, "left")
-    return joined.withColumn(key, F.when("_known", F.col(key))).select(*child.columns)
+    return joined.withColumn(key, F.when(F.col("_known"), F.col(key))).select(*child.columns)
 
 
 def fk_orphans(references: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
