@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillframe.sources.storage import spread
-
 KEYWORD_LIST_ROWS = 20_000
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -62,6 +60,10 @@ def name_keywords(name: Column, count: int = 3) -> Column:
     return F.slice(F.filter(parts, lambda w: F.length(w) > 3), 1, count)
 
 
+def _lowered(texts: DataFrame) -> DataFrame:
+    return texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
+
+
 def _by_word_list(texts: DataFrame, keywords: list[str]) -> DataFrame:
     """Search each text once for all keywords; the list is known to be short."""
     shared = texts.sparkSession.sparkContext.broadcast(keywords)
@@ -87,15 +89,15 @@ def _by_word_list(texts: DataFrame, keywords: list[str]) -> DataFrame:
             found = batch["_text"].map(hits)
             yield pd.DataFrame({"id": batch["id"], "keyword": found}).explode("keyword").dropna()
 
-    lowered = texts.select(F.col("id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
+    lowered = _lowered(texts)
     if not keywords:
         return lowered.select("id", F.lit("").alias("keyword")).limit(0)
-    return lowered.mapInPandas(search, "id long, keyword string")
+    return lowered.mapInPandas(search, f"id {lowered.schema['id'].dataType.simpleString()}, keyword string")
 
 
 def _by_trigrams(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """Join on the first trigram of each keyword, then check the whole keyword."""
-    lowered = texts.select(F.col("id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
+    lowered = _lowered(texts)
     grams = F.array_distinct(substrings(F.col("_text"), 3))
     parts = lowered.select("id", F.explode(grams).alias("_gram"))
     anchors = keywords.select("keyword", F.substring("keyword", 1, 3).alias("_gram"))
@@ -110,7 +112,6 @@ def match_keywords(texts: DataFrame, keywords: DataFrame, list_rows: int = KEYWO
     ``list_rows`` distinct keywords travel to the tasks as a list; beyond that,
     keywords of three or more characters are found by a join on trigrams.
     """
-    texts = spread(texts.select("id", "text"))
     distinct = keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
     head = [r.keyword for r in distinct.limit(list_rows + 1).collect()]
     if len(head) <= list_rows:

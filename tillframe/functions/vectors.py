@@ -14,6 +14,7 @@ from tillframe.functions.ordering import with_position
 
 BLOCK_ROWS = 50_000
 SCORE_DIGITS = 6
+MATRIX_CELLS = 4_000_000  # scores held at once in a task
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -26,6 +27,12 @@ def stack(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
+def first_k(hits: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` hits of each query, lowest id on ties."""
+    ordered = hits.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
+    return ordered.groupby("query_id", sort=False).head(k)
+
+
 def blocks(df: DataFrame, id_col: str, vec_col: str, block_rows: int = BLOCK_ROWS):
     """Yield (ids, unit vectors) of at most ``block_rows`` rows, ordered by id.
 
@@ -60,14 +67,14 @@ def nearest(rows: DataFrame, targets: DataFrame, block_rows: int = BLOCK_ROWS) -
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             target_ids, target_matrix = shared.value
+            step = max(1, MATRIX_CELLS // len(target_ids))
             for batch in batches:
-                if not len(batch):
-                    continue
-                scores = np.round(unit_rows(stack(batch["vec"])) @ target_matrix.T, SCORE_DIGITS)
-                top = scores.argmax(axis=1)
-                yield pd.DataFrame(
-                    {"id": batch["id"], "target_id": target_ids[top], "score": scores[np.arange(len(top)), top]}
-                )
+                for start in range(0, len(batch), step):
+                    part = batch.iloc[start : start + step]
+                    scores = np.round(unit_rows(stack(part["vec"])) @ target_matrix.T, SCORE_DIGITS)
+                    top = scores.argmax(axis=1)
+                    won = scores[np.arange(len(top)), top]
+                    yield pd.DataFrame({"id": part["id"], "target_id": target_ids[top], "score": won})
 
         parts.append(rows.select("id", "vec").mapInPandas(best, "id long, target_id long, score double"))
     if not parts:
@@ -100,19 +107,21 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK
             for batch in batches:
                 if not len(batch):
                     continue
-                scores = np.round(query_matrix @ unit_rows(stack(batch["vec"])).T, SCORE_DIGITS)
                 row_ids = batch["id"].to_numpy(dtype=np.int64)
-                found = []
-                for q, query_id in enumerate(query_ids):
-                    mask = np.ones(len(row_ids), dtype=bool)
+                units = unit_rows(stack(batch["vec"])).T
+                step = max(1, MATRIX_CELLS // len(batch))
+                for start in range(0, len(query_ids), step):
+                    scores = np.round(query_matrix[start : start + step] @ units, SCORE_DIGITS)
                     if query_cells is not None:
-                        mask = batch[cell].isin(query_cells[q]).to_numpy()
-                    values, members = scores[q][mask], row_ids[mask]
-                    order = np.lexsort((members, -values))[:k]
-                    found.append(pd.DataFrame({"query_id": query_id, "id": members[order], "score": values[order]}))
-                kept = pd.concat(found if kept is None else [kept, *found])
-                kept = kept.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-                kept = kept.groupby("query_id", sort=False).head(k)
+                        cells = batch[cell].to_numpy()
+                        allowed = [np.isin(cells, list(query_cells[q])) for q in range(start, start + len(scores))]
+                        scores[~np.array(allowed)] = -np.inf
+                    # All rows at or above the k-th score: ties are cut by id below.
+                    place = max(scores.shape[1] - k, 0)
+                    limit = np.partition(scores, place, axis=1)[:, place : place + 1]
+                    q, r = np.nonzero((scores >= limit) & np.isfinite(scores))
+                    found = pd.DataFrame({"query_id": query_ids[start + q], "id": row_ids[r], "score": scores[q, r]})
+                    kept = first_k(found if kept is None else pd.concat([kept, found]), k)
             if kept is not None:
                 yield kept.astype({"query_id": "int64", "id": "int64", "score": "float64"})
 

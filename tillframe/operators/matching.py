@@ -19,7 +19,7 @@ from tillframe.functions.skew import join_keyed
 from tillframe.functions.text import char_ngrams, sorted_tokens, substrings, word_terms
 from tillframe.functions.vectors import BLOCK_ROWS, nearest
 from tillframe.operators.cleaning import normalize_code
-from tillframe.sources.storage import materialize, spread
+from tillframe.sources.storage import materialize
 
 # Default thresholds and the number of review codes.
 FUZZY_THRESHOLD = 80.0
@@ -402,7 +402,7 @@ def semantic_assign(
     Both inputs have ``id`` and ``vec``. Without any review at the threshold the
     product is null, and the caller goes on with the word-based way.
     """
-    found = nearest(reviews, products, block_rows)
+    found = materialize(nearest(reviews, products, block_rows), "nearest")
     sure = found.where(F.col("score") >= threshold).groupBy("target_id").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     commonest = sure.agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "target_id"))["target_id"].alias("common"))
     return with_scalars(found, commonest).select(
@@ -429,7 +429,7 @@ def attach_reviews_tfidf(
     """
     names = mapping.select((F.col("mapping_id") - 1).alias("idx"), F.col("golden_name").alias("name"))
     distinct = materialize(names.groupBy("name").agg(F.min("idx").alias("doc"), F.count("*").alias("members")), "names")
-    review_docs = spread(reviews.select(F.col("review_key").alias("doc"), "review_text"))
+    review_docs = reviews.select(F.col("review_key").alias("doc"), "review_text")
     name_rows = _term_rows(distinct, "name").join(distinct.select("doc", "members"), "doc")
     review_rows = _term_rows(review_docs, "review_text").withColumn("members", F.lit(1).cast("long"))
     # Counting before the shuffle keeps it as small as the vocabulary.

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillframe.functions.ordering import with_scalars
+from tillframe.functions.ordering import with_position, with_scalars
 from tillframe.functions.skew import join_keyed
 from tillframe.functions.text import match_keywords, name_keywords
-from tillframe.operators.marts import FINE, mean2, money
+from tillframe.operators.marts import FINE, mean2, money, reviews_per_code
+from tillframe.sources.storage import materialize
 
+SET_ROWS = 100_000  # keyword sets counted at once in a task
 SORT_KEYS = {
     "revenue": "revenue",
     "rating": "avg_rating",
@@ -134,8 +139,6 @@ def customer_satisfaction(
     mapping_rows: int | None = None,
 ) -> DataFrame:
     """Customers with a rated purchase and their mean rating per line and review."""
-    from tillframe.operators.marts import reviews_per_code
-
     rated = mapping.select("product_id", "review_code").join(reviews_per_code(reviews), "review_code")
     bought = sales.groupBy("customer_id", "product_id").agg(F.count("*").alias("lines"))
     lines = join_keyed(bought, rated.select("product_id", "rating_sum", "ratings"), "product_id", "inner", keyed_rows=mapping_rows)
@@ -177,8 +180,6 @@ def product_sheet_sales(sales: DataFrame) -> DataFrame:
 
 
 def product_sheet_reviews(mapping: DataFrame, reviews: DataFrame) -> DataFrame:
-    from tillframe.operators.marts import reviews_per_code
-
     return (
         mapping.select("product_id", "review_code")
         .join(reviews_per_code(reviews), "review_code")
@@ -341,25 +342,68 @@ def _unmapped_keyword_sets(products: DataFrame, mapping: DataFrame, reviews: Dat
     """Products without mapped reviews and the keywords of their names."""
     reached = mapping.join(reviews.select("review_code").distinct(), "review_code", "left_semi").select("product_id")
     missing = products.select("product_id", "product_name").join(reached, "product_id", "left_anti")
-    return missing.select("product_id", F.array_sort(F.array_distinct(name_keywords(F.col("product_name")))).alias("keywords"))
+    return missing.select("product_id", _keyword_set(F.col("product_name")).alias("keywords"))
 
 
-def review_keyword_search(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Reviews per product name that contain one of its keywords.
+def _keyword_set(name: Column) -> Column:
+    return F.array_sort(F.array_distinct(name_keywords(name)))
+
+
+def _found_keywords(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct keywords of ``sets`` each review contains: (id, found)."""
+    matches = match_keywords(texts, sets.select(F.explode("keywords").alias("keyword")))
+    return matches.groupBy("id").agg(F.collect_set("keyword").alias("found"))
+
+
+def count_by_keyword_set(found: DataFrame, sets: DataFrame, block_rows: int = SET_ROWS) -> DataFrame:
+    """Reviews per keyword set and bucket that contain any keyword of the set.
 
-    ``texts`` has ``id`` and ``text``; ``names`` has ``product_name``. Reviews are
-    counted per set of keywords they contain before names are looked up, so no
-    (name, review) pair is built.
+    ``found`` has ``bucket`` and ``found``; ``sets`` has ``keywords``. Every task
+    counts its reviews against one block of sets and hands on only the counts,
+    so no (set, review) pair leaves a task.
     """
-    sets = names.select("product_name").distinct().withColumn("keyword", F.explode(name_keywords(F.col("product_name"))))
-    found = _keyword_sets_of(match_keywords(texts, sets.select("keyword"))).groupBy("found").agg(F.count("*").alias("n"))
-    hits = found.withColumn("keyword", F.explode("found")).join(sets, "keyword").select("product_name", "found", "n").distinct()
-    return hits.groupBy("product_name").agg(F.sum("n").alias("matching_reviews"))
+    numbered = with_position(sets.select("keywords").distinct(), ["keywords"], "set_id")
+    total = numbered.count()
+    found = materialize(found.select("bucket", "found"), "found")
+    sc = found.sparkSession.sparkContext
+    parts = []
+    for start in range(0, total, block_rows):
+        block = numbered.where((F.col("set_id") >= start) & (F.col("set_id") < start + block_rows)).collect()
+        by_word: dict[str, list[int]] = {}
+        for row in block:
+            for word in row.keywords:
+                by_word.setdefault(word, []).append(row.set_id - start)
+        shared = sc.broadcast(({w: np.array(ids) for w, ids in by_word.items()}, len(block), start))
+
+        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            postings, size, first = shared.value
+            totals: dict[str, np.ndarray] = {}
+            for batch in batches:
+                for bucket, words in zip(batch["bucket"], batch["found"]):
+                    reached = [postings[w] for w in words if w in postings]
+                    if reached:
+                        tally = totals.setdefault(bucket, np.zeros(size, dtype=np.int64))
+                        tally[np.unique(np.concatenate(reached))] += 1
+            for bucket, tally in totals.items():
+                hit = np.flatnonzero(tally)
+                yield pd.DataFrame({"set_id": hit + first, "bucket": bucket, "n": tally[hit]})
+
+        parts.append(found.mapInPandas(count, "set_id long, bucket string, n long"))
+    if not parts:
+        return sets.select("keywords", F.lit("").alias("bucket"), F.lit(0).cast("long").alias("n")).limit(0)
+    counts = reduce(DataFrame.unionByName, parts).groupBy("set_id", "bucket").agg(F.sum("n").alias("n"))
+    return counts.join(numbered, "set_id").select("keywords", "bucket", "n")
 
 
-def _keyword_sets_of(matches: DataFrame) -> DataFrame:
-    """The sorted keywords each review contains: (id, found)."""
-    return matches.groupBy("id").agg(F.array_sort(F.collect_set("keyword")).alias("found"))
+def review_keyword_search(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Reviews per product name that contain one of its keywords.
+
+    ``texts`` has ``id`` and ``text``; ``names`` has ``product_name``.
+    """
+    sets = names.select("product_name").distinct().withColumn("keywords", _keyword_set(F.col("product_name")))
+    found = _found_keywords(texts, sets).withColumn("bucket", F.lit(""))
+    counts = count_by_keyword_set(found, sets)
+    return sets.join(counts, "keywords").select("product_name", F.col("n").alias("matching_reviews"))
 
 
 def rating_distribution(products: DataFrame, mapping: DataFrame, reviews: DataFrame, texts: DataFrame) -> DataFrame:
@@ -371,20 +415,15 @@ def rating_distribution(products: DataFrame, mapping: DataFrame, reviews: DataFr
     mapped = mapping.select("product_id", "review_code").join(per_code, "review_code").select(
         "product_id", F.col("rating").cast("double").alias("rating"), "reviews", F.lit("mapping").alias("source")
     )
-    missing = _unmapped_keyword_sets(products, mapping, reviews)
-    sets = missing.select("keywords").distinct().withColumn("keyword", F.explode("keywords"))
-    found = _keyword_sets_of(match_keywords(texts, sets.select("keyword"))).withColumnRenamed("id", "review_key")
-    counts = found.join(reviews.select("review_key", "rating"), "review_key").groupBy("found", "rating").agg(F.count("*").alias("n"))
-    hits = (
-        counts.withColumn("keyword", F.explode("found"))
-        .join(sets, "keyword")
-        .select("keywords", "found", "rating", "n")
-        .distinct()
-        .groupBy("keywords", "rating")
-        .agg(F.sum("n").alias("reviews"))
-    )
+    missing = materialize(_unmapped_keyword_sets(products, mapping, reviews), "unmapped")
+    found = _found_keywords(texts, missing).withColumnRenamed("id", "review_key")
+    rated = found.join(reviews.select("review_key", F.col("rating").cast("string").alias("bucket")), "review_key")
+    hits = count_by_keyword_set(rated.fillna("", ["bucket"]), missing)
     searched = missing.join(hits, "keywords").select(
-        "product_id", F.col("rating").cast("double").alias("rating"), "reviews", F.lit("keywords").alias("source")
+        "product_id",
+        F.expr("try_cast(bucket AS double)").alias("rating"),
+        F.col("n").alias("reviews"),
+        F.lit("keywords").alias("source"),
     )
     return mapped.unionByName(searched)
 
@@ -405,7 +444,7 @@ def latest_reviews(
     columns = ["product_id", "place", "review_id", "rating", "sentiment", "source"]
     mapped = mapping.select("product_id", "review_code").join(per_code, "review_code").withColumn("source", F.lit("mapping"))
 
-    missing = _unmapped_keyword_sets(products, mapping, reviews)
+    missing = materialize(_unmapped_keyword_sets(products, mapping, reviews), "unmapped")
     sets = missing.select("keywords").distinct().withColumn("keyword", F.explode("keywords"))
     found = match_keywords(texts, sets.select("keyword")).withColumnRenamed("id", "review_key")
     best = [F.desc("rating"), "review_id"]
@@ -427,10 +466,6 @@ def name_lookup(names: DataFrame, terms: DataFrame) -> DataFrame:
     ``names`` has ``product_name``; ``terms`` has ``keyword``.
     """
     counted = names.groupBy("product_name").agg(F.count("*").alias("products"))
-    keyed = counted.select(F.xxhash64("product_name").alias("id"), "product_name", "products")
-    found = match_keywords(keyed.select("id", F.col("product_name").alias("text")), terms)
-    return (
-        found.join(keyed, "id")
-        .where(F.contains(F.lower("product_name"), F.col("keyword")))
-        .select(F.col("keyword").alias("term"), "product_name", "products")
-    )
+    texts = counted.select(F.col("product_name").alias("id"), F.col("product_name").alias("text"))
+    found = match_keywords(texts, terms).withColumnRenamed("id", "product_name")
+    return found.join(counted, "product_name").select(F.col("keyword").alias("term"), "product_name", "products")

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from tillframe.functions.text import words
 from tillframe.functions.vectors import dot, top_k
-from tillframe.sources.storage import materialize, spread
+from tillframe.sources.storage import broadcast_small, materialize
 
 # Cells of the approximate index, results shown, length of a snippet.
 CELLS, K, SNIPPET = 50, 5, 200
-TRAIN_ROWS = 200_000
+TRAIN_ROWS, HIT_ROWS = 200_000, 200_000
 
 
 def centroids(vectors: DataFrame, label: str, vec: str) -> DataFrame:
@@ -34,7 +34,7 @@ def vector_search(
     join before the cut; the ``k`` best hits lie within the ``k`` best reviews.
     """
     indexed = vectors.join(reviews.select(F.col("review_id").alias("id")), "id", "left_semi")
-    hits = top_k(indexed, queries, k).drop("rank")
+    hits = broadcast_small(top_k(indexed, queries, k).drop("rank"), HIT_ROWS, "hits")
     facts = reviews.select(F.col("review_id").alias("id"), "review_key", "review_code", "rating", "sentiment")
     names = mapping.select("review_code", "golden_name", "mapping_id")
     few = hits.join(facts, "id").join(names, "review_code", "left")
@@ -67,7 +67,8 @@ def review_snippets(hits: DataFrame, texts: DataFrame) -> DataFrame:
         F.substring("text", 1, SNIPPET),
     )
     keyed = texts.select(F.col("id").alias("review_key"), "text")
-    return hits.join(keyed, "review_key").select("query_id", "rank", line.alias("line"))
+    few = broadcast_small(hits, HIT_ROWS, "hits")
+    return keyed.join(few, "review_key").select("query_id", "rank", line.alias("line"))
 
 
 def ann_search(vectors: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS, probes: int = 8, seed: int = 42) -> DataFrame:
@@ -105,7 +106,7 @@ def search_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
 
 def hashed_vectors(texts: DataFrame, dims: int = 64) -> DataFrame:
     """A stand-in encoder: word counts hashed into ``dims`` places, length one."""
-    tokens = spread(texts).select("id", words(F.lower(F.coalesce("text", F.lit("")))).alias("tokens"))
+    tokens = texts.select("id", words(F.lower(F.coalesce("text", F.lit("")))).alias("tokens"))
     counted = HashingTF(inputCol="tokens", outputCol="v", numFeatures=dims).transform(tokens)
     dense = counted.select("id", vector_to_array("v").alias("v"))
     norm = F.sqrt(dot(F.col("v"), F.col("v")))

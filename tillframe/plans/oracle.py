@@ -215,7 +215,7 @@ CTES: dict[str, str] = {
     "products": f"""SELECT row_number() OVER (ORDER BY quantity DESC, product_id) - 1 AS idx, *,
         {case_rules('product_name', ERP_CATEGORIES, OTHER_CATEGORY)} AS category FROM ranked""",
     "customers": """SELECT customer_id, 'Client_' || customer_id AS name,
-        first(country ORDER BY invoice_ts, invoice_no, country) AS country FROM sales GROUP BY customer_id""",
+        first(country ORDER BY invoice_ts, country) AS country FROM sales GROUP BY customer_id""",
     "prod_names": "SELECT min(idx) AS rep, product_name AS name, count(*) AS members FROM products GROUP BY product_name",
     **cosine_ctes("prod_names", "prod_names", 2, "self_"),
     "self_best": best_cosine("self_", 0.25),

@@ -39,7 +39,9 @@ class Warehouse:
 
     @cached_property
     def sales(self) -> DataFrame:
-        return materialize(cleaning.clean_sales(self.raw_sales), "sales")
+        """Clean lines, stored by time: reports over a period read only its files."""
+        lines = cleaning.clean_sales(self.raw_sales)
+        return materialize(lines, "sales", cluster_by=["invoice_ts", "invoice_no", "product_id"])
 
     @cached_property
     def products(self) -> DataFrame:
@@ -66,7 +68,7 @@ class Warehouse:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return self.raw_reviews.select(F.col("review_key").alias("id"), F.col("review_text").alias("text"))
+        return tables.review_texts(self.spark, self.folder)
 
     @cached_property
     def product_kpi(self) -> DataFrame:

@@ -12,6 +12,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Texts and vectors are wide: keep the batches handed to Python small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 

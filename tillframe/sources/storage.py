@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -30,18 +32,45 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared folder and return a reader over the files."""
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame, name: str, cluster_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` under the shared folder and return a reader over the files.
+
+    With ``cluster_by`` each file holds a narrow range of these columns, so that
+    filters on them skip most files. End the list with columns that break ties:
+    a value held by many rows is then spread over several files.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if cluster_by:
+        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on input that comes in fewer pieces than there are cores.
+def broadcast_small(df: DataFrame, rows: int, name: str = "small") -> DataFrame:
+    """Store ``df``, count it, and mark it for broadcast only up to ``rows`` rows."""
+    stored = materialize(df, name)
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+SPREAD_BYTES = 512 << 20
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a small table kept in a few pieces; large tables are left as they are.
 
-    A large table has more pieces than cores and is left as it is.
+    To be used on a plain scan, whose size Spark takes from its files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if size <= SPREAD_BYTES else scan

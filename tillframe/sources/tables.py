@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillframe.sources.storage import spread
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -44,12 +46,17 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def review_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole review texts: (id, text)."""
+    documents = read_table(spark, folder, "documents")
+    return spread(documents.select(F.col("doc_id").alias("id"), "text"))
+
+
 def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as review texts, with the quality label as the sentiment flag."""
-    documents = read_table(spark, folder, "documents").select("doc_id", "text")
-    labels = read_table(spark, folder, "labels").select("doc_id", "quality")
-    return documents.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("review_key"),
+    labels = read_table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "quality")
+    return review_texts(spark, folder).join(labels, "id", "left").select(
+        F.col("id").alias("review_key"),
         F.col("text").alias("review_text"),
         F.col("quality").alias("sentiment_flag"),
     )
