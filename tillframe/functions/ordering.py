@@ -98,7 +98,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: dict[s
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         return (low + (high - low) * F.col(f"_frac_{name}")).alias(name)
 
-    return picked.select("column", *[between(name) for name in probabilities])
+    # A few numbers per column, wanted next to every row: stored, so that the sort runs once.
+    return materialize(picked.select("column", *[between(name) for name in probabilities]), "quantiles")
 
 
 def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:

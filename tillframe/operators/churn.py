@@ -32,6 +32,7 @@ def customer_rfm_base(customers: DataFrame, sales: DataFrame, min_orders: int =
         F.max("last").alias("last_order"),
     )
     known = per_customer.where(F.col("frequency") >= min_orders).join(customers.select("customer_id", "country"), "customer_id")
+    known = materialize(known, "rfm-known")  # read twice: for its latest order and for its rows
     latest = known.agg(F.max("last_order").alias("_ref"))
 
     def days(start: str, end: str) -> Column:

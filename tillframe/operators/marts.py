@@ -28,7 +28,7 @@ def money(column: Column | str) -> Column:
 
 def mean2(total: Column, count: Column) -> Column:
     """A decimal mean, half-up to two places; null without rows."""
-    return F.round(total.cast("decimal(28,6)") / F.when(count > 0, count).cast("decimal(10,0)"), 2)
+    return F.round(total.cast("decimal(28,6)") / F.when(count > 0, count).cast("decimal(20,0)"), 2)
 
 
 def sales_per_product(sales: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def _kpi(rows: DataFrame, per_line: Column, per_review: Column) -> DataFrame:
     """Sales totals weighted by ``per_line`` and review counts by ``per_review``."""
 
     def total(name: str) -> Column:
-        value = F.col(name).cast(_WIDE) * per_line.cast("decimal(10,0)")
+        value = F.col(name).cast(_WIDE) * per_line.cast("decimal(20,0)")
         return money(F.coalesce(value, F.lit(0).cast(_WIDE)))
 
     return rows.select(
@@ -126,9 +126,9 @@ def customer_kpi(
     weight = F.greatest(F.coalesce("reviews", F.lit(0)), F.lit(1))
     totals = lines.groupBy("customer_id").agg(
         F.count("product_id").alias("products"),
-        F.sum(F.col("revenue").cast(_WIDE) * weight.cast("decimal(10,0)")).alias("revenue"),
+        F.sum(F.col("revenue").cast(_WIDE) * weight.cast("decimal(20,0)")).alias("revenue"),
         F.sum(F.col("lines") * weight).alias("joined_lines"),
-        F.sum(F.col("rating_sum").cast(_WIDE) * F.col("lines").cast("decimal(10,0)")).alias("rating_sum"),
+        F.sum(F.col("rating_sum").cast(_WIDE) * F.col("lines").cast("decimal(20,0)")).alias("rating_sum"),
         F.sum(F.col("ratings") * F.col("lines")).alias("ratings"),
         F.sum(F.coalesce(F.col("reviews"), F.lit(0)) * F.col("lines")).alias("reviews"),
     )

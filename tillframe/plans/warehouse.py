@@ -45,8 +45,7 @@ class Warehouse:
 
     @cached_property
     def products(self) -> DataFrame:
-        """Products by rank; ``with_position`` has stored them already."""
-        return cleaning.ranked_products(self.sales)
+        return materialize(cleaning.ranked_products(self.sales), "products")
 
     @cached_property
     def product_rows(self) -> int:

@@ -18,7 +18,10 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
     The unit price is the line amount over the quantity, to the cent. Orders and
     lines are joined by shuffle; the other sides go by their measured size.
     """
-    line = read_table(spark, folder, "lineitem")
+    line = read_table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"
+    )
+    line = spread(line)
     order = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     part = read_table(spark, folder, "part").select("p_partkey", "p_name")
     customer = read_table(spark, folder, "customer").select("c_custkey", "c_nationkey")
@@ -30,7 +33,11 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
         .join(nation, customer.c_nationkey == nation.n_nationkey)
     )
     variant = F.substring(F.lit("ABCD"), (F.col("l_partkey") % 4 + 1).cast("int"), F.lit(1))
-    price = F.col("l_extendedprice").cast("decimal(12,2)") / F.col("l_quantity").cast("decimal(10,0)")
+    # Half-up on whole cents; a line without a quantity has no price.
+    price = F.expr(
+        "(2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint))"
+        " div nullif(2 * cast(l_quantity as bigint), 0)"
+    )
     return joined.select(
         (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13).alias("line_key"),
         F.concat(
@@ -39,7 +46,7 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.expr("l_partkey div 4").cast("string"), variant).alias("product_id"),
         F.upper("p_name").alias("description"),
         F.col("l_quantity").cast("int").alias("quantity"),
-        F.round(price, 2).cast("decimal(14,4)").alias("unit_price"),
+        (price.cast("decimal(16,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(14,4)").alias("unit_price"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("invoice_ts"),
         F.col("o_custkey").cast("string").alias("customer_id"),
         F.col("n_name").alias("country"),
