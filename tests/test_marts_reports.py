@@ -253,3 +253,29 @@ def test_report_and_gate(spark):
     assert not quality.quality_gate(report, force=True)
     with pytest.raises(quality.QualityError):
         quality.quality_gate(report)
+
+
+@pytest.mark.parametrize("block", [100, 1])
+def test_counts_by_keyword_set(spark, rows, block):
+    found = spark.createDataFrame(
+        [("x", ["red", "mug"]), ("x", ["mug"]), ("y", ["red"]), ("y", ["lamp"]), ("", [])], "bucket string, found array<string>"
+    )
+    sets = spark.createDataFrame([(["mug", "red"],), (["red"],), (["bird"],), (["mug", "red"],)], "keywords array<string>")
+    got = rows(reports.count_by_keyword_set(found, sets, block))
+    assert got == sorted([(["mug", "red"], "x", 2), (["mug", "red"], "y", 1), (["red"], "x", 1), (["red"], "y", 1)], key=repr)
+
+
+def test_a_hot_product_gives_the_same_customer_marts(spark, rows):
+    """A third of the lines and reviews on one product, with and without spreading."""
+    mapping = spark.createDataFrame([mapped(i, f"P{i}", f"R{i % 7}") for i in range(1, 40)], MAPPING)
+    sales = spark.createDataFrame(
+        [sold(f"I{i % 211}", "P1" if i % 3 == 0 else f"P{i % 45}", i % 9 + 1, f"{i % 50 + 1}.25", f"c{i % 23}") for i in range(1500)], SALES
+    )
+    reviews = spark.createDataFrame([review(i, "R1" if i % 3 == 0 else f"R{i % 9}", f"{i % 4 + 1}.5") for i in range(1, 90)], REVIEWS)
+    customers = sales.select("customer_id", F.col("customer_id").alias("name"), F.lit("UK").alias("country")).distinct()
+    small = marts.customer_kpi(customers, sales, mapping, reviews, 10)
+    large = marts.customer_kpi(customers, sales, mapping, reviews, 10**9)
+    assert rows(small) == rows(large) and small.count() == 23
+    a = reports.customer_satisfaction(small, sales, mapping, reviews, None, 10)
+    b = reports.customer_satisfaction(small, sales, mapping, reviews, None, 10**9)
+    assert rows(a) == rows(b)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tillframe.functions.ordering import exact_quantiles, quantile_row, with_position
 from tillframe.functions.skew import hot_keys, join_keyed
+from tillframe.sources import storage
 from tillframe.sources.storage import shared_dir, spread
 
 
@@ -97,6 +98,8 @@ def test_shared_dir_follows_the_session():
         shared_dir(Session("yarn"))
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    assert spread(spark.range(100, numPartitions=64)).rdd.getNumPartitions() == 64
-    assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() > 1
+def test_spread_leaves_large_inputs_alone(spark, monkeypatch):
+    scan = spark.range(100, numPartitions=1)
+    assert spread(scan).rdd.getNumPartitions() > 1
+    monkeypatch.setattr(storage, "SPREAD_BYTES", 10)
+    assert spread(scan).rdd.getNumPartitions() == 1
