@@ -4,9 +4,10 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillframe.operators.quality import QualityError
-from tillframe.plans.load import TABLES, create_views, empty_tables, run_load
+from tillframe.plans.load import TABLES, attach_reviews, create_views, empty_tables, run_load
 from tillframe.sources import files, manifest
 from tillframe.streaming.incremental import ingest_new_sales
 
@@ -92,6 +93,21 @@ def test_load_publishes_once(spark, sources, tmp_path, strategy):
     assert spark.read.parquet(f"{target}/sales").count() == 0
 
 
+def test_reviews_follow_their_vectors(spark):
+    from tillframe.operators.search import hashed_vectors
+
+    mapping = spark.createDataFrame(
+        [(1, "R1", "red mug"), (2, "R2", "blue lamp")], "mapping_id long, review_code string, golden_name string"
+    )
+    reviews = spark.createDataFrame([(0, "blue lamp"), (1, "red mug red"), (2, "blue lamp lamp")], "review_key long, review_text string")
+    for encoder in (hashed_vectors, None):
+        got = {r.review_key: r.review_code for r in attach_reviews(reviews, mapping, "semantic", encoder).collect()}
+        assert got == {0: "R2", 1: "R1", 2: "R2"}
+    nothing = reviews.withColumn("review_text", F.lit(""))  # no vector reaches the threshold: words decide
+    got = {r.review_code for r in attach_reviews(nothing, mapping, "semantic", hashed_vectors).collect()}
+    assert got == {"R1"}
+
+
 def test_failed_gate_keeps_the_published_tables(spark, sources, tmp_path):
     sales, reviews = sources
     target = str(tmp_path / "out")

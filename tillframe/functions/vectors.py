@@ -95,10 +95,13 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK
     """
     sc = corpus.sparkSession.sparkContext
     columns = ["id", "vec"] + ([cell] if cell else [])
-    probes = {r["id"]: set(r["cells"]) for r in queries.select("id", "cells").collect()} if cell else {}
     parts = []
     for ids, matrix in blocks(queries, "id", "vec", block_rows):
-        allowed = [probes[i] for i in ids.tolist()] if cell else None
+        allowed = None
+        if cell:  # the queries of this block only
+            block = queries.where(F.col("id").between(int(ids[0]), int(ids[-1]))).select("id", "cells").collect()
+            probes = {r["id"]: r["cells"] for r in block}
+            allowed = [probes[i] for i in ids.tolist()]
         shared = sc.broadcast((ids, matrix, allowed))
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -114,7 +117,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK
                     scores = np.round(query_matrix[start : start + step] @ units, SCORE_DIGITS)
                     if query_cells is not None:
                         cells = batch[cell].to_numpy()
-                        allowed = [np.isin(cells, list(query_cells[q])) for q in range(start, start + len(scores))]
+                        allowed = [np.isin(cells, query_cells[q]) for q in range(start, start + len(scores))]
                         scores[~np.array(allowed)] = -np.inf
                     # All rows at or above the k-th score: ties are cut by id below.
                     place = max(scores.shape[1] - k, 0)

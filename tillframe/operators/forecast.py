@@ -41,6 +41,10 @@ def monthly_series(sales: DataFrame, customers: DataFrame) -> DataFrame:
     return both.select("series", "month", F.col("r").cast("double").alias("value"))
 
 
+def _two(c: Column) -> Column:
+    return F.round(c.cast("decimal(28,6)"), 2).cast("double")
+
+
 def _next_month(month: Column, step: Column) -> Column:
     return F.add_months(month.cast("date"), step.cast("int")).cast("timestamp_ntz")
 
@@ -60,7 +64,7 @@ def linear_forecast(series: DataFrame, horizon: int = 3) -> DataFrame:
     return ahead.select(
         "series",
         _next_month(F.col("last"), F.col("step")).alias("month"),
-        F.round(value.cast("decimal(28,6)"), 2).cast("double").alias("forecast"),
+        _two(value).alias("forecast"),
     )
 
 
@@ -120,26 +124,19 @@ def holt_forecast(series: DataFrame, horizon: int = 3) -> DataFrame:
 
 def interval_columns(value: Column, rmse: Column) -> list[Column]:
     """Forecast, lower bound (not below zero) and upper bound, two decimals."""
-
-    def two(c: Column) -> Column:
-        return F.round(c.cast("decimal(28,6)"), 2).cast("double")
-
     return [
-        two(value).alias("forecast"),
-        two(F.greatest(value - Z * rmse, F.lit(0.0))).alias("lower"),
-        two(value + Z * rmse).alias("upper"),
+        _two(value).alias("forecast"),
+        _two(F.greatest(value - Z * rmse, F.lit(0.0))).alias("lower"),
+        _two(value + Z * rmse).alias("upper"),
     ]
 
 
 def forecast_interval(series: DataFrame) -> DataFrame:
     """Per series the weights, the error of the fit and the half width of the band."""
     rmse = F.sqrt(F.col("sse") / F.col("n"))
-
-    def two(c: Column) -> Column:
-        return F.round(c.cast("decimal(28,6)"), 2).cast("double")
-
+    months = F.col("n").cast("long").alias("months")
     return holt_fit(series).select(
-        "series", F.col("n").cast("long").alias("months"), "alpha", "beta", two(rmse).alias("rmse"), two(Z * rmse).alias("half_width")
+        "series", months, "alpha", "beta", _two(rmse).alias("rmse"), _two(Z * rmse).alias("half_width")
     )
 
 
@@ -232,11 +229,12 @@ def holt_winters_forecast(series: DataFrame, horizon: int = 3) -> DataFrame:
                 "series": ordered["series"].iloc[0],
                 "month": [last + pd.DateOffset(months=h) for h in range(1, horizon + 1)],
                 "model": label,
-                "forecast": value.round(2),
-                "lower": np.maximum(value - band, 0).round(2),
-                "upper": (value + band).round(2),
+                "forecast": value,
+                "lower": np.maximum(value - band, 0),
+                "upper": value + band,
             }
         )
 
     schema = "series string, month timestamp_ntz, model string, forecast double, lower double, upper double"
-    return series.groupBy("series").applyInPandas(forecast, schema)
+    found = series.groupBy("series").applyInPandas(forecast, schema)
+    return found.withColumns({c: _two(F.col(c)) for c in ("forecast", "lower", "upper")})

@@ -434,7 +434,8 @@ def attach_reviews_tfidf(
     review_rows = _term_rows(review_docs, "review_text").withColumn("members", F.lit(1).cast("long"))
     # Counting before the shuffle keeps it as small as the vocabulary.
     counts = name_rows.unionByName(review_rows).groupBy("term").agg(F.sum("members").alias("tf"))
-    vocabulary = F.broadcast(counts.orderBy(F.desc("tf"), "term").limit(max_features).select("term"))
+    top = counts.orderBy(F.desc("tf"), "term").limit(max_features).select("term")
+    vocabulary = F.broadcast(materialize(top, "vocabulary"))
     name_terms = name_rows.join(vocabulary, "term").groupBy("doc", "members", "term").agg(F.count("*").alias("tf"))
     review_terms = review_rows.join(vocabulary, "term").groupBy("doc", "members", "term").agg(F.count("*").alias("tf"))
     name_terms = materialize(name_terms, "name-terms")
@@ -444,16 +445,21 @@ def attach_reviews_tfidf(
     idf = with_scalars(df, docs).select(
         "term", (F.log((1 + F.col("r") + F.col("m")) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    # At most max_features rows: the vocabulary as numbers.
-    features = idf.orderBy("term").toPandas()
-    numbers = features.reset_index().rename(columns={"index": "f"})[["term", "f", "idf"]]
-    if not len(numbers):
-        return _first_product(reviews, mapping)
-    lookup = F.broadcast(reviews.sparkSession.createDataFrame(numbers, "term string, f long, idf double"))
-    weighted = F.collect_list(F.struct("f", (F.col("tf") * F.col("idf")).alias("w"))).alias("entries")
-    name_vecs = name_terms.join(lookup, "term").groupBy("doc").agg(weighted)
-    review_vecs = review_terms.join(lookup, "term").groupBy("doc").agg(weighted)
-    assigned = _closest_names(review_vecs, name_vecs, len(numbers), block_rows)
+    # At most max_features rows: the vocabulary, numbered.
+    in_names = name_terms.select("term").distinct().withColumn("named", F.lit(True))
+    numbered = F.row_number().over(Window.orderBy("term"))
+    lookup = F.broadcast(materialize(idf.join(in_names, "term", "left").withColumn("f", numbered), "features"))
+    weight = F.col("tf") * F.col("idf")
+
+    def vectors(terms: DataFrame) -> DataFrame:
+        """Entries for terms that occur in names, and the length of the whole vector."""
+        weighted = terms.join(lookup, "term").select("doc", "f", "named", weight.alias("w"))
+        lengths = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+        entries = weighted.where("named").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("e"))
+        columns = ["doc", "length", F.col("e.f").alias("features"), F.col("e.w").alias("weights")]
+        return entries.join(lengths, "doc").select(*columns)
+
+    assigned = _closest_names(vectors(review_terms), vectors(name_terms), block_rows)
     codes = mapping.select((F.col("mapping_id") - 1).alias("product_idx"), "review_code")
     joined = (
         reviews.select("review_key")
@@ -467,14 +473,7 @@ def attach_reviews_tfidf(
     return join_keyed(joined, codes, "product_idx", "left", keyed_rows=mapping.count())
 
 
-def _first_product(reviews: DataFrame, mapping: DataFrame) -> DataFrame:
-    first = mapping.where("mapping_id = 1").select("review_code")
-    return with_scalars(reviews, first).select(
-        F.lit(0).cast("long").alias("product_idx"), "review_key", F.lit(0.0).alias("score"), "review_code"
-    )
-
-
-def _closest_names(review_vecs: DataFrame, name_vecs: DataFrame, features: int, block_rows: int) -> DataFrame:
+def _closest_names(review_vecs: DataFrame, name_vecs: DataFrame, block_rows: int) -> DataFrame:
     """Per review the name with the highest cosine; names go to the tasks in blocks."""
     spark = review_vecs.sparkSession
     name_vecs = materialize(name_vecs, "name-vectors")
@@ -485,14 +484,13 @@ def _closest_names(review_vecs: DataFrame, name_vecs: DataFrame, features: int,
         piece = placed
         if total > block_rows:
             piece = placed.where((F.col("place") >= start) & (F.col("place") < start + block_rows))
-        local = piece.select("doc", "entries").orderBy("doc").collect()
+        local = piece.select("doc", "length", "features", "weights").orderBy("doc").collect()
         per_feature: dict[int, tuple[list[int], list[float]]] = {}
         for i, row in enumerate(local):
-            length = math.sqrt(sum(e.w * e.w for e in row.entries))
-            for e in row.entries:
-                ids, weights = per_feature.setdefault(e.f, ([], []))
+            for f, w in zip(row.features, row.weights):
+                ids, weights = per_feature.setdefault(f, ([], []))
                 ids.append(i)
-                weights.append(e.w / length)
+                weights.append(w / row.length)
         postings = {f: (np.array(i), np.array(w)) for f, (i, w) in per_feature.items()}
         shared = spark.sparkContext.broadcast((np.array([r.doc for r in local], dtype=np.int64), postings))
 
@@ -500,13 +498,13 @@ def _closest_names(review_vecs: DataFrame, name_vecs: DataFrame, features: int,
             ids, index = shared.value
             for batch in batches:
                 docs, winners, scores = [], [], []
-                for doc, entries in zip(batch["doc"], batch["entries"]):
-                    length = math.sqrt(sum(e["w"] ** 2 for e in entries))
+                columns = batch["doc"], batch["length"], batch["features"], batch["weights"]
+                for doc, length, features, values in zip(*columns):
                     cosines = np.zeros(len(ids))
-                    for e in sorted(entries, key=lambda e: e["f"]):
-                        if e["f"] in index:
-                            members, weights = index[e["f"]]
-                            cosines[members] += e["w"] / length * weights
+                    for feature, value in zip(features, values):
+                        if feature in index:
+                            members, weights = index[feature]
+                            cosines[members] += value / length * weights
                     cosines = np.round(cosines, 6)
                     top = int(cosines.argmax())
                     if cosines[top] > 0:

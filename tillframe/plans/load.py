@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillframe.functions.skew import join_keyed
 from tillframe.operators import cleaning, marts, matching, quality
 from tillframe.sources.files import load_reviews, load_sales
 from tillframe.sources.manifest import record_sources, should_run
@@ -25,11 +28,13 @@ def run_load(
     mapped_products: int = MAPPED_PRODUCTS,
     strategy: str = "semantic",
     json_lines: bool = False,
+    encoder: Callable[[DataFrame], DataFrame] | None = None,
 ) -> bool:
     """Load both sources into ``target`` unless nothing changed; True when it ran.
 
     Everything is checked before the first table is replaced, so a failed check
-    leaves the published tables as they were.
+    leaves the published tables as they were. ``encoder`` turns (id, text) into
+    (id, vec); with it the semantic strategy assigns reviews by their vectors.
     """
     sources, manifest = [sales_path, reviews_path], f"{target}/_manifest"
     needed, _ = should_run(spark, sources, manifest, force)
@@ -41,12 +46,7 @@ def run_load(
     mapping = materialize(matching.golden_records(mapped, strategy), "load-mapping")
     raw = load_reviews(spark, reviews_path, review_sample, json_lines=json_lines)
     reviews = cleaning.clean_reviews(raw).withColumn("review_text", F.col("review_excerpt")).drop("review_excerpt")
-    if strategy == "poc":
-        attached = matching.attach_reviews_rr(reviews, mapping)
-    else:
-        codes = matching.attach_reviews_tfidf(reviews, mapping).select("review_key", "review_code")
-        attached = reviews.join(codes, "review_key").withColumn("review_id", F.col("review_key") + 1)
-    attached = materialize(attached, "load-reviews")
+    attached = materialize(attach_reviews(reviews, mapping, strategy, encoder), "load-reviews")
     report = quality.dq_report(
         [quality.dq_sales(sales), quality.dq_reviews(attached), quality.dq_products(mapped)]
     )
@@ -68,6 +68,26 @@ def run_load(
     return True
 
 
+def attach_reviews(
+    reviews: DataFrame, mapping: DataFrame, strategy: str, encoder: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Reviews with a code: by vectors, by words, or in turn."""
+    if strategy == "poc":
+        return matching.attach_reviews_rr(reviews, mapping)
+    found = None
+    if strategy == "semantic" and encoder is not None:
+        texts = reviews.select(F.col("review_key").alias("id"), F.col("review_text").alias("text"))
+        names = mapping.select((F.col("mapping_id") - 1).alias("id"), F.col("golden_name").alias("text"))
+        assigned = materialize(matching.semantic_assign(encoder(texts), encoder(names)), "assigned")
+        if assigned.where("confident").limit(1).count():
+            codes = mapping.select((F.col("mapping_id") - 1).alias("product_idx"), "review_code")
+            found = join_keyed(assigned, codes, "product_idx", "inner")
+    if found is None:
+        found = matching.attach_reviews_tfidf(reviews, mapping)
+    attached = reviews.join(found.select("review_key", "review_code"), "review_key")
+    return attached.withColumn("review_id", F.col("review_key") + 1)
+
+
 def publish(frames: dict[str, DataFrame], target: str) -> None:
     """Replace the tables under ``target``."""
     for name, df in frames.items():
