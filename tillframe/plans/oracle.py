@@ -133,30 +133,35 @@ def holt_ctes() -> dict[str, str]:
     }
 
 
-def season_ctes() -> dict[str, str]:
-    """The additive trend and season form over its grid; all series here span two years or more."""
+def season_ctes(prefix: str, multiply: bool, months: str) -> dict[str, str]:
+    """A trend and season form over its grid, for series with the given number of months."""
     zero, one = "CAST(0 AS DOUBLE)", "CAST(1 AS DOUBLE)"
+    times, over = ("*", "/") if multiply else ("+", "-")
     effect, plain = "st.cycle[x.t % 12 + 1]", "(st.level + st.growth)"
-    level = f"(a.s * (x.y - {effect}) + ({one} - a.s) * {plain})"
+    level = f"(a.s * (x.y {over} {effect}) + ({one} - a.s) * {plain})"
     cycle = f"""list_transform(st.cycle, lambda e, i: CASE WHEN i = x.t % 12 + 1
-        THEN g.s * (x.y - {plain}) + ({one} - g.s) * e ELSE e END)"""
+        THEN g.s * (x.y {over} {plain}) + ({one} - g.s) * e ELSE e END)"""
+    miss = f"(x.y - ({plain} {times} {effect}))"
     return {
-        "season_steps": "SELECT CAST(unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS DOUBLE) AS s",
-        "first_year": """SELECT *, list_avg(v[1:12]) AS middle,
-            list_avg(list_transform(range(1, 13), lambda i: v[i + 12] - v[i])) / 12 AS slope FROM arr WHERE n >= 24""",
-        "season_line": """SELECT *, list_transform(range(0, 12), lambda i: middle + slope * (i - 5.5::DOUBLE)) AS line
-            FROM first_year""",
-        "season_start": """SELECT *, list_transform(range(1, 13), lambda i: v[i] - line[i]) AS base FROM season_line""",
-        "season_folded": f"""SELECT series, last, n, a.s AS alpha, b.s AS beta, g.s AS gamma, list_reduce(
+        f"{prefix}_year": f"""SELECT *, list_avg(v[1:12]) AS middle, coalesce(list_avg(list_transform(
+            range(1, CAST(least(n, 24) AS BIGINT) - 11), lambda i: v[i + 12] - v[i])) / 12, 0) AS slope
+            FROM arr WHERE {months}""",
+        f"{prefix}_line": f"""SELECT *, list_transform(range(0, 12), lambda i: middle + slope * (i - 5.5::DOUBLE)) AS line
+            FROM {prefix}_year""",
+        f"{prefix}_start": f"""SELECT *, list_transform(range(1, 13), lambda i: v[i] {over} line[i]) AS base
+            FROM {prefix}_line""",
+        f"{prefix}_folded": f"""SELECT series, last, n, a.s AS alpha, b.s AS beta, g.s AS gamma, list_reduce(
               list_transform(v, lambda y, i: {{'y': y, 't': i - 1, 'level': {zero}, 'growth': {zero}, 'sse': {zero},
                 'cycle': base}}),
               lambda st, x: {{'y': x.y, 't': x.t, 'level': {level},
                 'growth': b.s * ({level} - st.level) + ({one} - b.s) * st.growth,
-                'sse': st.sse + (x.y - ({plain} + {effect})) * (x.y - ({plain} + {effect})), 'cycle': {cycle}}},
+                'sse': st.sse + {miss} * {miss}, 'cycle': {cycle}}},
               {{'y': {zero}, 't': 0::BIGINT, 'level': line[1] - slope, 'growth': slope, 'sse': {zero}, 'cycle': base}}) AS st
-            FROM season_start, season_steps a, season_steps b, season_steps g""",
-        "seasonal": """SELECT * FROM season_folded
-            QUALIFY row_number() OVER (PARTITION BY series ORDER BY st.sse, alpha, beta, gamma) = 1""",
+            FROM {prefix}_start, season_steps a, season_steps b, season_steps g""",
+        prefix: f"""SELECT series, last, n, step,
+            (st.level + step * st.growth) {times} st.cycle[(n + step - 1) % 12 + 1] AS value, st.sse AS sse
+            FROM {prefix}_folded, ahead
+            QUALIFY row_number() OVER (PARTITION BY series, step ORDER BY st.sse, alpha, beta, gamma) = 1""",
     }
 
 
@@ -329,7 +334,10 @@ CTES: dict[str, str] = {
     "series": """SELECT series, month, CAST(r AS DOUBLE) AS value FROM by_month UNION ALL
         SELECT 'ALL', month, CAST(sum(r) AS DOUBLE) FROM by_month GROUP BY month""",
     **holt_ctes(),
-    **season_ctes(),
+    "season_steps": "SELECT CAST(unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS DOUBLE) AS s",
+    "ahead": "SELECT unnest([1, 2, 3]) AS step",
+    **season_ctes("added", False, "n >= 24"),
+    **season_ctes("multiplied", True, "n >= 12 AND n < 24"),
     "messages": "SELECT conv_id AS session_id, turn AS seq, role, text AS content FROM conversations",
     "replies": """SELECT session_id, seq, content AS question, CASE seq % 5
         WHEN 0 THEN '```json' || chr(10) || '{"sql": "SELECT role FROM conversations WHERE seq = ' || seq
@@ -769,12 +777,12 @@ MAIN: dict[str, str] = {
         {dec2(f'level + step * trend + 1.96::DOUBLE * {RMSE}')} AS upper {AHEAD}""",
     "forecast_interval": f"""SELECT series, n AS months, alpha, beta, {dec2(RMSE)} AS rmse,
         {dec2(f'1.96::DOUBLE * {RMSE}')} AS half_width FROM holt""",
-    "holt_winters_forecast": f"""SELECT series, last + to_months(CAST(step AS INTEGER)) AS month,
-        'trend + additive season' AS model, {dec2('value')} AS forecast,
-        {dec2('greatest(value - band, 0)')} AS lower, {dec2('value + band')} AS upper
-        FROM (SELECT *, st.level + step * st.growth + st.cycle[(n + step - 1) % 12 + 1] AS value,
-                1.96::DOUBLE * sqrt(st.sse / n) AS band
-              FROM seasonal, (SELECT unnest([1, 2, 3]) AS step))""",
+    "holt_winters_forecast": f"""SELECT series, last + to_months(CAST(step AS INTEGER)) AS month, model,
+        {dec2('value')} AS forecast, {dec2('greatest(value - 1.96::DOUBLE * sqrt(sse / n), 0)')} AS lower,
+        {dec2('value + 1.96::DOUBLE * sqrt(sse / n)')} AS upper FROM (
+          SELECT series, last, n, step, value, sse, 'trend + additive season' AS model FROM added UNION ALL
+          SELECT series, last, n, step, value, sse, 'trend * multiplicative season' FROM multiplied UNION ALL
+          SELECT series, last, n, step, level + step * trend, sse, 'trend' FROM holt, ahead WHERE n < 12)""",
     "vector_search": "SELECT * FROM found",
     "review_snippets": """SELECT query_id, rank, printf('%d. [%s] Note:%s (%s) — similarité %s' || chr(10) || '   %s...',
         rank, product_name, CAST(CAST(rating AS DECIMAL(3,1)) AS VARCHAR), f.sentiment,
