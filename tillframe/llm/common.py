@@ -45,8 +45,10 @@ def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _links(frame: pd.DataFrame, ids: np.ndarray, verify: Callable) -> pd.DataFrame:
+def _links(frame: pd.DataFrame, member: str, verify: Callable, weight: str | None) -> pd.DataFrame:
     """Links inside the groups of ``frame`` (sorted by group), as one row per linked member."""
+    ids = frame[member].to_numpy(np.int64)
+    heavy = frame[weight].to_numpy(np.int64) if weight else np.ones(len(frame), np.int64)
     group = frame["_group"].to_numpy()
     side, own = frame["_side"].to_numpy(), frame["_own"].to_numpy()
     check = verify(frame)
@@ -59,24 +61,27 @@ def _links(frame: pd.DataFrame, ids: np.ndarray, verify: Callable) -> pd.DataFra
         at = np.flatnonzero(same & (~side[:-shift] | (own[shift:] != own[:-shift])))
         if len(at):
             at = at[check(at, at + shift)]
-            left.append(ids[at])
-            right.append(ids[at + shift])
-    u = np.concatenate(left) if left else np.zeros(0, np.int64)
-    v = np.concatenate(right) if right else np.zeros(0, np.int64)
-    nodes, root = least_labels(u, v)
+            left.append(at)
+            right.append(at + shift)
+    i = np.concatenate(left) if left else np.zeros(0, np.int64)
+    j = np.concatenate(right) if right else np.zeros(0, np.int64)
+    nodes, root = least_labels(ids[i], ids[j])
     count = np.zeros(len(nodes), np.int64)
-    np.add.at(count, np.searchsorted(nodes, u), 1)
-    np.add.at(count, np.searchsorted(nodes, v), 1)
+    np.add.at(count, np.searchsorted(nodes, ids[i]), heavy[j])
+    np.add.at(count, np.searchsorted(nodes, ids[j]), heavy[i])
     return pd.DataFrame({"u": nodes, "root": root, "n": count})
 
 
-def bucket_links(index: DataFrame, member: str, verify: Callable, name: str, block: int = BLOCK) -> DataFrame:
+def bucket_links(
+    index: DataFrame, member: str, verify: Callable, name: str, weight: str | None = None, block: int = BLOCK
+) -> DataFrame:
     """Compare the members of each bucket and return (u, root, n).
 
     ``index`` has a long ``key``, a long ``member`` and whatever ``verify`` needs;
     a member is in a bucket once. ``verify(frame)`` returns a function of two
     row-number arrays that says which pairs are linked. Per call of a task, each
-    linked member comes back with its number of links and the smallest member
+    linked member comes back with its number of links (or the sum of the
+    column ``weight`` over the members linked to it) and the smallest member
     that it reaches, so a dense bucket costs as many rows as it has members, not
     pairs. Buckets beyond ``block`` members are cut into blocks by a hash of the
     member, and each pair of blocks is compared by one task: nothing is dropped.
@@ -105,17 +110,17 @@ def bucket_links(index: DataFrame, member: str, verify: Callable, name: str, blo
             last = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
             if last:
                 done = pd.concat([*rest, frame.iloc[:last]], ignore_index=True) if rest else frame.iloc[:last]
-                yield _links(done, done[member].to_numpy(np.int64), verify)
+                yield _links(done, member, verify, weight)
                 rest = [frame.iloc[last:]]
             elif rest and rest[0]["_group"].iloc[0] != group[0]:
                 done = pd.concat(rest, ignore_index=True)
-                yield _links(done, done[member].to_numpy(np.int64), verify)
+                yield _links(done, member, verify, weight)
                 rest = [frame]
             else:
                 rest.append(frame)
         if rest:
             done = pd.concat(rest, ignore_index=True)
-            yield _links(done, done[member].to_numpy(np.int64), verify)
+            yield _links(done, member, verify, weight)
 
     return rows.mapInPandas(run, "u long, root long, n long")
 
