@@ -213,7 +213,7 @@ def escape_role(role: Column) -> Column:
 
 def unescape_role(role: Column) -> Column:
     line = F.replace(role, F.lit("\\<\\|"), F.lit("<|"))
-    parts = F.transform(F.split(line, r"\\\\\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    parts = F.transform(F.split(line, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
     return F.array_join(parts, "\\")
 
 

@@ -130,11 +130,11 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
     """
     prepare(docs.sparkSession)
     digest = F.xxhash64("doc_id", "source", "text")
-    rows = materialize(sized(docs.withColumn("_digest", digest), ["_digest"]), "mix-sizes")
-    plan = mix(rows, weights).select("_digest", (F.col("epochs") + F.col("extra")).alias("_times"))
-    nth = Window.partitionBy("_digest").orderBy("_digest")
-    plan = materialize(plan.where("_times > 0"), "mix-plan").withColumn("_nth", F.row_number().over(nth))
-    numbered = docs.withColumn("_digest", digest).withColumn("_nth", F.row_number().over(nth))
-    joined = numbered.join(plan, ["_digest", "_nth"])
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    rows = materialize(sized(docs.withColumn("__llm_digest", digest), ["__llm_digest"]), "mix-sizes")
+    plan = mix(rows, weights).select("__llm_digest", (F.col("epochs") + F.col("extra")).alias("__llm_times"))
+    nth = Window.partitionBy("__llm_digest").orderBy("__llm_digest")
+    plan = materialize(plan.where("__llm_times > 0"), "mix-plan").withColumn("__llm_nth", F.row_number().over(nth))
+    numbered = docs.withColumn("__llm_digest", digest).withColumn("__llm_nth", F.row_number().over(nth))
+    joined = numbered.join(plan, ["__llm_digest", "__llm_nth"])
+    repeated = joined.withColumn("__llm_copy", F.explode(F.sequence(F.lit(1), F.col("__llm_times").cast("int"))))
     return repeated.select(*[repeated[c] for c in docs.columns])

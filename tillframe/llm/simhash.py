@@ -122,14 +122,14 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """
     groups = near_duplicates(docs, words, max_bits)
     stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = materialize(stays.select(F.col("doc_id").alias("_keep")).distinct(), "simhash-kept")
-    once = Window.partitionBy("_keep", "_text").orderBy("_text")
+    stays = materialize(stays.select(F.col("doc_id").alias("__llm_keep")).distinct(), "simhash-kept")
+    once = Window.partitionBy("__llm_keep", "__llm_text").orderBy("__llm_text")
     # doc_id null-safe: the text hash separates texts without an id, and is the same for a repeated row.
     hash_ = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
     return (
-        docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_keep")))
-        .withColumn("_text", hash_)
-        .withColumn("_nth", F.row_number().over(once))
-        .where("_nth = 1")
-        .drop("_keep", "_text", "_nth")
+        docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__llm_keep")))
+        .withColumn("__llm_text", hash_)
+        .withColumn("__llm_nth", F.row_number().over(once))
+        .where("__llm_nth = 1")
+        .drop("__llm_keep", "__llm_text", "__llm_nth")
     )
