@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillframe.sources.storage import materialize
@@ -73,7 +73,13 @@ def _links(frame: pd.DataFrame, member: str, verify: Callable, weight: str | Non
 
 
 def bucket_links(
-    index: DataFrame, member: str, verify: Callable, name: str, weight: str | None = None, block: int = BLOCK
+    index: DataFrame,
+    member: str,
+    verify: Callable,
+    name: str,
+    weight: str | None = None,
+    hot: DataFrame | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Compare the members of each bucket and return (u, root, n).
 
@@ -83,23 +89,25 @@ def bucket_links(
     linked member comes back with its number of links (or the sum of the
     column ``weight`` over the members linked to it) and the smallest member
     that it reaches, so a dense bucket costs as many rows as it has members, not
-    pairs. Buckets beyond ``block`` members are cut into blocks by a hash of the
+    pairs.
+
+    ``hot`` (key, count) must list every bucket of more than ``block`` members; by
+    default the buckets are counted. These are cut into blocks by a hash of the
     member, and each pair of blocks is compared by one task: nothing is dropped.
+    The index is shuffled once; buckets of one member end there.
     """
-    spark = index.sparkSession
-    counts = materialize(index.groupBy("key").count().where("count > 1"), f"{name}-buckets")
-    rows = index.join(counts, "key")
-    blocks = F.ceil(F.col("count") / F.lit(block)).cast("int")
+    if hot is None:
+        hot = materialize(index.groupBy("key").count().where(F.col("count") > block), f"{name}-buckets")
+    blocks = F.coalesce(F.ceil(F.col("count") / F.lit(block)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64(F.col(member), F.lit(7)), blocks).cast("int")
-    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = (
-        rows.withColumn("_a", F.least("_own", "_other"))
-        .withColumn("_b", F.greatest("_own", "_other"))
-        .withColumn("_side", F.col("_a") != F.col("_b"))
-        .withColumn("_group", F.xxhash64("key", "_a", "_b"))
-        .drop("count", "_other", "_a", "_b", "key")
-    )
-    rows = rows.repartition("_group").sortWithinPartitions("_group")
+    rows = index.join(hot, "key", "left").withColumn("_own", own)
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    group = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    # ``_side``: a pair of two different blocks. Then own and other are the two blocks, and neither is both.
+    rows = rows.withColumn("_group", group).withColumn("_side", F.col("_own") != F.col("_other"))
+    rows = rows.drop("count", "_other", "key")
+    # Counting over the group puts its rows next to each other, at most two blocks of them.
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("_group"))).where("_n > 1").drop("_n")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []

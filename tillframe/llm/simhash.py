@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillframe.llm.common import bucket_links, connected, prepare
+from tillframe.llm.common import BLOCK, bucket_links, connected, prepare
 from tillframe.sources.storage import materialize
 
 BITS = 64
@@ -48,14 +48,18 @@ def text_fingerprint(text: bytes | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs`` (doc_id, text)."""
+    """(doc_id, fp, digest) for each row of ``docs`` (doc_id, text); ``digest`` tells texts without an id apart."""
 
     @F.pandas_udf("long")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([text_fingerprint(t, words) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", fingerprint(F.col("text").cast("binary")).alias("fp"))
+    return docs.select("doc_id", fingerprint(F.col("text").cast("binary")).alias("fp"), digest().alias("digest"))
+
+
+def digest():
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -69,18 +73,40 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _variant(value, bit: int, whole: int):
+    """Key of the segment ``whole`` (a mask) of ``value`` with ``bit`` wiped."""
+    return F.xxhash64(F.lit(bit), value.bitwiseAND(F.lit(_signed(whole & ~(1 << bit)))))
+
+
+def _masks(max_bits: int) -> list[tuple[int, int, int]]:
+    """(mask, first bit, bit after the last) of the segments."""
+    return [(((1 << width) - 1) << first, first, first + width) for first, width in segments(max_bits)]
+
+
 def variants(max_bits: int):
     """The keys of a fingerprint: every segment with every single bit wiped."""
-    keys = []
-    for first, width in segments(max_bits):
-        whole = ((1 << width) - 1) << first
-        for bit in range(first, first + width):
-            kept = F.col("fp").bitwiseAND(F.lit(_signed(whole & ~(1 << bit))))
-            keys.append(F.xxhash64(F.lit(bit), kept))
-    return F.array(*keys)
+    return F.array(*[_variant(F.col("fp"), bit, m) for m, a, b in _masks(max_bits) for bit in range(a, b)])
+
 
+def hot_buckets(classes: DataFrame, max_bits: int, block: int) -> DataFrame:
+    """(key, count): all buckets that may hold more than ``block`` members, with an upper bound of their members.
 
-def components(classes: DataFrame, max_bits: int = 3) -> DataFrame:
+    A bucket holds two values of a segment, with and without its bit. It can be
+    that large only if one of the two has more than half of that many members;
+    counting segments takes a row per segment, not one per variant.
+    """
+    cut = [F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value"))
+           for k, (m, _, _) in enumerate(_masks(max_bits))]
+    values = classes.select(F.explode(F.array(*cut)).alias("s")).groupBy("s.part", "s.value").count()
+    large = materialize(values.where(F.col("count") > block // 2), "simhash-hot")
+    keys = F.lit(None).cast("array<long>")
+    for k, (m, a, b) in enumerate(_masks(max_bits)):
+        keys = F.when(F.col("part") == k, F.array(*[_variant(F.col("value"), bit, m) for bit in range(a, b)])).otherwise(keys)
+    each = large.select(F.explode(keys).alias("key"), F.col("count") + block // 2)
+    return materialize(each.toDF("key", "count").groupBy("key").agg(F.sum("count").alias("count")), "simhash-buckets")
+
+
+def components(classes: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
     """(fp, root) for each distinct fingerprint of ``classes`` (fp) that is linked to another."""
     index = classes.select("fp", F.explode(variants(max_bits)).alias("key"))
 
@@ -88,7 +114,7 @@ def components(classes: DataFrame, max_bits: int = 3) -> DataFrame:
         fp = frame["fp"].to_numpy(np.int64)
         return lambda i, j: np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= max_bits
 
-    found = bucket_links(index, "fp", verify, "simhash")
+    found = bucket_links(index, "fp", verify, "simhash", hot=hot_buckets(classes, max_bits, block), block=block)
     roots = connected(found.select("u", F.col("root").alias("v")), "simhash")
     return roots.select(F.col("node").alias("fp"), "root")
 
@@ -103,6 +129,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataF
     repeat a doc_id stay separate rows. An empty table gives no rows. Copies are
     one fingerprint in the index, so a hot text costs one entry.
     """
+    return grouped(docs, words, max_bits).select("doc_id", "fp", "component_id")
+
+
+def grouped(docs: DataFrame, words: int, max_bits: int) -> DataFrame:
+    """``near_duplicates`` with the digest of ``fingerprints``."""
     prepare(docs.sparkSession)
     found = materialize(fingerprints(docs.select("doc_id", "text"), words), "fingerprints")
     classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
@@ -110,7 +141,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataF
     joined = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialize(joined.join(smallest, "root").select("fp", "component_id"), "fingerprint-groups")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    return found.join(named, "fp").select("doc_id", "fp", "digest", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
@@ -120,16 +151,11 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     Rows without doc_id stay only if no document of their group has one, and
     then once per text.
     """
-    groups = near_duplicates(docs, words, max_bits)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = materialize(stays.select(F.col("doc_id").alias("__llm_keep")).distinct(), "simhash-kept")
+    groups = grouped(docs, words, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = groups.select(F.col("doc_id").alias("__llm_keep"), F.col("digest").alias("__llm_text")).distinct()
+    stays = materialize(stays, "simhash-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__llm_keep")) & (digest() == F.col("__llm_text"))
     once = Window.partitionBy("__llm_keep", "__llm_text").orderBy("__llm_text")
-    # doc_id null-safe: the text hash separates texts without an id, and is the same for a repeated row.
-    hash_ = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
-    return (
-        docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__llm_keep")))
-        .withColumn("__llm_text", hash_)
-        .withColumn("__llm_nth", F.row_number().over(once))
-        .where("__llm_nth = 1")
-        .drop("__llm_keep", "__llm_text", "__llm_nth")
-    )
+    # One shuffle of the texts at every size, for the join and the window alike.
+    joined = docs.join(stays.hint("merge"), same).withColumn("__llm_nth", F.row_number().over(once))
+    return joined.where("__llm_nth = 1").drop("__llm_keep", "__llm_text", "__llm_nth")
