@@ -19,6 +19,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Texts are wide: hand them to Python in small batches; split skewed join partitions."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # Rows that lie together by some of the keys of a join are not shuffled again for all of them.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
 
 
