@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from tillframe.llm.common import prepare
 
 LETTERS = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5)
 BUCKETS = 1 << 20
-TRAIN_ROWS = 4000  # bound of the labelled sample, half of it toxic where there are as many
-MIN_TEXTS = 4  # a feature in fewer sample texts is not learnt
+TRAIN_ROWS = 3000  # bound of the labelled sample, half of it toxic where there are as many
+MIN_TEXTS = 5  # a feature in fewer sample texts is not learnt
 STEPS, PENALTY, FOLDS = 60, 0.006, 3
 CACHE = 400_000
 
@@ -61,11 +61,15 @@ class Sample:
 
     @classmethod
     def of(cls, lists: Sequence[Sequence[int]]) -> Sample:
-        rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
-        kept = np.flatnonzero(np.bincount(flat, minlength=1) >= MIN_TEXTS)
-        known = np.isin(flat, kept)
-        return cls(rows[known], np.searchsorted(kept, flat[known]), kept, len(lists))
+        counts = np.zeros(BUCKETS, np.int32)
+        for x in lists:  # the features of a text are distinct
+            counts[np.asarray(x, np.int32)] += 1
+        kept = np.flatnonzero(counts >= MIN_TEXTS)
+        place = np.full(BUCKETS, -1, np.int32)
+        place[kept] = np.arange(len(kept))
+        cols = [c[c >= 0] for c in (place[np.asarray(x, np.int32)] for x in lists)]
+        rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(c) for c in cols])
+        return cls(rows, np.concatenate(cols) if cols else np.zeros(0, np.int32), kept, len(lists))
 
     def part(self, rows: np.ndarray) -> Sample:
         place = np.full(self.n_rows, -1)
