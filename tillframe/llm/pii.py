@@ -93,7 +93,7 @@ LONGEST = 64
 HIDDEN = 16
 DECODED = 512  # windows decoded at a time
 TRAIN_DOCS, TRAIN_WINDOWS = 800, 1800  # bounds of the sample
-EPOCHS, BATCH, RATE = 10, 48, 0.02
+EPOCHS, BATCH, RATE = 12, 32, 0.03
 MARGIN = 0.5  # a span is added if its labels beat "O" by this much per character
 
 
