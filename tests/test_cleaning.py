@@ -157,3 +157,12 @@ def test_reviews_keep_whole_text_and_label(spark):
     assert all(Decimal("3.5") <= got[i].rating <= Decimal("5.0") for i in (0, 2, 3))
     assert Decimal("1.0") <= got[1].rating <= Decimal("2.5")
     assert all(datetime(2024, 1, 1) <= r.review_ts < datetime(2025, 7, 3) for r in got.values())
+
+
+def test_lines_as_the_source_writes_them(spark):
+    rows = [line(None), line("INV9", who="\t"), line("INV8", who=" c1 "), line("INV7", ts="12/1/2010 8:26"), line("INV6", ts="not a date"), line("C1")]
+    got = cleaning.clean_sales(spark.createDataFrame(rows, RAW)).collect()
+    assert sorted((r.invoice_no or "") for r in got) == ["", "INV7", "INV8"]
+    assert next(r.invoice_ts for r in got if r.invoice_no == "INV7") == datetime(2010, 12, 1, 8, 26)
+    codes = spark.createDataFrame([("\t85123a\u00a0",)], "c string").select(cleaning.normalize_code(F.col("c")).alias("c"))
+    assert codes.first().c == "85123"

@@ -255,14 +255,17 @@ def test_report_and_gate(spark):
         quality.quality_gate(report)
 
 
-@pytest.mark.parametrize("block", [100, 1])
-def test_counts_by_keyword_set(spark, rows, block):
-    found = spark.createDataFrame(
-        [("x", ["red", "mug"]), ("x", ["mug"]), ("y", ["red"]), ("y", ["lamp"]), ("", [])], "bucket string, found array<string>"
-    )
-    sets = spark.createDataFrame([(["mug", "red"],), (["red"],), (["bird"],), (["mug", "red"],)], "keywords array<string>")
-    got = rows(reports.count_by_keyword_set(found, sets, block))
-    assert got == sorted([(["mug", "red"], "x", 2), (["mug", "red"], "y", 1), (["red"], "x", 1), (["red"], "y", 1)], key=repr)
+def test_reviews_per_name(spark, rows):
+    texts = spark.createDataFrame([(1, "a red mug"), (2, "MUGS"), (3, "reds and blues"), (4, None)], "id long, text string")
+    names = spark.createDataFrame([("REDS MUGS",), ("MUGS",), ("BIRD CAGE",), ("MUGS",), (None,)], "product_name string")
+    got = rows(reports.review_keyword_search(texts, names))
+    assert got == [("MUGS", 1), ("REDS MUGS", 2)]
+
+
+def test_too_many_products_to_compare(spark):
+    kpi = spark.createDataFrame([(f"P{i}", "N", "C", 1.0, 1.0, 1, 1.0, 1, 1, 0) for i in range(5)], "product_id string, product_name string, category string, revenue double, margin double, quantity int, avg_rating double, reviews int, positive int, negative int")
+    with pytest.raises(ValueError, match="more than 4"):
+        reports.comparison_transposed(reports.product_comparison(kpi, [f"P{i}" for i in range(5)]))
 
 
 def test_a_hot_product_gives_the_same_customer_marts(spark, rows):

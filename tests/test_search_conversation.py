@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tillframe.functions.rules import route_analysis, route_question
 from tillframe.functions.text import char_ngrams, match_keywords, name_keywords, sorted_tokens, word_terms
-from tillframe.functions.vectors import top_k
+from tillframe.functions.vectors import nearest, top_k
 from tillframe.operators import conversation, reports, search
 
 
@@ -29,15 +31,20 @@ def test_names(spark):
     assert one(spark, "THE BIG JOE'S LAMP and SHADE", name_keywords) == ["joes", "lamp", "shade"]
 
 
-@pytest.mark.parametrize("limit", [1000, 2, 0])
-def test_keyword_search_both_ways(spark, rows, limit):
-    texts = [(1, "Big LAMPS here"), (2, "a lamp"), (3, None), (4, "é bird"), (5, "x"), (6, "lam p")]
-    words = ["lamp", "BIRD", "x", "é", "amps", "lamp", "", None]
-    got = rows(match_keywords(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(w,) for w in words], "keyword string"), limit))
+def test_keyword_search_both_ways(spark, rows):
+    texts = [(1, "Big LAMPS here"), (2, "a lamp"), (3, None), (4, "é bird"), (5, "x"), (6, "lam p"), (7, "w" * 3000 + "lamp" + "v" * 3000), (8, "big  lamp"), (9, "Big lamp x")]
+    words = ["lamp", "BIRD", "x", "é", "amps", "lamp", "", None, "g lamp", " ", "  ", "big lamp"]
+    got = rows(match_keywords(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(w,) for w in words], "keyword string")))
     want = sorted({(i, w.lower()) for i, t in texts for w in words if w and t and w.lower() in t.lower()})
     assert got == sorted(want, key=repr)
 
 
+def test_keyword_search_runs_on_the_engine(spark):
+    texts = spark.createDataFrame([(1, "a lamp")], "id long, text string")
+    plan = match_keywords(texts, spark.createDataFrame([("lamp",)], "keyword string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_name_lookup(spark, rows):
     names = spark.createDataFrame([("RED LAMP",), ("RED LAMP",), ("LAMPSHADE",), ("MUG",)], "product_name string")
     terms = spark.createDataFrame([("lamp",), ("MUG",), ("%",)], "keyword string")
@@ -51,7 +58,7 @@ def vectors(spark, count=200, dims=8, seed=0):
     return data, spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vec array<float>")
 
 
-@pytest.mark.parametrize("block", [50_000, 2])
+@pytest.mark.parametrize("block", [50_000, 30])
 def test_top_k_equals_all_pairs(spark, block):
     data, corpus = vectors(spark)
     queries = corpus.where("id < 5 AND id <> 3")
@@ -68,12 +75,34 @@ def test_ann_finds_most_and_with_all_cells_everything(spark, rows):
     _, corpus = vectors(spark)
     queries = corpus.where("id IN (10, 20, 30)")
     exact = top_k(corpus, queries, 5)
-    everything = search.ann_search(corpus, queries, 5, cells=6, probes=6)
+    index, centres = search.build_index(corpus, cells=6)
+    assert index.count() == corpus.count() and index.select("cell").distinct().count() <= 6
+    everything = search.ann_search(index, centres, queries, 5, probes=6)
     assert rows(everything, "query_id", "id", "rank") == rows(exact, "query_id", "id", "rank")
-    some = search.search_recall(exact, search.ann_search(corpus, queries, 5, cells=6, probes=3)).collect()
+    some = search.search_recall(exact, search.ann_search(index, centres, queries, 5, probes=3)).collect()
     assert len(some) == 3 and all(0.2 <= r.recall <= 1 for r in some)
 
 
+def test_ann_reads_only_probed_cells(spark):
+    _, corpus = vectors(spark)
+    index, centres = search.build_index(corpus, cells=20)
+    found = search.ann_search(index, centres, corpus.where("id = 10"), 5, probes=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_nearest_equals_all_pairs(spark, block):
+    data, corpus = vectors(spark, 60)
+    targets = corpus.where("id < 25")
+    unit = data.astype(float) / np.maximum(np.linalg.norm(data.astype(float), axis=1, keepdims=True), 1e-30)
+    scores = np.round(unit @ unit[:25].T, 6)
+    got = {r.id: (r.target_id, r.score) for r in nearest(corpus, targets, block).collect()}
+    assert got == {i: (int(scores[i].argmax()), scores[i].max()) for i in range(60)}
+    none = nearest(corpus, targets.where("id < 0")).collect()
+    assert len(none) == 60 and all(r.target_id is None for r in none)
+
+
 def test_vector_search_repeats_a_review_per_product(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (9, [1.0, 0.0])], "id long, vec array<double>")
     reviews = spark.createDataFrame(
@@ -104,22 +133,38 @@ def test_embedding_upsert_encodes_only_missing_reviews(spark):
     assert np.linalg.norm(got[2].vec) == pytest.approx(1.0, abs=1e-6) and not any(got[3].vec)
 
 
-MESSAGES = "session_id long, seq long, role string, content string"
+MESSAGES = "session_id long, seq long, role string, content string, sent_at timestamp_ntz"
+
 
+def at(minute):
+    return datetime(2024, 1, 1, 12, minute)
 
-def test_history_and_sessions(spark, tmp_path):
-    df = spark.createDataFrame([(1, i, "user", f"m{i}") for i in range(5)] + [(2, 9, "user", "x")], MESSAGES)
+
+def test_sessions(spark):
+    df = spark.createDataFrame([(1, i, "user", f"m{i}", at(i)) for i in range(5)] + [(2, 0, "user", "x", at(30))], MESSAGES)
     got = [(r.session_id, r.content) for r in conversation.recent_messages(df, 2).collect()]
     assert got == [(1, "m3"), (1, "m4"), (2, "x")]
+    # The session that spoke last comes first, however short it is.
     assert [r.session_id for r in conversation.session_summary(df).collect()] == [2, 1]
     assert conversation.session_summary(df, 1).count() == 1
+
+
+def test_stored_history(spark, tmp_path):
     path = str(tmp_path / "history")
-    for who, text in (("s1", "hello"), ("s1", "again"), ("s2", "other")):
-        conversation.append_message(spark, path, who, "user", text)
-    stored = conversation.recent_messages(conversation.read_history(spark, path), 10).collect()
-    assert [(r.session_id, r.content) for r in stored] == [("s1", "hello"), ("s1", "again"), ("s2", "other")]
-    conversation.delete_session(spark, path, "s1")
-    assert [r.content for r in conversation.read_history(spark, path).collect()] == ["other"]
+    names = ["s1", "a/b", "user:1", "x=1", "50%", "..", "../up", "é ü", ""]
+    for text in ("hello", "again"):
+        batch = spark.createDataFrame([(n, "user", f"{text} {n}") for n in names], "session_id string, role string, content string")
+        conversation.append_messages(batch, path)
+    assert len(list((tmp_path / "history").iterdir())) <= conversation.BUCKETS + 2
+    assert [p.name for p in tmp_path.iterdir()] == ["history"]
+    left = list(names)
+    for n in names:
+        conversation.delete_session(spark, path, n)
+        left.remove(n)
+        stored = conversation.recent_messages(conversation.read_history(spark, path), 10).collect()
+        assert sorted((r.session_id, r.content) for r in stored) == sorted((m, f"{t} {m}") for m in left for t in ("hello", "again"))
+    conversation.append_messages(spark.createDataFrame([("s1", "user", "back")], "session_id string, role string, content string"), path)
+    assert [r.content for r in conversation.read_history(spark, path).collect()] == ["back"]
 
 
 @pytest.mark.parametrize(
@@ -152,8 +197,10 @@ def test_analysis_routing(spark):
         ('```json\n{"sql": "SELECT a\nFROM t LIMIT 5", "reasoning": "r"}\n```', "SELECT a\nFROM t LIMIT 5", "written"),
         ('{"sql": "SELECT \\"A\\" FROM t", "answer_template": "x"}', 'SELECT "A" FROM t', "written"),
         ('{"reasoning": "r", "sql": "SELECT 1 FROM t"}', "SELECT 1 FROM t", "written"),
-        ("Voici : select x from t limit 3; merci", "select x from t limit 3;", "written"),
-        ("{broken json SELECT x FROM t;", "SELECT x FROM t;", "written"),
+        ('{"sql": "SELECT 1\\nFROM t", "other": "x"', "SELECT 1\nFROM t", "written"),
+        ("Voici : select x from t limit 3; merci", "select x from t limit 3", "written"),
+        ("{broken json SELECT x FROM t;", "SELECT x FROM t", "written"),
+        ("SELECT x FROM t and no end", None, "rules"),
         ('{"sql": "SELECT ...", "reasoning": "r"}', None, "rules"),
         ('{"sql": "SELECT 1", "reasoning": "r"}', None, "rules"),
         ("rien", None, "rules"),
@@ -182,8 +229,24 @@ def test_unsafe_queries(spark, query, unsafe):
 
 def test_read_only_query(spark):
     spark.range(500).createOrReplaceTempView("numbers")
-    assert conversation.read_only_query(spark, "SELECT id FROM numbers").count() == 200
-    assert conversation.read_only_query(spark, " with t as (select 1 as x) select x from t").count() == 1
+    assert conversation.read_only_query(spark, "SELECT id FROM numbers").count() == 500
+    with pytest.warns(UserWarning, match="only 200 rows"):
+        assert conversation.read_only_query(spark, "SELECT id FROM numbers", 200).count() == 200
+    assert conversation.read_only_query(spark, " with t as (select 1 as x) select x from t", 200).count() == 1
     for query in ("DROP VIEW numbers", "SHOW TABLES", "SELECT 1; DELETE FROM numbers"):
         with pytest.raises(PermissionError):
             conversation.read_only_query(spark, query)
+
+
+def test_answers(spark):
+    spark.range(7).createOrReplaceTempView("numbers")
+    templates = {name: lambda name=name: spark.createDataFrame([(name,)], "t string") for name in ("best_sellers", "customer_satisfaction")}
+    analyses = {"clustering": lambda df: df.limit(1)}
+    ask = lambda q, r: conversation.answer_question(spark, q, r, templates, analyses)
+    source, result, extra = ask("bonjour", '{"sql": "SELECT id FROM numbers"}')
+    assert (source, result.count(), extra) == ("written", 7, None)
+    for reply in ('{"sql": "DROP TABLE x FROM y"}', '{"sql": "SELECT z FROM nowhere"}', "rien", None):
+        source, result, _ = ask("bonjour", reply)
+        assert (source, result.first().t) == ("rules", "best_sellers")
+    source, result, extra = ask("cluster svp", '{"sql": "SELECT id FROM numbers"}')
+    assert (source, result.first().t) == ("forced", "customer_satisfaction")

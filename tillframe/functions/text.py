@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEYWORD_LIST_ROWS = 20_000
+from tillframe.functions.ordering import with_scalars
+from tillframe.sources.storage import materialize
+
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -60,64 +59,46 @@ def name_keywords(name: Column, count: int = 3) -> Column:
     return F.slice(F.filter(parts, lambda w: F.length(w) > 3), 1, count)
 
 
-def _lowered(texts: DataFrame) -> DataFrame:
-    return texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
-
-
-def _by_word_list(texts: DataFrame, keywords: list[str]) -> DataFrame:
-    """Search each text once for all keywords; the list is known to be short."""
-    shared = texts.sparkSession.sparkContext.broadcast(keywords)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for word in shared.value:
-                automaton.add_word(word, word)
-            automaton.make_automaton()
-
-            def hits(text: str) -> list[str]:
-                return list({word for _, word in automaton.iter(text)})
+def _pieces_of(token: Column, sizes: Column) -> Column:
+    """The distinct substrings of ``token`` that have one of the ``sizes``."""
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda n: _of_size(token, n))))
 
-        except ImportError:
 
-            def hits(text: str) -> list[str]:
-                return [word for word in shared.value if word in text]
-
-        for batch in batches:
-            found = batch["_text"].map(hits)
-            yield pd.DataFrame({"id": batch["id"], "keyword": found}).explode("keyword").dropna()
-
-    lowered = _lowered(texts)
-    if not keywords:
-        return lowered.select("id", F.lit("").alias("keyword")).limit(0)
-    return lowered.mapInPandas(search, f"id {lowered.schema['id'].dataType.simpleString()}, keyword string")
-
-
-def _by_trigrams(texts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Join on the first trigram of each keyword, then check the whole keyword."""
-    lowered = _lowered(texts)
-    grams = F.array_distinct(substrings(F.col("_text"), 3))
-    parts = lowered.select("id", F.explode(grams).alias("_gram"))
-    anchors = keywords.select("keyword", F.substring("keyword", 1, 3).alias("_gram"))
-    pairs = parts.join(anchors, "_gram").select("id", "keyword")
-    return pairs.join(lowered, "id").where(F.contains("_text", "keyword")).select("id", "keyword")
+def _of_size(text: Column, size: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(
+        F.length(text) >= size, F.transform(starts, lambda i: F.substring(text, i, size))
+    ).otherwise(F.array().cast("array<string>"))
 
 
-def match_keywords(texts: DataFrame, keywords: DataFrame, list_rows: int = KEYWORD_LIST_ROWS) -> DataFrame:
+def match_keywords(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """Pairs (id, keyword) where the text contains the keyword, ignoring case.
 
-    ``texts`` has ``id`` and ``text``, ``keywords`` has ``keyword``. Up to
-    ``list_rows`` distinct keywords travel to the tasks as a list; beyond that,
-    keywords of three or more characters are found by a join on trigrams.
+    ``texts`` has ``id`` and ``text``, ``keywords`` has ``keyword``. A keyword
+    without white space lies within one token of the text. So the distinct tokens
+    of all texts are matched with the keywords once, by joining their substrings
+    of the lengths that keywords have, and the texts join the tokens that hold
+    one. A keyword with white space is found by its longest word, and then looked
+    for in the whole text.
     """
-    distinct = keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
-    head = [r.keyword for r in distinct.limit(list_rows + 1).collect()]
-    if len(head) <= list_rows:
-        return _by_word_list(texts, sorted(head))
-    long_enough = F.length("keyword") >= 3
-    # At most alphabet squared different keywords are shorter than a trigram.
-    short = [r.keyword for r in distinct.where(~long_enough).collect()]
-    found = _by_trigrams(texts, distinct.where(long_enough))
-    return found.unionByName(_by_word_list(texts, sorted(short))) if short else found
+    wanted = keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
+    longest = F.try_element_at(
+        F.array_sort(F.transform(words(F.col("keyword")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1)
+    )
+    # A keyword of white space alone has no word; it is looked for in all texts.
+    wanted = materialize(wanted.withColumn("anchor", F.coalesce(longest["w"], F.lit(""))), "keywords")
+    anchors = wanted.select("anchor").where("anchor <> ''").distinct()
+    sizes = anchors.agg(F.coalesce(F.array_sort(F.collect_set(F.length("anchor"))), F.array().cast("array<int>")).alias("sizes"))
+    lowered = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
+    tokens = lowered.select("id", F.explode(F.array_distinct(words(F.col("_text")))).alias("token"))
+    pieces = with_scalars(tokens.select("token").distinct(), sizes)
+    pieces = pieces.select("token", F.explode(_pieces_of(F.col("token"), F.col("sizes"))).alias("anchor"))
+    holding = pieces.join(anchors, "anchor")
+    found = tokens.join(holding, "token").select("id", "anchor").distinct()
+    plain = found.join(wanted.where("keyword = anchor"), "anchor").select("id", "keyword")
+    spaced = wanted.where("keyword <> anchor")
+    some = found.join(spaced.where("anchor <> ''"), "anchor").select("id", "keyword")
+    checked = some.join(lowered, "id").where(F.contains("_text", "keyword")).select("id", "keyword")
+    blank = spaced.where("anchor = ''").agg(F.collect_set("keyword").alias("blanks"))  # one row
+    in_all = with_scalars(lowered, blank).select("id", "_text", F.explode("blanks").alias("keyword"))
+    return plain.unionByName(checked).unionByName(in_all.where(F.contains("_text", "keyword")).select("id", "keyword"))

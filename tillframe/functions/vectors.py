@@ -1,18 +1,18 @@
-"""Exact cosine search: one side streams through the tasks, the other goes in blocks."""
+"""Exact cosine search: blocks of both sides are multiplied in the tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillframe.functions.ordering import with_position
+from tillframe.functions.ordering import with_scalars
+from tillframe.sources.storage import materialize
 
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 4096  # vectors of a block; two blocks meet in a task
 SCORE_DIGITS = 6
 MATRIX_CELLS = 4_000_000  # scores held at once in a task
 
@@ -33,108 +33,91 @@ def first_k(hits: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
-def blocks(df: DataFrame, id_col: str, vec_col: str, block_rows: int = BLOCK_ROWS):
-    """Yield (ids, unit vectors) of at most ``block_rows`` rows, ordered by id.
+def packed(df: DataFrame, block_rows: int) -> DataFrame:
+    """(block, ids, vecs): rows (id, vec) in blocks of about ``block_rows``, by a hash of the id."""
+    total = df.count()
+    count = max(1, -(-total // block_rows))
+    block = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    rows = df.select(block.alias("block"), F.struct("id", "vec").alias("r"))
+    lists = rows.groupBy("block").agg(F.collect_list("r").alias("r"))
+    return lists.select("block", F.col("r.id").alias("ids"), F.col("r.vec").alias("vecs"))
 
-    The number of rows is checked first; only one block is on the driver at a time.
+
+def paired_blocks(rows: DataFrame, others: DataFrame, block_rows: int) -> DataFrame:
+    """Every block of ``rows`` next to every block of ``others``: (ids, vecs, other_ids, other_vecs).
+
+    A row here is a pair of blocks, one task's piece of work: the number of rows
+    is that of the blocks, and neither side passes through the driver.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    total = rows.count()
-    if total <= block_rows:
-        pieces = [rows]
-    else:
-        placed = with_position(rows, ["id"], "place")
-        pieces = [
-            placed.where((F.col("place") >= start) & (F.col("place") < start + block_rows)).select("id", "vec")
-            for start in range(0, total, block_rows)
-        ]
-    for piece in pieces:
-        local = piece.orderBy("id").toPandas()
-        if len(local):
-            yield local["id"].to_numpy(dtype=np.int64), unit_rows(stack(local["vec"]))
+    left = materialize(packed(rows, block_rows), "vector-blocks")
+    right = materialize(packed(others, block_rows), "vector-blocks")
+    numbers = right.agg(F.collect_list("block").alias("numbers"))  # one row of block numbers
+    spread = with_scalars(left, numbers).select("ids", "vecs", F.explode("numbers").alias("block"))
+    right = right.select("block", F.col("ids").alias("other_ids"), F.col("vecs").alias("other_vecs"))
+    joined = spread.join(right, "block")
+    return joined.repartition(F.xxhash64("block", F.element_at("ids", 1)))
+
+
+def _matrix(vecs) -> np.ndarray:
+    return unit_rows(np.vstack([np.asarray(v, np.float64) for v in vecs]))
 
 
 def nearest(rows: DataFrame, targets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """For each row the most similar target: (id, target_id, score), lowest target id on ties.
 
-    Both inputs have ``id`` and ``vec``. The rows are never shuffled; every task
-    compares its batches with one block of targets and keeps one winner per row.
+    Both inputs have ``id`` and ``vec``. Blocks of both sides are multiplied in
+    the tasks, which hand on one winner per row; winners of different blocks
+    are merged by a plain maximum. Without targets, both are null.
     """
-    sc = rows.sparkSession.sparkContext
-    parts = []
-    for ids, matrix in blocks(targets, "id", "vec", block_rows):
-        shared = sc.broadcast((ids, matrix))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            target_ids, target_matrix = shared.value
-            step = max(1, MATRIX_CELLS // len(target_ids))
-            for batch in batches:
-                for start in range(0, len(batch), step):
-                    part = batch.iloc[start : start + step]
-                    scores = np.round(unit_rows(stack(part["vec"])) @ target_matrix.T, SCORE_DIGITS)
-                    top = scores.argmax(axis=1)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, vecs, other_ids, other_vecs in batch.itertuples(index=False):
+                order = np.argsort(other_ids, kind="stable")
+                targets, matrix = np.asarray(other_ids)[order], _matrix(other_vecs)[order]
+                mine = _matrix(vecs)
+                step = max(1, MATRIX_CELLS // len(targets))
+                for start in range(0, len(mine), step):
+                    scores = np.round(mine[start : start + step] @ matrix.T, SCORE_DIGITS)
+                    top = scores.argmax(axis=1)  # the first of equals: the lowest id
                     won = scores[np.arange(len(top)), top]
-                    yield pd.DataFrame({"id": part["id"], "target_id": target_ids[top], "score": won})
+                    yield pd.DataFrame({"id": ids[start : start + step], "target_id": targets[top], "score": won})
 
-        parts.append(rows.select("id", "vec").mapInPandas(best, "id long, target_id long, score double"))
-    if not parts:
-        return rows.select("id", F.lit(None).cast("long").alias("target_id"), F.lit(None).cast("double").alias("score"))
-    if len(parts) == 1:
-        return parts[0]
+    pairs = paired_blocks(rows.select("id", "vec"), targets.select("id", "vec"), block_rows)
+    found = pairs.select("ids", "vecs", "other_ids", "other_vecs").mapInPandas(best, "id long, target_id long, score double")
     winner = F.max(F.struct("score", (-F.col("target_id")).alias("_neg"))).alias("w")
-    merged = reduce(DataFrame.unionByName, parts).groupBy("id").agg(winner)
-    return merged.select("id", (-F.col("w._neg")).alias("target_id"), F.col("w.score").alias("score"))
+    merged = found.groupBy("id").agg(winner)
+    merged = merged.select("id", (-F.col("w._neg")).alias("target_id"), F.col("w.score").alias("score"))
+    return rows.select("id").join(merged, "id", "left")
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, cell: str | None = None) -> DataFrame:
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` most similar corpus rows of each query: (query_id, id, score, rank).
 
-    Each task keeps its own best ``k`` per query, so what is shuffled does not
-    grow with the corpus. ``cell`` names a corpus column holding a cell number;
-    queries then carry an array ``cells`` and only see rows of those cells.
+    Of each pair of blocks the best ``k`` per query are handed on, so what is
+    shuffled is ``k`` rows per query and block of the corpus.
     """
-    sc = corpus.sparkSession.sparkContext
-    columns = ["id", "vec"] + ([cell] if cell else [])
-    parts = []
-    for ids, matrix in blocks(queries, "id", "vec", block_rows):
-        allowed = None
-        if cell:  # the queries of this block only
-            block = queries.where(F.col("id").between(int(ids[0]), int(ids[-1]))).select("id", "cells").collect()
-            probes = {r["id"]: r["cells"] for r in block}
-            allowed = [probes[i] for i in ids.tolist()]
-        shared = sc.broadcast((ids, matrix, allowed))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            query_ids, query_matrix, query_cells = shared.value
-            kept: pd.DataFrame | None = None
-            for batch in batches:
-                if not len(batch):
-                    continue
-                row_ids = batch["id"].to_numpy(dtype=np.int64)
-                units = unit_rows(stack(batch["vec"])).T
-                step = max(1, MATRIX_CELLS // len(batch))
-                for start in range(0, len(query_ids), step):
-                    scores = np.round(query_matrix[start : start + step] @ units, SCORE_DIGITS)
-                    if query_cells is not None:
-                        cells = batch[cell].to_numpy()
-                        allowed = [np.isin(cells, query_cells[q]) for q in range(start, start + len(scores))]
-                        scores[~np.array(allowed)] = -np.inf
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, vecs, query_ids, query_vecs in batch.itertuples(index=False):
+                row_ids, units = np.asarray(ids), _matrix(vecs).T
+                queries, matrix = np.asarray(query_ids), _matrix(query_vecs)
+                step = max(1, MATRIX_CELLS // len(row_ids))
+                for start in range(0, len(queries), step):
+                    scores = np.round(matrix[start : start + step] @ units, SCORE_DIGITS)
                     # All rows at or above the k-th score: ties are cut by id below.
                     place = max(scores.shape[1] - k, 0)
                     limit = np.partition(scores, place, axis=1)[:, place : place + 1]
-                    q, r = np.nonzero((scores >= limit) & np.isfinite(scores))
-                    found = pd.DataFrame({"query_id": query_ids[start + q], "id": row_ids[r], "score": scores[q, r]})
-                    kept = first_k(found if kept is None else pd.concat([kept, found]), k)
-            if kept is not None:
-                yield kept.astype({"query_id": "int64", "id": "int64", "score": "float64"})
-
-        parts.append(corpus.select(*columns).mapInPandas(best, "query_id long, id long, score double"))
-    if not parts:
-        empty = corpus.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-        return empty.limit(0)
+                    q, r = np.nonzero(scores >= limit)
+                    hits = pd.DataFrame({"query_id": queries[start + q], "id": row_ids[r], "score": scores[q, r]})
+                    yield first_k(hits, k)
+
+    pairs = paired_blocks(corpus.select("id", "vec"), queries.select("id", "vec"), block_rows)
+    found = pairs.select("ids", "vecs", "other_ids", "other_vecs").mapInPandas(best, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    merged = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order))
-    return merged.where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -218,20 +218,20 @@ def radar_metrics(kpi: DataFrame) -> DataFrame:
     return with_scalars(kpi, tops).select("product_id", *[share(c) for c in RADAR_METRICS])
 
 
-MIN_CLUSTER_ROWS = 5
+MIN_CLUSTER_ROWS, CLUSTERS = 5, 4
 
 
 class Clusters:
     """K-means on standardised columns: labelled rows, profile and importance."""
 
-    def __init__(self, rows: DataFrame, key: str, columns: Sequence[str], seed: int = 42):
+    def __init__(self, rows: DataFrame, key: str, columns: Sequence[str], k: int = CLUSTERS, seed: int = 42):
         self.key, self.columns = key, list(columns)
         complete = rows.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
         complete = materialize(complete, "cluster-input")
         count = complete.count()
         if count < MIN_CLUSTER_ROWS:
             raise ValueError("too few rows for clusters")
-        self.k = min(4, max(2, count // 20))
+        self.k = k
         assembled = VectorAssembler(inputCols=self.columns, outputCol="raw").transform(complete)
         self.scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(assembled)
         scaled = self.scaler.transform(assembled)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ MONEY = "decimal(12,2)"
 REVIEW_EPOCH = "2024-01-01"
 REVIEW_DAYS = 549
 EXCERPT_CHARS = 500
+DATE_FORMATS = ("M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy", "yyyy/M/d H:mm", "yyyy/M/d")
 
 
 def rename_sales(df: DataFrame) -> DataFrame:
@@ -49,14 +52,23 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: list[str] | None = None
     return below.orderBy(digest, *df.columns).limit(n)
 
 
-def invoice_timestamp(df: DataFrame, column: str = "invoice_ts") -> Column:
-    """The column as a zone-less timestamp; text that is not a date gives null."""
+def invoice_timestamp(df: DataFrame, column: str = "invoice_ts", formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """The column as a zone-less timestamp; text that is not a date gives null.
+
+    Text is read as an ISO date first, then in each of ``formats``.
+    """
     value = F.col(column)
     if dict(df.dtypes)[column] == "string":
-        value = F.try_to_timestamp(value)
+        text = strip(value)
+        value = F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
     return value.cast("timestamp_ntz")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def margin_rate(line_key: Column) -> Column:
     """A rate from 0.20 to 0.45 in 1,001 steps, fixed by the line key."""
     step = F.pmod(line_key, F.lit(1001)).cast("decimal(4,0)")
@@ -67,16 +79,17 @@ def clean_sales(raw: DataFrame) -> DataFrame:
     """Valid lines with revenue and margin.
 
     Drops cancelled invoices, non-positive quantities and prices, blank customers,
-    unreadable dates and lines whose revenue rounds to zero.
+    unreadable dates and lines whose revenue rounds to zero. A line without an
+    invoice number is not cancelled.
     """
     if "line_key" not in raw.columns:
         raw = raw.withColumn("line_key", F.xxhash64(*raw.columns))
     valid = raw.where(
-        ~F.col("invoice_no").startswith("C")
+        ~F.coalesce(F.col("invoice_no"), F.lit("")).startswith("C")
         & (F.col("quantity") > 0)
         & (F.col("unit_price") > 0)
         & F.col("customer_id").isNotNull()
-        & (F.trim("customer_id") != "")
+        & (strip(F.col("customer_id")) != "")
     ).withColumn("invoice_ts", invoice_timestamp(raw))
     amount = F.col("quantity").cast("decimal(10,0)") * F.col("unit_price").cast("decimal(14,4)")
     priced = (
@@ -144,7 +157,7 @@ def categorize_products_mdm(products: DataFrame, name: str = "product_name") ->
 
 def normalize_code(code: Column) -> Column:
     """Upper-case, trimmed, without trailing letters: 85123a and 85123B become 85123."""
-    return F.regexp_replace(F.upper(F.trim(code)), "[A-Za-z]+$", "")
+    return F.regexp_replace(F.upper(strip(code)), "[A-Za-z]+$", "")
 
 
 def sentiment_label(flag: Column) -> Column:

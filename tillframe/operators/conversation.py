@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
+import warnings
+from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillframe.functions.rules import FORCED_QUESTION_WORDS, contains_any, route_analysis, route_question
+from tillframe.sources.storage import materialize
 
 # Words that make a query unsafe, and texts that stand for no query.
 UNSAFE_WORDS = ("INSERT", "UPDATE", "DELETE", "DROP", "TRUNCATE", "ALTER", "CREATE", "GRANT", "REVOKE")
 UNSAFE_PATTERN = r"(?i)\b(" + "|".join(UNSAFE_WORDS) + r")\b"
 PLACEHOLDERS = ("", "...", "SELECT ...", "SELECT…")
-ROW_CAP = 200
+BUCKETS = 64  # folders of the stored history
 
 
 def recent_messages(messages: DataFrame, last_n: int = 20) -> DataFrame:
@@ -24,32 +28,57 @@ def recent_messages(messages: DataFrame, last_n: int = 20) -> DataFrame:
 
 
 def session_summary(messages: DataFrame, n: int | None = 50) -> DataFrame:
-    """Messages, first and last place per session, latest sessions first."""
+    """Messages, first and last time per session, the sessions that spoke last first."""
     per = messages.groupBy("session_id").agg(
-        F.count("*").alias("messages"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
+        F.count("*").alias("messages"), F.min("sent_at").alias("first_at"), F.max("sent_at").alias("last_at")
     )
-    ordered = per.orderBy(F.desc("last_seq"), "session_id")
+    ordered = per.orderBy(F.desc("last_at"), "session_id")
     return ordered if n is None else ordered.limit(n)
 
 
-def append_message(spark: SparkSession, path: str, session_id: str, role: str, content: str) -> None:
-    """Add one message to the stored history, numbered by its time."""
-    row = spark.createDataFrame([(session_id, role, content)], "session_id string, role string, content string")
-    stamped = row.withColumn("seq", F.unix_micros(F.current_timestamp()))
-    stamped.select("session_id", "seq", "role", "content").write.mode("append").partitionBy("session_id").parquet(path)
+HISTORY = "session_id string, seq long, role string, content string, sent_at timestamp"
+
+
+def _bucket(session_id: Column) -> Column:
+    return F.pmod(F.xxhash64(session_id), F.lit(BUCKETS)).cast("int")
+
+
+def append_messages(rows: DataFrame, path: str) -> None:
+    """Add a batch of messages (session_id, role, content) to the stored history, numbered by their time.
+
+    Sessions share a fixed number of folders, so their number does not matter;
+    a batch adds a file to each folder at most.
+    """
+    sent = rows.withColumn("sent_at", F.coalesce("sent_at", F.current_timestamp()) if "sent_at" in rows.columns else F.current_timestamp())
+    numbered = sent.withColumn("seq", F.unix_micros("sent_at")).withColumn("session_id", F.col("session_id").cast("string"))
+    _write(numbered.select(*HISTORY_COLUMNS), path, "append")
+
+
+HISTORY_COLUMNS = ("session_id", "seq", "role", "content", "sent_at")
+
+
+def _write(rows: DataFrame, path: str, mode: str) -> None:
+    keyed = rows.withColumn("bucket", _bucket(F.col("session_id")) if "bucket" not in rows.columns else F.col("bucket"))
+    writer = keyed.repartition("bucket").write.mode(mode).partitionBy("bucket")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def delete_session(spark: SparkSession, path: str, session_id: str) -> None:
-    """Replace the session's partition by an empty one; other sessions are not touched."""
-    history = read_history(spark, path)
-    empty = history.where(F.lit(False)).withColumn("session_id", F.lit(session_id))
-    target = f"{path}/session_id={session_id}"
-    empty.drop("session_id").write.mode("overwrite").parquet(target)
+    """Remove a session, whatever characters its id has: its folder is rewritten without it.
+
+    A row without a session keeps a folder that has no other; readers skip it.
+    """
+    one = spark.createDataFrame([(session_id,)], "session_id string").withColumn("bucket", _bucket(F.col("session_id")))
+    number = one.first().bucket
+    stored = spark.read.schema(f"{HISTORY}, bucket int").parquet(path).where(F.col("bucket") == number)
+    others = stored.where(~F.col("session_id").eqNullSafe(F.lit(session_id)) & F.col("session_id").isNotNull())
+    empty = spark.createDataFrame([(None, None, None, None, None, number)], f"{HISTORY}, bucket int")
+    _write(materialize(others.unionByName(empty), "history-rewrite"), path, "overwrite")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    schema = "seq long, role string, content string, session_id string"
-    return spark.read.schema(schema).option("basePath", path).parquet(path).select("session_id", "seq", "role", "content")
+    stored = spark.read.schema(f"{HISTORY}, bucket int").parquet(path)
+    return stored.where("session_id IS NOT NULL").select(*HISTORY_COLUMNS)
 
 
 def route_questions(messages: DataFrame) -> DataFrame:
@@ -71,22 +100,32 @@ def _blank_to_null(column: Column) -> Column:
     return F.when(F.trim(column) != "", F.trim(column))
 
 
+JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def _sql_field(reply: Column) -> Column:
+    """The string that follows the key ``sql``, wherever it stands; also where the JSON around it is broken."""
+    quoted = F.regexp_extract(reply, rf'(?s)"sql"\s*:\s*({JSON_STRING})', 1)
+    wrapped = F.concat(F.lit('{"v":'), quoted, F.lit("}"))
+    return F.when(quoted != "", F.from_json(wrapped, "v string", {"allowUnquotedControlChars": "true"})["v"])
+
+
+def _bare_select(reply: Column) -> Column:
+    """From the first SELECT to its LIMIT, or to a semicolon at the end of the reply."""
+    start = F.regexp_instr(reply, F.lit(r"(?i)\bselect\b"))
+    tail = F.when(start > 0, F.substring(reply, start, F.length(reply)))
+    limited = F.regexp_extract(tail, r"(?is)^.*?\blimit\s+[0-9]+", 0)
+    closed = F.rtrim(tail)
+    return F.when(limited != "", limited).when(closed.endswith(";"), F.rtrim(closed, F.lit("; \n\t")))
+
+
 def extract_sql(replies: DataFrame) -> DataFrame:
     """The query in each reply: a JSON field, a bare SELECT, or the routed template.
 
-    ``replies`` has ``session_id``, ``seq``, ``question`` and ``reply``.
+    ``replies`` has ``session_id``, ``seq``, ``question`` and ``reply``. A query
+    comes without its closing semicolon.
     """
-    bare = F.replace(F.regexp_replace("reply", r"```\w*\s*", ""), F.lit("```"), F.lit(""))
-    block = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    quoted = F.regexp_extract(block, r'(?s)"sql"\s*:\s*"(.*?)",\s*"(?:reasoning|answer)', 1)
-    unescaped = F.replace(F.replace(quoted, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
-    parsed = F.get_json_object(block, "$.sql")
-    text = F.regexp_extract("reply", r"(?is)(SELECT\b.+?(?:LIMIT\s+\d+\s*;?|;\s*$))", 1)
-    written = F.coalesce(
-        _blank_to_null(unescaped),
-        _blank_to_null(parsed),
-        _blank_to_null(F.replace(text, F.lit('\\"'), F.lit('"'))),
-    )
+    written = F.coalesce(_blank_to_null(_sql_field(F.col("reply"))), _blank_to_null(_bare_select(F.col("reply"))))
     usable = F.col("written").isNotNull() & ~F.col("written").isin(*PLACEHOLDERS) & F.col("written").rlike(r"(?i)\bFROM\b")
     forced = contains_any(F.lower("question"), FORCED_QUESTION_WORDS)
     return replies.withColumn("written", written).select(
@@ -103,10 +142,48 @@ def flag_unsafe_sql(queries: DataFrame, column: str) -> DataFrame:
     return queries.withColumn("unsafe", F.coalesce(F.col(column).rlike(UNSAFE_PATTERN), F.lit(False)))
 
 
-def read_only_query(spark: SparkSession, query: str, cap: int = ROW_CAP) -> DataFrame:
-    """Run one SELECT over the registered views, showing at most ``cap`` rows."""
+def read_only_query(spark: SparkSession, query: str, cap: int = 0) -> DataFrame:
+    """Run one SELECT over the registered views.
+
+    With a ``cap`` at most so many rows are shown, and a warning says if there
+    were more.
+    """
     if re.search(UNSAFE_PATTERN, query):
         raise PermissionError("only reading queries are allowed")
     if not re.match(r"\s*(SELECT|WITH)\b", query, re.IGNORECASE):
         raise PermissionError("a query must start with SELECT or WITH")
-    return spark.sql(query).limit(cap)
+    rows = spark.sql(query)
+    if cap and rows.limit(cap + 1).count() > cap:
+        warnings.warn(f"only {cap} rows of the result are shown", stacklevel=2)
+    return rows.limit(cap) if cap else rows
+
+
+def answer_question(
+    spark: SparkSession,
+    question: str,
+    reply: str | None,
+    templates: Mapping[str, Callable[[], DataFrame]],
+    analyses: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
+) -> tuple[str, DataFrame, DataFrame | None]:
+    """(source, result, analysis) of a question, given what a language model replied (or nothing).
+
+    The query in the reply is run over the registered views if it is usable and
+    the question does not force a template; else the routed template is built. A
+    query that is not allowed or does not run falls back to the template too.
+    The analysis that the question asks for, if any, is applied to the result.
+    """
+    row = spark.createDataFrame([(0, 0, question, reply or "")], "session_id long, seq long, question string, reply string")
+    found = extract_sql(row).first()
+    fallback = row.select(route_question(F.col("question")).alias("t")).first().t
+    source, result = found.source, None
+    if found.sql:
+        try:
+            result = read_only_query(spark, found.sql)
+            result.schema  # noqa: B018  analysis errors show here
+        except (PermissionError, AnalysisException, ParseException):
+            source = "rules"
+    if result is None:
+        result = templates[found.template or fallback]()
+    kind = row.select(route_analysis(F.col("question")).alias("a")).first().a
+    analysis = analyses[kind](result) if kind and analyses and kind in analyses else None
+    return source, result, analysis

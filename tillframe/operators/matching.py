@@ -7,9 +7,7 @@ Product inputs have ``idx`` (0-based rank), ``product_id``, ``product_name`` and
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +24,6 @@ FUZZY_THRESHOLD = 80.0
 TFIDF_THRESHOLD = 0.25
 SEMANTIC_THRESHOLD = 0.10
 REVIEW_CODES = 1000
-MAX_FEATURES = 5000
 AUTO_SCORE, REVIEW_SCORE = 0.70, 0.50
 
 _EPS = 1e-9
@@ -159,16 +156,33 @@ def fuzzy_match(products: DataFrame, threshold: float = FUZZY_THRESHOLD) -> Data
 # --- TF-IDF on character n-grams ------------------------------------------
 
 
-def _profiles(names: DataFrame) -> DataFrame:
-    """Distinct n-gram profiles: first ``idx``, number of names, grams with counts."""
-    grams = char_ngrams(F.coalesce("name", F.lit("")))
-    sorted_grams = names.select("idx", F.array_sort(grams).alias("grams"))
-    profiles = sorted_grams.groupBy("grams").agg(F.min("idx").alias("rep"), F.count("*").alias("members"))
-    counted = F.transform(
-        F.array_distinct("grams"),
-        lambda g: F.struct(g.alias("gram"), F.size(F.filter("grams", lambda x: x == g)).alias("tf")),
+def _named_profiles(names: DataFrame) -> DataFrame:
+    """(name, first, members, key, terms) of the distinct names that have n-grams.
+
+    ``terms`` are the n-grams with their counts over the greatest common divisor
+    of the counts: names whose counts are in the same proportions have the same
+    profile, and their cosine is 1. ``key`` is a 128-bit hash of it.
+    """
+    distinct = names.groupBy(F.coalesce("name", F.lit("")).alias("name")).agg(
+        F.min("idx").alias("first"), F.count("*").alias("members")
+    )
+    grams = distinct.select("name", "first", "members", F.explode(char_ngrams(F.col("name"))).alias("gram"))
+    counted = grams.groupBy("name", "first", "members", "gram").agg(F.count("*").alias("tf"))
+    listed = counted.groupBy("name", "first", "members").agg(
+        F.array_sort(F.collect_list(F.struct("gram", "tf"))).alias("counts"), F.min("tf").alias("least")
+    )
+    divides = F.filter(F.sequence(F.lit(1), F.col("least")), lambda d: F.forall("counts", lambda t: t["tf"] % d == 0))
+    divided = listed.withColumn("shared", F.array_max(divides))
+    terms = F.transform("counts", lambda t: F.struct(t["gram"].alias("gram"), (t["tf"] / F.col("shared")).cast("int").alias("tf")))
+    shaped = divided.withColumn("terms", terms)
+    return shaped.select("name", "first", "members", F.md5(F.to_json("terms")).alias("key"), "terms")
+
+
+def _profiles(named: DataFrame) -> DataFrame:
+    """Distinct profiles: key, first ``idx``, number of names, grams with counts."""
+    return named.groupBy("key").agg(
+        F.min("first").alias("rep"), F.sum("members").alias("members"), F.any_value("terms").alias("terms")
     )
-    return profiles.select("grams", "rep", "members", counted.alias("terms"))
 
 
 def _postings(profiles: DataFrame, idf: DataFrame) -> DataFrame:
@@ -218,14 +232,13 @@ def _best_cosine(left: DataFrame, right: DataFrame, threshold: float, skip_same:
     return kept.select("a", (-F.col("m.neg")).alias("b"), F.col("m.raw").alias("cos"))
 
 
-def _idf(profiles: DataFrame) -> DataFrame:
-    """Document frequency and smoothed idf; profiles count once per member."""
+def _idf(profiles: DataFrame, total: DataFrame) -> DataFrame:
+    """Document frequency and smoothed idf; profiles count once per member, of ``total`` (n) names."""
     df = (
         profiles.select("members", F.explode("terms.gram").alias("gram"))
         .groupBy("gram")
         .agg(F.sum("members").alias("df"))
     )
-    total = profiles.agg(F.sum("members").alias("n"))
     return with_scalars(df, total).select(
         "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
     )
@@ -241,17 +254,25 @@ def tfidf_match(
 
     Inputs have ``idx`` and ``name``. Without ``right`` the names are compared
     with themselves and each counts twice in the frequencies; with
-    ``include_self`` the winner is then the first name with the same n-grams.
+    ``include_self`` the winner is then the first name whose cosine rounds to 1.
     """
-    own = materialize(_profiles(left), "profiles")
-    members = left.select("idx", F.array_sort(char_ngrams(F.coalesce("name", F.lit("")))).alias("grams"))
-    members = join_keyed(members, own.select("grams", "rep", F.col("members").alias("size")), "grams", "inner")
-    members = members.where(F.size("grams") > 0).select("idx", "rep", "size")
+    total = left.agg((F.count("*") * (2 if right is None else 1)).alias("n"))  # also names without any n-gram
+    named = materialize(_named_profiles(left), "named-profiles")
+    own = materialize(_profiles(named), "profiles")
+    keyed = named.select("name", "key").join(own.select("key", "rep", F.col("members").alias("size")), "key")
+    members = join_keyed(
+        left.select("idx", F.coalesce("name", F.lit("")).alias("name")), keyed.select("name", "rep", "size"), "name", "inner"
+    ).select("idx", "rep", "size")
     if right is None and include_self:
-        return members.select("idx", F.col("rep").alias("match_idx"), F.lit(1.0).alias("score"))
+        # A name is always its own best match at 1; names that round to 1 tie, and the first of them wins.
+        doubled = own.withColumn("members", F.col("members") * 2)
+        posts = materialize(_postings(doubled, _idf(doubled, total)), "postings")
+        found = _best_cosine(posts, posts, max(threshold, 1.0), skip_same=False).withColumnRenamed("a", "rep")
+        joined = join_keyed(members, found, "rep", "inner")
+        return joined.select("idx", F.col("b").alias("match_idx"), F.round("cos", 4).alias("score"))
     if right is None:
         doubled = own.withColumn("members", F.col("members") * 2)
-        posts = materialize(_postings(doubled, _idf(doubled)), "postings")
+        posts = materialize(_postings(doubled, _idf(doubled, total)), "postings")
         twin = members.where(F.col("size") > 1)
         second = twin.where(F.col("idx") != F.col("rep")).groupBy("rep").agg(F.min("idx").alias("second"))
         twins = join_keyed(twin, second, "rep", "inner").select(
@@ -265,8 +286,9 @@ def tfidf_match(
             F.col("a").alias("idx"), F.col("b").alias("match_idx"), F.round("cos", 4).alias("score")
         )
         return twins.unionByName(near)
-    other = materialize(_profiles(right), "profiles")
-    idf = _idf(own.unionByName(other))
+    other = materialize(_profiles(_named_profiles(right)), "profiles")
+    both = with_scalars(total, right.agg(F.count("*").alias("m"))).select((F.col("n") + F.col("m")).alias("n"))
+    idf = _idf(own.unionByName(other), both)
     found = _best_cosine(_postings(own, idf), _postings(other, idf), threshold, skip_same=False)
     joined = join_keyed(members, found.withColumnRenamed("a", "rep"), "rep", "inner")
     return joined.select("idx", F.col("b").alias("match_idx"), F.round("cos", 4).alias("score"))
@@ -413,115 +435,55 @@ def semantic_assign(
     )
 
 
-def _term_rows(docs: DataFrame, text: str) -> DataFrame:
-    """One row per occurrence of a term in the whole text, with the document id."""
-    return docs.select("doc", F.explode(word_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
+def _term_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(doc, members, term, tf) of the whole texts of ``docs`` (doc, members, text)."""
+    rows = docs.select("doc", "members", F.explode(word_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
+    return rows.groupBy("doc", "members", "term").agg(F.count("*").alias("tf"))
 
 
-def attach_reviews_tfidf(
-    reviews: DataFrame, mapping: DataFrame, max_features: int = MAX_FEATURES, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+def attach_reviews_tfidf(reviews: DataFrame, mapping: DataFrame, max_features: int = 0) -> DataFrame:
     """The product whose name is closest to the review text, by words and word pairs.
 
-    ``reviews`` has ``review_key`` and ``review_text``. The vocabulary is the
-    ``max_features`` commonest terms of names and reviews together. A review
-    sharing no term with any name gets the first product.
+    ``reviews`` has ``review_key`` and ``review_text``. The vocabulary is all
+    terms of names and reviews, or the ``max_features`` commonest of them. A
+    review sharing no term with any name gets the first product.
+
+    Only terms that occur in names join reviews with names; the other terms of a
+    review count in its length alone, which is summed per review.
     """
     names = mapping.select((F.col("mapping_id") - 1).alias("idx"), F.col("golden_name").alias("name"))
     distinct = materialize(names.groupBy("name").agg(F.min("idx").alias("doc"), F.count("*").alias("members")), "names")
-    review_docs = reviews.select(F.col("review_key").alias("doc"), "review_text")
-    name_rows = _term_rows(distinct, "name").join(distinct.select("doc", "members"), "doc")
-    review_rows = _term_rows(review_docs, "review_text").withColumn("members", F.lit(1).cast("long"))
-    # Counting before the shuffle keeps it as small as the vocabulary.
-    counts = name_rows.unionByName(review_rows).groupBy("term").agg(F.sum("members").alias("tf"))
-    top = counts.orderBy(F.desc("tf"), "term").limit(max_features).select("term")
-    vocabulary = F.broadcast(materialize(top, "vocabulary"))
-    name_terms = name_rows.join(vocabulary, "term").groupBy("doc", "members", "term").agg(F.count("*").alias("tf"))
-    review_terms = review_rows.join(vocabulary, "term").groupBy("doc", "members", "term").agg(F.count("*").alias("tf"))
-    name_terms = materialize(name_terms, "name-terms")
-    review_terms = materialize(review_terms, "review-terms")
-    df = name_terms.unionByName(review_terms).groupBy("term").agg(F.sum("members").alias("df"))
+    name_terms = materialize(_term_counts(distinct, "name"), "name-terms")
+    texts = reviews.select(F.col("review_key").alias("doc"), F.lit(1).cast("long").alias("members"), "review_text")
+    review_terms = materialize(_term_counts(texts, "review_text"), "review-terms")
+    every = name_terms.unionByName(review_terms)
+    df = every.groupBy("term").agg(F.sum("members").alias("df"), F.sum(F.col("members") * F.col("tf")).alias("uses"))
+    if max_features:
+        df = df.orderBy(F.desc("uses"), "term").limit(max_features)
     docs = with_scalars(reviews.agg(F.count("*").alias("r")), mapping.agg(F.count("*").alias("m")))
-    idf = with_scalars(df, docs).select(
-        "term", (F.log((1 + F.col("r") + F.col("m")) / (1 + F.col("df"))) + 1).alias("idf")
+    idf = F.log((1 + F.col("r") + F.col("m")) / (1 + F.col("df"))) + 1
+    named = name_terms.select("term").distinct().withColumn("named", F.lit(True))
+    lookup = with_scalars(df, docs).select("term", idf.alias("idf")).join(named, "term", "left")
+    lookup = materialize(lookup, "term-weights")
+    weight = (F.col("tf") * F.col("idf")).alias("w")
+    weighted = materialize(review_terms.join(lookup, "term").select("doc", "term", "named", weight), "review-weights")
+    lengths = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    name_weights = name_terms.join(lookup, "term").select("doc", "term", weight)
+    name_lengths = name_weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("name_length"))
+    units = name_weights.join(name_lengths, "doc").select(
+        F.col("doc").alias("idx"), "term", (F.col("w") / F.col("name_length")).alias("u")
+    )
+    shared = weighted.where("named").select("doc", "term", "w").join(units, "term")
+    dots = shared.groupBy("doc", "idx").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
+    scored = dots.join(lengths, "doc").select("doc", "idx", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
+    best = scored.where("score > 0").groupBy("doc").agg(F.max(F.struct("score", (-F.col("idx")).alias("neg"))).alias("m"))
+    assigned = best.select(
+        F.col("doc").alias("review_key"), (-F.col("m.neg")).alias("product_idx"), F.col("m.score").alias("score")
     )
-    # At most max_features rows: the vocabulary, numbered.
-    in_names = name_terms.select("term").distinct().withColumn("named", F.lit(True))
-    numbered = F.row_number().over(Window.orderBy("term"))
-    lookup = F.broadcast(materialize(idf.join(in_names, "term", "left").withColumn("f", numbered), "features"))
-    weight = F.col("tf") * F.col("idf")
-
-    def vectors(terms: DataFrame) -> DataFrame:
-        """Entries for terms that occur in names, and the length of the whole vector."""
-        weighted = terms.join(lookup, "term").select("doc", "f", "named", weight.alias("w"))
-        lengths = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-        entries = weighted.where("named").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("e"))
-        columns = ["doc", "length", F.col("e.f").alias("features"), F.col("e.w").alias("weights")]
-        return entries.join(lengths, "doc").select(*columns)
-
-    assigned = _closest_names(vectors(review_terms), vectors(name_terms), block_rows)
     codes = mapping.select((F.col("mapping_id") - 1).alias("product_idx"), "review_code")
-    joined = (
-        reviews.select("review_key")
-        .join(assigned.withColumnRenamed("doc", "review_key"), "review_key", "left")
-        .select(
-            "review_key",
-            F.coalesce("product_idx", F.lit(0)).alias("product_idx"),
-            F.coalesce("score", F.lit(0.0)).alias("score"),
-        )
+    joined = reviews.select("review_key").join(assigned, "review_key", "left").select(
+        "review_key",
+        F.coalesce("product_idx", F.lit(0)).alias("product_idx"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
     )
     return join_keyed(joined, codes, "product_idx", "left", keyed_rows=mapping.count())
-
-
-def _closest_names(review_vecs: DataFrame, name_vecs: DataFrame, block_rows: int) -> DataFrame:
-    """Per review the name with the highest cosine; names go to the tasks in blocks."""
-    spark = review_vecs.sparkSession
-    name_vecs = materialize(name_vecs, "name-vectors")
-    total = name_vecs.count()
-    placed = name_vecs if total <= block_rows else with_position(name_vecs, ["doc"], "place")
-    results = []
-    for start in range(0, total, block_rows):
-        piece = placed
-        if total > block_rows:
-            piece = placed.where((F.col("place") >= start) & (F.col("place") < start + block_rows))
-        local = piece.select("doc", "length", "features", "weights").orderBy("doc").collect()
-        per_feature: dict[int, tuple[list[int], list[float]]] = {}
-        for i, row in enumerate(local):
-            for f, w in zip(row.features, row.weights):
-                ids, weights = per_feature.setdefault(f, ([], []))
-                ids.append(i)
-                weights.append(w / row.length)
-        postings = {f: (np.array(i), np.array(w)) for f, (i, w) in per_feature.items()}
-        shared = spark.sparkContext.broadcast((np.array([r.doc for r in local], dtype=np.int64), postings))
-
-        def closest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, index = shared.value
-            for batch in batches:
-                docs, winners, scores = [], [], []
-                columns = batch["doc"], batch["length"], batch["features"], batch["weights"]
-                for doc, length, features, values in zip(*columns):
-                    cosines = np.zeros(len(ids))
-                    for feature, value in zip(features, values):
-                        if feature in index:
-                            members, weights = index[feature]
-                            cosines[members] += value / length * weights
-                    cosines = np.round(cosines, 6)
-                    top = int(cosines.argmax())
-                    if cosines[top] > 0:
-                        docs.append(doc)
-                        winners.append(ids[top])
-                        scores.append(cosines[top])
-                yield pd.DataFrame({"doc": docs, "product_idx": winners, "score": scores}).astype(
-                    {"doc": "int64", "product_idx": "int64", "score": "float64"}
-                )
-
-        results.append(review_vecs.mapInPandas(closest, "doc long, product_idx long, score double"))
-    if not results:
-        return review_vecs.select("doc", F.lit(0).cast("long").alias("product_idx"), F.lit(0.0).alias("score"))
-    if len(results) == 1:
-        return results[0]
-    merged = results[0]
-    for more in results[1:]:
-        merged = merged.unionByName(more)
-    best = merged.groupBy("doc").agg(F.max(F.struct("score", (-F.col("product_idx")).alias("neg"))).alias("m"))
-    return best.select("doc", (-F.col("m.neg")).alias("product_idx"), F.col("m.score").alias("score"))

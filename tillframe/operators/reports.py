@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +13,6 @@ from tillframe.functions.text import match_keywords, name_keywords
 from tillframe.operators.marts import FINE, mean2, money, reviews_per_code
 from tillframe.sources.storage import materialize
 
-SET_ROWS = 100_000  # keyword sets counted at once in a task
 SORT_KEYS = {
     "revenue": "revenue",
     "rating": "avg_rating",
@@ -289,7 +285,10 @@ def comparison_transposed(comparison: DataFrame, n: int = 4) -> DataFrame:
     """Metrics as rows and up to ``n`` products as columns, all as text.
 
     The products become ``product_1`` to ``product_n`` in the order of their ids.
+    More than ``n`` products are an error.
     """
+    if comparison.limit(n + 1).count() > n:
+        raise ValueError(f"more than {n} products to compare")
 
     def text(c: str) -> Column:
         return F.col(c) if c == "category" else F.col(c).cast("decimal(28,2)").cast("string")
@@ -339,50 +338,10 @@ def _keyword_set(name: Column) -> Column:
     return F.array_sort(F.array_distinct(name_keywords(name)))
 
 
-def _found_keywords(texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct keywords of ``sets`` each review contains: (id, found)."""
-    matches = match_keywords(texts, sets.select(F.explode("keywords").alias("keyword")))
-    return matches.groupBy("id").agg(F.collect_set("keyword").alias("found"))
-
-
-def count_by_keyword_set(found: DataFrame, sets: DataFrame, block_rows: int = SET_ROWS) -> DataFrame:
-    """Reviews per keyword set and bucket that contain any keyword of the set.
-
-    ``found`` has ``bucket`` and ``found``; ``sets`` has ``keywords``. Every task
-    counts its reviews against one block of sets and hands on only the counts,
-    so no (set, review) pair leaves a task.
-    """
-    numbered = with_position(sets.select("keywords").distinct(), ["keywords"], "set_id")
-    total = numbered.count()
-    found = materialize(found.select("bucket", "found"), "found")
-    sc = found.sparkSession.sparkContext
-    parts = []
-    for start in range(0, total, block_rows):
-        block = numbered.where((F.col("set_id") >= start) & (F.col("set_id") < start + block_rows)).collect()
-        by_word: dict[str, list[int]] = {}
-        for row in block:
-            for word in row.keywords:
-                by_word.setdefault(word, []).append(row.set_id - start)
-        shared = sc.broadcast(({w: np.array(ids) for w, ids in by_word.items()}, len(block), start))
-
-        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            postings, size, first = shared.value
-            totals: dict[str, np.ndarray] = {}
-            for batch in batches:
-                for bucket, words in zip(batch["bucket"], batch["found"]):
-                    reached = [postings[w] for w in words if w in postings]
-                    if reached:
-                        tally = totals.setdefault(bucket, np.zeros(size, dtype=np.int64))
-                        tally[np.unique(np.concatenate(reached))] += 1
-            for bucket, tally in totals.items():
-                hit = np.flatnonzero(tally)
-                yield pd.DataFrame({"set_id": hit + first, "bucket": bucket, "n": tally[hit]})
-
-        parts.append(found.mapInPandas(count, "set_id long, bucket string, n long"))
-    if not parts:
-        return sets.select("keywords", F.lit("").alias("bucket"), F.lit(0).cast("long").alias("n")).limit(0)
-    counts = reduce(DataFrame.unionByName, parts).groupBy("set_id", "bucket").agg(F.sum("n").alias("n"))
-    return counts.join(numbered, "set_id").select("keywords", "bucket", "n")
+def _reached(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(keywords, id): the reviews that contain any keyword of a set, each once per distinct set."""
+    words = sets.select("keywords").distinct().select("keywords", F.explode("keywords").alias("keyword"))
+    return match_keywords(texts, words.select("keyword")).join(words, "keyword").select("keywords", "id").distinct()
 
 
 def review_keyword_search(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -391,8 +350,7 @@ def review_keyword_search(texts: DataFrame, names: DataFrame) -> DataFrame:
     ``texts`` has ``id`` and ``text``; ``names`` has ``product_name``.
     """
     sets = names.select("product_name").distinct().withColumn("keywords", _keyword_set(F.col("product_name")))
-    found = _found_keywords(texts, sets).withColumn("bucket", F.lit(""))
-    counts = count_by_keyword_set(found, sets)
+    counts = _reached(texts, sets).groupBy("keywords").agg(F.count("*").alias("n"))
     return sets.join(counts, "keywords").select("product_name", F.col("n").alias("matching_reviews"))
 
 
@@ -406,12 +364,11 @@ def rating_distribution(products: DataFrame, mapping: DataFrame, reviews: DataFr
         "product_id", F.col("rating").cast("double").alias("rating"), "reviews", F.lit("mapping").alias("source")
     )
     missing = materialize(_unmapped_keyword_sets(products, mapping, reviews), "unmapped")
-    found = _found_keywords(texts, missing).withColumnRenamed("id", "review_key")
-    rated = found.join(reviews.select("review_key", F.col("rating").cast("string").alias("bucket")), "review_key")
-    hits = count_by_keyword_set(rated.fillna("", ["bucket"]), missing)
+    found = _reached(texts, missing).withColumnRenamed("id", "review_key")
+    hits = found.join(reviews.select("review_key", "rating"), "review_key").groupBy("keywords", "rating").agg(F.count("*").alias("n"))
     searched = missing.join(hits, "keywords").select(
         "product_id",
-        F.expr("try_cast(bucket AS double)").alias("rating"),
+        F.col("rating").cast("double").alias("rating"),
         F.col("n").alias("reviews"),
         F.lit("keywords").alias("source"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from tillframe.sources.manifest import record_sources, should_run
 from tillframe.sources.storage import materialize
 
 TABLES = ("products", "customers", "mapping", "sales", "reviews")
-MAPPED_PRODUCTS = 50  # Fixed value: products that take part in the mapping by default.
+CURRENT = "current"  # names the folder of the published version
 
 
 def run_load(
@@ -25,19 +26,21 @@ def run_load(
     force: bool = False,
     sales_sample: int = 0,
     review_sample: int = 0,
-    mapped_products: int = MAPPED_PRODUCTS,
+    mapped_products: int = 0,
     strategy: str = "semantic",
-    json_lines: bool = False,
+    json_lines: bool = True,
     encoder: Callable[[DataFrame], DataFrame] | None = None,
 ) -> bool:
     """Load both sources into ``target`` unless nothing changed; True when it ran.
 
     Everything is checked before the first table is replaced, so a failed check
-    leaves the published tables as they were. ``encoder`` turns (id, text) into
-    (id, vec); with it the semantic strategy assigns reviews by their vectors.
+    leaves the published tables as they were. Samples and ``mapped_products``
+    (the best sellers that take part in the mapping) are 0 for all. ``encoder``
+    turns (id, text) into (id, vec); with it the semantic strategy assigns
+    reviews by their vectors.
     """
     sources, manifest = [sales_path, reviews_path], f"{target}/_manifest"
-    needed, _ = should_run(spark, sources, manifest, force)
+    needed, seen = should_run(spark, sources, manifest, force)
     if not needed:
         return False
     sales = materialize(cleaning.clean_sales(load_sales(spark, sales_path, sales_sample)), "load-sales")
@@ -45,7 +48,7 @@ def run_load(
     mapped = catalogue.where(F.col("idx") < mapped_products) if mapped_products else catalogue
     mapping = materialize(matching.golden_records(mapped, strategy), "load-mapping")
     raw = load_reviews(spark, reviews_path, review_sample, json_lines=json_lines)
-    reviews = cleaning.clean_reviews(raw).withColumn("review_text", F.col("review_excerpt")).drop("review_excerpt")
+    reviews = cleaning.clean_reviews(raw)
     attached = materialize(attach_reviews(reviews, mapping, strategy, encoder), "load-reviews")
     report = quality.dq_report(
         [quality.dq_sales(sales), quality.dq_reviews(attached), quality.dq_products(mapped)]
@@ -60,11 +63,13 @@ def run_load(
                 F.monotonically_increasing_id().alias("fact_id"),
                 "invoice_no", "product_id", "quantity", "revenue", "margin", "invoice_ts", "customer_id",
             ),
-            "reviews": attached.select("review_id", "review_code", "rating", "review_text", "sentiment", "review_ts"),
+            "reviews": attached.select(
+                "review_id", "review_code", "rating", "review_text", "review_excerpt", "sentiment", "review_ts"
+            ),
         },
         target,
     )
-    record_sources(spark, sources, manifest)
+    record_sources(seen, manifest)
     return True
 
 
@@ -88,22 +93,53 @@ def attach_reviews(
     return attached.withColumn("review_id", F.col("review_key") + 1)
 
 
+def _paths(spark: SparkSession):
+    jvm = spark.sparkContext._jvm
+    return jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def current_version(spark: SparkSession, target: str) -> str:
+    """The folder of the published version."""
+    return f"{target}/{spark.read.text(f'{target}/{CURRENT}').first().value}"
+
+
 def publish(frames: dict[str, DataFrame], target: str) -> None:
-    """Replace the tables under ``target``."""
+    """Replace the tables under ``target`` all at once.
+
+    The tables are written into a folder of their own; then one file, which
+    names the folder, is replaced. Until then readers see the old version, also
+    if a write fails. The version before is removed at the end.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    jvm, conf = _paths(spark)
+    version = f"version-{uuid.uuid4().hex[:12]}"
     for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{target}/{name}")
+        df.write.parquet(f"{target}/{version}/{name}")
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(conf)
+    old = current_version(spark, target) if fs.exists(path(f"{target}/{CURRENT}")) else None
+    note = fs.create(path(f"{target}/.{version}.note"), True)
+    note.write(bytearray(version.encode()))
+    note.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(target).toUri(), conf)
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    files.rename(path(f"{target}/.{version}.note"), path(f"{target}/{CURRENT}"), options)
+    if old:
+        fs.delete(path(old), True)
 
 
 def empty_tables(spark: SparkSession, target: str) -> None:
     """Remove all rows from the published tables, keeping their columns."""
-    for name in TABLES:
-        schema = spark.read.parquet(f"{target}/{name}").schema
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/{name}")
+    folder = current_version(spark, target)
+    publish({name: spark.read.parquet(f"{folder}/{name}").limit(0) for name in TABLES}, target)
 
 
 def create_views(spark: SparkSession, target: str) -> None:
     """Register the published tables and the four marts under their names."""
-    t = {name: spark.read.parquet(f"{target}/{name}") for name in TABLES}
+    folder = current_version(spark, target)
+    t = {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
     for name, df in t.items():
         df.createOrReplaceTempView(name)
     kpi = marts.product_kpi(t["mapping"], t["sales"], t["reviews"])

@@ -19,7 +19,7 @@ from tillframe.functions.rules import (
 )
 from tillframe.operators.analytics import PRODUCT_METRICS
 from tillframe.operators.conversation import UNSAFE_WORDS
-from tillframe.plans.queries import CHECK_NOW, HISTORY_AS_OF, HISTORY_FROM, RANGE, RULES_NOW
+from tillframe.plans.queries import CHECK_NOW, FULL_NAME_THRESHOLD, HISTORY_AS_OF, HISTORY_FROM, RANGE, RULES_NOW
 
 
 def case_rules(text: str, rules, default: str | None) -> str:
@@ -256,7 +256,7 @@ CTES: dict[str, str] = {
     "coded": "SELECT idx, regexp_replace(upper(trim(product_id)), '[A-Za-z]+$', '') AS code FROM products",
     "hard": """SELECT c.idx, f.first AS match_idx, CAST(1 AS DOUBLE) AS score FROM coded c
         JOIN (SELECT code, min(idx) AS first FROM coded GROUP BY code) f USING (code) WHERE f.first <> c.idx""",
-    "mapping": """SELECT p.idx + 1 AS mapping_id, product_id, product_name,
+    "words_mapping": """SELECT p.idx + 1 AS mapping_id, product_id, product_name,
         printf('REV_%04d', coalesce(h.match_idx, t.match_idx, p.idx) % 1000 + 1) AS review_code, category,
         product_name AS golden_name, coalesce(h.score, t.score, CAST(0 AS DOUBLE)) AS match_score,
         CASE WHEN h.idx IS NOT NULL THEN 'hard' WHEN t.idx IS NOT NULL THEN 'tfidf' ELSE 'rank' END AS match_strategy
@@ -268,10 +268,23 @@ CTES: dict[str, str] = {
         CAST(CAST(CASE WHEN coalesce(sentiment_flag, 1) = 1 THEN 35 ELSE 10 END + review_key % 16 AS DECIMAL(3,0))
             * 0.1 AS DECIMAL(3,1)) AS rating,
         TIMESTAMP '2024-01-01' + to_days(CAST(review_key * 37 % 549 AS INTEGER)) AS review_ts FROM raw_reviews""",
-    "numbered": """SELECT *, row_number() OVER (ORDER BY review_key) AS review_id,
-        (row_number() OVER (ORDER BY review_key) - 1) % (SELECT count(*) FROM mapping) + 1 AS mapping_id
-        FROM clean_reviews""",
-    "reviews": "SELECT n.* EXCLUDE (mapping_id), m.review_code FROM numbered n JOIN mapping m USING (mapping_id)",
+    "numbered": "SELECT *, row_number() OVER (ORDER BY review_key) AS review_id FROM clean_reviews",
+    "linked": """SELECT r.review_key, coalesce(b.product_idx, 0) AS product_idx, coalesce(b.score, 0) AS score, m.review_code
+        FROM raw_reviews r LEFT JOIN (SELECT * FROM term_best WHERE score > 0) b USING (review_key)
+        JOIN mapping m ON m.mapping_id = coalesce(b.product_idx, 0) + 1""",
+    "reviews": "SELECT n.*, l.review_code FROM numbered n JOIN linked l USING (review_key)",
+    "dealt": """SELECT n.*, m.review_code FROM numbered n JOIN mapping m
+        ON m.mapping_id = (n.review_id - 1) % (SELECT count(*) FROM mapping) + 1""",
+    "mapping_poc": """SELECT idx + 1 AS mapping_id, product_id, product_name,
+        printf('REV_%04d', idx % 1000 + 1) AS review_code, category, product_name AS golden_name,
+        CAST(0 AS DOUBLE) AS match_score, 'rank' AS match_strategy FROM products""",
+    "reviews_poc": """SELECT n.*, m.review_code FROM numbered n JOIN mapping_poc m
+        ON m.mapping_id = (n.review_id - 1) % (SELECT count(*) FROM mapping_poc) + 1""",
+    "fanned_poc": """SELECT m.product_id, m.golden_name, m.category, s.revenue, s.margin, s.quantity,
+        r.review_id, r.rating, r.sentiment
+        FROM mapping_poc m LEFT JOIN sales s ON s.product_id = m.product_id
+        LEFT JOIN reviews_poc r ON r.review_code = m.review_code""",
+    "kpi_poc": kpi_select("fanned_poc"),
     "fanned": """SELECT m.product_id, m.golden_name, m.category, s.revenue, s.margin, s.quantity,
         r.review_id, r.rating, r.sentiment
         FROM mapping m LEFT JOIN sales s ON s.product_id = m.product_id
@@ -338,20 +351,41 @@ CTES: dict[str, str] = {
     "ahead": "SELECT unnest([1, 2, 3]) AS step",
     **season_ctes("added", False, "n >= 24"),
     **season_ctes("multiplied", True, "n >= 12 AND n < 24"),
-    "messages": "SELECT conv_id AS session_id, turn AS seq, role, text AS content FROM conversations",
+    "messages": """SELECT conv_id AS session_id, turn AS seq, role, text AS content,
+        TIMESTAMP '2024-01-01' + to_minutes(conv_id * 7919 % 525600 + turn) AS sent_at FROM conversations""",
     "replies": """SELECT session_id, seq, content AS question, CASE seq % 5
-        WHEN 0 THEN '```json' || chr(10) || '{"sql": "SELECT role FROM conversations WHERE seq = ' || seq
-            || '", "reasoning": "r", "answer_template": "t"}' || chr(10) || '```'
-        WHEN 1 THEN content || ' SELECT role FROM conversations LIMIT ' || seq || ' as asked'
-        WHEN 2 THEN '{"sql": "SELECT ...", "reasoning": "r"}'
-        WHEN 3 THEN content
-        ELSE '{"reasoning": "r", "sql": "DROP TABLE t' || seq || ' FROM x"}' END AS reply FROM messages""",
+        WHEN 0 THEN '```json' || chr(10) || to_json({'sql': 'SELECT role FROM conversations WHERE text <> ' || chr(39)
+            || replace(coalesce(content, ''), chr(39), chr(39) || chr(39)) || chr(39) || ' AND turn = ' || seq,
+            'reasoning': 'r'})::VARCHAR || chr(10) || '```'
+        WHEN 1 THEN coalesce(content, '') || ' SELECT role FROM conversations LIMIT ' || seq || ' as asked'
+        WHEN 2 THEN to_json({'reasoning': coalesce(content, ''), 'sql': 'SELECT ...'})::VARCHAR
+        WHEN 3 THEN coalesce(content, '')
+        ELSE to_json({'answer': coalesce(content, ''), 'sql': 'DROP TABLE t' || seq || ' FROM x'})::VARCHAR END AS reply FROM messages""",
+    "after_key": """SELECT *, substr(reply, strpos(reply, '"sql":"') + 7) AS body, strpos(reply, '"sql":"') > 0 AS has_key,
+        strpos(lower(reply), ' select ') AS bare_at FROM replies""",
+    "quoted": """SELECT *, split_part(replace(replace(body, repeat(chr(92), 2), repeat(chr(1), 2)), chr(92) || '"', repeat(chr(2), 2)),
+        '"', 1) AS masked, substr(reply, bare_at + 1) AS bare FROM after_key""",
+    "written": """SELECT *, CASE
+        WHEN has_key THEN nullif(trim(json_extract_string('{"v":"' || substr(body, 1, length(masked)) || '"}', '$.v')), '')
+        WHEN bare_at > 0 AND contains(bare, ' LIMIT ')
+            THEN split_part(bare, ' LIMIT ', 1) || ' LIMIT ' || split_part(split_part(bare, ' LIMIT ', 2), ' ', 1)
+        END AS written FROM quoted""",
     "vectors": """SELECT vec_id + 1 AS id, CAST(embedding AS DOUBLE[]) AS vec, CAST(label AS BIGINT) AS label
         FROM embeddings""",
     "dims": "SELECT id, label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM vectors",
     "centres": """SELECT label AS query_id, list(m ORDER BY i) AS q
         FROM (SELECT label, i, avg(x) AS m FROM dims GROUP BY label, i) GROUP BY label""",
     "near": """SELECT query_id, id, round(list_cosine_similarity(vec, q), 6) AS score FROM vectors, centres""",
+    "cell_centres": """SELECT row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) AS cell, vec AS centre FROM vectors
+        QUALIFY cell <= 50""",
+    "in_cell": """SELECT id, vec, cell FROM vectors, cell_centres
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(list_cosine_similarity(vec, centre), 6) DESC, cell) = 1""",
+    "probed": """SELECT query_id, q, cell FROM centres, cell_centres
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, centre), 6) DESC, cell) <= 8""",
+    "ann": """SELECT query_id, id, round(list_cosine_similarity(vec, q), 6) AS score,
+        row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vec, q), 6) DESC, id) AS rank
+        FROM in_cell JOIN probed USING (cell) QUALIFY rank <= 5""",
+    "exact": """SELECT query_id, id FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""",
     "hits": """SELECT query_id, n.id, score, golden_name, mapping_id, r.review_code, review_key, rating, sentiment,
         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n.id, mapping_id) AS rank
         FROM near n JOIN reviews r ON r.review_id = n.id LEFT JOIN mapping m ON m.review_code = r.review_code
@@ -366,9 +400,7 @@ CTES: dict[str, str] = {
     "term_all": """SELECT side, doc, members, unnest(t) AS term FROM term_words UNION ALL
         SELECT side, doc, members, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))
         FROM term_words""",
-    "vocabulary": """SELECT term FROM term_all GROUP BY term ORDER BY sum(members) DESC, term LIMIT 5000""",
-    "term_tf": """SELECT side, doc, members, term, count(*) AS tf FROM term_all SEMI JOIN vocabulary USING (term)
-        GROUP BY ALL""",
+    "term_tf": "SELECT side, doc, members, term, count(*) AS tf FROM term_all GROUP BY ALL",
     "term_idf": """SELECT term, ln((1 + (SELECT sum(members) FROM term_docs)) / (1 + sum(members))) + 1 AS idf
         FROM term_tf GROUP BY term""",
     "term_u": """SELECT side, doc, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY side, doc)) AS u
@@ -376,9 +408,10 @@ CTES: dict[str, str] = {
     "term_best": """SELECT r.doc AS review_key, n.doc AS product_idx, round(sum(r.u * n.u), 6) AS score
         FROM term_u r JOIN term_u n USING (term) WHERE r.side = 'r' AND n.side = 'n' GROUP BY r.doc, n.doc
         QUALIFY row_number() OVER (PARTITION BY r.doc ORDER BY round(sum(r.u * n.u), 6) DESC, n.doc) = 1""",
-    "distinct_names": "SELECT rep, name, 1 AS members FROM prod_names",
+    "full_names": "SELECT p_partkey AS idx, upper(p_name || ' ' || p_type) AS name FROM part",
+    "distinct_names": "SELECT min(idx) AS rep, name, 1 AS members FROM full_names GROUP BY name",
     **cosine_ctes("distinct_names", "distinct_names", 2, "lone_"),
-    "lone_best": best_cosine("lone_", 0.25, skip_self=True),
+    "lone_best": best_cosine("lone_", FULL_NAME_THRESHOLD, skip_self=True),
     "sorted_names": """SELECT idx, coalesce(array_to_string(list_sort(list_filter(
         string_split_regex(product_name, '\\s+'), lambda x: x <> '')), ' '), '') AS key FROM products""",
     "keys": "SELECT key, min(idx) AS rep, count(*) AS members FROM sorted_names GROUP BY key",
@@ -397,16 +430,13 @@ CTES: dict[str, str] = {
         SELECT a, b, round(ratio / 100, 4) FROM (SELECT * FROM ratios WHERE members = 1
           QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(ratio, 9) DESC, b) = 1)
         WHERE ratio >= 80 - 1e-9 AND b < a""",
-    "fuzzy_mapping": """SELECT p.idx + 1 AS mapping_id, product_id, product_name,
+    "mapping": """SELECT p.idx + 1 AS mapping_id, product_id, product_name,
         printf('REV_%04d', coalesce(h.match_idx, f.match_idx, t.match_idx, p.idx) % 1000 + 1) AS review_code, category,
         product_name AS golden_name, coalesce(h.score, f.score, t.score, CAST(0 AS DOUBLE)) AS match_score,
         CASE WHEN h.idx IS NOT NULL THEN 'hard' WHEN f.idx IS NOT NULL THEN 'fuzzy'
              WHEN t.idx IS NOT NULL THEN 'tfidf' ELSE 'rank' END AS match_strategy
         FROM products p LEFT JOIN hard h ON h.idx = p.idx LEFT JOIN fuzzy f ON f.idx = p.idx
         LEFT JOIN tfidf t ON t.idx = p.idx""",
-    "placeholders": "SELECT idx AS rep, 'Product ' || (idx + 1) AS name, 1 AS members FROM products",
-    **cosine_ctes("prod_names", "placeholders", 1, "slot_"),
-    "slot_best": best_cosine("slot_", 0.10),
     "report": " UNION ALL ".join(
         [
             rules_sql("sales", "sales", SALES_RULES),
@@ -492,12 +522,6 @@ def orphan_row(name: str, child: str, key: str, parent: str, parent_key: str) ->
 
 AHEAD = "FROM holt, (SELECT unnest([1, 2, 3]) AS step)"
 RMSE = "sqrt(sse / n)"
-WRITTEN = r"""coalesce(
-    nullif(trim(replace(replace(regexp_extract(block, '"sql"\s*:\s*"(.*?)",\s*"(?:reasoning|answer)', 1, 's'),
-        '\"', '"'), '\n', chr(10))), ''),
-    nullif(trim(CASE WHEN json_valid(block) THEN json_extract_string(block, '$.sql') END), ''),
-    nullif(trim(replace(regexp_extract(reply, '(SELECT\b.+?(?:LIMIT\s+\d+\s*;?|;\s*$))', 1, 'si'), '\"', '"')), ''))"""
-
 MAIN: dict[str, str] = {
     "clean_sales": """SELECT invoice_no, product_id, description, quantity, CAST(unit_cents AS DOUBLE) / 100 AS unit_price,
         CAST(revenue AS DOUBLE) AS revenue, CAST(margin AS DOUBLE) AS margin, invoice_ts, customer_id, country FROM sales""",
@@ -512,8 +536,8 @@ MAIN: dict[str, str] = {
             count_row("customers", "customers", 3),
             count_row("mapping", "mapping", 8),
             count_row("sales", "sales", 10),
-            count_row("reviews", "reviews", 6),
-            count_row("conversations", "conversations", 4),
+            count_row("reviews", "reviews", 7),
+            count_row("conversations", "conversations", 5),
             count_row("embeddings", "embeddings", 3),
         ]
     ),
@@ -536,6 +560,10 @@ MAIN: dict[str, str] = {
         ]
     ),
     "product_kpi": f"SELECT {KPI_COLUMNS} FROM product_kpi",
+    "product_kpi_poc": f"SELECT {KPI_COLUMNS} FROM kpi_poc",
+    "product_alerts_poc": """SELECT product_id, product_name, category, revenue, avg_rating, reviews, negative, quantity,
+        CASE WHEN avg_rating < 3.0 AND quantity > 50 THEN 'CRITIQUE'
+             WHEN avg_rating < 3.5 THEN 'A_SURVEILLER' ELSE 'OK' END AS status FROM kpi_poc WHERE reviews > 0""",
     "product_kpi_exact": f"""SELECT m.product_id, m.golden_name AS product_name, m.category,
         {dbl('coalesce(s.revenue, 0)')} AS revenue, {dbl('coalesce(s.margin, 0)')} AS margin,
         {big('coalesce(s.quantity, 0)')} AS quantity, r.avg_rating, coalesce(r.reviews, 0) AS reviews,
@@ -651,6 +679,10 @@ MAIN: dict[str, str] = {
     "worst_rated_products": f"""SELECT {ALERT_ROW} FROM alerts WHERE status IN ('CRITIQUE', 'A_SURVEILLER')
         ORDER BY avg_rating, product_id LIMIT 10""",
     "customer_satisfaction": f"""SELECT k.customer_id, k.name, k.country, k.revenue, k.orders, k.avg_basket,
+        coalesce({mean2('sum(CAST(r.rating * 100 AS BIGINT))', 'count(r.rating)')}, 0) AS avg_rating
+        FROM customer_kpi k JOIN sales s USING (customer_id) JOIN mapping m USING (product_id)
+        JOIN reviews r USING (review_code) GROUP BY k.customer_id, k.name, k.country, k.revenue, k.orders, k.avg_basket""",
+    "customer_satisfaction_top": f"""SELECT k.customer_id, k.name, k.country, k.revenue, k.orders, k.avg_basket,
         coalesce({mean2('sum(CAST(r.rating * 100 AS BIGINT))', 'count(r.rating)')}, 0) AS avg_rating
         FROM customer_kpi k JOIN sales s USING (customer_id) JOIN mapping m USING (product_id)
         JOIN reviews r USING (review_code) GROUP BY k.customer_id, k.name, k.country, k.revenue, k.orders, k.avg_basket
@@ -694,17 +726,13 @@ MAIN: dict[str, str] = {
     "fuzzy_match_distinct": """SELECT a AS idx, b AS match_idx, round(ratio / 100, 4) AS score FROM (
         SELECT * FROM ratios QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(ratio, 9) DESC, b) = 1)
         WHERE ratio >= 80 - 1e-9 AND b < a""",
-    "golden_records_fuzzy": "SELECT * FROM fuzzy_mapping",
+    "golden_records_words": "SELECT * FROM words_mapping",
     "tfidf_match": "SELECT idx, match_idx, score FROM tfidf",
     "tfidf_match_other": "SELECT a AS idx, b AS match_idx, round(c, 4) AS score FROM lone_best",
-    "tfidf_match_placeholder": """SELECT p.idx, b AS match_idx, round(c, 4) AS score FROM products p
-        JOIN prod_names d ON p.product_name = d.name JOIN slot_best ON a = d.rep""",
     "rank_match": """SELECT idx, product_id, printf('REV_%04d', idx % 1000 + 1) AS review_code,
         CAST(0 AS DOUBLE) AS score FROM products""",
     "golden_records": "SELECT * FROM mapping",
-    "golden_records_poc": """SELECT idx + 1 AS mapping_id, product_id, product_name,
-        printf('REV_%04d', idx % 1000 + 1) AS review_code, category, product_name AS golden_name,
-        CAST(0 AS DOUBLE) AS match_score, 'rank' AS match_strategy FROM products""",
+    "golden_records_poc": "SELECT * FROM mapping_poc",
     "match_quality": """SELECT match_strategy, count(*) AS mappings,
         round(100.0 * count(*) / (SELECT count(*) FROM mapping), 1) AS share_pct,
         round(avg(match_score), 4) AS mean_score FROM mapping GROUP BY 1""",
@@ -714,7 +742,7 @@ MAIN: dict[str, str] = {
         SELECT l.a AS idx, l.b AS match_idx, round(l.c, 4) AS cosine,
           round(0.6::DOUBLE * round(l.c, 4) + 0.4::DOUBLE * (1 - levenshtein(x.name, y.name)::DOUBLE
             / greatest(length(x.name), length(y.name), 1)), 4) AS hybrid_score
-        FROM lone_best l JOIN prod_names x ON x.rep = l.a JOIN prod_names y ON y.rep = l.b)""",
+        FROM lone_best l JOIN distinct_names x ON x.rep = l.a JOIN distinct_names y ON y.rep = l.b)""",
     "mapping_history": f"""
         SELECT product_id, o.review_code, o.golden_name, o.match_score, o.match_strategy,
           TIMESTAMP '{HISTORY_FROM}' AS valid_from,
@@ -727,11 +755,8 @@ MAIN: dict[str, str] = {
           TIMESTAMP '{HISTORY_AS_OF}', NULL
         FROM mapping m JOIN products p USING (product_id)
         WHERE NOT (m.match_strategy = 'rank' AND m.review_code = printf('REV_%04d', p.idx % 1000 + 1))""",
-    "attach_reviews_rr": "SELECT review_key, review_code, review_id FROM reviews",
-    "attach_reviews_tfidf": """SELECT r.review_key, coalesce(b.product_idx, 0) AS product_idx,
-        coalesce(b.score, 0) AS score, m.review_code FROM raw_reviews r
-        LEFT JOIN (SELECT * FROM term_best WHERE score > 0) b USING (review_key)
-        JOIN mapping m ON m.mapping_id = coalesce(b.product_idx, 0) + 1""",
+    "attach_reviews_rr": "SELECT review_key, review_code, review_id FROM dealt",
+    "attach_reviews_tfidf": "SELECT review_key, product_idx, score, review_code FROM linked",
     "semantic_assign": """WITH best AS (SELECT id, query_id, score FROM near
           QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, query_id) = 1),
         common AS (SELECT query_id FROM best WHERE score >= 0.30 GROUP BY 1 ORDER BY count(*) DESC, min(id) LIMIT 1)
@@ -789,17 +814,22 @@ MAIN: dict[str, str] = {
         CAST(CAST(round(CAST(similarity AS DECIMAL(10,6)), 2) AS DECIMAL(4,2)) AS VARCHAR),
         substr(review_text, 1, 200)) AS line FROM found f JOIN raw_reviews USING (review_key)""",
     "unindexed_reviews": "SELECT review_id, review_key FROM reviews WHERE review_id NOT IN (SELECT id FROM vectors)",
-    "embedding_upsert": """SELECT id, 'existing' AS origin, len(vec)::BIGINT AS dims FROM vectors UNION ALL
-        SELECT review_id, 'new', 64 FROM reviews WHERE review_id NOT IN (SELECT id FROM vectors)""",
+    "ann_search": "SELECT query_id, id, score, rank FROM ann",
+    "ann_recall": """SELECT e.query_id, count(*) AS wanted, count(a.id) AS found, round(count(a.id) / count(*), 4) AS recall
+        FROM exact e LEFT JOIN ann a ON a.query_id = e.query_id AND a.id = e.id GROUP BY 1""",
+    "embedding_upsert": "SELECT id, round(unnest(vec), 4) + 0 AS value FROM vectors",
+    "embedding_upsert_new": """SELECT review_id AS id, CAST(64 AS BIGINT) AS dims,
+        CASE WHEN regexp_matches(coalesce(review_text, ''), '\\S') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
+        FROM reviews WHERE review_id NOT IN (SELECT id FROM vectors)""",
     "name_lookup": f"""SELECT term, product_name, count(*) AS products FROM products
         JOIN (SELECT DISTINCT unnest({KEYWORDS.format('product_name')}) AS term FROM products)
           ON product_name ILIKE '%' || term || '%' GROUP BY ALL""",
-    "recent_messages": """SELECT * FROM messages
+    "recent_messages": """SELECT session_id, seq, role, content FROM messages
         QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 3""",
-    "session_summary": """SELECT session_id, count(*) AS messages, min(seq) AS first_seq, max(seq) AS last_seq
+    "session_summary": """SELECT session_id, count(*) AS messages, min(sent_at) AS first_at, max(sent_at) AS last_at
         FROM messages GROUP BY 1""",
-    "latest_sessions": """SELECT session_id, count(*) AS messages, min(seq) AS first_seq, max(seq) AS last_seq
-        FROM messages GROUP BY 1 ORDER BY last_seq DESC, session_id LIMIT 50""",
+    "latest_sessions": """SELECT session_id, count(*) AS messages, min(sent_at) AS first_at, max(sent_at) AS last_at
+        FROM messages GROUP BY 1 ORDER BY last_at DESC, session_id LIMIT 50""",
     "route_questions": f"""SELECT session_id, seq,
         {case_rules('lower(content)', QUESTION_RULES, DEFAULT_QUESTION)} AS template,
         {any_word('lower(content)', FORCED_QUESTION_WORDS)} AS forced FROM messages""",
@@ -811,24 +841,26 @@ MAIN: dict[str, str] = {
         FROM (SELECT *, {any_word('lower(question)', FORCED_QUESTION_WORDS)} AS forced,
             coalesce(written NOT IN ('', '...', 'SELECT ...', 'SELECT…')
                      AND regexp_matches(written, '\\bFROM\\b', 'i'), false) AS usable
-          FROM (SELECT *, {WRITTEN} AS written
-            FROM (SELECT *, regexp_extract(replace(regexp_replace(reply, '```\\w*\\s*', '', 'g'), '```', ''),
-                  '\\{{.*\\}}', 0, 's') AS block FROM replies)))""",
+          FROM written)""",
     "flag_unsafe_sql": f"""SELECT session_id, seq,
         coalesce(regexp_matches(reply, '\\b({'|'.join(UNSAFE_WORDS)})\\b', 'i'), false) AS unsafe FROM replies""",
 }
 
 
 def needed(sql: str) -> list[str]:
-    """The named relations ``sql`` builds on, in the order of their definition."""
-    wanted: set[str] = set()
-    todo = [sql]
-    while todo:
-        names = set(re.findall(r"\w+", todo.pop()))
-        for name in names & CTES.keys() - wanted:
-            wanted.add(name)
-            todo.append(CTES[name])
-    return [name for name in CTES if name in wanted]
+    """The named relations ``sql`` builds on, each after those it builds on itself."""
+    order: list[str] = []
+    begun: set[str] = set()
+
+    def visit(text: str) -> None:
+        for name in [n for n in CTES if n in set(re.findall(r"\w+", text))]:
+            if name not in begun:
+                begun.add(name)
+                visit(CTES[name])
+                order.append(name)
+
+    visit(sql)
+    return order
 
 
 def oracle(name: str) -> str:

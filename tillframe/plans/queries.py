@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SAMPLE_ROWS = 500
+FULL_NAME_THRESHOLD = 0.25
 CHECK_NOW = "2024-01-01 00:00:00"
 RULES_NOW = "2000-01-01 00:00:00"
 RANGE = ("1996-01-01", "1999-12-31")
@@ -132,6 +133,16 @@ def product_kpi_exact(w: Warehouse) -> DataFrame:
     return marts.product_kpi_exact(w.mapping, w.sales, w.reviews)
 
 
+@query
+def product_kpi_poc(w: Warehouse) -> DataFrame:
+    return marts.product_kpi(w.mapping_poc, w.sales, w.reviews_poc)
+
+
+@query
+def product_alerts_poc(w: Warehouse) -> DataFrame:
+    return marts.product_alerts(marts.product_kpi(w.mapping_poc, w.sales, w.reviews_poc))
+
+
 @query
 def customer_kpi(w: Warehouse) -> DataFrame:
     return marts.customer_kpi(w.customers, w.sales, w.mapping, w.reviews, w.product_rows)
@@ -313,7 +324,12 @@ def worst_rated_products(w: Warehouse) -> DataFrame:
 
 @query
 def customer_satisfaction(w: Warehouse) -> DataFrame:
-    return reports.customer_satisfaction(w.customer_kpi, w.sales, w.mapping, w.reviews, mapping_rows=w.product_rows)
+    return reports.customer_satisfaction(w.customer_kpi, w.sales, w.mapping, w.reviews, None, w.product_rows)
+
+
+@query
+def customer_satisfaction_top(w: Warehouse) -> DataFrame:
+    return reports.customer_satisfaction(w.customer_kpi, w.sales, w.mapping, w.reviews, 200, w.product_rows)
 
 
 # --- data quality ---------------------------------------------------------------------
@@ -342,8 +358,7 @@ def dq_sales(w: Warehouse) -> DataFrame:
 
 def _reviews_with_text(w: Warehouse) -> DataFrame:
     """Review facts next to a stand-in that is null where the text is: the rules ask for no more."""
-    present = F.when(F.col("text").isNotNull(), F.lit("")).alias("review_text")
-    return w.reviews.join(w.texts.select(F.col("id").alias("review_key"), present), "review_key")
+    return w.reviews.withColumn("review_text", F.when(F.col("has_text"), F.lit("")))
 
 
 @query
@@ -377,8 +392,14 @@ def _names(w: Warehouse) -> DataFrame:
     return w.products.select("idx", F.col("product_name").alias("name"))
 
 
+def _full_names(w: Warehouse) -> DataFrame:
+    """Catalogue names of many distinct values: name and type of each part."""
+    full = F.upper(F.concat_ws(" ", "p_name", "p_type"))
+    return w.table("part").select(F.col("p_partkey").alias("idx"), full.alias("name"))
+
+
 def _distinct_names(w: Warehouse) -> DataFrame:
-    return _names(w).groupBy("name").agg(F.min("idx").alias("idx"))
+    return _full_names(w).groupBy("name").agg(F.min("idx").alias("idx"))
 
 
 @query
@@ -393,6 +414,12 @@ def fuzzy_match(w: Warehouse) -> DataFrame:
 
 @query
 def fuzzy_match_distinct(w: Warehouse) -> DataFrame:
+    short = _names(w).groupBy("name").agg(F.min("idx").alias("idx"))
+    return matching.fuzzy_match(short.withColumnRenamed("name", "product_name"))
+
+
+@query
+def fuzzy_match_full(w: Warehouse) -> DataFrame:
     return matching.fuzzy_match(_distinct_names(w).withColumnRenamed("name", "product_name"))
 
 
@@ -403,13 +430,7 @@ def tfidf_match(w: Warehouse) -> DataFrame:
 
 @query
 def tfidf_match_other(w: Warehouse) -> DataFrame:
-    return matching.tfidf_match(_distinct_names(w), include_self=False)
-
-
-@query
-def tfidf_match_placeholder(w: Warehouse) -> DataFrame:
-    placeholder = F.concat(F.lit("Product "), (F.col("idx") + 1).cast("string")).alias("name")
-    return matching.tfidf_match(_names(w), w.products.select("idx", placeholder), threshold=0.10)
+    return matching.tfidf_match(_distinct_names(w), threshold=FULL_NAME_THRESHOLD, include_self=False)
 
 
 @query
@@ -419,12 +440,12 @@ def rank_match(w: Warehouse) -> DataFrame:
 
 @query
 def golden_records(w: Warehouse) -> DataFrame:
-    return matching.golden_records(w.products, use_fuzzy=False)
+    return matching.golden_records(w.products)
 
 
 @query
-def golden_records_fuzzy(w: Warehouse) -> DataFrame:
-    return matching.golden_records(w.products)
+def golden_records_words(w: Warehouse) -> DataFrame:
+    return matching.golden_records(w.products, use_fuzzy=False)
 
 
 @query
@@ -440,7 +461,7 @@ def match_quality(w: Warehouse) -> DataFrame:
 @query
 def hybrid_match(w: Warehouse) -> DataFrame:
     distinct = _distinct_names(w).withColumnRenamed("name", "product_name")
-    return matching.hybrid_match(distinct)
+    return matching.hybrid_match(distinct, FULL_NAME_THRESHOLD)
 
 
 @query
@@ -623,13 +644,13 @@ def review_snippets(w: Warehouse) -> DataFrame:
 
 @query
 def ann_search(w: Warehouse) -> DataFrame:
-    return search.ann_search(w.vectors, _centroids(w))
+    return search.ann_search(*w.vector_index, _centroids(w))
 
 
 @query
 def ann_recall(w: Warehouse) -> DataFrame:
     queries = _centroids(w)
-    return search.search_recall(search.top_k(w.vectors, queries, search.K), search.ann_search(w.vectors, queries))
+    return search.search_recall(search.top_k(w.vectors, queries, search.K), search.ann_search(*w.vector_index, queries))
 
 
 @query
@@ -640,7 +661,16 @@ def unindexed_reviews(w: Warehouse) -> DataFrame:
 @query
 def embedding_upsert(w: Warehouse) -> DataFrame:
     table = search.embedding_upsert(w.vectors, w.reviews, w.texts)
-    return table.select("id", "origin", F.size("vec").cast("long").alias("dims"))
+    values = F.transform("vec", lambda x: F.round(x.cast("double"), 4) + 0)
+    return table.where("origin = 'existing'").select("id", F.explode(values).alias("value"))
+
+
+@query
+def embedding_upsert_new(w: Warehouse) -> DataFrame:
+    """The vectors of newly encoded reviews have length one, or zero without words."""
+    table = search.embedding_upsert(w.vectors, w.reviews, w.texts).where("origin = 'new'")
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return table.select("id", F.size("vec").cast("long").alias("dims"), F.round(norm, 4).alias("norm"))
 
 
 @query
@@ -676,17 +706,14 @@ def route_analysis(w: Warehouse) -> DataFrame:
 
 def _replies(w: Warehouse) -> DataFrame:
     """A reply per message in one of five written forms, as a language model gives them."""
-    place = F.col("seq").cast("string")
+    place, said = F.col("seq").cast("string"), F.coalesce("content", F.lit(""))
+    quoted = F.concat(F.lit("SELECT role FROM conversations WHERE text <> '"), F.replace(said, F.lit("'"), F.lit("''")), F.lit("' AND turn = "), place)
     forms = [
-        F.concat(
-            F.lit('```json\n{"sql": "SELECT role FROM conversations WHERE seq = '),
-            place,
-            F.lit('", "reasoning": "r", "answer_template": "t"}\n```'),
-        ),
-        F.concat(F.col("content"), F.lit(" SELECT role FROM conversations LIMIT "), place, F.lit(" as asked")),
-        F.lit('{"sql": "SELECT ...", "reasoning": "r"}'),
-        F.col("content"),
-        F.concat(F.lit('{"reasoning": "r", "sql": "DROP TABLE t'), place, F.lit(' FROM x"}')),
+        F.concat(F.lit("```json\n"), F.to_json(F.struct(quoted.alias("sql"), F.lit("r").alias("reasoning"))), F.lit("\n```")),
+        F.concat(said, F.lit(" SELECT role FROM conversations LIMIT "), place, F.lit(" as asked")),
+        F.to_json(F.struct(said.alias("reasoning"), F.lit("SELECT ...").alias("sql"))),
+        said,
+        F.to_json(F.struct(said.alias("answer"), F.concat(F.lit("DROP TABLE t"), place, F.lit(" FROM x")).alias("sql"))),
     ]
     reply = forms[-1]
     for i, form in enumerate(forms[:-1]):

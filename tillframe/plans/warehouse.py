@@ -12,7 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillframe.operators import cleaning, marts, matching
+from tillframe.functions.ordering import with_position
+from tillframe.operators import cleaning, marts, matching, search
 from tillframe.operators.analytics import CUSTOMER_METRICS, Clusters
 from tillframe.operators.churn import ChurnModel, churn_labels, customer_rfm_base
 from tillframe.session import tune
@@ -57,13 +58,40 @@ class Warehouse:
 
     @cached_property
     def mapping(self) -> DataFrame:
-        return materialize(matching.golden_records(self.products, use_fuzzy=False), "mapping")
+        """Products by exact code, then edit similarity, then n-grams, then rank."""
+        return materialize(matching.golden_records(self.products), "mapping")
 
     @cached_property
     def reviews(self) -> DataFrame:
-        """Review facts without their texts."""
-        facts = cleaning.clean_reviews(self.raw_reviews).select("review_key", "sentiment", "rating", "review_ts")
-        return materialize(matching.attach_reviews_rr(facts, self.mapping), "reviews")
+        """Review facts without their texts, linked to products by the words of the whole text."""
+        linked = matching.attach_reviews_tfidf(self.raw_reviews, self.mapping).select("review_key", "review_code")
+        return materialize(self.review_facts.join(linked, "review_key"), "reviews")
+
+    @cached_property
+    def reviews_poc(self) -> DataFrame:
+        """The same facts, dealt out to the products in turn."""
+        return materialize(matching.attach_reviews_rr(self.review_facts.drop("review_id"), self.mapping_poc), "reviews-poc")
+
+    @cached_property
+    def mapping_poc(self) -> DataFrame:
+        return materialize(matching.golden_records(self.products, strategy="poc"), "mapping-poc")
+
+    @cached_property
+    def review_facts(self) -> DataFrame:
+        """Facts by review, numbered from 1 in the order of their keys."""
+        cleaned = cleaning.clean_reviews(self.raw_reviews)
+        facts = cleaned.select("review_key", "sentiment", "rating", "review_ts", F.col("review_text").isNotNull().alias("has_text"))
+        placed = with_position(facts, ["review_key"], "review_id")
+        return materialize(placed.withColumn("review_id", F.col("review_id") + 1), "review-facts")
+
+    @cached_property
+    def vector_index(self) -> tuple[DataFrame, DataFrame]:
+        return search.build_index(self.vectors)
+
+    @cached_property
+    def churn_scores(self) -> DataFrame:
+        """Customers with the probability of the model, scored once."""
+        return materialize(self.churn_model.scored.drop("features", "rawPrediction", "probability"), "churn-scores")
 
     @cached_property
     def texts(self) -> DataFrame:

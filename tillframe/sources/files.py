@@ -29,23 +29,23 @@ REVIEW_SCHEMA = T.StructType(
         T.StructField("translate", T.StringType()),
     ]
 )
-# Default sample sizes and seed; 0 keeps everything.
-SALES_SAMPLE, REVIEW_SAMPLE, SEED = 50_000, 1_000, 42
+SEED = 42
 
 
-def load_sales(spark: SparkSession, path: str, sample_size: int = SALES_SAMPLE, seed: int = SEED) -> DataFrame:
+def load_sales(spark: SparkSession, path: str, sample_size: int = 0, seed: int = SEED) -> DataFrame:
     """Invoice lines with canonical column names; an exact sample unless ``sample_size`` is 0."""
     raw = spark.read.schema(SALES_SCHEMA).option("header", True).option("encoding", "UTF-8").csv(path)
     return sample_n(rename_sales(raw), sample_size, seed)
 
 
 def load_reviews(
-    spark: SparkSession, path: str, n: int = REVIEW_SAMPLE, seed: int = SEED, json_lines: bool = False
+    spark: SparkSession, path: str, n: int = 0, seed: int = SEED, json_lines: bool = True
 ) -> DataFrame:
-    """Reviews as ``review_key``, ``review_text`` and ``sentiment_flag``.
+    """Reviews as ``review_key``, ``review_text`` and ``sentiment_flag``; a sample unless ``n`` is 0.
 
-    A file holding one JSON array is read whole by one task; large inputs should
-    be JSON lines, which are split.
+    JSON lines are split over tasks. A file that holds one JSON array
+    (``json_lines=False``) is parsed by one task: convert it once with
+    ``json_array_to_lines`` if it is large.
     """
     raw = spark.read.schema(REVIEW_SCHEMA).option("multiLine", not json_lines).json(path)
     texts = raw.select(
@@ -57,5 +57,12 @@ def load_reviews(
     return with_position(picked, order, "review_key")
 
 
+def json_array_to_lines(spark: SparkSession, path: str, target: str) -> None:
+    """Write a file of one JSON array as JSON lines, spread over files."""
+    spark.read.schema(REVIEW_SCHEMA).option("multiLine", True).json(path).repartition(
+        spark.sparkContext.defaultParallelism
+    ).write.mode("overwrite").json(target)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
