@@ -95,8 +95,8 @@ def test_radar(spark):
 
 def test_clusters(spark):
     data = [(str(i), float(i % 2) * 100 + i * 0.01, float(i % 2)) for i in range(60)]
-    clusters = analytics.Clusters(spark.createDataFrame(data, "id string, a double, b double"), "id", ["a", "b"])
-    assert clusters.k == 3
+    clusters = analytics.Clusters(spark.createDataFrame(data, "id string, a double, b double"), "id", ["a", "b"], k=3)
+    assert {r.cluster for r in clusters.labelled.select("cluster").distinct().collect()} == {0, 1, 2}
     labelled = clusters.labelled.collect()
     assert len(labelled) == 60 and len({r.id for r in labelled}) == 60
     # points of the two far groups never share a cluster

@@ -32,6 +32,41 @@ def test_query_without_sql_runs(spark, name):
     assert df.columns and df.count() >= 0
 
 
+@needs_data
+def test_churn_scores(spark):
+    """What holds for any good model, on the driver's tables."""
+    q = entry.queries()
+    base = {r.customer_id for r in q["churn_labels"](spark, FOLDER).collect()}
+    risk = q["churn_risk"](spark, FOLDER).collect()
+    assert sorted(r.customer_id for r in risk) == sorted(base)
+    for r in risk:
+        assert 0 <= r.churn_probability <= 1 and (r.risk is None) == (r.churn_probability <= 0)
+    order = [r.risk for r in sorted(risk, key=lambda r: r.churn_probability) if r.risk]
+    assert all(order.index(b) + order.count(b) - 1 == len(order) - 1 - order[::-1].index(b) for b in set(order))  # bands do not mix
+    top = q["churn_top_risk"](spark, FOLDER).collect()
+    assert {r.customer_id for r in top} <= base and len(top) <= 20
+    assert sum(r.customers for r in q["churn_histogram"](spark, FOLDER).collect()) == len(base)
+    quality = q["churn_model"](spark, FOLDER).collect()
+    assert sum(r.rows for r in quality) == len(base) and all(0 <= r.accuracy <= 1 for r in quality)
+    assert abs(sum(r.importance for r in q["feature_importance"](spark, FOLDER).collect()) - 1) < 1e-6
+
+
+@needs_data
+def test_clusters_cover_the_customers(spark):
+    q = entry.queries()
+    rows = q["customer_clusters"](spark, FOLDER).collect()
+    assert len({r.customer_id for r in rows}) == len(rows) and {r.cluster for r in rows} <= set(range(4))
+    profile = {r.cluster: r["rows"] for r in q["cluster_profile"](spark, FOLDER).collect()}
+    assert profile == {c: sum(r.cluster == c for r in rows) for c in profile}
+    assert all(r.dispersion >= 0 for r in q["cluster_importance"](spark, FOLDER).collect())
+
+
+@needs_data
+def test_full_names_match_only_earlier_ones(spark):
+    rows = entry.queries()["fuzzy_match_full"](spark, FOLDER).collect()
+    assert rows and all(r.match_idx < r.idx and 0.8 <= r.score <= 1 for r in rows)
+
+
 @needs_data
 def test_entry(spark):
     assert "status" in entry.entry(spark).columns

@@ -109,7 +109,8 @@ class ChurnModel:
             labelCol="churned", featuresCol="features", weightCol="weight", numTrees=trees, seed=seed
         )
         self.model = forest.fit(training.withColumn("weight", weight))
-        self.scored = self.model.transform(rows).withColumn("probability_1", vector_to_array("probability")[1])
+        scored = self.model.transform(rows).withColumn("probability_1", vector_to_array("probability")[1])
+        self.scored = materialize(scored.drop("features", "probability"), "churn-scores")  # every report reads these
 
     def quality(self) -> DataFrame:
         """Rows, accuracy and area under the curve for both parts of the split.

@@ -41,6 +41,14 @@ def monthly_series(sales: DataFrame, customers: DataFrame) -> DataFrame:
     return both.select("series", "month", F.col("r").cast("double").alias("value"))
 
 
+def product_series(sales: DataFrame, products: DataFrame, key: str) -> DataFrame:
+    """Revenue per month and ``key``: ``product_id`` or ``category``. Lines are summed per product before the join."""
+    monthly = sales.groupBy("product_id", period_start("month").alias("month")).agg(F.sum("revenue").alias("r"))
+    if key != "product_id":
+        monthly = monthly.join(products.select("product_id", key), "product_id").groupBy(key, "month").agg(F.sum("r").alias("r"))
+    return monthly.select(F.col(key).alias("series"), "month", F.col("r").cast("double").alias("value"))
+
+
 def _two(c: Column) -> Column:
     return F.round(c.cast("decimal(28,6)"), 2).cast("double")
 

@@ -487,13 +487,13 @@ def score_sql() -> str:
         FROM (SELECT product_id, product_name, category, {rounded(total, 3)} AS score FROM product_kpi WHERE reviews > 0)"""
 
 
-def radar_sql() -> str:
+def radar_sql(rows: str) -> str:
     def share(c: str) -> str:
         ratio = rounded(f"CAST({c} AS DOUBLE) / max({c}) OVER ()", 4)
         return f"CASE WHEN max({c}) OVER () > 0 THEN {ratio} ELSE 0 END AS {c}"
 
     picked = ", ".join(share(c) for c in ("revenue", "margin", "quantity", "avg_rating", "reviews"))
-    return f"SELECT product_id, {picked} FROM product_kpi"
+    return f"SELECT product_id, {picked} FROM {rows}"
 
 
 def transposed_sql() -> str:
@@ -511,6 +511,15 @@ def transposed_sql() -> str:
     )
 
 
+def linear_sql(rows: str) -> str:
+    return f"""SELECT series, last + to_months(step) AS month,
+        {dec2('intercept + slope * (n - 1 + step)')} AS forecast FROM (
+          SELECT series, regr_slope(value, t) AS slope, regr_intercept(value, t) AS intercept, count(*) AS n,
+            max(month) AS last
+          FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS t FROM {rows}) GROUP BY series
+        ), (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS step) WHERE n >= 3"""
+
+
 def count_row(name: str, table: str, columns: int) -> str:
     return f"SELECT '{name}' AS table_name, count(*) AS rows, {columns}::BIGINT AS columns FROM {table}"
 
@@ -789,13 +798,13 @@ MAIN: dict[str, str] = {
           + 1, 30) AS BIGINT) AS bin, count(*) AS customers, min(recency_days) AS min_days, max(recency_days) AS max_days
         FROM rfm_base, (SELECT min(recency_days) AS lo, max(recency_days) AS hi FROM rfm_base) GROUP BY 1""",
     "product_score": score_sql(),
-    "radar_metrics": radar_sql(),
-    "linear_forecast": f"""SELECT series, last + to_months(step) AS month,
-        {dec2('intercept + slope * (n - 1 + step)')} AS forecast FROM (
-          SELECT series, regr_slope(value, t) AS slope, regr_intercept(value, t) AS intercept, count(*) AS n,
-            max(month) AS last
-          FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS t FROM series) GROUP BY series
-        ), (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS step) WHERE n >= 3""",
+    "radar_metrics": radar_sql(f"(SELECT * FROM product_kpi WHERE product_id IN {BEST_FOUR})"),
+    "radar_catalogue": radar_sql("product_kpi"),
+    "linear_forecast": linear_sql("series"),
+    "category_forecast": linear_sql(f"""(SELECT category AS series, date_trunc('month', invoice_ts) AS month,
+        {dbl('sum(revenue)')} AS value FROM sales JOIN products USING (product_id) GROUP BY ALL)"""),
+    "product_forecast": linear_sql(f"""(SELECT product_id AS series, date_trunc('month', invoice_ts) AS month,
+        {dbl('sum(revenue)')} AS value FROM sales GROUP BY ALL)"""),
     "holt_forecast": f"""SELECT series, last + to_months(CAST(step AS INTEGER)) AS month, alpha, beta,
         {dec2('level + step * trend')} AS forecast,
         {dec2(f'greatest(level + step * trend - 1.96::DOUBLE * {RMSE}, 0)')} AS lower,

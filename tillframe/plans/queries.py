@@ -601,6 +601,12 @@ def product_score(w: Warehouse) -> DataFrame:
 
 @query
 def radar_metrics(w: Warehouse) -> DataFrame:
+    """The compared products, each metric over the largest among them."""
+    return analytics.radar_metrics(_compared(w))
+
+
+@query
+def radar_catalogue(w: Warehouse) -> DataFrame:
     return analytics.radar_metrics(w.product_kpi)
 
 
@@ -613,6 +619,16 @@ def linear_forecast(w: Warehouse) -> DataFrame:
     return forecast.linear_forecast(_series(w))
 
 
+@query
+def category_forecast(w: Warehouse) -> DataFrame:
+    return forecast.linear_forecast(forecast.product_series(w.sales, w.products, "category"))
+
+
+@query
+def product_forecast(w: Warehouse) -> DataFrame:
+    return forecast.linear_forecast(forecast.product_series(w.sales, w.products, "product_id"))
+
+
 @query
 def holt_forecast(w: Warehouse) -> DataFrame:
     return forecast.holt_forecast(_series(w))

@@ -88,11 +88,6 @@ class Warehouse:
     def vector_index(self) -> tuple[DataFrame, DataFrame]:
         return search.build_index(self.vectors)
 
-    @cached_property
-    def churn_scores(self) -> DataFrame:
-        """Customers with the probability of the model, scored once."""
-        return materialize(self.churn_model.scored.drop("features", "rawPrediction", "probability"), "churn-scores")
-
     @cached_property
     def texts(self) -> DataFrame:
         return tables.review_texts(self.spark, self.folder)
