@@ -88,6 +88,7 @@ def critical_products(alerts: DataFrame, status: str = "CRITIQUE") -> DataFrame:
 
 def alert_messages(critical: DataFrame) -> DataFrame:
     """One notification text per critical product."""
+    # Fixed value: the form of the message.
     text = F.format_string(
         "%s [%s] Note : %s/5 | %d avis négatifs / %d total | CA : %s EUR",
         "product_name",

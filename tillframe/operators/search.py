@@ -56,6 +56,7 @@ def vector_search(
 
 def review_snippets(hits: DataFrame, texts: DataFrame) -> DataFrame:
     """One line per hit: rank, product, rating, sentiment, similarity and the start of the text."""
+    # Fixed value: the form of a line.
     line = F.format_string(
         "%d. [%s] Note:%s (%s) — similarité %s\n   %s...",
         "rank",
