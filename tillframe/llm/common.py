@@ -82,6 +82,7 @@ def bucket_links(
     weight: str | None = None,
     hot: DataFrame | None = None,
     block: int = BLOCK,
+    compare: Callable = _links,
 ) -> DataFrame:
     """Compare the members of each bucket and return (u, root, n).
 
@@ -96,7 +97,8 @@ def bucket_links(
     ``hot`` (key, count) must list every bucket of more than ``block`` members; by
     default the buckets are counted. These are cut into blocks by a hash of the
     member, and each pair of blocks is compared by one task: nothing is dropped.
-    The index is shuffled once; buckets of one member end there.
+    The index is shuffled once; buckets of one member end there. ``compare``
+    takes the place of comparing pair by pair.
     """
     if hot is None:
         hot = materialize(index.groupBy("key").count().where(F.col("count") > block), f"{name}-buckets")
@@ -120,17 +122,17 @@ def bucket_links(
             last = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
             if last:
                 done = pd.concat([*rest, frame.iloc[:last]], ignore_index=True) if rest else frame.iloc[:last]
-                yield _links(done, member, verify, weight)
+                yield compare(done, member, verify, weight)
                 rest = [frame.iloc[last:]]
             elif rest and rest[0]["_group"].iloc[0] != group[0]:
                 done = pd.concat(rest, ignore_index=True)
-                yield _links(done, member, verify, weight)
+                yield compare(done, member, verify, weight)
                 rest = [frame]
             else:
                 rest.append(frame)
         if rest:
             done = pd.concat(rest, ignore_index=True)
-            yield _links(done, member, verify, weight)
+            yield compare(done, member, verify, weight)
 
     return rows.mapInPandas(run, "u long, root long, n long")
 

@@ -137,11 +137,15 @@ def grouped(docs: DataFrame, words: int, max_bits: int) -> DataFrame:
     prepare(docs.sparkSession)
     found = materialize(fingerprints(docs.select("doc_id", "text"), words), "fingerprints")
     classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    roots = materialize(components(classes.select("fp"), max_bits), "fingerprint-roots")
+    return named(found, classes, materialize(components(classes.select("fp"), max_bits), "fingerprint-roots"))
+
+
+def named(found: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, fp, digest, component_id): rows of ``found`` with the smallest id of their group."""
     joined = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(joined.join(smallest, "root").select("fp", "component_id"), "fingerprint-groups")
-    return found.join(named, "fp").select("doc_id", "fp", "digest", "component_id")
+    groups = materialize(joined.join(smallest, "root").select("fp", "component_id"), "fingerprint-groups")
+    return found.join(groups, "fp").select("doc_id", "fp", "digest", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
@@ -151,7 +155,12 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     Rows without doc_id stay only if no document of their group has one, and
     then once per text.
     """
-    groups = grouped(docs, words, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return one_per_group(docs, grouped(docs, words, max_bits))
+
+
+def one_per_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``keep_one`` for any groups (doc_id, digest, component_id) of the rows of ``docs``."""
+    groups = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = groups.select(F.col("doc_id").alias("__llm_keep"), F.col("digest").alias("__llm_text")).distinct()
     stays = materialize(stays, "simhash-kept")
     same = F.col("doc_id").eqNullSafe(F.col("__llm_keep")) & (digest() == F.col("__llm_text"))
