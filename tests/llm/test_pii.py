@@ -127,6 +127,14 @@ def test_all_windows_give_the_same(tagger, monkeypatch):
     assert pii.tagged_spans(some, tagger) == pruned
 
 
+@pytest.mark.parametrize("form", ["jane [at] example.org", "jane(at)example.org"])
+def test_changed_addresses_without_digits_are_found(tagger, form):
+    text = f"lorem ipsum {form} dolor sit"
+    assert ("email", 12, 12 + len(form)) in pii.tagged_spans([text], tagger)[0]
+    far = "plain words " * 40 + text + " plain words" * 40
+    assert ("email", 492, 492 + len(form)) in pii.tagged_spans([far], tagger)[0]
+
+
 def test_result_does_not_depend_on_neighbours(tagger):
     some = [t for _, t in texts(30, seed=6)]
     together = pii.tagged_spans(some, tagger)

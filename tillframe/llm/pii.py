@@ -6,7 +6,7 @@ with other separators). Texts are decoded in overlapping windows; every
 character takes the label of the window in whose middle it lies nearest, and
 spans are read from the labels of the whole text.
 
-A span must hold a digit or an ``@`` and may not be longer than ``LONGEST``. So
+A span must hold a digit, an ``@`` or an "at" in brackets and may not be longer than ``LONGEST``. So
 only windows that can reach such a character need decoding: the result is the
 same as from all windows.
 """
@@ -36,7 +36,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-ANCHOR = re.compile(r"[0-9@]")
+ANCHOR = re.compile(r"[0-9@]|[\[(]at[\])]")  # what every form of ``varied`` holds
+WRITTEN_OUT = re.compile(r"[A-Za-z0-9._%+-]+\s?[\[(]at[\])]\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+PLAIN_ANCHOR = re.compile(r"[0-9@]")  # windows around others train as no span
 
 
 def luhn(digits: str) -> bool:
@@ -334,7 +336,7 @@ def training_windows(text: str, rng: np.random.Generator) -> list[tuple[list[int
         inside += [(kind, len(head), len(head) + len(form))]
         inside += [(k, s + shift, e + shift) for k, s, e in spans if s >= b and e <= near[1]]
         add(head + form + tail, inside, len(head) + len(form) // 2)
-    others = [m.start() for m in ANCHOR.finditer(text) if all(not s[1] <= m.start() < s[2] for s in spans)]
+    others = [m.start() for m in PLAIN_ANCHOR.finditer(text) if all(not s[1] <= m.start() < s[2] for s in spans)]
     for at in others[:: max(1, len(others) // 2)][:2]:
         add(text, spans, at)
     return made
@@ -419,8 +421,13 @@ def read_spans(labels: np.ndarray, lead: np.ndarray, text: str) -> list[Span]:
         raw = text[start:end]
         start, end = start + len(raw) - len(raw.lstrip()), end - (len(raw) - len(raw.rstrip()))
         name = KINDS[int(kind[marked[a]]) - 1]
+        if name == "email":  # an address with "at" in brackets is a span as a whole
+            near = max(0, start - LONGEST)
+            for m in WRITTEN_OUT.finditer(text[near : end + LONGEST]):
+                if near + m.start() < end and near + m.end() > start:
+                    start, end = min(start, near + m.start()), max(end, near + m.end())
         body = text[start:end]
-        if 0 < end - start <= LONGEST and ANCHOR.search(body) and plausible(name, body):
+        if 0 < end - start <= LONGEST and ANCHOR.search(body) and plausible(name, body) and (name, start, end) not in found[-1:]:
             found.append((name, start, end))
     return found
 
