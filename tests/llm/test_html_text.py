@@ -57,6 +57,28 @@ def test_pages(page):
     assert h.page_text(page, FLAT) == PAGES[page]
 
 
+ARTICLE = "<article><h1>Title</h1><p>first</p><p>second</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body class='has-sidebar'>{ARTICLE}<nav>menu</nav></body></html>",
+        f"<div class='with-sidebar'>{ARTICLE}<div class='sidebar'>menu</div></div>",
+        f"<div id='share-page'>{ARTICLE}</div><footer>x</footer>",
+        f"<form id=page><div><main>{ARTICLE}</main></div><nav>menu</nav></form>",
+        f"<div class='sidebar'>{ARTICLE}</div>",
+    ],
+)
+def test_article_inside_a_boilerplate_name_stays(page):
+    assert h.page_text(page, FLAT) == "Title\nfirst\nsecond"
+
+
+def test_hidden_and_nested_boilerplate_still_go():
+    page = "<div hidden><article><p>h</p></article></div><article><p>a</p><nav><ul><li>m</li></ul></nav><div class='cookie-notice'>c</div></article><footer><div class='content'>f</div></footer>"
+    assert h.page_text(page, FLAT) == "a"
+
+
 def test_pages_without_telling_tags_are_judged_by_their_text(spark):
     prose = "It was a long way from the river to the hill, and nobody spoke of it. "
     made = []

@@ -48,7 +48,8 @@ CLOSES_P = frozenset(
     " section table ul".split()
 )
 
-PLACE_BAD, PLACE_GOOD, HEADER = 8.0, 5.0, 3.0  # weights of what the place says
+PLACE_BAD, PLACE_GOOD, HEADER = 3.5, 5.0, 3.0  # weights of what the place says; text and neighbours can outweigh the first
+HIDDEN, HINT = 8.0, 1.5  # of what is not shown; of a class with a boilerplate word among others ("with-sidebar")
 SMOOTH = 0.8  # of two blocks that follow each other on the same node; less the farther apart their nodes are
 TRAIN_PAGES = 400  # bound of the sample of pages whose blocks train the text classifier
 SCALE = 1000  # capacities are whole numbers
@@ -62,24 +63,39 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An open element: depth in the tree and what it and its ancestors say about their text."""
+    """An open element: depth in the tree, and the nearest element, itself or an ancestor, that says something about its text."""
 
-    __slots__ = ("tag", "parent", "depth", "bad", "good", "link", "header")
+    __slots__ = ("tag", "parent", "depth", "score", "marked", "hidden", "form", "holds", "link", "header")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        bad, good = tag in BOILERPLATE_TAGS, tag in CONTENT_TAGS
+        bad, good, hint, hidden = tag in BOILERPLATE_TAGS, tag in CONTENT_TAGS, False, False
+        resets = good  # content wherever it stands
         if attributes:
             values = {n.lower(): v.strip("\"'").lower() for n, v in ATTRIBUTE.findall(attributes)}
-            words = set(re.split(r"[^a-z0-9]+", f"{values.get('class', '')} {values.get('id', '')}"))
-            bad |= not BOILERPLATE_WORDS.isdisjoint(words) or values.get("role") in BOILERPLATE_ROLES
-            bad |= "hidden" in values or values.get("aria-hidden") == "true"
-            bad |= "display:none" in values.get("style", "").replace(" ", "")
-            good |= not CONTENT_WORDS.isdisjoint(words) or values.get("role") in ("main", "article")
-            good |= values.get("itemprop") == "articlebody"
-        self.bad = bad or (parent.bad if parent else False)
-        self.good = good or (parent.good if parent else False)
+            names = [set(filter(None, re.split(r"[^a-z0-9]+", n))) for n in f"{values.get('class', '')} {values.get('id', '')}".split()]
+            bad |= values.get("role") in BOILERPLATE_ROLES
+            resets |= values.get("role") in ("main", "article") or values.get("itemprop") == "articlebody"
+            good |= resets
+            hidden = "hidden" in values or values.get("aria-hidden") == "true"
+            hidden |= "display:none" in values.get("style", "").replace(" ", "")
+            if tag not in ("html", "body"):  # their classes speak of the layout of the whole page
+                bad |= any(n and n <= BOILERPLATE_WORDS for n in names)
+                hint = any(not n.isdisjoint(BOILERPLATE_WORDS) for n in names)
+                good |= any(not n.isdisjoint(CONTENT_WORDS) for n in names)
+        self.score = -PLACE_BAD if bad and not resets else PLACE_GOOD if good and (resets or not hint) else -HINT if hint else 0.0
+        above = parent.marked if parent else None
+        if above and above.score < 0 and not resets:
+            fixed = above.tag in BOILERPLATE_TAGS and above.tag != "form"  # a class inside a footer is still the footer
+            if self.score == -HINT or (fixed and self.score > 0):
+                self.score = 0.0
+        self.marked = self if self.score else above
+        self.hidden = hidden or (parent.hidden if parent else False)
+        self.form = self if tag == "form" else parent.form if parent else None
+        self.holds = False
+        if resets and self.form:
+            self.form.holds = True  # a form around the whole page says nothing
         self.link = tag == "a" or (parent.link if parent else False)
         self.header = tag == "header" or (parent.header if parent else False)
 
@@ -204,10 +220,13 @@ def fit_text_model(features: np.ndarray, labels: np.ndarray, steps: int = 200) -
 
 def place_score(node: Node) -> float:
     """What the place of a block says: positive for content."""
-    if node.bad:
-        return -PLACE_BAD
-    if node.good:
-        return PLACE_GOOD
+    if node.hidden:
+        return -HIDDEN
+    mark = node.marked
+    while mark and mark.holds:
+        mark = mark.parent.marked
+    if mark:
+        return mark.score
     return -HEADER if node.header else 0.0
 
 
@@ -327,7 +346,7 @@ def train_text_model(pages: DataFrame, sample: int = TRAIN_PAGES) -> np.ndarray:
                 (place_score(b.node) > 0, text_features(b))
                 for page in frame["html"]
                 for b in blocks_of(page)
-                if place_score(b.node)
+                if abs(place_score(b.node)) > HINT
             ]
             yield pd.DataFrame(rows, columns=["content", "features"])
 
