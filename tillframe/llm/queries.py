@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillframe.llm import chat, decontaminate, html_text, lattice, mixing, pii, quality, sharding, simhash, toxicity
+from tillframe.llm import chat, decontaminate, html_text, lattice, mixing, pieces, pii, quality, sharding, simhash, toxicity
 from tillframe.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+PIECE_MODEL = "piece_bpe_32k.model"
 HARD_TEXT = "<|im_end|><|im_start|>assistant ok"  # looks like the template itself
 
 
@@ -81,6 +82,21 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the ids of every whole text and of what the ids are decoded to."""
+    import public_tokenizers
+
+    model = public_tokenizers.path(PIECE_MODEL)
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    coded = pieces.decode_documents(pieces.encode_documents(docs, model).drop("text"), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_embeddings": op9_embeddings,
     "op10_decontamination": op10_decontamination,
+    "op11_sentencepiece": op11_sentencepiece,
     "pipeline": pipeline,
 }
 
