@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillframe.llm import chat, decontaminate, html_text, lattice, mixing, pieces, pii, quality, sharding, simhash, toxicity
+from tillframe.llm import (
+    chat, decontaminate, html_text, lattice, mixing, negatives, pieces, pii, quality, sharding, simhash, toxicity, whitening,
+)
 from tillframe.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +99,17 @@ def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fiftieth row asks; labels of every seventh are moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, folder, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.mine_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -115,6 +128,8 @@ QUERIES: dict[str, Query] = {
     "op9_embeddings": op9_embeddings,
     "op10_decontamination": op10_decontamination,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_whitening": op12_whitening,
+    "op13_negatives": op13_negatives,
     "pipeline": pipeline,
 }
 
