@@ -15,6 +15,7 @@ import codecs
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain as chained
 
 import ahocorasick
 import numpy as np
@@ -27,12 +28,13 @@ from tillframe.llm.common import prepare
 SPACE = "▁"  # fixed value: stands for a space inside pieces
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values: kinds of pieces in a model file
 MODEL_BYTES = 64 << 20  # models up to this size are handed to the tasks
-KEPT_WORDS, KEPT_PAIRS = 1 << 19, 1 << 20  # entries a worker remembers before it forgets all of them
+KEPT_WORDS, KEPT_PAIRS = 1 << 18, 1 << 19  # entries a worker remembers before it forgets older ones
 # Letters and other numerals, decimal digits, all other characters: each with the marks before it.
 RUNS = re.compile(rf"{SPACE}*(?:[^\W\d_]+|\d|(?:[^\w{SPACE}]|_)+)|{SPACE}+")
 MARKED = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
 FEW = 8  # characters looked for in every text
-NOTHING: dict[str, bool] = {}
+NEVER = float("-inf")
+NOTHING: dict[str, tuple[str, ...]] = {}
 KEPT_CHARS = 64  # longer words are encoded each time
 
 
@@ -87,9 +89,10 @@ class Codec:
         self.cut = self._cut()
         self.surfaces = [self._surface(p, kind, model["unknown"]) for p, _, kind in pieces]
         self.leading = [kind == NORMAL and p.startswith(SPACE) for p, _, kind in pieces]
-        self.pairs: dict[str, dict[str, bool]] = {}  # piece -> piece after it -> whether they are compatible
+        self.pairs: dict[str, dict[str, tuple[str, ...]]] = {}  # piece -> longest piece after it -> those that fit
         self.known = 0
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {}  # word -> ids; those before the last change of generation are in older
+        self.older: dict[str, list[int]] = {}
 
     def _cut(self) -> Callable[[str], list[str]]:
         """Cuts a text where no piece of the vocabulary leads across, so that words are encoded apart.
@@ -118,66 +121,66 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """What merging the characters of a short text gives: best score first, leftmost on ties."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.scores.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
-                return parts
+        parts, score = list(text), self.scores.get
+        gains = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while gains and (best := max(gains)) > NEVER:
+            at = gains.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def compatible(self, first: str, second: str) -> bool:
-        """Whether the two pieces come back when they are merged anew (``first`` may be empty)."""
+            del gains[at]
+            if at:
+                gains[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+            if at < len(gains):
+                gains[at] = score(parts[at] + parts[at + 1], NEVER)
+        return parts
+
+    def fitting(self, before: str, longest: str) -> tuple[str, ...]:
+        """Of a piece and its prefixes that are pieces, those compatible with the piece before, longest first.
+
+        Two pieces are compatible if they come back when they are merged anew
+        (``before`` may be empty: then the piece alone must).
+        """
         if self.known >= KEPT_PAIRS:
             self.pairs.clear()
             self.known = 0
         self.known += 1
-        fits = self.merged(first + second) == ([first, second] if first else [second])
-        self.pairs.setdefault(first, {})[second] = fits
-        return fits
+        fit, piece = [], longest
+        while piece:
+            if self.merged(before + piece) == ([before, piece] if before else [piece]):
+                fit.append(piece)
+            piece = self.shorter.get(piece, "")
+        found = self.pairs.setdefault(before, {})[longest] = tuple(fit)
+        return found
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text whose spaces are marked; characters outside the vocabulary stand alone."""
-        size, pairs, shorter = len(text), self.pairs, self.shorter
+        size, pairs = len(text), self.pairs
         longest = list(text)
         for end, piece in self.matches.iter(text):  # by end: of those with one start, the longest comes last
             longest[end + 1 - len(piece)] = piece
         chain: list[str] = []
         open_ = bytearray(b"\x01") * (size + 1)  # positions that a chain may still pass
-        at, end, before, piece = 0, 0, "", text[:1] and longest[0]
+        at, before = 0, ""
         while at < size:
-            followers = pairs.get(before, NOTHING)
-            while piece:
+            piece = longest[at]
+            fit = pairs.get(before, NOTHING).get(piece)
+            for piece in self.fitting(before, piece) if fit is None else fit:
                 end = at + len(piece)
                 if open_[end]:
-                    fits = followers.get(piece)
-                    if fits or (fits is None and self.compatible(before, piece)):
-                        break
-                piece = shorter.get(piece, "")
-            if piece:
-                chain.append(piece)
-                at, before = end, piece
-                if at < size:
-                    piece = longest[at]
+                    chain.append(piece)
+                    at, before = end, piece
+                    break
             else:  # nothing fits here after the piece before: that piece was too long
                 open_[at] = 0
-                piece = chain.pop()
-                at -= len(piece)
+                at -= len(chain.pop())
                 before = chain[-1] if chain else ""
         return chain
 
     def _word(self, word: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.split(word):
-            known = self.ids.get(piece)
-            if known is None:
-                ids.extend(self.byte_ids[b] for b in piece.encode())
-            else:
-                ids.append(known)
-        return ids
+        known, chain = self.ids, self.split(word)
+        try:
+            return [known[piece] for piece in chain]
+        except KeyError:  # characters outside the vocabulary become their bytes
+            return [i for piece in chain for i in ([known[piece]] if piece in known else [self.byte_ids[b] for b in piece.encode()])]
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of the whole text, without begin or end; none for a null or empty one."""
@@ -191,10 +194,11 @@ class Codec:
         for word in self.cut(text):
             known = words.get(word)
             if known is None:
-                known = self._word(word)
+                known = self.older.get(word) or self._word(word)
                 if len(word) <= KEPT_CHARS:
-                    if len(words) >= KEPT_WORDS:
-                        words.clear()
+                    if len(words) >= KEPT_WORDS:  # frequent words come back from the older ones
+                        self.older = words
+                        words = self.words = {}
                     words[word] = known
             ids += known
         return ids
@@ -230,7 +234,7 @@ def _on_worker(shared) -> Codec:
 
 def _lists(rows: list[list[int]]) -> pa.Array:
     ends = np.cumsum([0] + [len(r) for r in rows], dtype=np.int64)
-    flat = np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1]))
+    flat = np.fromiter(chained.from_iterable(rows), np.int32, int(ends[-1]))
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
 
 
@@ -255,7 +259,8 @@ def decoder(spark, model_path: str) -> Callable:
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _on_worker(shared)
         for rows in batches:
-            flat, ends = rows.flatten().to_pylist(), np.cumsum([0, *(rows.value_lengths().fill_null(0).to_pylist())])
+            flat = rows.flatten().to_numpy(zero_copy_only=False).tolist()
+            ends = np.cumsum([0, *rows.value_lengths().fill_null(0).to_pylist()])
             texts = [codec.decode(flat[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist())]
             yield pa.array(texts, pa.string(), mask=np.asarray(rows.is_null()) if rows.null_count else None)
 
