@@ -74,6 +74,34 @@ def test_article_inside_a_boilerplate_name_stays(page):
     assert h.page_text(page, FLAT) == "Title\nfirst\nsecond"
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<section class='comments'><article class='comment'><p>Reader says hi.</p></article></section>",
+        "<section class='comments'><article><p>Reader says hi.</p><article><p>And another.</p></article></article></section>",
+        "<article class='comment'><p>Reader says hi.</p></article>",
+        "<div id='disqus'><div role='article'><div class='content'><p>Reader says hi.</p></div></div></div>",
+        "<aside><article><p>A related story.</p></article></aside>",
+        "<aside><div class='widget'><article><p>A related story.</p></article></div></aside>",
+        "<nav><main>menu</main></nav>",
+    ],
+)
+def test_article_inside_an_article_does_not_save_comments(inner):
+    body = "<h1>Title</h1><p>first</p><p>second</p>"
+    for page in (f"<article>{body}{inner}</article>", f"<main><article>{body}</article>{inner}</main>", f"<article>{body}</article>{inner}"):
+        assert h.page_text(page, FLAT) == "Title\nfirst\nsecond", page
+
+
+def test_articles_inside_main_stay():
+    page = "<main><article><p>one</p></article><section class='story'><article><p>two</p></article></section></main>"
+    assert h.page_text(page, FLAT) == "one\ntwo"
+
+
+@pytest.mark.parametrize("inner", ["<script>x('</p>')</script>", "<style>p{}</style>", "<noscript><p>n</p></noscript>", "<template><div>t</div></template>", "<svg><text>s</text></svg>"])
+def test_scripts_inside_a_paragraph_do_not_cut_it(inner):
+    assert h.page_text(f"<article><p>Hello {inner}world</p><p>more</p></article>", FLAT) == "Hello world\nmore"
+
+
 def test_hidden_and_nested_boilerplate_still_go():
     page = "<div hidden><article><p>h</p></article></div><article><p>a</p><nav><ul><li>m</li></ul></nav><div class='cookie-notice'>c</div></article><footer><div class='content'>f</div></footer>"
     assert h.page_text(page, FLAT) == "a"

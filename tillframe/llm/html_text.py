@@ -42,6 +42,7 @@ BOILERPLATE_WORDS = frozenset(
     " popup promo promoted promotion recommended related reply respond share sharing sidebar signup social sponsor"
     " sponsored subscribe subscription toolbar topbar widget".split()
 )
+FOREIGN_WORDS = frozenset("comment comments disqus recommended related replies reply respond".split())  # hold articles of others
 CONTENT_WORDS = frozenset("article articlebody content entry main post story".split())
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre"
@@ -65,30 +66,37 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An open element: depth in the tree, and the nearest element, itself or an ancestor, that says something about its text."""
 
-    __slots__ = ("tag", "parent", "depth", "score", "marked", "hidden", "form", "holds", "link", "header")
+    __slots__ = ("tag", "parent", "depth", "score", "marked", "hidden", "form", "holds", "link", "header", "inside", "fixed")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         bad, good, hint, hidden = tag in BOILERPLATE_TAGS, tag in CONTENT_TAGS, False, False
-        resets = good  # content wherever it stands
+        content, foreign = good, tag in BOILERPLATE_TAGS and tag != "form"
         if attributes:
             values = {n.lower(): v.strip("\"'").lower() for n, v in ATTRIBUTE.findall(attributes)}
             names = [set(filter(None, re.split(r"[^a-z0-9]+", n))) for n in f"{values.get('class', '')} {values.get('id', '')}".split()]
             bad |= values.get("role") in BOILERPLATE_ROLES
-            resets |= values.get("role") in ("main", "article") or values.get("itemprop") == "articlebody"
-            good |= resets
+            content |= values.get("role") in ("main", "article") or values.get("itemprop") == "articlebody"
+            good |= content
             hidden = "hidden" in values or values.get("aria-hidden") == "true"
             hidden |= "display:none" in values.get("style", "").replace(" ", "")
             if tag not in ("html", "body"):  # their classes speak of the layout of the whole page
                 bad |= any(n and n <= BOILERPLATE_WORDS for n in names)
+                foreign |= any(n and n <= FOREIGN_WORDS for n in names)
                 hint = any(not n.isdisjoint(BOILERPLATE_WORDS) for n in names)
                 good |= any(not n.isdisjoint(CONTENT_WORDS) for n in names)
+        # Of nested articles the outermost is content whatever the elements around it are called; those inside it
+        # (reader comments) and those in an aside or the like (related stories) are what their own place says.
+        self.fixed = foreign or (parent.fixed if parent else False)
+        self.inside = parent.inside if parent else False
+        resets = content and not self.inside and not self.fixed
+        self.inside |= resets
         self.score = -PLACE_BAD if bad and not resets else PLACE_GOOD if good and (resets or not hint) else -HINT if hint else 0.0
         above = parent.marked if parent else None
         if above and above.score < 0 and not resets:
-            fixed = above.tag in BOILERPLATE_TAGS and above.tag != "form"  # a class inside a footer is still the footer
-            if self.score == -HINT or (fixed and self.score > 0):
+            # A class inside a footer is still the footer, an article below comments still one of them.
+            if self.score == -HINT or (self.score > 0 and (self.fixed or self.inside)):
                 self.score = 0.0
         self.marked = self if self.score else above
         self.hidden = hidden or (parent.hidden if parent else False)
@@ -162,9 +170,7 @@ def blocks_of(page: str | None) -> list[Block]:
             if up.parent:
                 node = up.parent
             continue
-        if name in SKIPPED:
-            if name not in INLINE:
-                flush()
+        if name in SKIPPED:  # inside a paragraph they do not end it
             if not attributes.rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
                 at = close.end() if close else end
