@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -44,27 +45,29 @@ def test_wand_finds_all_above_threshold(seed):
             assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def grams(words, n=5):
+    n = min(n, len(words))
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set()
+
+
 def brute(docs_rows, item_rows):
-    """Every window against every entry, all words scored; then the same overlap rule."""
-    index = d.Index(item_rows)
+    """Plain containment: four fifths of the item's runs of five words, or of its question's and its answer's, are in the text."""
+    parts = []
+    for i, text in item_rows:
+        sentences = [re.findall(r"\w+", p.lower()) for p in re.split(r"(?<=[.!?])\s+|\n+", text or "")]
+        sentences = [p for p in sentences if p]
+        words = sum(sentences, [])
+        answer = sentences[-1] if len(sentences) > 1 else words[len(words) - len(words) // 3 :]
+        if words:
+            parts.append((i, len(words), grams(words), grams(words[: len(words) - len(answer)]), grams(answer)))
     found = set()
     for doc_id, text in docs_rows:
-        words = d.tokens(text)
-        for a in range(0, max(1, len(words)), d.SEGMENT):
-            window = set(words[a : a + 2 * d.SEGMENT])
-            score = [0.0] * len(index.item_of)
-            for w in window & index.terms.keys():
-                for doc, x in zip(index.docs[index.terms[w]], index.weights[index.terms[w]]):
-                    score[doc] += x
-            for entry, s in enumerate(score):
-                if s >= d.THRESHOLD:
-                    item = index.item_of[entry]
-                    i, q, c = index.items[item]
-                    near = d.shingles(words[max(0, a - len(q) - len(c)) : a + 2 * d.SEGMENT + len(q) + len(c)])
-                    near |= {" ".join(words[k : k + n]) for n in {min(5, len(q)), min(5, len(c))} for k in range(max(0, a - len(q) - len(c)), a + 2 * d.SEGMENT + len(q) + len(c))}
-                    part = [sum(x in near for x in g) / len(g) for g in (index.question[item], index.answer[item])]
-                    if min(part) >= d.OVERLAP:
-                        found.add((doc_id, i))
+        words = re.findall(r"\w+", (text or "").lower())
+        runs = set().union(*[grams(words, n) for n in range(1, 6)]) if words else set()
+        for i, n, *groups in parts:
+            whole, question, answer = (len(g & runs) / len(g) if g else 1.0 for g in groups)
+            if whole >= 0.8 or (n >= 5 and question >= 0.8 and answer >= 0.8):
+                found.add((doc_id, i))
     return found
 
 
@@ -78,6 +81,10 @@ def planted(n=60, seed=5):
             parts.append(rng.choice(bench)[1].upper().replace(" ", "\n") if i % 2 else rng.choice(bench)[1])
         if i % 7 == 0:
             parts.append(rng.choice(bench)[1][:60])  # a fragment is no leak
+        if i % 5 == 0:  # one changed word in a whole item
+            words = rng.choice(bench)[1].split()
+            words[-2] = "changed"
+            parts.append(" ".join(words))
         rows.append((i, " ".join([*parts, sentence(rng, rng.randrange(0, 300))])))
     return rows, bench
 
@@ -89,7 +96,7 @@ def test_planted_items_are_found(spark, docs):
     df = docs(rows + extra, clashing=True)
     items_df = spark.createDataFrame(bench + odd, "item_id long, text string")
     got = d.contamination(df, items_df)
-    assert got.columns == ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+    assert got.columns == ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "item_overlap"]
     got = got.collect()
     pairs = {(r.doc_id, r.item_id) for r in got}
     assert pairs == brute(rows + extra, bench + odd)
@@ -101,12 +108,35 @@ def test_planted_items_are_found(spark, docs):
     assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(i) for i, _ in rows + extra if i not in bad)
 
 
-def test_blocks_of_the_benchmark(spark, docs, monkeypatch):
+def test_blocks_do_not_change_pairs_or_scores(spark, docs, monkeypatch):
     rows, bench = planted(30)
-    items_df = spark.createDataFrame(bench, "item_id long, text string")
-    monkeypatch.setattr(d, "ITEM_BLOCK", 20)
-    got = {(r.doc_id, r.item_id) for r in d.contamination(docs(rows), items_df).collect()}
-    assert all({(i, b) for b, t in bench if t in x} <= got for i, x in rows)
+    items_df = spark.createDataFrame(bench + [(700, "Who wrote Faust? Goethe"), (701, None)], "item_id long, text string").repartition(3)
+    df = docs(rows + [(950, "so who wrote FAUST goethe did")])
+    whole = sorted(map(tuple, d.contamination(df, items_df).collect()))
+    monkeypatch.setattr(d, "ITEM_BLOCK", 17)  # five blocks
+    parts = sorted(map(tuple, d.contamination(df, items_df).collect()))
+    assert len(list(d.indexes(items_df))) == 5
+    assert [r[:2] for r in whole] == [r[:2] for r in parts] and (950, 700) in {r[:2] for r in parts}
+    assert all(abs(a - b) < 1e-12 for r, s in zip(whole, parts) for a, b in zip(r[2:], s[2:]))
+    bad = {r[0] for r in whole}
+    assert {r.doc_id for r in d.drop_contaminated(df, items_df).collect()} == {i for i, _ in rows} - bad
+
+
+def test_short_items_are_whole_runs(spark, docs):
+    items_df = spark.createDataFrame([(1, "Who wrote Faust? Goethe"), (2, "one two"), (3, "solo"), (4, " . ")], "item_id long, text string")
+    df = docs([(1, "I ask who wrote Faust? Goethe!"), (2, "who wrote faust, then: goethe"), (3, "two one, one"), (4, "ONE--two"), (5, "solos"), (6, "Solo."), (7, None)])
+    got = {(r.doc_id, r.item_id) for r in d.contamination(df, items_df).collect()}
+    assert got == {(1, 1), (4, 2), (6, 3)}
+
+
+def test_one_changed_word_in_the_answer(spark, docs):
+    question = " ".join(f"q{k}" for k in range(27)) + "?"
+    answer = " ".join(f"a{k}" for k in range(11)) + "."
+    df = docs([(1, f"before {question} {answer.replace('a5', 'other')} after"), (2, f"before {question} after"), (3, answer)])
+    items_df = spark.createDataFrame([(9, f"{question} {answer}")], "item_id long, text string")
+    hit = d.contamination(df, items_df).collect()
+    assert [(r.doc_id, r.item_id) for r in hit] == [(1, 9)]
+    assert hit[0].answer_overlap < 0.8 < hit[0].item_overlap
 
 
 def test_empty_sides(spark, docs):

@@ -12,27 +12,29 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillframe.llm.common import prepare
+from tillframe.sources.storage import materialize
 
 TOKEN = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 SEGMENT = 64  # words of an item indexed as one entry; a window of two segments, moved by one, covers it whole
 THRESHOLD = 0.6  # share of an entry's own score
 SHINGLE, OVERLAP = 5, 0.8
-MIN_WORDS = 5
 POSTING_BLOCK = 16
 RANGES = 64  # ranges of entries with a bound of their own
 ITEM_BLOCK, ITEM_BYTES = 20_000, 32 << 20  # benchmark rows and bytes indexed at a time
 
-HIT = "array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>"
+HIT = "array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double, item_overlap: double>>"
 
 
 def tokens(text: str | None) -> list[str]:
@@ -54,27 +56,37 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:at], words[at:]
 
 
+def entries_of(words: list[str]) -> list[Counter]:
+    """The word counts of the overlapping segments that an item is indexed by."""
+    starts = list(range(0, max(1, len(words) - SEGMENT + 1), SEGMENT // 2))
+    if starts[-1] + SEGMENT < len(words):
+        starts.append(len(words) - SEGMENT)
+    return [Counter(words[s : s + SEGMENT]) for s in starts]
+
+
+class Statistics(NamedTuple):
+    """What scores depend on, over all entries of the benchmark: their number, their words, entries per word."""
+
+    entries: int
+    words: int
+    found: dict[str, int]
+
+
 class Index:
     """Inverted index of benchmark entries with list-wide and block-wide maxima."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.items = [(i, *question_answer(t)) for i, t in items if len(tokens(t)) >= MIN_WORDS]
-        pieces: list[tuple[int, int, Counter]] = []
-        for at, (_, question, answer) in enumerate(self.items):
-            words = question + answer
-            starts = list(range(0, max(1, len(words) - SEGMENT + 1), SEGMENT // 2))
-            if starts[-1] + SEGMENT < len(words):
-                starts.append(len(words) - SEGMENT)
-            for s in starts:
-                pieces.append((len(words[s : s + SEGMENT]), at, Counter(words[s : s + SEGMENT])))
+    def __init__(self, items: list[tuple[int | None, str | None]], statistics: Statistics | None = None):
+        self.items = [(i, *question_answer(t)) for i, t in items if tokens(t)]
+        pieces = [(sum(e.values()), at, e) for at, (_, q, a) in enumerate(self.items) for e in entries_of(q + a)]
         pieces.sort(key=lambda p: p[0])  # entries of like length have like weights: tighter bounds per block
         entries = [e for _, _, e in pieces]
         self.item_of = [at for _, at, _ in pieces]
-        n = len(entries)
         df = Counter(t for e in entries for t in e)
-        mean = sum(sum(e.values()) for e in entries) / n if n else 1.0
+        n = len(entries)
+        total, all_words, df_all = statistics or (n, sum(p[0] for p in pieces), df)
+        mean = all_words / total if total else 1.0
         self.terms = {t: i for i, t in enumerate(sorted(df))}
-        idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+        idf = {t: math.log(1 + (total - df_all[t] + 0.5) / (df_all[t] + 0.5)) for t in df}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for at, e in enumerate(entries):
             length = K1 * (1 - B + B * sum(e.values()) / mean)
@@ -96,6 +108,7 @@ class Index:
                 self.range_max[t, d // self.span] = max(self.range_max[t, d // self.span], w)
         self.question = [shingles(q) for _, q, _ in self.items]
         self.answer = [shingles(a) for _, _, a in self.items]
+        self.whole = [shingles(q + a) for _, q, a in self.items]
 
     def retrieve(self, terms: list[int], threshold: float, first: int, last: int) -> list[tuple[int, float]]:
         """Block-max WAND: (entry, score) of the entries from ``first`` to before ``last`` with ``threshold`` or more."""
@@ -147,7 +160,7 @@ class Index:
         return found
 
     def hits(self, text: str | None, threshold: float, overlap: float) -> list[tuple]:
-        """(item id, score, question overlap, answer overlap) of the items inside ``text``, each once."""
+        """(item id, score, overlap of question, of answer, of the whole item) of the items inside ``text``, each once."""
         if not self.items:
             return []
         words = tokens(text)
@@ -174,25 +187,52 @@ class Index:
                 _, q, c = self.items[item]
                 reach = len(q) + len(c)
                 near = " " + " ".join(words[max(0, a - reach) : b + reach]) + " "
-                asked, answered = self.question[item], self.answer[item]
-                part = sum(f" {s} " in near for s in asked) / len(asked)
-                told = sum(f" {s} " in near for s in answered) / len(answered)
-                if part >= overlap and told >= overlap:
-                    best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, part, told))
+                part, told, whole = (
+                    sum(f" {s} " in near for s in group) / len(group) if group else 1.0
+                    for group in (self.question[item], self.answer[item], self.whole[item])
+                )
+                # Shorter items are one run of words: their parts say nothing.
+                if whole >= overlap or (reach >= SHINGLE and part >= overlap and told >= overlap):
+                    best[item] = max(best.get(item, (0.0, 0.0, 0.0, 0.0)), (score, part, told, whole))
         return [(self.items[i][0], *v) for i, v in sorted(best.items())]
 
 
+def statistics_of(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """(entries per word, all entries, all their words) of all items, counted by Spark."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            entries = [e for t in batch["text"] for e in entries_of(tokens(t)) if e]
+            found = Counter(w for e in entries for w in e)
+            words = sum(sum(e.values()) for e in entries)
+            # A word is never null: that row holds the totals.
+            yield pd.DataFrame({"word": [None, *found], "n": [len(entries), *found.values()], "words": [words, *[0] * len(found)]})
+
+    parts = rows.select("text").mapInPandas(count, "word string, n long, words long")
+    table = materialize(parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "benchmark-words")
+    total = table.where("word IS NULL").first()
+    return table.where("word IS NOT NULL"), *((total.n, total.words) if total else (0, 0))
+
+
 def indexes(items: DataFrame) -> Iterator[Index]:
-    """Indexes of blocks of the benchmark (item_id, text), each at most ``ITEM_BLOCK`` rows and ``ITEM_BYTES`` on average.
+    """Indexes of blocks of the benchmark (item_id, text), each about ``ITEM_BLOCK`` rows and ``ITEM_BYTES`` on average.
 
-    A block is all that passes through the driver at a time; its statistics are its own.
+    A block is all that passes through the driver at a time. Scores depend on
+    the whole benchmark, not on the blocks: each is built with the statistics of
+    all items, of which it gets those of its own words.
     """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, math.ceil(n / ITEM_BLOCK), math.ceil(size / ITEM_BYTES))
+    if blocks == 1:
+        yield Index([(r.item_id, r.text) for r in rows.orderBy("item_id", "text").collect()])
+        return
+    table, entries, words = statistics_of(rows)
     for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
-        yield Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()])
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        own = sorted({w for r in part for w in tokens(r.text)})
+        known = table.join(items.sparkSession.createDataFrame([(w,) for w in own], "word string"), "word")
+        yield Index([(r.item_id, r.text) for r in part], Statistics(entries, words, {r.word: r.n for r in known.collect()}))
 
 
 def _search(shared, threshold: float, overlap: float):
@@ -207,29 +247,38 @@ def _search(shared, threshold: float, overlap: float):
     return search
 
 
-def leaks(items: DataFrame, text: Column, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Column:
-    """Array of the benchmark items found inside ``text``; empty if there are none."""
+def _searches(items: DataFrame, threshold: float, overlap: float) -> Iterator[Callable]:
+    """A column function per block of the benchmark; a block is gone from the cluster when the next one is asked for."""
     spark = items.sparkSession
     prepare(spark)
-    found = [_search(spark.sparkContext.broadcast(i), threshold, overlap)(text) for i in indexes(items)]
-    return F.concat(*found)
+    for index in indexes(items):
+        shared = spark.sparkContext.broadcast(index)
+        yield _search(shared, threshold, overlap)
+        shared.unpersist()
 
 
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) for every benchmark item inside a document.
+    """(doc_id, item_id, score, question_overlap, answer_overlap, item_overlap) for every benchmark item inside a document.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Words are runs of
     word characters in lower case, so case, punctuation and line breaks do not
     hide an item. An item counts as leaked if a window scores ``threshold`` or
-    more and the five-word shingles of its question and of its answer occur
-    around it to ``overlap`` each. Items of fewer than five words never match;
-    null and empty texts hold none. Repeated rows of ``docs`` report each; equal
-    items report each under their id. An empty side gives no rows.
+    more and around it occur the five-word shingles of the whole item to
+    ``overlap``, or those of its question and of its answer to ``overlap`` each. An
+    item of fewer than five words counts if its words occur as one run. Null and
+    empty texts and items hold and match nothing. Repeated rows of ``docs`` report
+    each; equal items report each under their id. An empty side gives no rows.
+    The hits of each block of a large benchmark are stored before the next block.
     """
-    found = docs.select("doc_id", F.explode(leaks(items, F.col("text"), threshold, overlap)).alias("hit"))
-    return found.select("doc_id", "hit.*")
+    found = []
+    for search in _searches(items, threshold, overlap):
+        hits = docs.select("doc_id", F.explode(search("text")).alias("hit")).select("doc_id", "hit.*")
+        found.append(materialize(hits, "leaks"))
+    return reduce(DataFrame.union, found)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without a benchmark item inside."""
-    return docs.where(F.size(leaks(items, F.col("text"))) == 0)
+    for search in _searches(items, THRESHOLD, OVERLAP):
+        docs = materialize(docs.where(F.size(search(F.col("text"))) == 0), "clean")
+    return docs
