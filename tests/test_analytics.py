@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tillframe.operators import analytics, churn, forecast
+from tillframe.operators import analytics, churn, forecast, smoothing
 
 KPI = "product_id string, product_name string, category string, revenue double, margin double, quantity long, avg_rating double, reviews long, positive long, negative long, neutral long"
 
@@ -179,8 +179,10 @@ def series(spark, **values):
 
 def test_linear_forecast_continues_a_line(spark):
     df = series(spark, line=[10, 12, 14, 16], short=[1, 2])
-    got = [(r.series, r.month, r.forecast) for r in forecast.linear_forecast(df, 2).orderBy("month").collect()]
-    assert got == [("line", datetime(2020, 5, 1), 18.0), ("line", datetime(2020, 6, 1), 20.0)]
+    got = [(r.series, r.month, r.forecast, r.status) for r in forecast.linear_forecast(df, 2).orderBy("month").collect()]
+    short = [("short", None, None, "too few months")]
+    assert got == short + [("line", datetime(2020, 5, 1), 18.0, "ok"), ("line", datetime(2020, 6, 1), 20.0, "ok")]
+    assert forecast.linear_forecast(df, 2, min_months=2).where("status <> 'ok'").count() == 0
 
 
 def plain_holt(y):
@@ -203,7 +205,7 @@ def test_holt_equals_a_plain_search(spark):
     rng = np.random.default_rng(4)
     values = {"x": list(rng.random(20) * 100), "y": list(np.arange(15) * 3.0 + rng.random(15)), "tiny": [1.0, 2.0]}
     got = {(r.series, r.month): r for r in forecast.holt_forecast(series(spark, **values), 2).collect()}
-    assert {k[0] for k in got} == {"x", "y"}
+    assert {k[0] for k in got} == {"x", "y", "tiny"} and got["tiny", None].status == "too few months"
     for name in ("x", "y"):
         sse, a, b, level, trend = plain_holt(values[name])
         last = datetime(2020, 1, 1) + pd.DateOffset(months=len(values[name]) - 1)
@@ -229,6 +231,7 @@ def test_seasonal_forecast(spark):
     got = {}
     for r in forecast.holt_winters_forecast(series(spark, **values), 3).orderBy("month").collect():
         got.setdefault(r.series, []).append(r)
+    assert [r.status for r in got.pop("tiny")] == ["too few months"]
     assert set(got) == {"add", "mul", "flat", "zero"} and all(len(v) == 3 for v in got.values())
     assert got["add"][0].model == "trend + additive season" and got["mul"][0].model == "trend * multiplicative season"
     # a multiplicative season needs positive values
@@ -238,6 +241,67 @@ def test_seasonal_forecast(spark):
         assert 0 <= r.lower <= r.forecast <= r.upper
 
 
+def test_search_is_never_worse_than_the_grid():
+    rng = np.random.default_rng(6)
+    for months, trend, season in ((5, True, None), (9, False, None), (30, True, "add"), (17, True, "mul")):
+        y = 50 + np.cumsum(rng.normal(0, 5, (8, months)), axis=1) + 10 * np.sin(np.arange(months))
+        y = np.maximum(y, 1.0)
+        weights, error, converged = smoothing.fit(y, trend, season)
+        assert converged.all() and (weights >= 0).all() and (weights <= 1).all()
+        for row, w, e in zip(y, weights, error):
+            on_grid, _ = forecast._smooth(row, trend, season, 1)
+            assert e <= on_grid * (1 + 1e-9)
+            again, ahead = smoothing.smooth(row[None], w[None, None], trend, season, 3)
+            assert again[0, 0] == pytest.approx(e)
+            near = np.clip(w + rng.normal(0, 1e-3, (200, 3)) * [1, trend, season is not None], 0, 1)
+            assert smoothing.smooth(row[None], near[None], trend, season)[0].min() >= e * (1 - 1e-5)  # a minimum
+
+
+def test_smoothing_equals_one_series_at_a_time():
+    rng = np.random.default_rng(7)
+    y = 20 + rng.random((3, 14)) * 5
+    w = np.array([[0.3, 0.1, 0.5]])
+    errors, ahead = smoothing.smooth(y, w[None], True, "mul", 2)
+    for k in range(3):
+        e, a = smoothing.smooth(y[k : k + 1], w[None], True, "mul", 2)
+        assert e[0, 0] == errors[k, 0] and (a[0, 0] == ahead[k, 0]).all()
+    one, _ = smoothing.smooth(y[:1, :6], np.array([[[0.4, 0.2, 0.0]]]), True, None)
+    level, trend, sse = y[0, 0], y[0, 1] - y[0, 0], 0.0
+    for v in y[0, 1:6]:
+        expected = level + trend
+        new = 0.4 * v + 0.6 * expected
+        trend, level, sse = 0.2 * (new - level) + 0.8 * trend, new, sse + (v - expected) ** 2
+    assert one[0, 0] == pytest.approx(sse)
+
+
+def test_cascade_ends_in_a_line(spark, monkeypatch):
+    season = np.array([0, 5, 9, 4, -3, -8, -2, 6, 12, 3, -9, -17.0])
+    months = np.arange(48)
+    values = {
+        "add": list(200 + 2.0 * months + season[months % 12]), "mul": list((100 + months[:20]) * (1 + season[months[:20] % 12] / 50)),
+        "flat": [5.0] * 6, "zero": [0.0] * 14, "tiny": [1.0, 2.0], "line": [10.0, 12.0, 14.0, 16.0],
+    }
+    df = series(spark, **values)
+    got = {}
+    for r in smoothing.smoothing_forecast(df, 3).orderBy("month").collect():
+        got.setdefault(r.series, []).append(r)
+    assert [(r.status, r.month, r.forecast) for r in got.pop("tiny")] == [("too few months", None, None)]
+    assert {k: v[0].model for k, v in got.items()} == {
+        "add": "trend + additive season", "mul": "trend * multiplicative season", "flat": "trend", "zero": "trend", "line": "trend"
+    }
+    for h, r in enumerate(got["add"]):
+        assert r.forecast == pytest.approx(200 + 2.0 * (48 + h) + season[h % 12], abs=3) and 0 <= r.lower <= r.forecast <= r.upper
+    assert [r.forecast for r in got["line"]] == [18.0, 20.0, 22.0]
+    assert got["line"][0].month == datetime(2020, 5, 1)
+    weights, error, converged = smoothing.fit(np.random.default_rng(1).random((2, 9)), True, None)
+    assert converged.all()
+    monkeypatch.setattr(smoothing, "ROUNDS", 1)  # no search comes to rest
+    model, _, ahead = smoothing.fitted(np.array([[1.0, 2.0, 3.5, 4.0]]), 2)
+    slope, start = np.polyfit(np.arange(4), [1.0, 2.0, 3.5, 4.0], 1)
+    assert model.tolist() == ["line"] and ahead[0] == pytest.approx([start + 4 * slope, start + 5 * slope])
+    assert smoothing.smoothing_forecast(df.where("series = 'none'")).count() == 0
+
+
 def test_horizon_is_checked(spark):
     with pytest.raises(ValueError):
         forecast.linear_forecast(series(spark, a=[1, 2, 3]), 13)

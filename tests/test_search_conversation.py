@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from datetime import datetime
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tillframe.functions.rules import route_analysis, route_question
 from tillframe.functions.text import char_ngrams, match_keywords, name_keywords, sorted_tokens, word_terms
 from tillframe.functions.vectors import nearest, top_k
-from tillframe.operators import conversation, reports, search
+from tillframe.operators import conversation, reports, search, vector_index
 
 
 def one(spark, text, build):
@@ -71,24 +72,54 @@ def test_top_k_equals_all_pairs(spark, block):
         assert got[q] == sorted(range(len(data)), key=lambda i: (-scores[i], i))[:4]
 
 
-def test_ann_finds_most_and_with_all_cells_everything(spark, rows):
+def test_index_with_all_cells_finds_everything(spark, rows):
     _, corpus = vectors(spark)
     queries = corpus.where("id IN (10, 20, 30)")
-    exact = top_k(corpus, queries, 5)
-    index, centres = search.build_index(corpus, cells=6)
-    assert index.count() == corpus.count() and index.select("cell").distinct().count() <= 6
-    everything = search.ann_search(index, centres, queries, 5, probes=6)
-    assert rows(everything, "query_id", "id", "rank") == rows(exact, "query_id", "id", "rank")
-    some = search.search_recall(exact, search.ann_search(index, centres, queries, 5, probes=3)).collect()
-    assert len(some) == 3 and all(0.2 <= r.recall <= 1 for r in some)
+    index = vector_index.build_index(corpus, 5, cells=6)
+    assert index.codes.groupBy("id").count().where("count <> 2").count() == 0 and index.codes.count() == 2 * corpus.count()
+    everything = vector_index.search_index(index._replace(refined=200), queries, 5, probes=index.cells)
+    assert rows(everything, "query_id", "id", "rank") == rows(top_k(corpus, queries, 5), "query_id", "id", "rank")
+    assert 0 < vector_index.share_read(index, queries) <= 1
 
 
-def test_ann_reads_only_probed_cells(spark):
+def test_index_blocks_and_crowds(spark, rows, monkeypatch):
+    """Large cells are scored in blocks, many queries of a cell in several tasks: the same hits."""
     _, corpus = vectors(spark)
-    index, centres = search.build_index(corpus, cells=20)
-    found = search.ann_search(index, centres, corpus.where("id = 10"), 5, probes=2)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan.lower()
+    queries = corpus.where("id % 3 = 0 AND id <> 3")
+    index = vector_index.build_index(corpus, 5, cells=4)
+    whole = rows(vector_index.search_index(index._replace(refined=200), queries, 5))
+    monkeypatch.setattr(vector_index, "BLOCK", 7)
+    monkeypatch.setattr(vector_index, "TOGETHER", 5)
+    small = vector_index.build_index(corpus, 5, cells=4)
+    assert small.blocks.agg(F.max("blocks")).first()[0] > 5
+    assert rows(vector_index.search_index(small._replace(refined=200, probes=index.probes), queries, 5)) == whole
+
+
+def test_index_of_few_or_equal_rows(spark, rows):
+    few = spark.createDataFrame([(k, [1.0, 0.0, float(k == 2)]) for k in range(3)] + [(9, [0.0] * 3)], "id long, vec array<double>")
+    index = vector_index.build_index(few, 2)
+    got = rows(vector_index.search_index(index, few.where("id = 0"), 2), "query_id", "id", "score")
+    assert got == [(0, 0, 1.0), (0, 1, 1.0)]
+
+
+def test_codes_are_the_closest_values():
+    data = np.random.default_rng(1).normal(size=(50, 10))
+    books = [vector_index.lloyd(data[:, s], 8) for s in vector_index.stretches(10)]
+    codes = vector_index.encoded(data, books)
+    for s, book, own in zip(vector_index.stretches(10), books, codes.T):
+        gaps = ((data[:, None, s] - book) ** 2).sum(2)
+        assert np.allclose(gaps[np.arange(50), own], gaps.min(1))
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_on_the_given_vectors(spark, folder):
+    if not os.path.isdir(folder):
+        pytest.skip("test data not present")
+    corpus = spark.read.parquet(f"{folder}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vec")
+    queries = corpus.where("id % 50 = 0")
+    found = vector_index.search_index(vector_index.build_index(corpus, 5), queries, 5)
+    recall = search.search_recall(top_k(corpus, queries, 5), found).agg(F.sum("found") / F.sum("wanted")).first()[0]
+    assert recall >= 0.9
 
 
 @pytest.mark.parametrize("block", [4096, 7])

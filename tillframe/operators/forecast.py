@@ -18,6 +18,7 @@ from tillframe.operators.reports import period_start
 # Shortest series, season length and width of the interval.
 MIN_MONTHS, SEASON, Z = 3, 12, 1.96
 MAX_HORIZON = 12
+OK, TOO_SHORT = "ok", "too few months"  # status of a series
 STEPS = tuple(i / 10 for i in range(1, 10))
 SEASON_STEPS = (0.1, 0.3, 0.5, 0.7, 0.9)
 
@@ -49,6 +50,13 @@ def product_series(sales: DataFrame, products: DataFrame, key: str) -> DataFrame
     return monthly.select(F.col(key).alias("series"), "month", F.col("r").cast("double").alias("value"))
 
 
+def with_status(result: DataFrame, series: DataFrame, min_months: int) -> DataFrame:
+    """``result`` with a status, and one row for each series of fewer than ``min_months``."""
+    short = series.groupBy("series").agg(F.count("*").alias("n")).where(F.col("n") < min_months)
+    short = short.select("series", F.lit(TOO_SHORT).alias("status"))
+    return result.withColumn("status", F.lit(OK)).unionByName(short, allowMissingColumns=True)
+
+
 def _two(c: Column) -> Column:
     return F.round(c.cast("decimal(28,6)"), 2).cast("double")
 
@@ -57,8 +65,8 @@ def _next_month(month: Column, step: Column) -> Column:
     return F.add_months(month.cast("date"), step.cast("int")).cast("timestamp_ntz")
 
 
-def linear_forecast(series: DataFrame, horizon: int = 3) -> DataFrame:
-    """Least-squares line through the months of each series, carried on."""
+def linear_forecast(series: DataFrame, horizon: int = 3, min_months: int = MIN_MONTHS) -> DataFrame:
+    """Least-squares line through the months of each series, carried on; shorter series have a row with a status."""
     check_horizon(horizon)
     numbered = series.withColumn("t", F.row_number().over(Window.partitionBy("series").orderBy("month")) - 1)
     fitted = numbered.groupBy("series").agg(
@@ -67,13 +75,10 @@ def linear_forecast(series: DataFrame, horizon: int = 3) -> DataFrame:
         F.count("*").alias("n"),
         F.max("month").alias("last"),
     )
-    ahead = fitted.where(F.col("n") >= MIN_MONTHS).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    ahead = fitted.where(F.col("n") >= min_months).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     value = F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("step"))
-    return ahead.select(
-        "series",
-        _next_month(F.col("last"), F.col("step")).alias("month"),
-        _two(value).alias("forecast"),
-    )
+    forecast = ahead.select("series", _next_month(F.col("last"), F.col("step")).alias("month"), _two(value).alias("forecast"))
+    return with_status(forecast, series, min_months)
 
 
 def _fold(values: Column, alpha: Column, beta: Column) -> Column:
@@ -95,7 +100,7 @@ def _fold(values: Column, alpha: Column, beta: Column) -> Column:
     return F.aggregate(F.slice(values, F.lit(2), F.size(values) - 1), start, step)
 
 
-def holt_fit(series: DataFrame) -> DataFrame:
+def holt_fit(series: DataFrame, min_months: int = MIN_MONTHS) -> DataFrame:
     """Per series the level and trend weights with the least squared error.
 
     The weights run over a grid in steps of 0.1; ties go to the smaller ones.
@@ -103,7 +108,7 @@ def holt_fit(series: DataFrame) -> DataFrame:
     arrays = series.groupBy("series").agg(
         F.array_sort(F.collect_list(F.struct("month", "value"))).alias("points"), F.max("month").alias("last")
     )
-    usable = arrays.where(F.size("points") >= MIN_MONTHS).select("series", "last", F.col("points.value").alias("v"))
+    usable = arrays.where(F.size("points") >= max(2, min_months)).select("series", "last", F.col("points.value").alias("v"))
     steps = F.array(*[F.lit(s) for s in STEPS])
     grid = usable.withColumn("alpha", F.explode(steps)).withColumn("beta", F.explode(steps))
     folded = grid.select(
@@ -115,19 +120,20 @@ def holt_fit(series: DataFrame) -> DataFrame:
     return best.select("series", "b.*")
 
 
-def holt_forecast(series: DataFrame, horizon: int = 3) -> DataFrame:
+def holt_forecast(series: DataFrame, horizon: int = 3, min_months: int = MIN_MONTHS) -> DataFrame:
     """Additive-trend smoothing: forecast with a 95 % band from the in-sample error."""
     check_horizon(horizon)
-    fitted = holt_fit(series).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    fitted = holt_fit(series, min_months).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     value = F.col("level") + F.col("step") * F.col("trend")
     rmse = F.sqrt(F.col("sse") / F.col("n"))
-    return fitted.select(
+    forecast = fitted.select(
         "series",
         _next_month(F.col("last"), F.col("step")).alias("month"),
         "alpha",
         "beta",
         *interval_columns(value, rmse),
     )
+    return with_status(forecast, series, max(2, min_months))
 
 
 def interval_columns(value: Column, rmse: Column) -> list[Column]:
@@ -139,13 +145,14 @@ def interval_columns(value: Column, rmse: Column) -> list[Column]:
     ]
 
 
-def forecast_interval(series: DataFrame) -> DataFrame:
+def forecast_interval(series: DataFrame, min_months: int = MIN_MONTHS) -> DataFrame:
     """Per series the weights, the error of the fit and the half width of the band."""
     rmse = F.sqrt(F.col("sse") / F.col("n"))
     months = F.col("n").cast("long").alias("months")
-    return holt_fit(series).select(
+    bands = holt_fit(series, min_months).select(
         "series", months, "alpha", "beta", _two(rmse).alias("rmse"), _two(Z * rmse).alias("half_width")
     )
+    return with_status(bands, series, max(2, min_months))
 
 
 # --- seasonal smoothing, one short series per group -------------------------
@@ -212,15 +219,18 @@ def _cascade(months: int) -> list[tuple[str, bool, str | None]]:
     return forms + [("trend", True, None), ("level", False, None)]
 
 
-def holt_winters_forecast(series: DataFrame, horizon: int = 3) -> DataFrame:
-    """The first model form that fits each series, with forecast and 95 % band."""
+def holt_winters_forecast(series: DataFrame, horizon: int = 3, min_months: int = MIN_MONTHS) -> DataFrame:
+    """The first model form that fits each series on a grid of weights, with forecast and 95 % band.
+
+    ``smoothing.smoothing_forecast`` searches on from the grid and tests convergence.
+    """
     check_horizon(horizon)
 
     def forecast(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("month")
         y = ordered["value"].to_numpy(dtype=float)
         columns = ["series", "month", "model", "forecast", "lower", "upper"]
-        if len(y) < MIN_MONTHS:
+        if len(y) < max(2, min_months):
             return pd.DataFrame(columns=columns)
         with np.errstate(all="ignore"):
             for label, trend, season in _cascade(len(y)):
@@ -245,4 +255,5 @@ def holt_winters_forecast(series: DataFrame, horizon: int = 3) -> DataFrame:
 
     schema = "series string, month timestamp_ntz, model string, forecast double, lower double, upper double"
     found = series.groupBy("series").applyInPandas(forecast, schema)
-    return found.withColumns({c: _two(F.col(c)) for c in ("forecast", "lower", "upper")})
+    found = found.withColumns({c: _two(F.col(c)) for c in ("forecast", "lower", "upper")})
+    return with_status(found, series, max(2, min_months))

@@ -448,18 +448,28 @@ def attach_reviews_tfidf(reviews: DataFrame, mapping: DataFrame, max_features: i
     terms of names and reviews, or the ``max_features`` commonest of them. A
     review sharing no term with any name gets the first product.
 
-    Only terms that occur in names join reviews with names; the other terms of a
-    review count in its length alone, which is summed per review.
+    Only reviews that hold a term of a name are counted term by term: the others
+    have no score whatever their length. For the terms of these reviews the
+    number of all reviews that hold them is counted. Only terms that occur in
+    names join reviews with names; the other terms of a review count in its
+    length alone, which is summed per review.
     """
     names = mapping.select((F.col("mapping_id") - 1).alias("idx"), F.col("golden_name").alias("name"))
     distinct = materialize(names.groupBy("name").agg(F.min("idx").alias("doc"), F.count("*").alias("members")), "names")
     name_terms = materialize(_term_counts(distinct, "name"), "name-terms")
     texts = reviews.select(F.col("review_key").alias("doc"), F.lit(1).cast("long").alias("members"), "review_text")
-    review_terms = materialize(_term_counts(texts, "review_text"), "review-terms")
-    every = name_terms.unionByName(review_terms)
-    df = every.groupBy("term").agg(F.sum("members").alias("df"), F.sum(F.col("members") * F.col("tf")).alias("uses"))
     if max_features:
+        review_terms = materialize(_term_counts(texts, "review_text"), "review-terms")
+        every = name_terms.unionByName(review_terms)
+        df = every.groupBy("term").agg(F.sum("members").alias("df"), F.sum(F.col("members") * F.col("tf")).alias("uses"))
         df = df.orderBy(F.desc("uses"), "term").limit(max_features)
+    else:
+        held = texts.select("doc", F.explode(F.array_distinct(word_terms(F.coalesce("review_text", F.lit(""))))).alias("term"))
+        touched = materialize(held.join(name_terms.select("term").distinct(), "term", "left_semi").select("doc").distinct(), "named-reviews")
+        review_terms = materialize(_term_counts(texts.join(touched, "doc", "left_semi"), "review_text"), "review-terms")
+        needed = review_terms.select("term").union(name_terms.select("term")).distinct()
+        uses = held.join(needed, "term", "left_semi").groupBy("term").agg(F.count("*").alias("members"))
+        df = uses.unionByName(name_terms.select("term", "members")).groupBy("term").agg(F.sum("members").alias("df"))
     docs = with_scalars(reviews.agg(F.count("*").alias("r")), mapping.agg(F.count("*").alias("m")))
     idf = F.log((1 + F.col("r") + F.col("m")) / (1 + F.col("df"))) + 1
     named = name_terms.select("term").distinct().withColumn("named", F.lit(True))

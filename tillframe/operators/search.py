@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillframe.functions.text import words
-from tillframe.functions.vectors import dot, nearest, top_k
+from tillframe.functions.vectors import dot, top_k
 from tillframe.sources.storage import materialize
 
-# Cells of the approximate index, results shown, length of a snippet.
-CELLS, K, SNIPPET = 50, 5, 200
-PROBES = 8  # cells a query looks into
+# Results shown, length of a snippet.
+K, SNIPPET = 5, 200
 
 
 def centroids(vectors: DataFrame, label: str, vec: str) -> DataFrame:
@@ -70,51 +69,6 @@ def review_snippets(hits: DataFrame, texts: DataFrame) -> DataFrame:
     return keyed.join(materialize(hits, "hits"), "review_key").select("query_id", "rank", line.alias("line"))
 
 
-def cell_centres(vectors: DataFrame, cells: int = CELLS) -> DataFrame:
-    """(cell, centre): the unit vectors of the ``cells`` rows whose id has the smallest hash.
-
-    A fixed rule instead of a fit: the same rows give the same cells everywhere.
-    """
-    digest = F.md5(F.col("id").cast("string"))
-    first = vectors.select("id", "vec", digest.alias("digest")).orderBy("digest", "id").limit(cells)
-    numbered = first.withColumn("cell", F.row_number().over(Window.orderBy("digest", "id")))  # ``cells`` rows
-    return numbered.select(F.col("cell").cast("long").alias("cell"), F.col("vec").alias("centre"))
-
-
-def build_index(vectors: DataFrame, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
-    """(index, centres): the vectors stored by the cell of their closest centre, and the centres.
-
-    The index is a table partitioned by cell: a search reads the folders of the
-    cells it probes and no others.
-    """
-    centres = materialize(cell_centres(vectors, cells), "index-centres")
-    rows = vectors.select("id", "vec")
-    placed = rows.join(nearest(rows, centres.select(F.col("cell").alias("id"), F.col("centre").alias("vec"))), "id")
-    table = placed.select("id", "vec", F.col("target_id").alias("cell"))
-    return materialize(table, "vector-index", partition_by=["cell"]), centres
-
-
-def ann_search(index: DataFrame, centres: DataFrame, queries: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
-    """The best ``k`` rows of each query among the ``probes`` cells closest to it: (query_id, id, score, rank).
-
-    ``index`` and ``centres`` are those of ``build_index``, ``queries`` has ``id``
-    and ``vec``. Only rows of probed cells are read and scored.
-    """
-    close = top_k(centres.select(F.col("cell").alias("id"), F.col("centre").alias("vec")), queries, probes)
-    probing = close.select("query_id", F.col("id").alias("cell")).join(
-        queries.select(F.col("id").alias("query_id"), F.col("vec").alias("query")), "query_id"
-    )
-    scored = index.join(probing, "cell").select("query_id", "id", F.round(cosine("vec", "query"), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def cosine(a: str, b: str) -> Column:
-    x, y = F.col(a).cast("array<double>"), F.col(b).cast("array<double>")
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when(norm > 0, dot(x, y) / norm).otherwise(0.0)
-
-
 def search_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact hits that the approximate search found, per query."""
     found = approximate.select("query_id", "id").withColumn("hit", F.lit(1))

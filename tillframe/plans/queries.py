@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillframe.functions.text import name_keywords
-from tillframe.operators import analytics, churn, cleaning, conversation, forecast, marts, matching, quality, reports, search
+from tillframe.operators import (
+    analytics, churn, cleaning, conversation, forecast, marts, matching, quality, reports, search, smoothing, vector_index,
+)
 from tillframe.plans.warehouse import Warehouse, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,12 +137,12 @@ def product_kpi_exact(w: Warehouse) -> DataFrame:
 
 @query
 def product_kpi_poc(w: Warehouse) -> DataFrame:
-    return marts.product_kpi(w.mapping_poc, w.sales, w.reviews_poc)
+    return w.kpi_poc
 
 
 @query
 def product_alerts_poc(w: Warehouse) -> DataFrame:
-    return marts.product_alerts(marts.product_kpi(w.mapping_poc, w.sales, w.reviews_poc))
+    return w.alerts_poc
 
 
 @query
@@ -184,7 +186,7 @@ def product_listing(w: Warehouse) -> DataFrame:
 @query
 def product_listing_filtered(w: Warehouse) -> DataFrame:
     return reports.product_listing(
-        w.product_kpi, w.alerts, category="Art de la Table", status="OK", sort_by="rating"
+        w.kpi_poc, w.alerts_poc, category="Art de la Table", status="OK", sort_by="rating"
     )
 
 
@@ -195,17 +197,17 @@ def revenue_by_category(w: Warehouse) -> DataFrame:
 
 @query
 def open_alerts(w: Warehouse) -> DataFrame:
-    return reports.open_alerts(w.alerts)
+    return reports.open_alerts(w.alerts_poc)
 
 
 @query
 def critical_products(w: Warehouse) -> DataFrame:
-    return reports.critical_products(w.alerts)
+    return reports.critical_products(w.alerts_poc)
 
 
 @query
 def alert_messages(w: Warehouse) -> DataFrame:
-    return reports.alert_messages(reports.critical_products(w.alerts))
+    return reports.alert_messages(reports.critical_products(w.alerts_poc))
 
 
 @query
@@ -215,7 +217,7 @@ def product_sheet_sales(w: Warehouse) -> DataFrame:
 
 @query
 def product_sheet_reviews(w: Warehouse) -> DataFrame:
-    return reports.product_sheet_reviews(w.mapping, w.reviews)
+    return reports.product_sheet_reviews(w.mapping_poc, w.reviews_poc)
 
 
 @query
@@ -319,7 +321,7 @@ def best_rated_products(w: Warehouse) -> DataFrame:
 
 @query
 def worst_rated_products(w: Warehouse) -> DataFrame:
-    return reports.worst_rated_products(w.alerts)
+    return reports.worst_rated_products(w.alerts_poc)
 
 
 @query
@@ -487,6 +489,22 @@ def attach_reviews_tfidf(w: Warehouse) -> DataFrame:
     return matching.attach_reviews_tfidf(texts, w.mapping)
 
 
+@query
+def attach_reviews_named(w: Warehouse) -> DataFrame:
+    """As ``attach_reviews_tfidf``, over texts that begin with a product's name."""
+    return matching.attach_reviews_tfidf(w.named_texts, w.mapping)
+
+
+@query
+def rating_distribution_poc(w: Warehouse) -> DataFrame:
+    return reports.rating_distribution(w.products, w.mapping_poc, w.reviews_poc, w.texts)
+
+
+@query
+def latest_reviews_poc(w: Warehouse) -> DataFrame:
+    return reports.latest_reviews(w.products, w.mapping_poc, w.reviews_poc, w.texts)
+
+
 def _centroids(w: Warehouse) -> DataFrame:
     return search.centroids(w.vectors, "label", "vec")
 
@@ -596,7 +614,7 @@ def feature_importance(w: Warehouse) -> DataFrame:
 
 @query
 def product_score(w: Warehouse) -> DataFrame:
-    return analytics.product_score(w.product_kpi)
+    return analytics.product_score(w.kpi_poc)
 
 
 @query
@@ -644,29 +662,53 @@ def holt_winters_forecast(w: Warehouse) -> DataFrame:
     return forecast.holt_winters_forecast(_series(w))
 
 
+@query
+def country_smoothing(w: Warehouse) -> DataFrame:
+    return smoothing.smoothing_forecast(_series(w))
+
+
+@query
+def category_smoothing(w: Warehouse) -> DataFrame:
+    return smoothing.smoothing_forecast(forecast.product_series(w.sales, w.products, "category"))
+
+
+@query
+def product_smoothing(w: Warehouse) -> DataFrame:
+    return smoothing.smoothing_forecast(forecast.product_series(w.sales, w.products, "product_id"))
+
+
 # --- search and conversation -----------------------------------------------------------------
 
 
+def _asked(w: Warehouse) -> DataFrame:
+    """The rows that ask: vectors whose id in the source is divisible by 50."""
+    return w.vectors.where((F.col("id") - 1) % 50 == 0).select("id", "vec")
+
+
 @query
 def vector_search(w: Warehouse) -> DataFrame:
-    return search.vector_search(w.vectors, _centroids(w), w.reviews, w.mapping)
+    return search.vector_search(w.vectors, _asked(w), w.reviews, w.mapping)
 
 
 @query
 def review_snippets(w: Warehouse) -> DataFrame:
-    hits = search.vector_search(w.vectors, _centroids(w), w.reviews, w.mapping)
+    hits = search.vector_search(w.vectors, _asked(w), w.reviews, w.mapping)
     return search.review_snippets(hits, w.texts)
 
 
 @query
 def ann_search(w: Warehouse) -> DataFrame:
-    return search.ann_search(*w.vector_index, _centroids(w))
+    return vector_index.search_index(w.vector_index, _asked(w), search.K)
 
 
 @query
 def ann_recall(w: Warehouse) -> DataFrame:
-    queries = _centroids(w)
-    return search.search_recall(search.top_k(w.vectors, queries, search.K), search.ann_search(*w.vector_index, queries))
+    """How many exact hits there are to find, and whether the index finds nine tenths of them."""
+    exact = search.top_k(w.vectors, _asked(w), search.K)
+    found = search.search_recall(exact, vector_index.search_index(w.vector_index, _asked(w), search.K))
+    return found.agg(
+        F.count("*").alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("reached")
+    )
 
 
 @query

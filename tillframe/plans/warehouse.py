@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillframe.functions.ordering import with_position
-from tillframe.operators import cleaning, marts, matching, search
+from tillframe.operators import cleaning, marts, matching, search, vector_index
 from tillframe.operators.analytics import CUSTOMER_METRICS, Clusters
 from tillframe.operators.churn import ChurnModel, churn_labels, customer_rfm_base
 from tillframe.session import tune
@@ -85,8 +85,8 @@ class Warehouse:
         return materialize(placed.withColumn("review_id", F.col("review_id") + 1), "review-facts")
 
     @cached_property
-    def vector_index(self) -> tuple[DataFrame, DataFrame]:
-        return search.build_index(self.vectors)
+    def vector_index(self) -> vector_index.VectorIndex:
+        return vector_index.build_index(self.vectors, search.K)
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -96,6 +96,23 @@ class Warehouse:
     def product_kpi(self) -> DataFrame:
         return materialize(marts.product_kpi(self.mapping, self.sales, self.reviews), "product-kpi")
 
+    @cached_property
+    def kpi_poc(self) -> DataFrame:
+        """Products with the reviews dealt out in turn: every product has some, every status occurs."""
+        return materialize(marts.product_kpi(self.mapping_poc, self.sales, self.reviews_poc), "product-kpi-poc")
+
+    @cached_property
+    def alerts_poc(self) -> DataFrame:
+        return marts.product_alerts(self.kpi_poc)
+
+    @cached_property
+    def named_texts(self) -> DataFrame:
+        """Review texts that begin with the name of a product, dealt out in turn: texts that share words with names."""
+        names = self.products.select("idx", "product_name")
+        placed = self.review_facts.select("review_key", F.pmod(F.col("review_id") - 1, F.lit(self.product_rows)).alias("idx"))
+        named = self.texts.join(placed, placed.review_key == F.col("id")).join(names, "idx")
+        return named.select("review_key", F.concat_ws(" ", "product_name", "text").alias("review_text"))
+
     @cached_property
     def alerts(self) -> DataFrame:
         return marts.product_alerts(self.product_kpi)
