@@ -55,11 +55,13 @@ def reviews_per_code(reviews: DataFrame) -> DataFrame:
 
 
 def _mapped(mapping: DataFrame, sales: DataFrame, reviews: DataFrame) -> DataFrame:
+    return _mapped_facts(mapping, sales_per_product(sales), reviews_per_code(reviews))
+
+
+def _mapped_facts(mapping: DataFrame, per_product: DataFrame, per_code: DataFrame) -> DataFrame:
     """One row per mapping with the totals of both facts, zero where there are none."""
     keyed = mapping.select("product_id", F.col("golden_name").alias("product_name"), "category", "review_code")
-    joined = keyed.join(sales_per_product(sales), "product_id", "left").join(
-        reviews_per_code(reviews), "review_code", "left"
-    )
+    joined = keyed.join(per_product, "product_id", "left").join(per_code, "review_code", "left")
     return joined.fillna(0, ["quantity", "lines", "ratings", "reviews", "positive", "negative", "neutral"])
 
 
@@ -86,7 +88,12 @@ def _kpi(rows: DataFrame, per_line: Column, per_review: Column) -> DataFrame:
 
 
 def product_kpi(mapping: DataFrame, sales: DataFrame, reviews: DataFrame) -> DataFrame:
-    rows = _mapped(mapping, sales, reviews)
+    return product_kpi_of_facts(mapping, sales_per_product(sales), reviews_per_code(reviews))
+
+
+def product_kpi_of_facts(mapping: DataFrame, per_product: DataFrame, per_code: DataFrame) -> DataFrame:
+    """``product_kpi`` from the totals of ``sales_per_product`` and ``reviews_per_code``."""
+    rows = _mapped_facts(mapping, per_product, per_code)
     return _kpi(rows, F.greatest(F.col("reviews"), F.lit(1)), F.greatest(F.col("lines"), F.lit(1)))
 
 
@@ -94,11 +101,11 @@ def product_kpi_exact(mapping: DataFrame, sales: DataFrame, reviews: DataFrame)
     return _kpi(_mapped(mapping, sales, reviews), F.lit(1), F.lit(1))
 
 
-def _product_reviews(mapping: DataFrame, reviews: DataFrame) -> DataFrame:
+def _product_reviews(mapping: DataFrame, per_code: DataFrame) -> DataFrame:
     """Review totals per product; one row per mapping, zero without reviews."""
     return (
         mapping.select("product_id", "review_code")
-        .join(reviews_per_code(reviews), "review_code", "left")
+        .join(per_code, "review_code", "left")
         .select("product_id", "rating_sum", F.coalesce("ratings", F.lit(0)).alias("ratings"), F.coalesce("reviews", F.lit(0)).alias("reviews"))
     )
 
@@ -121,8 +128,21 @@ def customer_kpi(
     reviews: DataFrame,
     mapping_rows: int | None = None,
 ) -> DataFrame:
-    weights = _product_reviews(mapping, reviews)
-    lines = join_keyed(_customer_lines(sales), weights, "product_id", "left", keyed_rows=mapping_rows)
+    per_code = reviews_per_code(reviews)
+    return customer_kpi_of_facts(customers, _customer_lines(sales), _orders(sales), mapping, per_code, mapping_rows)
+
+
+def customer_kpi_of_facts(
+    customers: DataFrame,
+    customer_lines: DataFrame,
+    orders: DataFrame,
+    mapping: DataFrame,
+    per_code: DataFrame,
+    mapping_rows: int | None = None,
+) -> DataFrame:
+    """``customer_kpi`` from totals: revenue and lines per customer and product, orders per customer, reviews per code."""
+    weights = _product_reviews(mapping, per_code)
+    lines = join_keyed(customer_lines, weights, "product_id", "left", keyed_rows=mapping_rows)
     weight = F.greatest(F.coalesce("reviews", F.lit(0)), F.lit(1))
     totals = lines.groupBy("customer_id").agg(
         F.count("product_id").alias("products"),
@@ -132,7 +152,7 @@ def customer_kpi(
         F.sum(F.col("ratings") * F.col("lines")).alias("ratings"),
         F.sum(F.coalesce(F.col("reviews"), F.lit(0)) * F.col("lines")).alias("reviews"),
     )
-    return _customer_rows(customers, totals, _orders(sales))
+    return _customer_rows(customers, totals, orders)
 
 
 def customer_kpi_exact(
@@ -143,7 +163,7 @@ def customer_kpi_exact(
     mapping_rows: int | None = None,
 ) -> DataFrame:
     """True revenue; ratings and reviews are those of the distinct products bought."""
-    weights = _product_reviews(mapping, reviews)
+    weights = _product_reviews(mapping, reviews_per_code(reviews))
     lines = join_keyed(_customer_lines(sales), weights, "product_id", "left", keyed_rows=mapping_rows)
     totals = lines.groupBy("customer_id").agg(
         F.count("product_id").alias("products"),

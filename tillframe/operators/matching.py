@@ -401,6 +401,18 @@ def update_history(history: DataFrame, mapping: DataFrame, as_of: Column) -> Dat
     return closed.select(kept.columns).unionByName(kept).unionByName(opened)
 
 
+def mapping_as_of(facts: DataFrame, history: DataFrame, at: str) -> DataFrame:
+    """``facts`` with the mapping values of their product that were valid at their time ``at``; null if none was.
+
+    A mapping is valid from ``valid_from`` on and before ``valid_to``; intervals of
+    a product do not overlap, so no row is repeated.
+    """
+    valid = history.select(F.col("product_id").alias("_product"), *HISTORY_VALUES, F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
+    open_end = F.col("_to").isNull() | (F.col(at) < F.col("_to"))
+    hit = (F.col("product_id") == F.col("_product")) & (F.col("_from") <= F.col(at)) & open_end
+    return facts.join(valid, hit, "left").drop("_product", "_from", "_to")
+
+
 # --- attaching reviews -----------------------------------------------------
 
 

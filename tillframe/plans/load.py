@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from tillframe.functions.skew import join_keyed
 from tillframe.operators import cleaning, marts, matching, quality
 from tillframe.sources.files import load_reviews, load_sales
-from tillframe.sources.manifest import record_sources, should_run
+from tillframe.sources.manifest import path_exists, record_sources, should_run
 from tillframe.sources.storage import materialize
 
 TABLES = ("products", "customers", "mapping", "sales", "reviews")
+HISTORY = "mapping_history"
 CURRENT = "current"  # names the folder of the published version
 
 
@@ -30,6 +32,7 @@ def run_load(
     strategy: str = "semantic",
     json_lines: bool = True,
     encoder: Callable[[DataFrame], DataFrame] | None = None,
+    as_of: datetime | None = None,
 ) -> bool:
     """Load both sources into ``target`` unless nothing changed; True when it ran.
 
@@ -37,7 +40,8 @@ def run_load(
     leaves the published tables as they were. Samples and ``mapped_products``
     (the best sellers that take part in the mapping) are 0 for all. ``encoder``
     turns (id, text) into (id, vec); with it the semantic strategy assigns
-    reviews by their vectors.
+    reviews by their vectors. The history of the mapping is kept over all loads: rows
+    that change are closed at ``as_of`` (now, by default) and opened anew.
     """
     sources, manifest = [sales_path, reviews_path], f"{target}/_manifest"
     needed, seen = should_run(spark, sources, manifest, force)
@@ -66,6 +70,7 @@ def run_load(
             "reviews": attached.select(
                 "review_id", "review_code", "rating", "review_text", "review_excerpt", "sentiment", "review_ts"
             ),
+            HISTORY: mapping_history(spark, target, mapping, as_of),
         },
         target,
     )
@@ -73,6 +78,17 @@ def run_load(
     return True
 
 
+def mapping_history(spark: SparkSession, target: str, mapping: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """The stored history of ``target``, brought up to ``mapping``: open rows hold, closed ones held before."""
+    columns = ["product_id", *matching.HISTORY_VALUES, "valid_from", "valid_to"]
+    now = F.lit(as_of or datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
+    stored = f"{current_version(spark, target)}/{HISTORY}" if path_exists(spark, f"{target}/{CURRENT}") else None
+    if stored and path_exists(spark, stored):
+        return matching.update_history(spark.read.parquet(stored), mapping, now).select(*columns)
+    never = F.lit(None).cast("timestamp_ntz")
+    return mapping.withColumn("valid_from", now).withColumn("valid_to", never).select(*columns)
+
+
 def attach_reviews(
     reviews: DataFrame, mapping: DataFrame, strategy: str, encoder: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
@@ -131,9 +147,10 @@ def publish(frames: dict[str, DataFrame], target: str) -> None:
 
 
 def empty_tables(spark: SparkSession, target: str) -> None:
-    """Remove all rows from the published tables, keeping their columns."""
+    """Remove all rows from the published tables, keeping their columns and the history of the mapping."""
     folder = current_version(spark, target)
-    publish({name: spark.read.parquet(f"{folder}/{name}").limit(0) for name in TABLES}, target)
+    kept = {HISTORY: spark.read.parquet(f"{folder}/{HISTORY}")} if path_exists(spark, f"{folder}/{HISTORY}") else {}
+    publish({name: spark.read.parquet(f"{folder}/{name}").limit(0) for name in TABLES} | kept, target)
 
 
 def create_views(spark: SparkSession, target: str) -> None:

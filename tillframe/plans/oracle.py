@@ -430,6 +430,18 @@ CTES: dict[str, str] = {
              WHEN t.idx IS NOT NULL THEN 'tfidf' ELSE 'rank' END AS match_strategy
         FROM products p LEFT JOIN hard h ON h.idx = p.idx LEFT JOIN fuzzy f ON f.idx = p.idx
         LEFT JOIN tfidf t ON t.idx = p.idx""",
+    "history": f"""
+        SELECT product_id, o.review_code, o.golden_name, o.match_score, o.match_strategy,
+          TIMESTAMP '{HISTORY_FROM}' AS valid_from,
+          CASE WHEN o.review_code = m.review_code AND o.match_score = m.match_score
+               AND o.match_strategy = m.match_strategy THEN NULL ELSE TIMESTAMP '{HISTORY_AS_OF}' END AS valid_to
+        FROM (SELECT product_id, product_name AS golden_name, printf('REV_%04d', idx % 1000 + 1) AS review_code,
+              CAST(0 AS DOUBLE) AS match_score, 'rank' AS match_strategy FROM products) o JOIN mapping m USING (product_id)
+        UNION ALL
+        SELECT m.product_id, m.review_code, m.golden_name, m.match_score, m.match_strategy,
+          TIMESTAMP '{HISTORY_AS_OF}', NULL
+        FROM mapping m JOIN products p USING (product_id)
+        WHERE NOT (m.match_strategy = 'rank' AND m.review_code = printf('REV_%04d', p.idx % 1000 + 1))""",
     "report": " UNION ALL ".join(
         [
             rules_sql("sales", "sales", SALES_RULES),
@@ -766,18 +778,10 @@ MAIN: dict[str, str] = {
           round(0.6::DOUBLE * round(l.c, 4) + 0.4::DOUBLE * (1 - levenshtein(x.name, y.name)::DOUBLE
             / greatest(length(x.name), length(y.name), 1)), 4) AS hybrid_score
         FROM lone_best l JOIN distinct_names x ON x.rep = l.a JOIN distinct_names y ON y.rep = l.b)""",
-    "mapping_history": f"""
-        SELECT product_id, o.review_code, o.golden_name, o.match_score, o.match_strategy,
-          TIMESTAMP '{HISTORY_FROM}' AS valid_from,
-          CASE WHEN o.review_code = m.review_code AND o.match_score = m.match_score
-               AND o.match_strategy = m.match_strategy THEN NULL ELSE TIMESTAMP '{HISTORY_AS_OF}' END AS valid_to
-        FROM (SELECT product_id, product_name AS golden_name, printf('REV_%04d', idx % 1000 + 1) AS review_code,
-              CAST(0 AS DOUBLE) AS match_score, 'rank' AS match_strategy FROM products) o JOIN mapping m USING (product_id)
-        UNION ALL
-        SELECT m.product_id, m.review_code, m.golden_name, m.match_score, m.match_strategy,
-          TIMESTAMP '{HISTORY_AS_OF}', NULL
-        FROM mapping m JOIN products p USING (product_id)
-        WHERE NOT (m.match_strategy = 'rank' AND m.review_code = printf('REV_%04d', p.idx % 1000 + 1))""",
+    "mapping_history": "SELECT * FROM history",
+    "sales_mapping_as_of": f"""SELECT s.product_id, h.review_code, h.match_strategy, count(*) AS lines, {dbl('sum(s.revenue)')} AS revenue
+        FROM sales s LEFT JOIN history h ON h.product_id = s.product_id AND h.valid_from <= s.invoice_ts
+            AND (h.valid_to IS NULL OR s.invoice_ts < h.valid_to) GROUP BY ALL""",
     "attach_reviews_rr": "SELECT review_key, review_code, review_id FROM dealt",
     "attach_reviews_tfidf": "SELECT review_key, product_idx, score, review_code FROM linked",
     "semantic_assign": """WITH best AS (SELECT id, query_id, score FROM near_centres

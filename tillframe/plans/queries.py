@@ -21,7 +21,7 @@ FULL_NAME_THRESHOLD = 0.25
 CHECK_NOW = "2024-01-01 00:00:00"
 RULES_NOW = "2000-01-01 00:00:00"
 RANGE = ("1996-01-01", "1999-12-31")
-HISTORY_FROM, HISTORY_AS_OF = "2024-01-01 00:00:00", "2024-06-01 00:00:00"
+HISTORY_FROM, HISTORY_AS_OF = "1996-01-01 00:00:00", "1999-01-01 00:00:00"
 
 
 def query(build: Callable[[Warehouse], DataFrame]) -> Callable[[Warehouse], DataFrame]:
@@ -478,6 +478,14 @@ def mapping_history(w: Warehouse) -> DataFrame:
     return matching.update_history(history, w.mapping, F.lit(HISTORY_AS_OF).cast("timestamp_ntz"))
 
 
+@query
+def sales_mapping_as_of(w: Warehouse) -> DataFrame:
+    """Lines and revenue per product and the review code that was valid when they were sold."""
+    dated = matching.mapping_as_of(w.sales.select("product_id", "invoice_ts", "revenue"), mapping_history(w), "invoice_ts")
+    totals = dated.groupBy("product_id", "review_code", "match_strategy").agg(F.count("*").alias("lines"), F.sum("revenue").alias("r"))
+    return totals.select("product_id", "review_code", "match_strategy", "lines", F.col("r").cast("double").alias("revenue"))
+
+
 @query
 def attach_reviews_rr(w: Warehouse) -> DataFrame:
     return matching.attach_reviews_rr(w.raw_reviews.select("review_key"), w.mapping)
