@@ -81,12 +81,11 @@ def test_vector_without_id(spark):
     assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
 
-def test_dense_group_is_counted_in_blocks(spark, monkeypatch):
+def test_dense_group_is_counted_in_blocks(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal(16)
     rows = [(k, (base + rng.standard_normal(16) * 0.02).astype(np.float32).tolist(), 1) for k in range(300)]
-    monkeypatch.setattr(lattice, "bucket_links", lambda *a, **k: __import__("tillframe.llm.common", fromlist=["x"]).bucket_links(*a, **k, block=40))
-    assert got(spark.createDataFrame(rows, SCHEMA).repartition(4)) == brute(rows)
+    assert got(spark.createDataFrame(rows, SCHEMA).repartition(4), block=40) == brute(rows)
 
 
 def test_recall_at_the_threshold():

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillframe.llm.common import bucket_links, connected, prepare
+from tillframe.llm.common import BLOCK, bucket_links, connected, prepare
 from tillframe.sources.storage import materialize
 
 COSINE = 0.93
@@ -88,7 +88,7 @@ def _rows(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = COSINE, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH
+    vectors: DataFrame, threshold: float = COSINE, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, block: int = BLOCK
 ) -> DataFrame:
     """Links between vectors of equal label: (vec_id, n_links, component_id, kept) per row.
 
@@ -128,9 +128,14 @@ def near_vectors(
             yield pd.Series(out)
 
     entries = classes.select("id", "copies", "label", "embedding", hashed("embedding").alias("cells"))
-    # The cells of a vector are needed whole, to report a pair in one of its common cells only.
-    entries = materialize(entries, "vector-cells").withColumn("cell", F.explode(F.array_distinct("cells")))
-    index = entries.withColumn("key", F.xxhash64("label", F.size("embedding"), "cell")).drop("label")
+    # Only ids travel to the buckets. Vectors are fetched for the members of buckets that have several, with all their
+    # cells, so that a pair is reported in one of its common cells only.
+    entries = materialize(entries, "vector-cells")
+    key_of = F.xxhash64("label", F.size("embedding"), "cell").alias("key")
+    narrow = entries.withColumn("cell", F.explode(F.array_distinct("cells"))).select(key_of, "id", "cell")
+    shared = materialize(narrow.groupBy("key").count().where("count > 1"), "vector-buckets")
+    members = materialize(narrow.join(shared.select("key"), "key"), "vector-members")
+    index = members.join(entries.select("id", "copies", "embedding", "cells"), "id")
 
     def verify(frame: pd.DataFrame):
         full, dims = _rows(frame["embedding"])
@@ -150,7 +155,7 @@ def near_vectors(
 
         return check
 
-    found = materialize(bucket_links(index, "id", verify, "vectors", weight="copies"), "vector-links")
+    found = materialize(bucket_links(index, "id", verify, "vectors", weight="copies", hot=shared.where(F.col("count") > block), block=block), "vector-links")
     roots = connected(found.select("u", F.col("root").alias("v")), "vectors").withColumnRenamed("node", "id")
     direct = found.groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     joined = classes.drop("embedding").join(roots, "id", "left").join(direct, "id", "left")
