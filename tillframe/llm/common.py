@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillframe.functions.skew import join_keyed
 from tillframe.sources.storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: what counts as a word where sizes are words
@@ -158,10 +159,12 @@ def connected(links: DataFrame, name: str) -> DataFrame:
             )
         seen = mark
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # The smallest member of a large group is a neighbour of all others: its rows are spread by ``join_keyed``.
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-least")
+        large = join_keyed(both.where("b > a"), low, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.distinct(), f"{name}-large")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least")
+        small = join_keyed(large, low, "a", "inner").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.union(low.select("a", "m")).distinct(), f"{name}-links")
 
 
