@@ -106,8 +106,15 @@ def test_clusters(spark):
     assert all(len(s) == 1 for s in sides.values())
     assert clusters.profile().agg(F.sum("rows")).first()[0] == 60
     assert {r.column for r in clusters.importance().collect()} == {"a", "b"}
-    with pytest.raises(ValueError):
-        analytics.Clusters(spark.createDataFrame(data[:4], "id string, a double, b double"), "id", ["a", "b"])
+
+
+@pytest.mark.parametrize("rows, k", [(4, 0), (5, 2), (59, 2), (60, 3), (79, 3), (80, 4), (400, 4)])
+def test_number_of_clusters_follows_the_rows(spark, rows, k):
+    data = [(str(i), float(i * 37 % 101), float(i % 7)) for i in range(rows)]
+    clusters = analytics.Clusters(spark.createDataFrame(data, "id string, a double, b double"), "id", ["a", "b"])
+    labels = {r.cluster for r in clusters.labelled.collect()}
+    assert clusters.k == k and labels == (set(range(k)) if k else {None})
+    assert clusters.profile().agg(F.sum("rows")).first()[0] == rows and clusters.importance().count() == (2 if k else 0)
 
 
 # --- churn ------------------------------------------------------------------------------
@@ -143,7 +150,10 @@ def test_churn_labels(spark):
     assert all(r.churned == int(r.recency_days > limit) for r in labels)
     rate = churn.churn_rate(churn.churn_labels(base)).first()
     assert rate.customers == 40 and rate.churned == int((days > limit).sum())
-    assert churn.churn_labels(churn.customer_rfm_base(*history(spark, 9))).count() == 0
+    few = churn.churn_labels(churn.customer_rfm_base(*history(spark, 9))).collect()
+    assert [(r.status, r.churned, r.threshold_days) for r in few] == [("too few customers", None, None)] * 9
+    assert churn.churn_labels(churn.customer_rfm_base(*history(spark, 9)), min_customers=5).where("status = 'ok'").count() == 9
+    assert {r.status for r in labels} == {"ok"}
     hist = churn.recency_histogram(base).collect()
     assert sum(r.customers for r in hist) == 40 and {r.bin for r in hist} <= set(range(1, 31))
 

@@ -218,20 +218,27 @@ def radar_metrics(kpi: DataFrame) -> DataFrame:
     return with_scalars(kpi, tops).select("product_id", *[share(c) for c in RADAR_METRICS])
 
 
-MIN_CLUSTER_ROWS, CLUSTERS = 5, 4
+# Rows needed for clusters, rows per cluster, fewest and most clusters.
+MIN_CLUSTER_ROWS, ROWS_PER_CLUSTER, FEWEST, MOST = 5, 20, 2, 4
 
 
 class Clusters:
-    """K-means on standardised columns: labelled rows, profile and importance."""
+    """K-means on standardised columns: labelled rows, profile and importance.
 
-    def __init__(self, rows: DataFrame, key: str, columns: Sequence[str], k: int = CLUSTERS, seed: int = 42):
+    Without ``k`` there is a cluster per 20 rows, at least 2 and at most 4. Fewer than
+    five complete rows are not divided: they come back with a null cluster.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, columns: Sequence[str], k: int | None = None, seed: int = 42):
         self.key, self.columns = key, list(columns)
         complete = rows.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
         complete = materialize(complete, "cluster-input")
         count = complete.count()
+        self.k = k or min(MOST, max(FEWEST, count // ROWS_PER_CLUSTER))
         if count < MIN_CLUSTER_ROWS:
-            raise ValueError("too few rows for clusters")
-        self.k = k
+            self.k, self.model = 0, None
+            self.labelled = complete.withColumn("cluster", F.lit(None).cast("int"))
+            return
         assembled = VectorAssembler(inputCols=self.columns, outputCol="raw").transform(complete)
         self.scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(assembled)
         scaled = self.scaler.transform(assembled)
@@ -243,8 +250,10 @@ class Clusters:
         return self.labelled.groupBy("cluster").agg(F.count("*").alias("rows"), *means)
 
     def importance(self) -> DataFrame:
-        """Spread of the cluster centres per column, in the column's own unit."""
+        """Spread of the cluster centres per column, in the column's own unit; no rows without clusters."""
         spark = self.labelled.sparkSession
+        if self.model is None:
+            return spark.createDataFrame([], "column string, dispersion double")
         centres = [
             [float(c * s + m) for c, s, m in zip(centre, self.scaler.std, self.scaler.mean)]
             for centre in self.model.clusterCenters()

@@ -17,6 +17,7 @@ from tillframe.sources.storage import materialize
 MIN_THRESHOLD_DAYS, THRESHOLD_QUANTILE, MIN_CUSTOMERS = 30, 0.70, 10
 TREES, SEED, TRAIN_TENTHS = 100, 42, 7
 RISK_BANDS = (("Faible", 0.33), ("Moyen", 0.66), ("Élevé", 1.0))
+OK, TOO_FEW = "ok", "too few customers"  # status of a label
 FEATURES = ("recency_days", "frequency", "monetary", "relation_days")
 
 
@@ -56,15 +57,22 @@ def churn_threshold(base: DataFrame) -> DataFrame:
     return q.select(F.greatest(F.col("q").cast("int"), F.lit(MIN_THRESHOLD_DAYS)).cast("long").alias("threshold_days"))
 
 
-def churn_labels(base: DataFrame) -> DataFrame:
-    """Customers silent for longer than the threshold; no rows below ten customers."""
-    enough = base.agg((F.count("*") >= MIN_CUSTOMERS).alias("_enough"))
-    rows = with_scalars(with_scalars(base, churn_threshold(base)), enough).where("_enough")
-    churned = (F.col("recency_days") > F.col("threshold_days")).cast("long").alias("churned")
-    return rows.select("customer_id", "country", *FEATURES, "threshold_days", churned)
+def churn_labels(base: DataFrame, min_customers: int = MIN_CUSTOMERS) -> DataFrame:
+    """Customers silent for longer than the threshold.
+
+    Of fewer than ``min_customers`` customers nothing can be said: they come
+    without a threshold and a label, and the status says why.
+    """
+    enough = base.agg((F.count("*") >= min_customers).alias("_enough"))
+    rows = with_scalars(with_scalars(base, churn_threshold(base)), enough)
+    threshold = F.when(F.col("_enough"), F.col("threshold_days"))
+    churned = (F.col("recency_days") > threshold).cast("long").alias("churned")
+    status = F.when(F.col("_enough"), OK).otherwise(TOO_FEW).alias("status")
+    return rows.select("customer_id", "country", *FEATURES, threshold.alias("threshold_days"), churned, status)
 
 
 def churn_rate(labels: DataFrame) -> DataFrame:
+    """Customers and churned customers; without labels the rate is null."""
     pct = F.sum("churned").cast("decimal(20,0)") * 100 / F.count("*").cast("decimal(20,0)")
     return labels.groupBy("threshold_days").agg(
         F.count("*").alias("customers"), F.sum("churned").alias("churned"), F.round(pct, 1).cast("double").alias("churn_rate_pct")
@@ -94,7 +102,7 @@ class ChurnModel:
     """A random forest on labelled customers with balanced class weights."""
 
     def __init__(self, labels: DataFrame, trees: int = TREES, seed: int = SEED):
-        labels = materialize(labels, "churn-input")
+        labels = materialize(labels.where(F.col("churned").isNotNull()), "churn-input")
         sizes = {r["churned"]: r["count"] for r in labels.groupBy("churned").count().collect()}
         if len(sizes) < 2:
             raise ValueError("churn needs both classes")

@@ -319,10 +319,12 @@ CTES: dict[str, str] = {
         FROM customers JOIN (SELECT * EXCLUDE (country) FROM sales) USING (customer_id) GROUP BY ALL""",
     "rfm_base": """SELECT *, datesub('day', last_order, (SELECT max(last_order) FROM rfm)) AS recency_days,
         greatest(datesub('day', first_order, last_order), 1) AS relation_days FROM rfm""",
-    "labels_churn": """SELECT *, CAST(recency_days > threshold_days AS BIGINT) AS churned FROM (
+    "labels_churn": """SELECT *, CAST(recency_days > threshold_days AS BIGINT) AS churned,
+        CASE WHEN threshold_days IS NULL THEN 'too few customers' ELSE 'ok' END AS status FROM (
         SELECT customer_id, country, recency_days, frequency, monetary, relation_days,
-        (SELECT CAST(greatest(CAST(floor(quantile_cont(recency_days, 0.7)) AS BIGINT), 30) AS BIGINT) FROM rfm_base)
-            AS threshold_days FROM rfm_base) WHERE (SELECT count(*) FROM rfm_base) >= 10""",
+        (SELECT CASE WHEN count(*) >= 10
+            THEN CAST(greatest(CAST(floor(quantile_cont(recency_days, 0.7)) AS BIGINT), 30) AS BIGINT) END FROM rfm_base)
+            AS threshold_days FROM rfm_base)""",
     "segments": """SELECT customer_id, name, revenue, avg_rating, revenue_threshold, rating_threshold,
         CASE WHEN revenue >= revenue_threshold AND avg_rating >= rating_threshold THEN 'Champions'
              WHEN revenue >= revenue_threshold THEN 'Déçus Rentables'
