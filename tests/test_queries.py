@@ -68,6 +68,23 @@ def test_reviews_reach_many_products(spark):
     assert len({r.product_idx for r in named}) > 20 and all(r.score > 0 for r in named)
 
 
+LINKED = ("product_listing_filtered",)
+
+
+@needs_data
+def test_reports_stand_over_matched_products_and_linked_reviews(spark):
+    """The reports on reviews match products by all ways and link whole texts by their words, in code and SQL."""
+    q = entry.queries()
+    mapping = q["golden_records"](spark, FOLDER).collect()
+    code = {r.mapping_id: r.review_code for r in mapping}
+    links = sorted(q["attach_reviews_tfidf"](spark, FOLDER).collect(), key=lambda r: r.review_key)
+    codes = {r.review_code if r.score > 0 else code[i % len(code) + 1] for i, r in enumerate(links)}
+    reached = {r.product_id for r in mapping if r.review_code in codes}
+    for name in LINKED:
+        sql = entry.oracle_sql()[name]
+        assert "linked AS" in sql and "fuzzy AS" in sql and "_poc" not in sql, name
+
+
 @needs_data
 def test_smoothing_covers_every_series(spark):
     q = entry.queries()

@@ -456,6 +456,7 @@ CTES: dict[str, str] = {
 POC = {"product_kpi": "kpi_poc", "alerts": "alerts_poc", "mapping": "mapping_poc", "reviews": "reviews_poc",
        "missing": "missing_poc", "wanted": "wanted_poc", "word_hits": "word_hits_poc"}
 NAMED = {n: f"named_{n}" for n in ("raw_reviews", "term_docs", "term_words", "term_all", "term_tf", "term_idf", "term_u", "term_best", "linked")}
+SPREAD = {n: f"spread_{n}" for n in ("reviews", "fanned", "product_kpi", "alerts")}
 
 
 def swapped(sql: str, names: dict[str, str]) -> str:
@@ -467,6 +468,10 @@ for _name in ("alerts", "missing", "wanted", "word_hits"):
     CTES[POC[_name]] = swapped(CTES[_name], POC)
 for _name in list(NAMED)[1:]:
     CTES[NAMED[_name]] = swapped(CTES[_name], NAMED)
+for _name in list(SPREAD)[1:]:
+    CTES[SPREAD[_name]] = swapped(CTES[_name], SPREAD)
+CTES["spread_reviews"] = """SELECT d.* REPLACE (CASE WHEN l.score > 0 THEN l.review_code ELSE d.review_code END AS review_code)
+    FROM dealt d JOIN linked l USING (review_key)"""
 CTES["named_raw_reviews"] = """SELECT n.review_key, concat_ws(' ', p.product_name, n.review_text) AS review_text FROM numbered n
     JOIN products p ON p.idx = (n.review_id - 1) % (SELECT count(*) FROM products)"""
 
@@ -874,8 +879,9 @@ MAIN: dict[str, str] = {
         coalesce(regexp_matches(reply, '\\b({'|'.join(UNSAFE_WORDS)})\\b', 'i'), false) AS unsafe FROM replies""",
 }
 
-for _name in ("open_alerts", "critical_products", "alert_messages", "worst_rated_products", "product_listing_filtered",
-              "product_score", "product_sheet_reviews"):
+for _name in ("product_listing_filtered",):
+    MAIN[_name] = swapped(MAIN[_name], SPREAD)
+for _name in ("open_alerts", "product_sheet_reviews", "worst_rated_products", "product_score", "critical_products", "alert_messages"):
     MAIN[_name] = swapped(MAIN[_name], POC)
 for _name in ("rating_distribution", "latest_reviews"):
     MAIN[f"{_name}_poc"] = swapped(MAIN[_name], POC)

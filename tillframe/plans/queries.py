@@ -186,7 +186,7 @@ def product_listing(w: Warehouse) -> DataFrame:
 @query
 def product_listing_filtered(w: Warehouse) -> DataFrame:
     return reports.product_listing(
-        w.kpi_poc, w.alerts_poc, category="Art de la Table", status="OK", sort_by="rating"
+        w.kpi_spread, w.alerts_spread, category="Art de la Table", status="OK", sort_by="rating"
     )
 
 

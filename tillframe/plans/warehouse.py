@@ -64,8 +64,13 @@ class Warehouse:
     @cached_property
     def reviews(self) -> DataFrame:
         """Review facts without their texts, linked to products by the words of the whole text."""
-        linked = matching.attach_reviews_tfidf(self.raw_reviews, self.mapping).select("review_key", "review_code")
-        return materialize(self.review_facts.join(linked, "review_key"), "reviews")
+        return materialize(self.review_facts.join(self.linked.drop("score"), "review_key"), "reviews")
+
+    @cached_property
+    def linked(self) -> DataFrame:
+        """Reviews by key with the code of their product and the score of the link."""
+        found = matching.attach_reviews_tfidf(self.raw_reviews, self.mapping)
+        return materialize(found.select("review_key", "review_code", "score"), "linked")
 
     @cached_property
     def reviews_poc(self) -> DataFrame:
@@ -113,6 +118,22 @@ class Warehouse:
         named = self.texts.join(placed, placed.review_key == F.col("id")).join(names, "idx")
         return named.select("review_key", F.concat_ws(" ", "product_name", "text").alias("review_text"))
 
+    @cached_property
+    def reviews_spread(self) -> DataFrame:
+        """As ``reviews``, but reviews that share no word with any product are dealt out to the products in turn."""
+        dealt = matching.attach_reviews_rr(self.review_facts.drop("review_id"), self.mapping).withColumnRenamed("review_code", "dealt")
+        code = F.when(F.col("score") > 0, F.col("review_code")).otherwise(F.col("dealt"))
+        return materialize(dealt.join(self.linked, "review_key").withColumn("review_code", code).drop("dealt", "score"), "reviews-spread")
+
+    @cached_property
+    def kpi_spread(self) -> DataFrame:
+        """Products matched by all ways, with their linked and dealt reviews: many have some."""
+        return materialize(marts.product_kpi(self.mapping, self.sales, self.reviews_spread), "product-kpi-spread")
+
+    @cached_property
+    def alerts_spread(self) -> DataFrame:
+        return marts.product_alerts(self.kpi_spread)
+
     @cached_property
     def alerts(self) -> DataFrame:
         return marts.product_alerts(self.product_kpi)
