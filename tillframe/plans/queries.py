@@ -197,7 +197,7 @@ def revenue_by_category(w: Warehouse) -> DataFrame:
 
 @query
 def open_alerts(w: Warehouse) -> DataFrame:
-    return reports.open_alerts(w.alerts_poc)
+    return reports.open_alerts(w.alerts_spread)
 
 
 @query
