@@ -217,7 +217,7 @@ def product_sheet_sales(w: Warehouse) -> DataFrame:
 
 @query
 def product_sheet_reviews(w: Warehouse) -> DataFrame:
-    return reports.product_sheet_reviews(w.mapping_poc, w.reviews_poc)
+    return reports.product_sheet_reviews(w.mapping, w.reviews_spread)
 
 
 @query
