@@ -68,7 +68,7 @@ def test_reviews_reach_many_products(spark):
     assert len({r.product_idx for r in named}) > 20 and all(r.score > 0 for r in named)
 
 
-LINKED = ("product_listing_filtered", "open_alerts", "product_sheet_reviews")
+LINKED = ("product_listing_filtered", "open_alerts", "product_sheet_reviews", "worst_rated_products")
 
 
 @needs_data

@@ -321,7 +321,7 @@ def best_rated_products(w: Warehouse) -> DataFrame:
 
 @query
 def worst_rated_products(w: Warehouse) -> DataFrame:
-    return reports.worst_rated_products(w.alerts_poc)
+    return reports.worst_rated_products(w.alerts_spread)
 
 
 @query
