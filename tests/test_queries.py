@@ -68,7 +68,7 @@ def test_reviews_reach_many_products(spark):
     assert len({r.product_idx for r in named}) > 20 and all(r.score > 0 for r in named)
 
 
-LINKED = ("product_listing_filtered", "open_alerts", "product_sheet_reviews", "worst_rated_products")
+LINKED = ("product_listing_filtered", "open_alerts", "product_sheet_reviews", "worst_rated_products", "product_score")
 
 
 @needs_data
@@ -81,6 +81,7 @@ def test_reports_stand_over_matched_products_and_linked_reviews(spark):
     codes = {r.review_code if r.score > 0 else code[i % len(code) + 1] for i, r in enumerate(links)}
     reached = {r.product_id for r in mapping if r.review_code in codes}
     assert {r.product_id for r in q["product_sheet_reviews"](spark, FOLDER).collect()} == reached
+    assert {r.product_id for r in q["product_score"](spark, FOLDER).collect()} == reached
     for name in LINKED:
         sql = entry.oracle_sql()[name]
         assert "linked AS" in sql and "fuzzy AS" in sql and "_poc" not in sql, name

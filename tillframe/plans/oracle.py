@@ -879,9 +879,9 @@ MAIN: dict[str, str] = {
         coalesce(regexp_matches(reply, '\\b({'|'.join(UNSAFE_WORDS)})\\b', 'i'), false) AS unsafe FROM replies""",
 }
 
-for _name in ("product_listing_filtered", "open_alerts", "product_sheet_reviews", "worst_rated_products"):
+for _name in ("product_listing_filtered", "open_alerts", "product_sheet_reviews", "worst_rated_products", "product_score"):
     MAIN[_name] = swapped(MAIN[_name], SPREAD)
-for _name in ("product_score", "critical_products", "alert_messages"):
+for _name in ("critical_products", "alert_messages"):
     MAIN[_name] = swapped(MAIN[_name], POC)
 for _name in ("rating_distribution", "latest_reviews"):
     MAIN[f"{_name}_poc"] = swapped(MAIN[_name], POC)

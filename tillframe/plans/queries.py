@@ -622,7 +622,7 @@ def feature_importance(w: Warehouse) -> DataFrame:
 
 @query
 def product_score(w: Warehouse) -> DataFrame:
-    return analytics.product_score(w.kpi_poc)
+    return analytics.product_score(w.kpi_spread)
 
 
 @query
