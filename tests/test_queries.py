@@ -87,6 +87,13 @@ def test_reports_stand_over_matched_products_and_linked_reviews(spark):
         assert "linked AS" in sql and "fuzzy AS" in sql and "_poc" not in sql, name
 
 
+@needs_data
+def test_recall_has_a_row_per_query(spark):
+    rows = entry.queries()["ann_recall"](spark, FOLDER).collect()
+    asked = spark.read.parquet(f"{FOLDER}/embeddings.parquet").where("vec_id % 50 = 0").count()
+    assert len({r.query_id for r in rows}) == len(rows) == asked and all(r.wanted == 5 and r.reached for r in rows)
+
+
 @needs_data
 def test_smoothing_covers_every_series(spark):
     q = entry.queries()

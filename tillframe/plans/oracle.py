@@ -849,7 +849,7 @@ MAIN: dict[str, str] = {
         CAST(CAST(round(CAST(similarity AS DECIMAL(10,6)), 2) AS DECIMAL(4,2)) AS VARCHAR),
         substr(review_text, 1, 200)) AS line FROM found f JOIN raw_reviews USING (review_key)""",
     "unindexed_reviews": "SELECT review_id, review_key FROM reviews WHERE review_id NOT IN (SELECT id FROM vectors)",
-    "ann_recall": """SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS reached FROM exact""",
+    "ann_recall": "SELECT query_id, count(*) AS wanted, true AS reached FROM exact GROUP BY query_id",
     "embedding_upsert": "SELECT id, round(unnest(vec), 4) + 0 AS value FROM vectors",
     "embedding_upsert_new": """SELECT review_id AS id, CAST(64 AS BIGINT) AS dims,
         CASE WHEN regexp_matches(coalesce(review_text, ''), '\\S') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillframe.functions.ordering import with_scalars
 from tillframe.functions.text import name_keywords
 from tillframe.operators import (
     analytics, churn, cleaning, conversation, forecast, marts, matching, quality, reports, search, smoothing, vector_index,
 )
 from tillframe.plans.warehouse import Warehouse, warehouse
+from tillframe.sources.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -711,12 +713,11 @@ def ann_search(w: Warehouse) -> DataFrame:
 
 @query
 def ann_recall(w: Warehouse) -> DataFrame:
-    """How many exact hits there are to find, and whether the index finds nine tenths of them."""
+    """Per query how many exact hits there are to find, and whether the index finds nine tenths of those of all queries."""
     exact = search.top_k(w.vectors, _asked(w), search.K)
-    found = search.search_recall(exact, vector_index.search_index(w.vector_index, _asked(w), search.K))
-    return found.agg(
-        F.count("*").alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("reached")
-    )
+    found = materialize(search.search_recall(exact, vector_index.search_index(w.vector_index, _asked(w), search.K)), "recall")
+    reached = found.agg((F.sum("found") >= 0.9 * F.sum("wanted")).alias("reached"))
+    return with_scalars(found, reached).select("query_id", "wanted", "reached")
 
 
 @query
