@@ -156,3 +156,20 @@ def test_folder_without_rows(spark, docs, tmp_path):
     folder = str(tmp_path / "shards")
     sharding.write_shards(docs([(1, "a")]).where("doc_id > 1").selectExpr("doc_id", "1L AS size", "0 AS shard"), folder)
     assert sharding.rewrite_affected(spark, folder) == [] and sharding.read_shards(spark, folder).count() == 0
+
+
+def test_shards_hold_the_whole_documents(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "shared_dir", lambda spark: str(tmp_path))
+    rows = corpus(60)
+    got = sharding.shard_documents(docs(rows + rows[:9], clashing=True))
+    (folder,) = glob.glob(f"{tmp_path}/shards/*")
+    stored = sharding.read_shards(spark, folder).collect()
+    assert sorted(((r.doc_id, r.text) for r in stored), key=repr) == sorted(rows + rows[:9], key=repr)
+    placed = {(r.doc_id, r.size, r.text_crc32, r.shard) for r in got.collect()}
+    assert placed == {(r.doc_id, r.size, zlib.crc32((r.text or "").encode()), r.shard) for r in stored}
+
+
+def test_equal_rows_are_cut_apart(docs):
+    got = sharding.shard_documents(docs([(5, "same text")] * 4000)).collect()
+    count = [sum(r.shard == k for r in got) for k in range(8)]
+    assert sum(count) == 4000 and max(count) - min(count) <= 2

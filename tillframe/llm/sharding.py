@@ -16,9 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillframe.functions.ordering import with_running_total
+from tillframe.functions.ordering import with_running_total, with_scalars
 from tillframe.llm.common import prepare
-from tillframe.sources.storage import materialize, shared_dir
+from tillframe.sources.storage import shared_dir
 
 SHARDS, OLD_SHARDS = 8, 6
 LAW = "bytes"
@@ -107,21 +107,30 @@ def reshard(rows: DataFrame, flow: dict[tuple[int, int], int], name: str = "resh
     first too, so that the cuts fall among small documents and a shard misses
     its capacity by about a small document per cut. A document goes where its
     middle byte goes. The order is global and range-partitioned: no shard is
-    sorted by one task.
+    sorted by one task. Only the keys of the order are sorted, with checksums in
+    place of texts; a row finds its shard by its key's place among the first
+    keys behind the cuts, so texts are not shuffled. Rows equal in all columns
+    stay together unless ``_file`` and ``_row`` tell them apart.
     """
     others = [c for c in rows.columns if c not in ("old_shard", "size", "doc_id")]
-    ordered = rows.withColumn("_neg", -F.col("size")).withColumn("_mixed", F.xxhash64("doc_id"))
-    running = with_running_total(ordered, ["old_shard", "_neg", "_mixed", "doc_id", *others], "size")
+    texts = {f.name for f in rows.schema.fields if f.dataType.simpleString() == "string" and f.name != "_file"}
+    keys = [F.col("old_shard"), -F.col("size"), F.xxhash64("doc_id"), F.col("doc_id")]
+    keys += [F.crc32(F.coalesce(F.col(c).cast("binary"), F.lit(b""))) if c in texts else F.col(c) for c in others]
+    key = F.struct(*[k.alias(f"_k{n}") for n, k in enumerate(keys)])
+    running = with_running_total(rows.select(key.alias("_key"), "size"), ["_key"], "size")
     # Stretches of the global order: per old shard, its own part first, then the receivers.
     cuts, at = [], 0
     for i, j in sorted(flow, key=lambda k: (k[0], k[0] != k[1], k[1])):
         at += flow[(i, j)]
         cuts.append((at, j))
     middle = F.col("_start") + F.expr("size div 2")
+    # At most one cut per pair of shards that is used: a row of so many keys. A cut behind all rows has none.
+    behind = [F.min(F.when(middle >= end, F.col("_key"))).alias(f"_cut{n}") for n, (end, _) in enumerate(cuts[:-1])]
     shard = F.lit(cuts[-1][1] if cuts else 0)
-    for end, j in reversed(cuts[:-1]):  # at most one cut per pair of shards that is used
-        shard = F.when(middle < end, j).otherwise(shard)
-    return running.withColumn("shard", shard.cast("int")).select(*rows.columns, "shard")
+    for n, (_, j) in reversed(list(enumerate(cuts[:-1]))):
+        shard = F.when(F.col(f"_cut{n}").isNull() | (key < F.col(f"_cut{n}")), j).otherwise(shard)
+    placed = with_scalars(rows, running.agg(*behind)) if behind else rows
+    return placed.withColumn("shard", shard.cast("int")).select(*rows.columns, "shard")
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
@@ -141,17 +150,19 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD
     has size 1 and checksum 0, the empty one the same; a null doc_id is placed
     like any other; repeated rows take a slot each. Equal texts need not share a
     shard. With fewer rows than shards some shards stay empty; an empty table
-    gives no rows. The old layout is stored as files of ids, sizes and checksums,
-    and only shards that lose or gain rows are rewritten.
+    gives no rows. The old layout is stored as files of whole documents, and only
+    shards that lose or gain rows are rewritten; sizes and checksums are those of
+    the texts read back from the new layout.
     """
     prepare(docs.sparkSession)
-    crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    rows = docs.select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"))
+    rows = docs.select("doc_id", "text", size_of(F.col("text")).alias("size"))
     folder = f"{shared_dir(docs.sparkSession)}/shards/{uuid.uuid4().hex}"
     write_shards(rows.withColumn("shard", hash_shard(old_shards)).withColumn("origin", F.col("shard")), folder)
     rewrite_affected(docs.sparkSession, folder, shards=shards)
-    placed = read_shards(docs.sparkSession, folder, "doc_id long, size long, text_crc32 long, origin int")
-    return with_slots(placed.withColumnRenamed("origin", "old_shard"))
+    stored = read_shards(docs.sparkSession, folder, "doc_id long, text string, size long, origin int")
+    crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    placed = stored.select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), F.col("origin").alias("old_shard"), "shard")
+    return with_slots(placed)
 
 
 def _files(spark: SparkSession, folder: str):
@@ -200,13 +211,19 @@ def write_shards(placed: DataFrame, folder: str) -> None:
     _note(placed.sparkSession, folder, _write(placed, folder))
 
 
-def read_shards(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
-    """The rows of the current layout, with their ``shard``; ``schema`` says the columns if there may be no rows."""
+def read_shards(spark: SparkSession, folder: str, schema: str | None = None, places_in_files: bool = False) -> DataFrame:
+    """The rows of the current layout, with their ``shard``; ``schema`` says the columns if there may be no rows.
+
+    ``places_in_files`` adds ``_file`` and ``_row``, which together tell any two rows of a shard apart.
+    """
     places = sorted(layout(spark, folder).values())
     if not places:
         return spark.createDataFrame([], f"{schema}, shard int" if schema else "shard int")
     shard = F.regexp_extract(F.col("_metadata.file_path"), r"/shard=(\d+)/[^/]*$", 1).cast("int")
-    return (spark.read.schema(schema) if schema else spark.read).parquet(*places).withColumn("shard", shard)
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(*places)
+    if places_in_files:
+        return rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"), shard.alias("shard"))
+    return rows.withColumn("shard", shard)
 
 
 def rewrite_affected(spark: SparkSession, folder: str, capacities: Sequence[int] | None = None, shards: int = SHARDS) -> list[int]:
@@ -221,14 +238,13 @@ def rewrite_affected(spark: SparkSession, folder: str, capacities: Sequence[int]
     places = layout(spark, folder)
     if not places:
         return []
-    old = read_shards(spark, folder).withColumnRenamed("shard", "old_shard")
+    old = read_shards(spark, folder, places_in_files=True).withColumnRenamed("shard", "old_shard")
     _, flow = transfer_plan(old, capacities, shards)
     touched = sorted({k for pair in flow if pair[0] != pair[1] for k in pair})
     if not touched:
         return []
     placed = reshard(old.where(F.col("old_shard").isin(touched)), {p: n for p, n in flow.items() if p[0] in touched})
-    placed = materialize(placed.drop("old_shard"), "shard-rewrite")
-    new = _write(placed.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))), folder)
+    new = _write(placed.drop("old_shard", "_file", "_row"), folder)
     kept = {k: place[len(folder) + 1 :] for k, place in places.items() if k not in touched}
     _note(spark, folder, kept | new)
     path, fs = _files(spark, folder)
