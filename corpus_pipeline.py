@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; links are five-word similarities of 0.8 and more. Null, empty and blank texts are one group."""
+    """One document of each group stays; links are five-word similarities of 0.8 and more, found through SimHash links and MinHash keys. Null, empty and blank texts are one group."""
     return resemblance.keep_one(docs)
 
 

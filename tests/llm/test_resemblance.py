@@ -90,6 +90,15 @@ def test_rows_without_id_and_empty_tables(spark, docs):
     assert resemblance.keep_one(df.where("doc_id < 0")).count() == 0
 
 
+def test_simhash_links_reach_the_stage(spark, docs, monkeypatch):
+    """Without MinHash keys the groups are those that SimHash links and the similarity confirms."""
+    monkeypatch.setattr(resemblance, "bands", lambda hashes: [])
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "last"])), (3, "quite another text"), (4, "QUITE another  text")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_chain_is_one_group():
     sets = [np.arange(a, a + 100, dtype="<u8") for a in range(0, 100, 10)] + [np.arange(5000, 5009, dtype="<u8")]
     assert resemblance.reached(sets).tolist() == [0] * 10 + [10]

@@ -5,7 +5,8 @@ Texts that may be similar meet in buckets: ``BANDS`` keys per text, each over
 share a key with probability 1 - (1 - s ** ROWS) ** BANDS, which is above
 0.99999 from 0.8 on. Inside a bucket similarities are counted on the whole sets.
 Near copies of that similarity differ in up to 11 of 64 SimHash bits, too many
-for an index by segments.
+for an index by segments; texts that ``simhash`` links through its segments meet
+in one more bucket, and are held against the same similarity there.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillframe.functions.skew import join_keyed
 from tillframe.llm import simhash
 from tillframe.llm.common import bucket_links, connected, prepare
 from tillframe.sources.storage import materialize
@@ -94,9 +96,17 @@ def _linked(frame: pd.DataFrame, member: str, least: float, weight: str | None)
     return pd.DataFrame({"u": ids[linked], "root": ids[root[linked]], "n": np.ones(len(linked), np.int64)})
 
 
+def linked_groups(classes: DataFrame) -> DataFrame:
+    """(fp, key) for each distinct text of ``classes`` (fp, sim): a key per group that ``simhash`` links."""
+    roots = simhash.components(classes.select(F.col("sim").alias("fp")).distinct())
+    roots = materialize(roots.select(F.col("fp").alias("sim"), "root"), "resemblance-simhash")
+    found = join_keyed(classes.select("fp", "sim"), roots, "sim")
+    return found.select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("root", "sim")).alias("key"))
+
+
 def components(docs: DataFrame, classes: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
-    """(fp, root) for each distinct text of ``classes`` (fp, bands) that is linked to another."""
-    index = classes.select("fp", F.explode("bands").alias("key"))
+    """(fp, root) for each distinct text of ``classes`` (fp, bands, sim) that is linked to another."""
+    index = classes.select("fp", F.explode("bands").alias("key")).union(linked_groups(classes))
     buckets = index.groupBy("key").agg(F.count("*").alias("count"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("who"))
     # Near copies share many buckets: of those with the same members one is enough.
     once = buckets.where("count > 1").groupBy("count", "who").agg(F.min("key").alias("key"))
@@ -133,12 +143,13 @@ def grouped(docs: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series([bands(shingles(t)) for t in texts], dtype=object)
 
-    rows = docs.select("doc_id", key_of().alias("fp"), simhash.digest().alias("digest"), keys(F.col("text").cast("binary")).alias("bands"))
+    own = [key_of().alias("fp"), simhash.digest().alias("digest"), simhash.fingerprint_of("text").alias("sim")]
+    rows = docs.select("doc_id", *own, keys(F.col("text").cast("binary")).alias("bands"))
     found = materialize(rows, "resemblance-keys")
-    first = found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    first = found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("sim").alias("sim"))
     classes = materialize(first, "resemblance-classes")
-    roots = materialize(components(docs, classes.select("fp", "bands")), "resemblance-roots")
-    return simhash.named(found.drop("bands"), classes.drop("bands"), roots)
+    roots = materialize(components(docs, classes.select("fp", "bands", "sim")), "resemblance-roots")
+    return simhash.named(found.drop("bands", "sim"), classes.drop("bands", "sim"), roots)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

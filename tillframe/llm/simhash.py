@@ -50,12 +50,18 @@ def text_fingerprint(text: bytes | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp, digest) for each row of ``docs`` (doc_id, text); ``digest`` tells texts without an id apart."""
 
+    return docs.select("doc_id", fingerprint_of("text", words).alias("fp"), digest().alias("digest"))
+
+
+def fingerprint_of(column: str, words: int = 3):
+    """The fingerprint of a column of texts."""
+
     @F.pandas_udf("long")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([text_fingerprint(t, words) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", fingerprint(F.col("text").cast("binary")).alias("fp"), digest().alias("digest"))
+    return fingerprint(F.col(column).cast("binary"))
 
 
 def digest():
