@@ -313,3 +313,15 @@ def test_proportional_names_are_the_same(spark):
     assert {i: m for i, (m, _) in got.items()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 0, 5: 5}
     other = found(matching.tfidf_match(names(spark, values), include_self=False))
     assert {i: other[i][0] for i in (0, 1, 2, 3, 4)} == {0: 1, 1: 0, 2: 3, 3: 2, 4: 0}
+
+
+def test_words_of_a_text_are_cut_once_and_counted_where_they_lie(spark):
+    """A plan that cuts a text per use, or sends all terms over the network to count them, grows far beyond its input."""
+    texts = [(1, 1, "red mug red mug, Red"), (2, 1, ""), (3, 2, "x mug"), (None, 1, "blue mug")]
+    counted = matching._term_counts(spark.createDataFrame(texts, "doc long, members long, text string"), "text")
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("regexp_extract_all") == 1
+    assert sorted((r.doc or 0, r.members, r.term, r.tf) for r in counted.collect()) == [
+        (0, 1, "blue", 1), (0, 1, "blue mug", 1), (0, 1, "mug", 1),
+        (1, 1, "mug", 2), (1, 1, "mug red", 2), (1, 1, "red", 3), (1, 1, "red mug", 2), (3, 2, "mug", 1),
+    ]

@@ -34,9 +34,13 @@ def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(words(F.lower(text)), of_word))
 
 
-def word_terms(text: Column) -> Column:
-    """Lower-case words of two or more characters, and pairs of neighbouring words."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
+def word_tokens(text: Column) -> Column:
+    """Lower-case words of two or more characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
+
+
+def token_terms(tokens: Column) -> Column:
+    """Words and pairs of neighbouring words. ``tokens`` is best a column: it is named several times."""
     pairs = F.when(
         F.size(tokens) >= 2,
         F.zip_with(
@@ -48,6 +52,11 @@ def word_terms(text: Column) -> Column:
     return F.concat(tokens, pairs)
 
 
+def word_terms(text: Column) -> Column:
+    """Lower-case words of two or more characters, and pairs of neighbouring words."""
+    return token_terms(word_tokens(text))
+
+
 def sorted_tokens(text: Column) -> Column:
     """The words of a name in alphabetical order, joined by single blanks."""
     return F.array_join(F.array_sort(words(text)), " ")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillframe.functions.ordering import with_position, with_scalars
 from tillframe.functions.skew import join_keyed
-from tillframe.functions.text import char_ngrams, sorted_tokens, substrings, word_terms
+from tillframe.functions.text import char_ngrams, sorted_tokens, substrings, token_terms, word_tokens
 from tillframe.functions.vectors import BLOCK_ROWS, nearest
 from tillframe.operators.cleaning import normalize_code
 from tillframe.sources.storage import materialize
@@ -447,10 +447,36 @@ def semantic_assign(
     )
 
 
+def _tokenised(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the words of its whole texts, cut once per text, in place of the text."""
+    return docs.select(*[c for c in docs.columns if c != text], word_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+
+
+def _each(df: DataFrame, array: Column, name: str) -> DataFrame:
+    """``df`` without ``tokens`` and with a row per element.
+
+    Not a plain ``explode``: from that, a filter on the array would be put
+    before all joins, and every text would be cut once more.
+    """
+    kept = [c for c in df.columns if c not in ("tokens", "terms", "starts")]
+    return df.select(*kept, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def _term_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(doc, members, term, tf) of the whole texts of ``docs`` (doc, members, text)."""
-    rows = docs.select("doc", "members", F.explode(word_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    return rows.groupBy("doc", "members", "term").agg(F.count("*").alias("tf"))
+    """(doc, members, term, tf) of the whole texts of ``docs`` (doc, members, text): a row per text and term.
+
+    The sorted terms of a text are counted by the places where they change, so
+    no term leaves its task.
+    """
+    listed = _tokenised(docs, text).select("doc", "members", F.sort_array(token_terms(F.col("tokens"))).alias("terms"))
+    places = F.when(F.size("terms") > 0, F.sequence(F.lit(0), F.size("terms") - 1))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", F.greatest(i - 1, F.lit(0)))))
+    begun = listed.select("doc", "members", "terms", starts.alias("starts"))
+    counted = F.transform(
+        "starts",
+        lambda i, k: F.struct(F.get("terms", i).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("terms")) - i).cast("long").alias("tf")),
+    )
+    return _each(begun, counted, "t").select("doc", "members", "t.term", "t.tf")
 
 
 def attach_reviews_tfidf(reviews: DataFrame, mapping: DataFrame, max_features: int = 0) -> DataFrame:
@@ -460,42 +486,50 @@ def attach_reviews_tfidf(reviews: DataFrame, mapping: DataFrame, max_features: i
     terms of names and reviews, or the ``max_features`` commonest of them. A
     review sharing no term with any name gets the first product.
 
-    Only reviews that hold a term of a name are counted term by term: the others
+    Only reviews that hold a word of a name are counted term by term: the others
     have no score whatever their length. For the terms of these reviews the
-    number of all reviews that hold them is counted. Only terms that occur in
-    names join reviews with names; the other terms of a review count in its
-    length alone, which is summed per review.
+    number of all reviews that hold them is counted. The terms meet once, by
+    term, for that number; then they are summed per review, those that occur
+    in names apart, the others in its length alone.
     """
     names = mapping.select((F.col("mapping_id") - 1).alias("idx"), F.col("golden_name").alias("name"))
     distinct = materialize(names.groupBy("name").agg(F.min("idx").alias("doc"), F.count("*").alias("members")), "names")
-    name_terms = materialize(_term_counts(distinct, "name"), "name-terms")
+    name_terms = _term_counts(distinct, "name").groupBy("doc", "members", "term").agg(F.sum("tf").alias("tf"))
+    name_terms = materialize(name_terms, "name-terms")
     texts = reviews.select(F.col("review_key").alias("doc"), F.lit(1).cast("long").alias("members"), "review_text")
     if max_features:
-        review_terms = materialize(_term_counts(texts, "review_text"), "review-terms")
+        review_terms = _term_counts(texts, "review_text")
         every = name_terms.unionByName(review_terms)
-        df = every.groupBy("term").agg(F.sum("members").alias("df"), F.sum(F.col("members") * F.col("tf")).alias("uses"))
-        df = df.orderBy(F.desc("uses"), "term").limit(max_features)
+        most = every.groupBy("term").agg(F.sum(F.col("members") * F.col("tf")).alias("uses"))
+        most = materialize(most.orderBy(F.desc("uses"), "term").limit(max_features).select("term"), "vocabulary")
+        review_terms, name_terms = review_terms.join(most, "term", "left_semi"), name_terms.join(most, "term", "left_semi")
+        others = []
     else:
-        held = texts.select("doc", F.explode(F.array_distinct(word_terms(F.coalesce("review_text", F.lit(""))))).alias("term"))
-        touched = materialize(held.join(name_terms.select("term").distinct(), "term", "left_semi").select("doc").distinct(), "named-reviews")
-        review_terms = materialize(_term_counts(texts.join(touched, "doc", "left_semi"), "review_text"), "review-terms")
-        needed = review_terms.select("term").union(name_terms.select("term")).distinct()
-        uses = held.join(needed, "term", "left_semi").groupBy("term").agg(F.count("*").alias("members"))
-        df = uses.unionByName(name_terms.select("term", "members")).groupBy("term").agg(F.sum("members").alias("df"))
+        # A pair of words of a name is held only with its words.
+        words = _each(_tokenised(texts, "review_text"), F.array_distinct("tokens"), "term").select("doc", "term")
+        touched = words.join(name_terms.select("term").distinct(), "term", "left_semi").select(F.col("doc").alias("_doc")).distinct()
+        touched = materialize(touched, "named-reviews")
+        same = F.col("doc").eqNullSafe(F.col("_doc"))
+        review_terms = _term_counts(texts.join(touched, same, "left_semi"), "review_text")
+        others = _uses_elsewhere(texts.join(touched, same, "left_anti"), review_terms, touched)
     docs = with_scalars(reviews.agg(F.count("*").alias("r")), mapping.agg(F.count("*").alias("m")))
     idf = F.log((1 + F.col("r") + F.col("m")) / (1 + F.col("df"))) + 1
-    named = name_terms.select("term").distinct().withColumn("named", F.lit(True))
-    lookup = with_scalars(df, docs).select("term", idf.alias("idf")).join(named, "term", "left")
-    lookup = materialize(lookup, "term-weights")
-    weight = (F.col("tf") * F.col("idf")).alias("w")
-    weighted = materialize(review_terms.join(lookup, "term").select("doc", "term", "named", weight), "review-weights")
-    lengths = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    name_weights = name_terms.join(lookup, "term").select("doc", "term", weight)
-    name_lengths = name_weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("name_length"))
-    units = name_weights.join(name_lengths, "doc").select(
-        F.col("doc").alias("idx"), "term", (F.col("w") / F.col("name_length")).alias("u")
-    )
-    shared = weighted.where("named").select("doc", "term", "w").join(units, "term")
+    # All rows of a term meet here: those of reviews and names, and the uses that no row stands for.
+    rows = review_terms.select("term", "doc", "tf", "members", F.lit("review").alias("kind"))
+    for uses in [name_terms.select("term", "doc", "tf", "members", F.lit("name").alias("kind")), *others]:
+        rows = rows.unionByName(uses)
+    of_term = Window.partitionBy("term")
+    met = rows.withColumn("df", F.sum("members").over(of_term)).withColumn("named", F.max(F.col("kind") == "name").over(of_term))
+    # A review of several rows counts as one text; its term is grouped where it lies.
+    met = met.where("kind <> 'use'").groupBy("term", "kind", "doc", "df", "named").agg(F.sum("tf").alias("tf"))
+    weighted = with_scalars(met, docs).select("kind", "doc", F.when(F.col("named"), F.col("term")).alias("term"), (F.col("tf") * idf).alias("w"))
+    summed = weighted.groupBy("kind", "doc", "term").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww"))
+    summed = materialize(summed, "review-weights")
+    of_reviews, of_names = summed.where("kind = 'review'"), summed.where("kind = 'name'")
+    lengths = of_reviews.groupBy("doc").agg(F.sqrt(F.sum("ww")).alias("length"))
+    name_lengths = of_names.groupBy("doc").agg(F.sqrt(F.sum("ww")).alias("name_length"))
+    units = of_names.join(name_lengths, "doc").select(F.col("doc").alias("idx"), "term", (F.col("w") / F.col("name_length")).alias("u"))
+    shared = of_reviews.where(F.col("term").isNotNull()).select("doc", "term", "w").join(units, "term")
     dots = shared.groupBy("doc", "idx").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
     scored = dots.join(lengths, "doc").select("doc", "idx", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
     best = scored.where("score > 0").groupBy("doc").agg(F.max(F.struct("score", (-F.col("idx")).alias("neg"))).alias("m"))
@@ -509,3 +543,14 @@ def attach_reviews_tfidf(reviews: DataFrame, mapping: DataFrame, max_features: i
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
     return join_keyed(joined, codes, "product_idx", "left", keyed_rows=mapping.count())
+
+
+def _uses_elsewhere(texts: DataFrame, review_terms: DataFrame, touched: DataFrame) -> list[DataFrame]:
+    """How many of the other ``texts`` hold each of ``review_terms``; nothing if one side is empty."""
+    if touched.isEmpty() or texts.isEmpty():
+        return []
+    needed = materialize(review_terms.select("term").distinct(), "needed-terms")
+    held = _each(_tokenised(texts, "review_text"), F.array_distinct(token_terms(F.col("tokens"))), "term")
+    uses = held.join(needed, "term", "left_semi").groupBy("term").agg(F.count("*").alias("members"))
+    none = F.lit(None).cast("long")
+    return [uses.select("term", none.alias("doc"), none.alias("tf"), "members", F.lit("use").alias("kind"))]
