@@ -281,3 +281,18 @@ def test_answers(spark):
         assert (source, result.first().t) == ("rules", "best_sellers")
     source, result, extra = ask("cluster svp", '{"sql": "SELECT id FROM numbers"}')
     assert (source, result.first().t) == ("forced", "customer_satisfaction")
+
+
+def test_hits_meet_only_the_products_they_can_show(spark, monkeypatch):
+    stored = {}
+    keep = search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name, *a, **k: stored.setdefault(name, keep(df, name, *a, **k)))
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1, 5)], "id long, vec array<float>")
+    reviews = vectors.select(
+        F.col("id").alias("review_id"), F.col("id").alias("review_key"), F.lit("R").alias("review_code"),
+        F.lit(4).cast("decimal(3,1)").alias("rating"), F.lit("positive").alias("sentiment"),
+    )
+    mapping = spark.range(1, 31).select(F.lit("R").alias("review_code"), F.concat(F.lit("n"), "id").alias("golden_name"), F.col("id").alias("mapping_id"))
+    found = search.vector_search(vectors, vectors.where("id = 4"), reviews, mapping, 3).orderBy("rank").collect()
+    assert [(r.review_id, r.product_name) for r in found] == [(4, "n1"), (4, "n2"), (4, "n3")]
+    assert stored["hit-names"].count() == 3

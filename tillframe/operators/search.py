@@ -34,7 +34,10 @@ def vector_search(
     indexed = vectors.join(reviews.select(F.col("review_id").alias("id")), "id", "left_semi")
     hits = materialize(top_k(indexed, queries, k).drop("rank"), "hits")  # k rows per query: Spark goes by their size
     facts = reviews.select(F.col("review_id").alias("id"), "review_key", "review_code", "rating", "sentiment")
-    names = mapping.select("review_code", "golden_name", "mapping_id")
+    # A hit shows at most the first k products of its code: the others would only be sorted away, k hits times all products.
+    of_code = Window.partitionBy("review_code").orderBy("mapping_id")
+    names = mapping.select("review_code", "golden_name", "mapping_id").withColumn("_place", F.row_number().over(of_code))
+    names = materialize(names.where(F.col("_place") <= k).drop("_place"), "hit-names")
     few = hits.join(facts, "id").join(names, "review_code", "left")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id", "mapping_id")
     return (
