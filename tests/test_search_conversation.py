@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import tracemalloc
 from datetime import datetime
 
 import numpy as np
@@ -296,3 +297,13 @@ def test_hits_meet_only_the_products_they_can_show(spark, monkeypatch):
     found = search.vector_search(vectors, vectors.where("id = 4"), reviews, mapping, 3).orderBy("rank").collect()
     assert [(r.review_id, r.product_name) for r in found] == [(4, "n1"), (4, "n2"), (4, "n3")]
     assert stored["hit-names"].count() == 3
+
+
+def test_training_books_holds_a_bounded_piece():
+    rows = np.random.default_rng(1).normal(size=(60_000, 4))
+    tracemalloc.start()
+    means = vector_index.lloyd(rows, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert means.shape == (256, 4) and peak < 64 << 20
+    assert vector_index.TOGETHER * vector_index.BLOCK <= 1 << 21  # scores of a group that are held at once

@@ -30,10 +30,11 @@ SAMPLE, ASKED = 100_000, 128  # rows that train cells and codes, and that ask wh
 CELL_BYTES = 64 << 20  # the centres are handed to every task; there are no more of them than this holds
 STRETCH, WORDS = 4, 256  # dimensions per byte of a code, values of a byte
 BLOCK = 8192  # codes of a cell that are scored together
-TOGETHER = 4096  # queries that meet a block of codes in one task
+TOGETHER = 256  # queries that meet a block of codes in one task
 REFINED = 64  # best codes per query whose vectors are compared at least; more, if the sample says so
 MOST_REFINED = 1 << 14
 ROUNDS, SEED = 8, 7
+STEP = 4096  # rows worked on at a time while books are trained
 
 
 class VectorIndex(NamedTuple):
@@ -60,7 +61,8 @@ def lloyd(rows: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
         return distinct
     means = distinct[np.random.default_rng(seed).choice(len(distinct), k, replace=False)]
     for _ in range(ROUNDS):
-        own = (rows @ means.T - (means * means).sum(1) / 2).argmax(1)
+        half = (means * means).sum(1) / 2
+        own = np.concatenate([(rows[a : a + STEP] @ means.T - half).argmax(1) for a in range(0, len(rows), STEP)])
         counts = np.bincount(own, minlength=k)
         sums = np.stack([np.bincount(own, rows[:, d], k) for d in range(rows.shape[1])], axis=1)
         means = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], means)
@@ -86,7 +88,8 @@ def _books(sample: DataFrame, dim: int) -> list[np.ndarray]:
     """The values of each stretch, trained by one task per stretch over the bounded sample."""
 
     def train(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = stacked(frame["vec"], dim)[:, stretches(dim)[key[0]]]
+        vecs, own = frame["vec"], stretches(dim)[key[0]]
+        rows = np.concatenate([stacked(vecs.iloc[a : a + STEP], dim)[:, own] for a in range(0, len(vecs), STEP)])
         return pd.DataFrame({"s": [key[0]], "values": [lloyd(rows, WORDS).ravel()]})
 
     each = sample.select("vec", F.explode(F.sequence(F.lit(0), F.lit(len(stretches(dim)) - 1))).alias("s"))
