@@ -103,3 +103,15 @@ def test_spread_leaves_large_inputs_alone(spark, monkeypatch):
     assert spread(scan).rdd.getNumPartitions() > 1
     monkeypatch.setattr(storage, "SPREAD_BYTES", 10)
     assert spread(scan).rdd.getNumPartitions() == 1
+
+
+def test_hot_keys_are_counted_in_a_scan(spark):
+    """The joins behind the facts run once, not once more for the count of hot keys."""
+    line = spark.createDataFrame([(i, 1 if i < 90 else i) for i in range(100)] + [(100, None)], "o long, k long")
+    order = spark.range(100).withColumnRenamed("id", "o").withColumn("x", F.col("o") * 2)
+    keyed = spark.range(95).select(F.col("id").alias("k"), F.col("id").alias("y"))
+    facts = line.join(order, "o")
+    joined = join_keyed(facts, keyed, "k", "inner", keyed_rows=95, broadcast_rows=0, keys_of=line)
+    plain = facts.join(keyed, "k").select(*joined.columns)
+    assert sorted(joined.collect()) == sorted(plain.collect())
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 100") == 1

@@ -27,19 +27,22 @@ def join_keyed(
     keyed_rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    keys_of: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``keyed`` (one row per key), safe against hot keys.
 
     ``keyed_rows`` is the known row count of ``keyed``. Up to ``broadcast_rows``
     it is broadcast and the facts are not shuffled at all. Beyond that, rows of
     hot keys are spread over ``salts`` shuffle keys and only the matching keyed
-    rows are repeated; all other rows join on the plain key.
+    rows are repeated; all other rows join on the plain key. Hot keys are counted in
+    ``keys_of`` where it is given: a scan with about the same keys as the facts, so
+    that joins behind the facts do not run for the count as well.
     """
     if keyed_rows is None:
         keyed_rows = keyed.count()
     if keyed_rows <= broadcast_rows:
         return facts.join(F.broadcast(keyed), key, how)
-    hot = F.broadcast(hot_keys(facts, key).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(facts if keys_of is None else keys_of, key).withColumn("_hot", F.lit(True)))
     # The salt is a function of the row, so a recomputed task sends rows to the same place.
     # Rows without a key find no partner, so they may go anywhere.
     salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts).cast("long"))

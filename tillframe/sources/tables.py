@@ -23,7 +23,7 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
     line = read_table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"
     )
-    line = spread(line)
+    scanned, line = line, spread(line)
     order = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     part = read_table(spark, folder, "part").select("p_partkey", "p_name")
     customer = read_table(spark, folder, "customer").select("c_custkey", "c_nationkey")
@@ -31,7 +31,7 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
     located = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("c_custkey", "n_name")
     placed = order.join(located, order.o_custkey == located.c_custkey)
     named = part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    joined = join_keyed(line.join(placed, line.l_orderkey == placed.o_orderkey), named, "l_partkey", "inner")
+    joined = join_keyed(line.join(placed, line.l_orderkey == placed.o_orderkey), named, "l_partkey", "inner", keys_of=scanned)
     variant = F.substring(F.lit("ABCD"), (F.col("l_partkey") % 4 + 1).cast("int"), F.lit(1))
     # Half-up on whole cents; a line without a quantity has no price.
     price = F.expr(
