@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare, connect
+from tillframe.plans.warehouse import warehouse
 
 FOLDER = "/root/testdata/sf0.001"
 OWN = set(entry.queries()) - set(entry.OPERATIONS)  # the others are tested in tests/llm
@@ -87,6 +88,18 @@ def test_reports_stand_over_matched_products_and_linked_reviews(spark):
         assert "linked AS" in sql and "fuzzy AS" in sql and "_poc" not in sql, name
 
 
+@needs_data
+def test_critical_products_stand_over_both_strategies(spark):
+    """Over products matched by all ways and reviews linked by words, and over the rank mapping, in code and SQL."""
+    q, parts = entry.queries(), warehouse(spark, FOLDER)
+    for name in ("critical_products",):
+        sql = entry.oracle_sql()[name]
+        assert "linked AS" in sql and "fuzzy AS" in sql and "'semantic'" in sql and "'poc'" in sql, name
+        got = {(r.product_id, r.strategy) for r in q[name](spark, FOLDER).collect()}
+        wanted = {(r.product_id, "semantic") for r in parts.alerts_spread.where("status = 'CRITIQUE'").collect()}
+        assert got == wanted | {(r.product_id, "poc") for r in parts.alerts_poc.where("status = 'CRITIQUE'").collect()}, name
+
+
 @needs_data
 def test_recall_has_a_row_per_query(spark):
     rows = entry.queries()["ann_recall"](spark, FOLDER).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,16 +79,21 @@ def open_alerts(alerts: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+CRITICAL_COLUMNS = ("product_id", "product_name", "category", "avg_rating", "reviews", "negative", "revenue")
+
+
 def critical_products(alerts: DataFrame, status: str = "CRITIQUE") -> DataFrame:
-    return (
-        alerts.where(F.col("status") == status)
-        .select("product_id", "product_name", "category", "avg_rating", "reviews", "negative", "revenue")
-        .orderBy("avg_rating", "product_id")
-    )
+    return alerts.where(F.col("status") == status).select(*CRITICAL_COLUMNS).orderBy("avg_rating", "product_id")
+
+
+def critical_by_strategy(alerts: dict[str, DataFrame], status: str = "CRITIQUE") -> DataFrame:
+    """The critical products under each strategy of the mapping, with its name: ``alerts`` maps one to the other."""
+    found = [critical_products(rows, status).withColumn("strategy", F.lit(name)) for name, rows in alerts.items()]
+    return reduce(DataFrame.unionByName, found).orderBy("avg_rating", "product_id", "strategy")
 
 
 def alert_messages(critical: DataFrame) -> DataFrame:
-    """One notification text per critical product."""
+    """One notification text per critical product, and strategy where ``critical`` names them."""
     # Fixed value: the form of the message.
     text = F.format_string(
         "%s [%s] Note : %s/5 | %d avis négatifs / %d total | CA : %s EUR",
@@ -98,7 +104,7 @@ def alert_messages(critical: DataFrame) -> DataFrame:
         "reviews",
         F.format_number(F.col("revenue").cast("decimal(28,2)"), 0),
     )
-    return critical.select("product_id", text.alias("message"))
+    return critical.select("product_id", text.alias("message"), *[c for c in critical.columns if c == "strategy"])
 
 
 def worst_rated_products(alerts: DataFrame, n: int = 10) -> DataFrame:

@@ -204,7 +204,7 @@ def open_alerts(w: Warehouse) -> DataFrame:
 
 @query
 def critical_products(w: Warehouse) -> DataFrame:
-    return reports.critical_products(w.alerts_poc)
+    return reports.critical_by_strategy({"semantic": w.alerts_spread, "poc": w.alerts_poc})
 
 
 @query
