@@ -92,7 +92,7 @@ def test_reports_stand_over_matched_products_and_linked_reviews(spark):
 def test_critical_products_stand_over_both_strategies(spark):
     """Over products matched by all ways and reviews linked by words, and over the rank mapping, in code and SQL."""
     q, parts = entry.queries(), warehouse(spark, FOLDER)
-    for name in ("critical_products",):
+    for name in ("critical_products", "alert_messages"):
         sql = entry.oracle_sql()[name]
         assert "linked AS" in sql and "fuzzy AS" in sql and "'semantic'" in sql and "'poc'" in sql, name
         got = {(r.product_id, r.strategy) for r in q[name](spark, FOLDER).collect()}

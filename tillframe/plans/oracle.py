@@ -881,11 +881,10 @@ MAIN: dict[str, str] = {
 
 for _name in ("product_listing_filtered", "open_alerts", "product_sheet_reviews", "worst_rated_products", "product_score"):
     MAIN[_name] = swapped(MAIN[_name], SPREAD)
-for _name in ("critical_products",):  # under both strategies of the mapping
+for _name in ("critical_products", "alert_messages"):  # under both strategies of the mapping
     MAIN[_name] = " UNION ALL ".join(
         f"SELECT *, '{strategy}' AS strategy FROM ({swapped(MAIN[_name], names)})" for strategy, names in (("semantic", SPREAD), ("poc", POC))
     )
-MAIN["alert_messages"] = swapped(MAIN["alert_messages"], POC)
 for _name in ("rating_distribution", "latest_reviews"):
     MAIN[f"{_name}_poc"] = swapped(MAIN[_name], POC)
 MAIN["attach_reviews_named"] = swapped(MAIN["attach_reviews_tfidf"], NAMED)

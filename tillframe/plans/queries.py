@@ -209,7 +209,7 @@ def critical_products(w: Warehouse) -> DataFrame:
 
 @query
 def alert_messages(w: Warehouse) -> DataFrame:
-    return reports.alert_messages(reports.critical_products(w.alerts_poc))
+    return reports.alert_messages(critical_products(w))
 
 
 @query
