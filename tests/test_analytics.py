@@ -284,6 +284,26 @@ def test_smoothing_equals_one_series_at_a_time():
     assert one[0, 0] == pytest.approx(sse)
 
 
+def test_smoothing_takes_many_series_at_a_time(spark, monkeypatch):
+    """Batches of Arrow are gathered, short series come with them, and nothing depends on what is smoothed together."""
+    frames = [pd.DataFrame({"series": [str(k)], "values": [[1.0]]}) for k in range(7)]
+    assert [len(f) for f in smoothing._gathered(iter(frames), 3)] == [3, 3, 1]
+    rng = np.random.default_rng(5)
+    y = 20 + rng.random((9, 26)).cumsum(1)
+    whole = smoothing.fit(y, True, "add")
+    monkeypatch.setattr(smoothing, "CELLS", 1)
+    assert all((a == b).all() for a, b in zip(whole, smoothing.fit(y, True, "add")))
+    months = pd.date_range("2020-01-01", periods=26, freq="MS")
+    rows = [(f"s{k}", months[i].to_pydatetime(), float(v)) for k, line in enumerate(y) for i, v in enumerate(line[: 26 if k else 2])]
+    series = spark.createDataFrame(rows, "series string, month timestamp_ntz, value double")
+    plan = smoothing.smoothing_forecast(series)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Union" not in plan
+    got = smoothing.smoothing_forecast(series).collect()
+    assert {r.series for r in got if r.status == "ok"} == {f"s{k}" for k in range(1, 9)}
+    (short,) = [r for r in got if r.series == "s0"]
+    assert short.status != "ok" and all(short[c] is None for c in ("month", "model", "forecast", "lower", "upper"))
+
+
 def test_cascade_ends_in_a_line(spark, monkeypatch):
     season = np.array([0, 5, 9, 4, -3, -8, -2, 6, 12, 3, -9, -17.0])
     months = np.arange(48)

@@ -24,6 +24,8 @@ from tillframe.operators.forecast import (
 FIRST_STEP, LAST_STEP = 0.05, 1e-5  # of the search, in units of a weight
 ROUNDS = 400  # a search that needs more has not converged
 GAIN = 1e-12  # relative; smaller ones are rounding
+CELLS = 8192  # points of the grid times series that are folded at once: they stay in the cache
+SERIES = 16384  # smoothed at once in a task: of a few series at a time, most of the time goes into calls
 LINE = "line"
 
 
@@ -36,6 +38,7 @@ def smooth(y: np.ndarray, weights: np.ndarray, trend: bool, season: str | None,
     count, months = y.shape
     alpha, beta, gamma = np.moveaxis(np.broadcast_to(weights, (count, *weights.shape[1:])), 2, 0)
     shape = alpha.shape
+    alpha_rest, beta_rest, gamma_rest = 1 - alpha, 1 - beta, 1 - gamma
     cycle = []
     if season:
         first, later = y[:, :SEASON], y[:, SEASON : 2 * SEASON]
@@ -54,11 +57,11 @@ def smooth(y: np.ndarray, weights: np.ndarray, trend: bool, season: str | None,
         value, plain = y[:, t, None], level + growth
         effect = cycle[t % SEASON] if season else 0.0
         error = error + (value - (plain * effect if season == "mul" else plain + effect)) ** 2
-        new = alpha * (value / effect if season == "mul" else value - effect) + (1 - alpha) * plain
+        new = alpha * (value / effect if season == "mul" else value - effect) + alpha_rest * plain
         if trend:
-            growth = beta * (new - level) + (1 - beta) * growth
+            growth = beta * (new - level) + beta_rest * growth
         if season:
-            cycle[t % SEASON] = gamma * (value / plain if season == "mul" else value - plain) + (1 - gamma) * effect
+            cycle[t % SEASON] = gamma * (value / plain if season == "mul" else value - plain) + gamma_rest * effect
         level = new
     error = np.where(np.isfinite(error), error, np.inf)
     if season == "mul":
@@ -75,9 +78,12 @@ def fit(y: np.ndarray, trend: bool, season: str | None) -> tuple[np.ndarray, np.
     """(weights, squared error, converged) of each series of ``y``."""
     steps = SEASON_STEPS if season else STEPS
     grid = np.array(list(itertools.product(steps, steps if trend else (0.0,), steps if season else (0.0,))))
-    errors, _ = smooth(y, grid[None], trend, season)
-    best = errors.argmin(axis=1)
-    point, error = grid[best].copy(), errors[np.arange(len(y)), best]
+    best, error = np.zeros(len(y), int), np.full(len(y), np.inf)
+    count = max(1, CELLS // len(grid))
+    for at in range(0, len(y), count):
+        errors, _ = smooth(y[at : at + count], grid[None], trend, season)
+        best[at : at + count], error[at : at + count] = errors.argmin(axis=1), errors.min(axis=1)
+    point = grid[best].copy()
     moves = [k for k, used in enumerate((True, trend, season is not None)) if used]
     ways = np.array([s * np.eye(3)[k] for k in moves for s in (1, -1)])
     step = np.full(len(y), FIRST_STEP)
@@ -125,6 +131,18 @@ def fitted(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return model, error, ahead
 
 
+def _gathered(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of ``rows`` or a batch more, the last of fewer."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def smoothing_forecast(series: DataFrame, horizon: int = 3, min_months: int = MIN_MONTHS) -> DataFrame:
     """(series, month, model, forecast, lower, upper, status) for ``horizon`` months after each series (series, month, value).
 
@@ -138,12 +156,15 @@ def smoothing_forecast(series: DataFrame, horizon: int = 3, min_months: int = MI
         F.array_sort(F.collect_list(F.struct("month", "value"))).alias("p"), F.max("month").alias("last")
     )  # a value per month: short whatever the size of the data
     arrays = points.select("series", "last", F.col("p.value").alias("values"))
-    long_enough = F.size("values") >= max(2, min_months)
+    least = max(2, min_months)
     schema = "series string, last timestamp_ntz, step int, model string, value double, half double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _gathered(frames, SERIES):
             for months, rows in frame.groupby(frame["values"].map(len)):
+                if months < least:
+                    yield rows[["series", "last"]].assign(step=None, model=None, value=None, half=None)
+                    continue
                 y = np.vstack(rows["values"].to_numpy()).astype(float)
                 model, error, ahead = fitted(y, horizon)
                 each = rows.loc[rows.index.repeat(horizon), ["series", "last"]].reset_index(drop=True)
@@ -153,10 +174,12 @@ def smoothing_forecast(series: DataFrame, horizon: int = 3, min_months: int = MI
                 each["half"] = np.repeat(Z * np.sqrt(error / months), horizon)
                 yield each
 
-    done = arrays.where(long_enough).select("series", "last", "values").mapInPandas(run, schema)
-    values = [_two(v).alias(n) for n, v in (
-        ("forecast", F.col("value")), ("lower", F.greatest(F.col("value") - F.col("half"), F.lit(0.0))), ("upper", F.col("value") + F.col("half"))
-    )]
-    out = done.select("series", _next_month(F.col("last"), F.col("step")).alias("month"), "model", *values, F.lit(OK).alias("status"))
-    short = arrays.where(~long_enough).select("series", F.lit(TOO_SHORT).alias("status"))
-    return out.unionByName(short, allowMissingColumns=True)
+    done, fit_ = arrays.mapInPandas(run, schema), F.col("step").isNotNull()
+    values = {"forecast": F.col("value"), "lower": F.greatest(F.col("value") - F.col("half"), F.lit(0.0)), "upper": F.col("value") + F.col("half")}
+    return done.select(
+        "series",
+        _next_month(F.col("last"), F.col("step")).alias("month"),
+        "model",
+        *[F.when(fit_, _two(v)).alias(n) for n, v in values.items()],
+        F.when(fit_, OK).otherwise(TOO_SHORT).alias("status"),
+    )
