@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tillframe.functions.ordering import exact_quantiles, quantile_row, with_position
 from tillframe.functions.skew import hot_keys, join_keyed
 from tillframe.sources import storage
-from tillframe.sources.storage import shared_dir, spread
+from tillframe.sources.storage import materialize, shared_dir, spread
 
 
 def test_positions_are_global_and_dense(spark):
@@ -115,3 +115,19 @@ def test_hot_keys_are_counted_in_a_scan(spark):
     plain = facts.join(keyed, "k").select(*joined.columns)
     assert sorted(joined.collect()) == sorted(plain.collect())
     assert joined._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 100") == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_sorted_in_place(spark):
+    """``sort_by`` moves no row: every file is sorted, and holds what its partition held."""
+    df = spark.range(0, 4000, 1, 4).select((F.col("id") * 7919 % 4000).alias("k"), F.spark_partition_id().alias("part"))
+    stored = materialize(df, "in-place", sort_by=["k"])
+    files = stored.select("k", "part", F.input_file_name().alias("f")).collect()
+    held = {}
+    for r in files:
+        held.setdefault(r.f, []).append(r)
+    assert len(held) == 4 and all(len({r.part for r in rows}) == 1 for rows in held.values())
+    assert all([r.k for r in rows] == sorted(r.k for r in rows) for rows in held.values())

@@ -40,9 +40,8 @@ class Warehouse:
 
     @cached_property
     def sales(self) -> DataFrame:
-        """Clean lines, stored by time: reports over a period read only its files."""
-        lines = cleaning.clean_sales(self.raw_sales)
-        return materialize(lines, "sales", cluster_by=["invoice_ts", "invoice_no", "product_id"])
+        """Clean lines, the lines of an order in one file, each file by time: reports over a period read only its pages."""
+        return materialize(cleaning.clean_sales(self.raw_sales), "sales", sort_by=["invoice_ts"])
 
     @cached_property
     def products(self) -> DataFrame:
