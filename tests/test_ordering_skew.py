@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillframe.functions.ordering import exact_quantiles, quantile_row, with_position
-from tillframe.functions.skew import hot_keys, join_keyed
+from tillframe.functions.skew import hot_keys, join_keyed, join_totals
 from tillframe.sources import storage
 from tillframe.sources.storage import materialize, shared_dir, spread
 
@@ -121,6 +121,25 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_totals_are_summed_where_they_are_joined(spark):
+    """As the join of the sums, with rows that move once; a hot key, keys without a partner and null keys."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 > 1, (F.col("id") % 700).cast("string")).alias("key"),
+        (F.col("id") % 17).alias("who"), (F.col("id") % 11).alias("v"),
+    )
+    keyed = spark.range(600).select(F.col("id").cast("string").alias("key"), (F.col("id") * 2).alias("x"))
+    keyed = keyed.unionByName(spark.createDataFrame([("hot", 5)], "key string, x long"))
+    totals = [F.sum("v").alias("v"), F.count("*").alias("n")]
+    sums = rows.groupBy("who", "key").agg(*totals)
+    old = join_keyed(sums, keyed, "key", "left", broadcast_rows=0)
+    for limit in (0, 10_000):
+        new = join_totals(rows, ["who", "key"], totals, keyed, "key", broadcast_rows=limit)
+        columns = ["who", "key", "v", "n", "x"]
+        assert sorted(map(repr, new.select(columns).collect())) == sorted(map(repr, old.select(columns).collect()))
+        if not limit:
+            assert plan_of(new).count("Exchange hashpartitioning(") < plan_of(old).count("Exchange hashpartitioning(")
+
+
 def test_files_sorted_in_place(spark):
     """``sort_by`` moves no row: every file is sorted, and holds what its partition held."""
     df = spark.range(0, 4000, 1, 4).select((F.col("id") * 7919 % 4000).alias("k"), F.spark_partition_id().alias("part"))

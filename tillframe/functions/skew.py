@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillframe.functions.ordering import with_scalars
@@ -42,13 +44,45 @@ def join_keyed(
         keyed_rows = keyed.count()
     if keyed_rows <= broadcast_rows:
         return facts.join(F.broadcast(keyed), key, how)
-    hot = F.broadcast(hot_keys(facts if keys_of is None else keys_of, key).withColumn("_hot", F.lit(True)))
+    left, right = _salted(facts, keyed, key, salts, facts if keys_of is None else keys_of, facts.columns)
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def _salted(
+    facts: DataFrame, keyed: DataFrame, key: str, salts: int, keys_of: DataFrame, salt_by: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_salt``: rows of hot keys are spread by ``salt_by``, their keyed rows repeated."""
+    hot = F.broadcast(hot_keys(keys_of, key).withColumn("_hot", F.lit(True)))
     # The salt is a function of the row, so a recomputed task sends rows to the same place.
     # Rows without a key find no partner, so they may go anywhere.
-    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts).cast("long"))
+    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts).cast("long"))
     loose = F.col("_hot") | F.col(key).isNull()
     left = facts.join(hot, key, "left").withColumn("_salt", F.when(loose, salt).otherwise(F.lit(0).cast("long")))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = keyed.join(hot, key, "left").withColumn("_salt", F.explode(copies.cast("array<long>")))
-    left, right = left.drop("_hot"), right.drop("_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.drop("_hot"), right.drop("_hot")
+
+
+def join_totals(
+    rows: DataFrame,
+    by: Sequence[str],
+    totals: Sequence[Column],
+    keyed: DataFrame,
+    key: str,
+    keyed_rows: int | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """``rows`` summed to ``totals`` per ``by``, which includes ``key``, and joined to ``keyed`` with ``how="left"``.
+
+    As ``join_keyed`` of the sums. Beyond ``broadcast_rows`` the rows move once, to
+    their key and salt, and are summed and joined there; the salt is one of the
+    other columns of ``by``, so the rows of a sum stay together.
+    """
+    if keyed_rows is None:
+        keyed_rows = keyed.count()
+    if keyed_rows <= broadcast_rows:
+        return join_keyed(rows.groupBy(*by).agg(*totals), keyed, key, "left", keyed_rows, broadcast_rows)
+    left, right = _salted(rows, keyed, key, salts, rows, [c for c in by if c != key])
+    sums = left.repartition(key, "_salt").groupBy(*by, "_salt").agg(*totals)
+    return sums.join(right, [key, "_salt"], "left").drop("_salt")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillframe.functions.ordering import with_scalars
-from tillframe.functions.skew import join_keyed
+from tillframe.functions.skew import join_keyed, join_totals
 
 # Status names and their limits.
 CRITICAL, WATCH, FINE = "CRITIQUE", "A_SURVEILLER", "OK"
@@ -110,11 +110,11 @@ def _product_reviews(mapping: DataFrame, per_code: DataFrame) -> DataFrame:
     )
 
 
-def _customer_lines(sales: DataFrame) -> DataFrame:
-    """Sales per customer and product, which is as far as review weights differ."""
-    return sales.groupBy("customer_id", "product_id").agg(
-        F.sum("revenue").alias("revenue"), F.count("*").alias("lines")
-    )
+def _weighted_lines(sales: DataFrame, weights: DataFrame, mapping_rows: int | None) -> DataFrame:
+    """Sales per customer and product, which is as far as review weights differ, with their weights."""
+    totals = [F.sum("revenue").alias("revenue"), F.count("*").alias("lines")]
+    rows = sales.select("customer_id", "product_id", "revenue")
+    return join_totals(rows, ["customer_id", "product_id"], totals, weights, "product_id", mapping_rows)
 
 
 def _orders(sales: DataFrame) -> DataFrame:
@@ -128,8 +128,8 @@ def customer_kpi(
     reviews: DataFrame,
     mapping_rows: int | None = None,
 ) -> DataFrame:
-    per_code = reviews_per_code(reviews)
-    return customer_kpi_of_facts(customers, _customer_lines(sales), _orders(sales), mapping, per_code, mapping_rows)
+    weights = _product_reviews(mapping, reviews_per_code(reviews))
+    return _weighted_kpi(customers, _weighted_lines(sales, weights, mapping_rows), _orders(sales))
 
 
 def customer_kpi_of_facts(
@@ -142,7 +142,10 @@ def customer_kpi_of_facts(
 ) -> DataFrame:
     """``customer_kpi`` from totals: revenue and lines per customer and product, orders per customer, reviews per code."""
     weights = _product_reviews(mapping, per_code)
-    lines = join_keyed(customer_lines, weights, "product_id", "left", keyed_rows=mapping_rows)
+    return _weighted_kpi(customers, join_keyed(customer_lines, weights, "product_id", "left", keyed_rows=mapping_rows), orders)
+
+
+def _weighted_kpi(customers: DataFrame, lines: DataFrame, orders: DataFrame) -> DataFrame:
     weight = F.greatest(F.coalesce("reviews", F.lit(0)), F.lit(1))
     totals = lines.groupBy("customer_id").agg(
         F.count("product_id").alias("products"),
@@ -164,7 +167,7 @@ def customer_kpi_exact(
 ) -> DataFrame:
     """True revenue; ratings and reviews are those of the distinct products bought."""
     weights = _product_reviews(mapping, reviews_per_code(reviews))
-    lines = join_keyed(_customer_lines(sales), weights, "product_id", "left", keyed_rows=mapping_rows)
+    lines = _weighted_lines(sales, weights, mapping_rows)
     totals = lines.groupBy("customer_id").agg(
         F.count("product_id").alias("products"),
         F.sum("revenue").alias("revenue"),
