@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tillframe.functions.ordering import exact_quantiles, quantile_row, with_position
 from tillframe.functions.skew import hot_keys, join_keyed, join_totals
+from tillframe.functions.text import match_keywords
 from tillframe.sources import storage
 from tillframe.sources.storage import materialize, shared_dir, spread
 
@@ -150,3 +151,16 @@ def test_files_sorted_in_place(spark):
         held.setdefault(r.f, []).append(r)
     assert len(held) == 4 and all(len({r.part for r in rows}) == 1 for rows in held.values())
     assert all([r.k for r in rows] == sorted(r.k for r in rows) for rows in held.values())
+
+
+def test_texts_are_moved_only_for_keywords_with_blanks(spark):
+    texts = spark.createDataFrame([(1, "A hot bolt"), (2, "old ring"), (3, None)], "id long, text string")
+
+    def found(*keywords):
+        return match_keywords(texts, spark.createDataFrame([(k,) for k in keywords], "keyword string"))
+
+    one, two, none = found("ring", "OL"), found("ring", "hot b"), found()
+    assert sorted(map(tuple, one.collect())) == [(1, "ol"), (2, "ol"), (2, "ring")]
+    assert sorted(map(tuple, two.collect())) == [(1, "hot b"), (2, "ring")]
+    assert none.collect() == [] and none.dtypes == one.dtypes
+    assert "Contains" not in plan_of(one) and "Contains" in plan_of(two) and "Scan" not in plan_of(none).replace("LocalTableScan", "")

@@ -88,7 +88,8 @@ def match_keywords(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     of all texts are matched with the keywords once, by joining their substrings
     of the lengths that keywords have, and the texts join the tokens that hold
     one. A keyword with white space is found by its longest word, and then looked
-    for in the whole text.
+    for in the whole text; only for such keywords the texts themselves are moved.
+    Without any keyword they are not read.
     """
     wanted = keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
     longest = F.try_element_at(
@@ -96,6 +97,8 @@ def match_keywords(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     )
     # A keyword of white space alone has no word; it is looked for in all texts.
     wanted = materialize(wanted.withColumn("anchor", F.coalesce(longest["w"], F.lit(""))), "keywords")
+    if wanted.isEmpty():
+        return texts.select("id", F.lit("").alias("keyword")).where(F.lit(False))
     anchors = wanted.select("anchor").where("anchor <> ''").distinct()
     sizes = anchors.agg(F.coalesce(F.array_sort(F.collect_set(F.length("anchor"))), F.array().cast("array<int>")).alias("sizes"))
     lowered = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
@@ -106,6 +109,8 @@ def match_keywords(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     found = tokens.join(holding, "token").select("id", "anchor").distinct()
     plain = found.join(wanted.where("keyword = anchor"), "anchor").select("id", "keyword")
     spaced = wanted.where("keyword <> anchor")
+    if spaced.isEmpty():
+        return plain
     some = found.join(spaced.where("anchor <> ''"), "anchor").select("id", "keyword")
     checked = some.join(lowered, "id").where(F.contains("_text", "keyword")).select("id", "keyword")
     blank = spaced.where("anchor = ''").agg(F.collect_set("keyword").alias("blanks"))  # one row
