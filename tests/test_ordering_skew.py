@@ -164,3 +164,10 @@ def test_texts_are_moved_only_for_keywords_with_blanks(spark):
     assert sorted(map(tuple, two.collect())) == [(1, "hot b"), (2, "ring")]
     assert none.collect() == [] and none.dtypes == one.dtypes
     assert "Contains" not in plan_of(one) and "Contains" in plan_of(two) and "Scan" not in plan_of(none).replace("LocalTableScan", "")
+
+
+def test_sizes_of_the_scans_below_a_frame(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    other = spark.read.parquet(str(tmp_path / "t")).select((F.col("id") + 1).alias("id"))
+    assert 0 < storage.scan_bytes(one) * 2 == storage.scan_bytes(one.join(other, "id").where("id > 5"))

@@ -18,7 +18,7 @@ from tillframe.operators.analytics import CUSTOMER_METRICS, Clusters
 from tillframe.operators.churn import ChurnModel, churn_labels, customer_rfm_base
 from tillframe.session import tune
 from tillframe.sources import tables
-from tillframe.sources.storage import materialize
+from tillframe.sources.storage import SMALL_BYTES, materialize, scan_bytes
 
 
 class Warehouse:
@@ -40,8 +40,14 @@ class Warehouse:
 
     @cached_property
     def sales(self) -> DataFrame:
-        """Clean lines, the lines of an order in one file, each file by time: reports over a period read only its pages."""
-        return materialize(cleaning.clean_sales(self.raw_sales), "sales", sort_by=["invoice_ts"])
+        """Clean lines by time: reports over a period read only its files, or its pages of each file.
+
+        The lines of a large table are not moved for it: those of an order come out together, and stay so.
+        """
+        by_time = ["invoice_ts", "invoice_no", "product_id"]
+        lines = cleaning.clean_sales(self.raw_sales)
+        small = scan_bytes(lines) <= SMALL_BYTES
+        return materialize(lines, "sales", cluster_by=by_time) if small else materialize(lines, "sales", sort_by=by_time)
 
     @cached_property
     def products(self) -> DataFrame:

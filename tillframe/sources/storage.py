@@ -71,6 +71,13 @@ def release(spark: SparkSession) -> None:
 
 
 SPREAD_BYTES = 512 << 20
+SMALL_BYTES = 64 << 20
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """The size of the scans below ``df``, which Spark takes from their files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillframe.functions.skew import join_keyed
+from tillframe.functions.skew import BROADCAST_ROWS, join_keyed
 from tillframe.sources.storage import spread
 
 
@@ -18,7 +18,8 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
 
     The unit price is the line amount over the quantity, to the cent. Parts join by
     ``join_keyed``, which spreads the lines of a hot product. Orders get their
-    customer's country first and join last, so the lines of an order come out together.
+    customer's country first. They join last unless parts are broadcast, so the lines
+    of an order come out together.
     """
     line = read_table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"
@@ -31,8 +32,12 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
     located = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("c_custkey", "n_name")
     placed = order.join(located, order.o_custkey == located.c_custkey)
     named = part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    described = join_keyed(line, named, "l_partkey", "inner", keys_of=scanned)
-    joined = described.join(placed, described.l_orderkey == placed.o_orderkey)
+    parts = named.count()
+    if parts <= BROADCAST_ROWS:
+        joined = join_keyed(line.join(placed, line.l_orderkey == placed.o_orderkey), named, "l_partkey", "inner", keyed_rows=parts)
+    else:
+        described = join_keyed(line, named, "l_partkey", "inner", keyed_rows=parts, keys_of=scanned)
+        joined = described.join(placed, described.l_orderkey == placed.o_orderkey)
     variant = F.substring(F.lit("ABCD"), (F.col("l_partkey") % 4 + 1).cast("int"), F.lit(1))
     # Half-up on whole cents; a line without a quantity has no price.
     price = F.expr(
