@@ -266,6 +266,23 @@ def test_word_assignment_equals_all_pairs(spark, limit):
     assert all(r.review_code == f"REV_{r.product_idx + 1:04d}" for r in got)
 
 
+def test_words_elsewhere_are_put_together_only_where_needed(spark, monkeypatch):
+    made, each = [], matching._each
+    monkeypatch.setattr(matching, "_each", lambda *args: made.append(each(*args)) or made[-1])
+    common = " ".join(f"plain{i}" for i in range(10))
+    texts = ["a garden lantern for plain3", "", None] + [f"{common} lamp{i} for plain3" for i in range(20)]
+    reviews = spark.createDataFrame(list(enumerate(texts)), "review_key long, review_text string")
+    got = {r.review_key: r.score for r in matching.attach_reviews_tfidf(reviews, mapping(spark, ERP[2:3])).collect()}
+    name, text = ["garden", "lantern", "with", "candle"], ["garden", "lantern", "for", "plain3"]
+    name, text = ([*t, *(f"{a} {b}" for a, b in zip(t, t[1:]))] for t in (name, text))
+    held = {"for": 21, "plain3": 21, "for plain3": 21}
+    idf = {t: math.log((1 + 24) / (1 + held.get(t, (t in name) + (t in text)))) + 1 for t in name + text}
+    length = math.sqrt(sum(idf[t] ** 2 for t in name) * sum(idf[t] ** 2 for t in text))
+    assert got == {0: round(sum(idf[t] ** 2 for t in set(name) & set(text)) / length, 6), **dict.fromkeys(range(1, 23), 0.0)}
+    # Each of the other texts holds 24 terms; three of them are needed.
+    assert made[-1].count() <= 20 * 5
+
+
 def test_semantic_assign_falls_back_to_the_commonest(spark):
     targets = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "id long, vec array<double>")
     reviews = spark.createDataFrame(

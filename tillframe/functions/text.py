@@ -9,6 +9,7 @@ from tillframe.functions.ordering import with_scalars
 from tillframe.sources.storage import materialize
 
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
+MARK_BITS = 20  # a table of marks has 2 to this power, 128 KB
 
 
 def words(text: Column) -> Column:
@@ -52,6 +53,28 @@ def token_terms(tokens: Column) -> Column:
     return F.concat(tokens, pairs)
 
 
+def _mark_slot(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - MARK_BITS)
+
+
+def marks(words_of: DataFrame, column: str) -> DataFrame:
+    """One row, ``marks``: a bit per hash value, set where a word of ``column`` has that value. Its size is fixed."""
+    slots = words_of.select(_mark_slot(F.col(column)).alias("slot"))
+    longs = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("place")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")
+    )
+    every = slots.sparkSession.range(1 << (MARK_BITS - 6)).select(F.col("id").cast("int").alias("place"))
+    filled = every.join(longs, "place", "left").select("place", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    listed = filled.agg(F.array_sort(F.collect_list(F.struct("place", "bits"))).alias("l"))
+    return listed.select(F.transform("l", lambda e: e["bits"]).alias("marks"))
+
+
+def is_marked(word: Column) -> Column:
+    """Whether ``word`` may be among the words of ``marks``, a column beside it: true for all of them and few others."""
+    slot = _mark_slot(word)
+    return F.getbit(F.get("marks", F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def word_terms(text: Column) -> Column:
     """Lower-case words of two or more characters, and pairs of neighbouring words."""
     return token_terms(word_tokens(text))

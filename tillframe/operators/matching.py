@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillframe.functions.ordering import with_position, with_scalars
 from tillframe.functions.skew import join_keyed
-from tillframe.functions.text import char_ngrams, sorted_tokens, substrings, token_terms, word_tokens
+from tillframe.functions.text import char_ngrams, is_marked, marks, sorted_tokens, substrings, token_terms, word_tokens
 from tillframe.functions.vectors import BLOCK_ROWS, nearest
 from tillframe.operators.cleaning import normalize_code
 from tillframe.sources.storage import materialize
@@ -546,11 +546,17 @@ def attach_reviews_tfidf(reviews: DataFrame, mapping: DataFrame, max_features: i
 
 
 def _uses_elsewhere(texts: DataFrame, review_terms: DataFrame, touched: DataFrame) -> list[DataFrame]:
-    """How many of the other ``texts`` hold each of ``review_terms``; nothing if one side is empty."""
+    """How many of the other ``texts`` hold each of ``review_terms``; nothing if one side is empty.
+
+    The words of a needed pair are needed as well, so only needed words are put together.
+    """
     if touched.isEmpty() or texts.isEmpty():
         return []
     needed = materialize(review_terms.select("term").distinct(), "needed-terms")
-    held = _each(_tokenised(texts, "review_text"), F.array_distinct(token_terms(F.col("tokens"))), "term")
+    marked = with_scalars(_tokenised(texts, "review_text"), marks(needed.where(~F.contains("term", F.lit(" "))), "term"))
+    # Words that are certainly not needed leave their places empty, so no pair is made of them.
+    kept = marked.select(F.transform("tokens", lambda t: F.when(is_marked(t), t)).alias("tokens"))
+    held = _each(kept, F.array_distinct(F.array_compact(token_terms(F.col("tokens")))), "term")
     uses = held.join(needed, "term", "left_semi").groupBy("term").agg(F.count("*").alias("members"))
     none = F.lit(None).cast("long")
     return [uses.select("term", none.alias("doc"), none.alias("tf"), "members", F.lit("use").alias("kind"))]
