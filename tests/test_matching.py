@@ -283,6 +283,45 @@ def test_words_elsewhere_are_put_together_only_where_needed(spark, monkeypatch):
     assert made[-1].count() <= 20 * 5
 
 
+def test_only_terms_of_names_get_rows(spark, monkeypatch):
+    """Texts that all begin with a name: of their other terms no row is made."""
+    made, each = [], matching._each
+    monkeypatch.setattr(matching, "_each", lambda *args: made.append(each(*args)) or made[-1])
+    texts = [f"Garden LANTERN {' '.join(f'plain{i % (k + 2)}x' for i in range(30))} lamp{k}" for k in range(20)]
+    reviews = spark.createDataFrame(list(enumerate(texts)), "review_key long, review_text string")
+    got = {r.review_key: r.score for r in matching.attach_reviews_tfidf(reviews, mapping(spark, ERP[2:3])).collect()}
+    docs = [collections.Counter([*t, *(f"{a} {b}" for a, b in zip(t, t[1:]))]) for t in (x.lower().split() for x in texts)]
+    name = collections.Counter(["garden", "lantern", "with", "candle", "garden lantern", "lantern with", "with candle"])
+    df = collections.Counter(t for d in [*docs, name] for t in d)
+
+    def length(d):
+        return math.sqrt(sum((n * idf[t]) ** 2 for t, n in d.items()))
+
+    idf = {t: math.log((1 + 21) / (1 + n)) + 1 for t, n in df.items()}
+    assert got == {i: round(sum(d[t] * name[t] * idf[t] ** 2 for t in name) / length(d) / length(name), 6) for i, d in enumerate(docs)}
+    assert sum(m.count() for m in made) <= len(name) + 3 * len(texts)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_lengths_of_all_and_of_named_reviews_agree(spark, monkeypatch, few):
+    """With repeated and missing keys and texts, whether all texts are packed or only those with a word of a name."""
+    monkeypatch.setattr(matching, "FEW_TOUCHED", few)
+    rows = [(1, "a garden lantern"), (1, "lantern for plain3"), (2, None), (3, "plain3 for all"), (4, "garden plain3 for"), (None, "lantern"), (None, "plain3")]
+    reviews = spark.createDataFrame(rows, "review_key long, review_text string")
+    got = sorted((r.review_key or 0, r.score) for r in matching.attach_reviews_tfidf(reviews, mapping(spark, ERP[2:3])).collect())
+    split = [(k, [*t, *(f"{a} {b}" for a, b in zip(t, t[1:]))]) for k, t in ((k, re.findall(r"\w\w+", t or "")) for k, t in rows)]
+    name = ["garden", "lantern", "with", "candle", "garden lantern", "lantern with", "with candle"]
+    df = collections.Counter(t for d in [*(set(t) for _, t in split), name] for t in d)
+    idf = {t: math.log((1 + 8) / (1 + n)) + 1 for t, n in df.items()}
+
+    def score(key):
+        uses = collections.Counter(t for k, d in split if k == key for t in d)
+        length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in uses.items()) * sum(idf[t] ** 2 for t in name))
+        return round(sum(uses[t] * idf[t] ** 2 for t in name) / length, 6) if length else 0.0
+
+    assert got == sorted([(0, 0.0), (0, 0.0), (1, score(1)), (1, score(1)), (2, 0.0), (3, 0.0), (4, score(4))])
+
+
 def test_semantic_assign_falls_back_to_the_commonest(spark):
     targets = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "id long, vec array<double>")
     reviews = spark.createDataFrame(

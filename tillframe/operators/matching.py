@@ -7,11 +7,13 @@ Product inputs have ``idx`` (0-based rank), ``product_id``, ``product_name`` and
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillframe.functions.lengths import hashed, squared_lengths
 from tillframe.functions.ordering import with_position, with_scalars
 from tillframe.functions.skew import join_keyed
 from tillframe.functions.text import char_ngrams, is_marked, marks, sorted_tokens, substrings, token_terms, word_tokens
@@ -25,6 +27,7 @@ TFIDF_THRESHOLD = 0.25
 SEMANTIC_THRESHOLD = 0.10
 REVIEW_CODES = 1000
 AUTO_SCORE, REVIEW_SCORE = 0.70, 0.50
+FEW_TOUCHED = 8  # reviews with a word of a name are few if they are less than one in 8
 
 _EPS = 1e-9
 _BIGRAM_FLOOR = 75.0
@@ -463,12 +466,17 @@ def _each(df: DataFrame, array: Column, name: str) -> DataFrame:
 
 
 def _term_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(doc, members, term, tf) of the whole texts of ``docs`` (doc, members, text): a row per text and term.
+    """(doc, members, term, tf) of the whole texts of ``docs`` (doc, members, text): a row per text and term."""
+    return _counted(_tokenised(docs, text).select("doc", "members", token_terms(F.col("tokens")).alias("terms")))
+
+
+def _counted(listed: DataFrame) -> DataFrame:
+    """(doc, members, term, tf) of ``listed`` (doc, members, terms): a row per text and term.
 
     The sorted terms of a text are counted by the places where they change, so
     no term leaves its task.
     """
-    listed = _tokenised(docs, text).select("doc", "members", F.sort_array(token_terms(F.col("tokens"))).alias("terms"))
+    listed = listed.select("doc", "members", F.sort_array("terms").alias("terms"))
     places = F.when(F.size("terms") > 0, F.sequence(F.lit(0), F.size("terms") - 1))
     starts = F.filter(places, lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", F.greatest(i - 1, F.lit(0)))))
     begun = listed.select("doc", "members", "terms", starts.alias("starts"))
@@ -479,6 +487,14 @@ def _term_counts(docs: DataFrame, text: str) -> DataFrame:
     return _each(begun, counted, "t").select("doc", "members", "t.term", "t.tf")
 
 
+def _marked_terms(texts: DataFrame, words_of: DataFrame) -> DataFrame:
+    """(doc, members, terms): terms made of words that are certainly or possibly among the words of ``words_of`` (term)."""
+    marked = with_scalars(_tokenised(texts, "review_text"), marks(words_of.where(~F.contains("term", F.lit(" "))), "term"))
+    # Other words leave their places empty, so no pair is made of them.
+    kept = marked.select("doc", "members", F.transform("tokens", lambda t: F.when(is_marked(t), t)).alias("tokens"))
+    return kept.select("doc", "members", F.array_compact(token_terms(F.col("tokens"))).alias("terms"))
+
+
 def attach_reviews_tfidf(reviews: DataFrame, mapping: DataFrame, max_features: int = 0) -> DataFrame:
     """The product whose name is closest to the review text, by words and word pairs.
 
@@ -486,52 +502,41 @@ def attach_reviews_tfidf(reviews: DataFrame, mapping: DataFrame, max_features: i
     terms of names and reviews, or the ``max_features`` commonest of them. A
     review sharing no term with any name gets the first product.
 
-    Only reviews that hold a word of a name are counted term by term: the others
-    have no score whatever their length. For the terms of these reviews the
-    number of all reviews that hold them is counted. The terms meet once, by
-    term, for that number; then they are summed per review, those that occur
-    in names apart, the others in its length alone.
+    Only terms of names get a row per review that holds them. All other terms count
+    in the lengths of reviews alone, and only reviews that hold a word of a name
+    have a score; their lengths are summed over packed terms.
     """
     names = mapping.select((F.col("mapping_id") - 1).alias("idx"), F.col("golden_name").alias("name"))
     distinct = materialize(names.groupBy("name").agg(F.min("idx").alias("doc"), F.count("*").alias("members")), "names")
     name_terms = _term_counts(distinct, "name").groupBy("doc", "members", "term").agg(F.sum("tf").alias("tf"))
     name_terms = materialize(name_terms, "name-terms")
+    products = mapping.count()
+    size = reviews.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("review_text")), F.lit(0)).alias("chars")).first()
+    total = size.n + products
+    weight = F.col("tf") * (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1)
     texts = reviews.select(F.col("review_key").alias("doc"), F.lit(1).cast("long").alias("members"), "review_text")
     if max_features:
         review_terms = _term_counts(texts, "review_text")
-        every = name_terms.unionByName(review_terms)
-        most = every.groupBy("term").agg(F.sum(F.col("members") * F.col("tf")).alias("uses"))
-        most = materialize(most.orderBy(F.desc("uses"), "term").limit(max_features).select("term"), "vocabulary")
-        review_terms, name_terms = review_terms.join(most, "term", "left_semi"), name_terms.join(most, "term", "left_semi")
-        others = []
+        every = name_terms.unionByName(review_terms).groupBy("term")
+        uses = every.agg(F.sum(F.col("members") * F.col("tf")).alias("uses"), F.sum("members").alias("df"))
+        known = materialize(uses.orderBy(F.desc("uses"), "term").limit(max_features).select("term", "df"), "vocabulary")
+        # A review of several rows counts as one text; its terms are summed.
+        weighed = review_terms.join(known, "term").groupBy("doc", "term", "df").agg(F.sum("tf").alias("tf")).select("doc", "term", weight.alias("w"))
+        weighed = materialize(weighed, "review-weights")
+        lengths = weighed.groupBy("doc").agg(F.sum(F.col("w") * F.col("w")).alias("ww"))
     else:
-        # A pair of words of a name is held only with its words.
-        words = _each(_tokenised(texts, "review_text"), F.array_distinct("tokens"), "term").select("doc", "term")
-        touched = words.join(name_terms.select("term").distinct(), "term", "left_semi").select(F.col("doc").alias("_doc")).distinct()
-        touched = materialize(touched, "named-reviews")
-        same = F.col("doc").eqNullSafe(F.col("_doc"))
-        review_terms = _term_counts(texts.join(touched, same, "left_semi"), "review_text")
-        others = _uses_elsewhere(texts.join(touched, same, "left_anti"), review_terms, touched)
-    docs = with_scalars(reviews.agg(F.count("*").alias("r")), mapping.agg(F.count("*").alias("m")))
-    idf = F.log((1 + F.col("r") + F.col("m")) / (1 + F.col("df"))) + 1
-    # All rows of a term meet here: those of reviews and names, and the uses that no row stands for.
-    rows = review_terms.select("term", "doc", "tf", "members", F.lit("review").alias("kind"))
-    for uses in [name_terms.select("term", "doc", "tf", "members", F.lit("name").alias("kind")), *others]:
-        rows = rows.unionByName(uses)
-    of_term = Window.partitionBy("term")
-    met = rows.withColumn("df", F.sum("members").over(of_term)).withColumn("named", F.max(F.col("kind") == "name").over(of_term))
-    # A review of several rows counts as one text; its term is grouped where it lies.
-    met = met.where("kind <> 'use'").groupBy("term", "kind", "doc", "df", "named").agg(F.sum("tf").alias("tf"))
-    weighted = with_scalars(met, docs).select("kind", "doc", F.when(F.col("named"), F.col("term")).alias("term"), (F.col("tf") * idf).alias("w"))
-    summed = weighted.groupBy("kind", "doc", "term").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww"))
-    summed = materialize(summed, "review-weights")
-    of_reviews, of_names = summed.where("kind = 'review'"), summed.where("kind = 'name'")
-    lengths = of_reviews.groupBy("doc").agg(F.sqrt(F.sum("ww")).alias("length"))
-    name_lengths = of_names.groupBy("doc").agg(F.sqrt(F.sum("ww")).alias("name_length"))
-    units = of_names.join(name_lengths, "doc").select(F.col("doc").alias("idx"), "term", (F.col("w") / F.col("name_length")).alias("u"))
-    shared = of_reviews.where(F.col("term").isNotNull()).select("doc", "term", "w").join(units, "term")
+        named = _counted(_marked_terms(texts, name_terms)).join(name_terms.select("term").distinct(), "term", "left_semi")
+        named = materialize(named.select("doc", "members", "term", "tf"), "named-terms")
+        both = name_terms.select("term", "members").unionByName(named.select("term", "members"))
+        known = materialize(both.groupBy("term").agg(F.sum("members").alias("df")), "vocabulary")
+        weighed = named.groupBy("doc", "term").agg(F.sum("tf").alias("tf")).join(known, "term").select("doc", "term", weight.alias("w"))
+        lengths = materialize(_squared_lengths(texts, name_terms, named, size.n, total, size.chars), "review-lengths")
+    of_names = name_terms.join(known, "term").select(F.col("doc").alias("idx"), "term", weight.alias("w"))
+    name_lengths = of_names.groupBy("idx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("name_length"))
+    units = of_names.join(name_lengths, "idx").select("idx", "term", (F.col("w") / F.col("name_length")).alias("u"))
+    shared = weighed.join(units, "term")
     dots = shared.groupBy("doc", "idx").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
-    scored = dots.join(lengths, "doc").select("doc", "idx", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
+    scored = dots.join(lengths, "doc").select("doc", "idx", F.round(F.col("dot") / F.sqrt("ww"), 6).alias("score"))
     best = scored.where("score > 0").groupBy("doc").agg(F.max(F.struct("score", (-F.col("idx")).alias("neg"))).alias("m"))
     assigned = best.select(
         F.col("doc").alias("review_key"), (-F.col("m.neg")).alias("product_idx"), F.col("m.score").alias("score")
@@ -542,7 +547,32 @@ def attach_reviews_tfidf(reviews: DataFrame, mapping: DataFrame, max_features: i
         F.coalesce("product_idx", F.lit(0)).alias("product_idx"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
-    return join_keyed(joined, codes, "product_idx", "left", keyed_rows=mapping.count())
+    return join_keyed(joined, codes, "product_idx", "left", keyed_rows=products)
+
+
+def _squared_lengths(texts: DataFrame, name_terms: DataFrame, named: DataFrame, rows: int, total: int, chars: int) -> DataFrame:
+    """(doc, ww): squared lengths of at least those of ``texts`` that hold a term of a name, which ``named`` lists.
+
+    Where few texts do, only those are packed, and of the others the terms that
+    these need are counted. Else all are packed, and no text is moved.
+    """
+    members = [name_terms.select("term", "members")]
+    touched = materialize(named.select(F.col("doc").alias("_doc")).distinct(), "named-reviews")
+    if touched.count() * FEW_TOUCHED < rows:
+        same = F.col("doc").eqNullSafe(F.col("_doc"))
+        others, texts = texts.join(touched, same, "left_anti"), texts.join(touched, same, "left_semi")
+        members += _uses_elsewhere(others, _term_counts(texts, "review_text"), touched)
+    elsewhere = reduce(DataFrame.unionByName, members).select(hashed(F.split("term", " ")).alias("tokens"), "members")
+    keys = texts.groupBy("doc").agg(F.count("*").alias("n"))
+    if keys.where("n > 1 AND doc IS NOT NULL").isEmpty():  # no length of a review without a key is used
+        # By doc, so that a task that runs again packs the same batches.
+        cut = _tokenised(texts.select("doc", "review_text").sortWithinPartitions("doc"), "review_text")
+        listed = cut.select("doc", F.array(hashed(F.col("tokens"))).alias("texts"))
+    else:
+        # The texts of a key meet; their terms are counted together.
+        grouped = texts.groupBy("doc").agg(F.collect_list("review_text").alias("texts")).sortWithinPartitions("doc")
+        listed = grouped.select("doc", F.transform("texts", lambda t: hashed(word_tokens(t))).alias("texts"))
+    return squared_lengths(listed, elsewhere, total, chars)
 
 
 def _uses_elsewhere(texts: DataFrame, review_terms: DataFrame, touched: DataFrame) -> list[DataFrame]:
@@ -553,10 +583,5 @@ def _uses_elsewhere(texts: DataFrame, review_terms: DataFrame, touched: DataFram
     if touched.isEmpty() or texts.isEmpty():
         return []
     needed = materialize(review_terms.select("term").distinct(), "needed-terms")
-    marked = with_scalars(_tokenised(texts, "review_text"), marks(needed.where(~F.contains("term", F.lit(" "))), "term"))
-    # Words that are certainly not needed leave their places empty, so no pair is made of them.
-    kept = marked.select(F.transform("tokens", lambda t: F.when(is_marked(t), t)).alias("tokens"))
-    held = _each(kept, F.array_distinct(F.array_compact(token_terms(F.col("tokens")))), "term")
-    uses = held.join(needed, "term", "left_semi").groupBy("term").agg(F.count("*").alias("members"))
-    none = F.lit(None).cast("long")
-    return [uses.select("term", none.alias("doc"), none.alias("tf"), "members", F.lit("use").alias("kind"))]
+    held = _each(_marked_terms(texts, needed).select(F.array_distinct("terms").alias("tokens")), F.col("tokens"), "term")
+    return [held.join(needed, "term", "left_semi").groupBy("term").agg(F.count("*").alias("members"))]

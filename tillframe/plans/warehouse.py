@@ -89,7 +89,9 @@ class Warehouse:
     @cached_property
     def review_facts(self) -> DataFrame:
         """Facts by review, numbered from 1 in the order of their keys."""
-        cleaned = cleaning.clean_reviews(self.raw_reviews)
+        # Facts need to know whether there is a text, so that is what the labels meet.
+        emptied = self.table("documents").select(F.col("doc_id").alias("id"), F.when(F.col("text").isNotNull(), F.lit("")).alias("text"))
+        cleaned = cleaning.clean_reviews(tables.raw_reviews(self.spark, self.folder, emptied))
         facts = cleaned.select("review_key", "sentiment", "rating", "review_ts", F.col("review_text").isNotNull().alias("has_text"))
         placed = with_position(facts, ["review_key"], "review_id")
         return materialize(placed.withColumn("review_id", F.col("review_id") + 1), "review-facts")
@@ -120,8 +122,10 @@ class Warehouse:
         """Review texts that begin with the name of a product, dealt out in turn: texts that share words with names."""
         names = self.products.select("idx", "product_name")
         placed = self.review_facts.select("review_key", F.pmod(F.col("review_id") - 1, F.lit(self.product_rows)).alias("idx"))
-        named = self.texts.join(placed, placed.review_key == F.col("id")).join(names, "idx")
-        return named.select("review_key", F.concat_ws(" ", "product_name", "text").alias("review_text"))
+        # Names first: the texts move once, and are stored as they come.
+        named = placed.join(names, "idx").select("review_key", "product_name")
+        whole = self.texts.join(named, named.review_key == F.col("id"))
+        return materialize(whole.select("review_key", F.concat_ws(" ", "product_name", "text").alias("review_text")), "named-texts", codec="zstd")
 
     @cached_property
     def reviews_spread(self) -> DataFrame:

@@ -36,7 +36,7 @@ def _tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str, cluster_by: Sequence[str] = (), partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> DataFrame:
+def materialize(df: DataFrame, name: str, cluster_by: Sequence[str] = (), partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), codec: str = "") -> DataFrame:
     """Write ``df`` under the shared folder and return a reader over the files.
 
     With ``partition_by`` there is a folder per value of these columns (few values).
@@ -47,6 +47,8 @@ def materialize(df: DataFrame, name: str, cluster_by: Sequence[str] = (), partit
 
     With ``sort_by`` each file is sorted by these columns and nothing is moved for
     it: filters on them skip most pages of each file.
+
+    ``codec`` packs long texts closer than the session's codec does.
     """
     spark = df.sparkSession
     path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -54,7 +56,7 @@ def materialize(df: DataFrame, name: str, cluster_by: Sequence[str] = (), partit
         df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     if sort_by:
         df = df.sortWithinPartitions(*sort_by)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path, compression=codec or None)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -65,10 +65,11 @@ def review_texts(spark: SparkSession, folder: str) -> DataFrame:
     return spread(documents.select(F.col("doc_id").alias("id"), "text"))
 
 
-def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as review texts, with the quality label as the sentiment flag."""
+def raw_reviews(spark: SparkSession, folder: str, texts: DataFrame | None = None) -> DataFrame:
+    """Documents, or ``texts`` (id, text), as review texts, with the quality label as the sentiment flag."""
     labels = read_table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "quality")
-    return review_texts(spark, folder).join(labels, "id", "left").select(
+    texts = review_texts(spark, folder) if texts is None else texts
+    return texts.join(labels, "id", "left").select(
         F.col("id").alias("review_key"),
         F.col("text").alias("review_text"),
         F.col("quality").alias("sentiment_flag"),
